@@ -50,8 +50,49 @@ a AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE is_bad) AS n_dr
 SELECT d.doc_id, d.source, CAST(coalesce(a.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(a.n_dropped, 0) AS BIGINT) AS n_dropped, a.clean_text FROM documents d LEFT JOIN a USING (doc_id)
 """
 
+
+def op2_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.url_markov import judge
+
+    return judge(_t(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", F.round("llr", 6).alias("llr"))
+
+
+def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ftrl_toxicity import learn, score
+
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    labels = _t(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("toxic").alias("label"))
+    model = learn(docs.join(labels.hint("shuffle_hash"), "doc_id"))
+    return score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op8_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.cross_parsing import identify, learn
+
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    model = learn(docs.where(~held))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op10_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm._base import Scratch
+    from tidemark.llm.bit_packing import read_ids, write_ids
+
+    out = Scratch(spark, "op10").path
+    write_ids(_t(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408)
+    return read_ids(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_decontamination": op3_suffix_array_decontamination,
     "op5_site_line_dedup": op5_site_line_dedup,
+    "op2_url_markov_ratio": op2_url_markov_ratio,
+    "op6_ftrl_toxicity": op6_ftrl_toxicity,
+    "op8_cross_parsing_language": op8_cross_parsing_language,
+    "op10_bit_packed_ids": op10_bit_packed_ids,
 }
 SQL: dict[str, str] = {"op3_suffix_array_decontamination": OP3_SQL, "op5_site_line_dedup": OP5_SQL}
