@@ -21,9 +21,9 @@ from tidemark.llm._words import Words, chunks, mix
 BITS = 20
 #: Bound of the training sample in labelled rows, and how it is dealt: a shard for so many rows, up to so many shards.
 SAMPLE_ROWS = 24_000
-SHARD_ROWS, SHARDS = 2_000, 6
-ROUNDS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.05
+SHARD_ROWS, SHARDS = 1_000, 6
+ROUNDS = 2
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 0.05
 _ONE, _TWO, _SKIP = (np.uint64(x) for x in (0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD))
 
 

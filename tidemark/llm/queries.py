@@ -87,9 +87,17 @@ def op10_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.order_minhash import near_duplicates
+
+    return near_duplicates(_t(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_decontamination": op3_suffix_array_decontamination,
     "op5_site_line_dedup": op5_site_line_dedup,
+    "op1_order_minhash": op1_order_minhash,
     "op2_url_markov_ratio": op2_url_markov_ratio,
     "op6_ftrl_toxicity": op6_ftrl_toxicity,
     "op8_cross_parsing_language": op8_cross_parsing_language,
