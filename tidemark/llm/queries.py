@@ -94,11 +94,37 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+def op4_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hilbert_ann import nearest
+
+    return nearest(_t(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.site_quality import classify, learn
+
+    docs = _t(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = _t(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label"))
+    model = learn(docs.select("doc_id", "text").join(labels.hint("shuffle_hash"), "doc_id"))
+    out = classify(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "p_doc", "p_host", "p_path", "p_good", "predicted")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.best_fit_packing import pack_texts
+
+    return pack_texts(_t(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_decontamination": op3_suffix_array_decontamination,
     "op5_site_line_dedup": op5_site_line_dedup,
     "op1_order_minhash": op1_order_minhash,
     "op2_url_markov_ratio": op2_url_markov_ratio,
+    "op4_hilbert_neighbours": op4_hilbert_neighbours,
+    "op7_site_quality": op7_site_quality,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op6_ftrl_toxicity": op6_ftrl_toxicity,
     "op8_cross_parsing_language": op8_cross_parsing_language,
     "op10_bit_packed_ids": op10_bit_packed_ids,
