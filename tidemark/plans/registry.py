@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "a16_resumable_work_list"
+FLAGSHIP = "s01_matched_pair_bootstrap"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query ``f(t)`` where ``t(name)`` is a table of the input folder."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        QUERIES[name] = run
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+for _part in ("ingest", "scalars", "joins", "reports", "windows", "evaluation", "modelling", "sets", "streams"):
+    try:
+        importlib.import_module(f"tidemark.plans.{_part}_queries")
+    except ModuleNotFoundError as e:
+        if e.name != f"tidemark.plans.{_part}_queries":
+            raise
