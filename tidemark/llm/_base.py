@@ -91,29 +91,28 @@ def lookup_join(left: DataFrame, table: DataFrame, on: list[str], how: str = "le
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, class_id)``, class_id the smallest id of the component.
 
-    Alternating large-star and small-star steps: each step is a join and two aggregations over the edges, the
-    edges are written out after each round, and nothing but two counts comes to the driver.
+    Alternating large-star and small-star steps until every component is a star around its smallest id: each step is a
+    join and two aggregations over the edges, which are written out after each round; only a count of the ids that
+    break the star comes to the driver.
     """
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = _fingerprint(now)
-    while mark[0]:
+    while not _is_star(now):
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = scratch.save(small, "edges")
-        was, mark = mark, _fingerprint(new)
         scratch.drop(now)
         now = new
-        if mark == was:
-            break
     return now.select(F.col("u").alias("id"), F.col("v").alias("class_id")).union(now.select("v", "v").distinct())
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every id has one smaller neighbour, which itself has none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("to")), F.struct(F.col("v").alias("id"), F.lit(None).cast("long").alias("to")))).alias("e")).select("e.*")
+    seen = ends.groupBy("id").agg(F.min("to").alias("lo"), F.max("to").alias("hi"), F.max(F.col("to").isNull().cast("int")).alias("root"))
+    return seen.where("lo <> hi or (root = 1 and lo is not null)").isEmpty()
 
 
 def append_columns(df: DataFrame, inputs: list[str], fields: str, make, texts_in: int = 0, part: int = 2_000_000) -> DataFrame:
@@ -150,3 +149,18 @@ def append_columns(df: DataFrame, inputs: list[str], fields: str, make, texts_in
 
     needed = list(dict.fromkeys([*names, *inputs]))
     return df.select(*[F.col(f"`{c}`") for c in needed]).mapInArrow(run, schema)
+
+
+def labelled_sample(scratch: Scratch, docs: DataFrame, labels: DataFrame, rows: int, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, int, int]:
+    """At most about ``rows`` labelled texts, drawn by the hash of their key, as a written table ``(h, t, y)``; and the
+    numbers of all labels and of labels 1.
+
+    ``labels(key, label)`` is sampled first; what is left has a fixed bound and is broadcast, so the texts are filtered
+    where they are read and none but the sample is written. Null labels and texts are left out.
+    """
+    lab = labels.where(F.col("label").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("label").cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    stats = lab.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
+    total, ones = stats["n"], int(stats["p"] or 0)
+    drawn = lab.where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, rows / max(1, total)) * (1 << 30)))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("t"))
+    return scratch.save(texts.join(F.broadcast(drawn), "_k").select("h", "t", "y"), "sample"), total, ones

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import append_columns, importable
+from tidemark.llm._base import Scratch, append_columns, labelled_sample
 from tidemark.llm._words import Words, chunks, mix
 
 BITS = 20
@@ -89,19 +89,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id") -> Model:
-    """Fit on at most about ``SAMPLE_ROWS`` rows, by the hash of their key. Rows with a null label or text are not used; with one class or none, every score is the smoothed rate of label 1."""
-    spark = labelled.sparkSession
-    importable(spark)
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    stats = labelled.where(F.col(label).isNotNull()).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p")).first()
-    total, ones = stats["n"], stats["p"] or 0
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
+    """Fit on the texts of at most about ``SAMPLE_ROWS`` of ``labels(key, label)``. With one class or none, every score is the smoothed rate of label 1."""
+    spark = docs.sparkSession
+    sample, total, ones = labelled_sample(Scratch(spark, "toxicity"), docs, labels, SAMPLE_ROWS, text, key)
     if not 0 < ones < total:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((ones + 0.5) / (total - ones + 0.5))))
-    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / total) * (1 << 30)))
     n_shards = max(1, min(SHARDS, min(total, SAMPLE_ROWS) // SHARD_ROWS))
     weight_of_one = float(np.sqrt((total - ones) / ones))  # half way to balanced classes
-    shards = drawn.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(n_shards))).repartition(n_shards, "shard").sortWithinPartitions("shard", "h")
+    shards = sample.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(n_shards))).repartition(n_shards, "shard").sortWithinPartitions("shard", "h")
     z, n, bias = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(2)
     for _ in range(ROUNDS):
         at = np.flatnonzero(n)

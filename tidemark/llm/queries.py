@@ -63,7 +63,7 @@ def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
     labels = _t(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("toxic").alias("label"))
-    model = learn(docs.join(labels.hint("shuffle_hash"), "doc_id"))
+    model = learn(docs, labels)
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
@@ -106,7 +106,7 @@ def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     labels = _t(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label"))
-    model = learn(docs.select("doc_id", "text").join(labels.hint("shuffle_hash"), "doc_id"))
+    model = learn(docs, labels)
     out = classify(docs, model)
     return out.select("doc_id", held.alias("held_out"), "p_doc", "p_host", "p_path", "p_good", "predicted")
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import append_columns, lookup_join
+from tidemark.llm._base import Scratch, append_columns, labelled_sample, lookup_join
 from tidemark.llm._words import Words
 
 #: Bound of the training sample in labelled rows.
@@ -86,16 +86,13 @@ def _constant(rate: float) -> Model:
     return Model(np.zeros(MEASURES), np.ones(MEASURES), np.append(np.log(rate / (1 - rate)), np.zeros(MEASURES)), rate)
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", ridge: float = 1.0) -> Model:
-    """Fit on at most about ``SAMPLE_ROWS`` labelled rows, by the hash of their key. Rows with a null label or text
-    are not used; with one class or none, every document gets the smoothed rate of good ones."""
-    stats = labelled.where(F.col(label).isNotNull()).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("good")).first()
-    total, good = stats["n"], stats["good"] or 0
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", ridge: float = 1.0) -> Model:
+    """Fit on the texts of at most about ``SAMPLE_ROWS`` of ``labels(key, label)``. With one class or none, every
+    document gets the smoothed rate of good ones."""
+    sample, total, good = labelled_sample(Scratch(docs.sparkSession, "quality"), docs, labels, SAMPLE_ROWS, text, key)
     if not 0 < good < total:
         return _constant((good + 1) / (total + 2))
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / total) * (1 << 30)))
-    data = append_columns(drawn, ["t"], "m array<double>", lambda texts: (list(measures(texts)),)).select("h", "y", "m").toPandas().sort_values("h")
+    data = append_columns(sample, ["t"], "m array<double>", lambda texts: (list(measures(texts)),)).select("h", "y", "m").toPandas().sort_values("h")
     if data["y"].nunique() < 2:
         return _constant((good + 1) / (total + 2))
     x, y = np.stack(data["m"].to_list()), data["y"].to_numpy().astype(float)
