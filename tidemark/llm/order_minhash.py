@@ -7,12 +7,14 @@ makes it sensitive to edit similarity rather than to set overlap alone.
 
 1. one pass over the texts gives each a digest of its words and its sketch; equal digests are one class (an
    aggregation with map-side combine, so that copies by the thousand cost a row each), and only its smallest id goes on;
-2. representatives that agree in a component share a bucket. Each is first compared with the smallest id of all its
-   buckets, and linked if a banded alignment finds a similarity of ``THRESHOLD``;
-3. what is linked becomes one class (distributed connected components). Buckets that still hold several classes are
-   worked off in rounds: members outside the bucket's commonest class are compared with every member of another
-   class, a bounded number of them a round, until nothing is left to compare. So no candidate pair is skipped unless
-   its two texts are already in one class, and no bucket emits all its pairs.
+2. representatives that agree in a component share a bucket. Each is first compared with the best connected member of
+   its buckets (the original of a family of near copies agrees with more of them than they do with each other), and
+   linked if a banded alignment finds a similarity of ``THRESHOLD``;
+3. what is linked becomes one class (distributed connected components). In buckets that still hold several classes,
+   members outside the commonest class are paired with every member of another class. A pair is compared unless it
+   can't reach the threshold: each text carries the parities of its labelled runs in ``64 * PARITIES`` hash cells, and
+   as many runs at least are in one text only as there are cells in which two texts differ. That is an exact bound,
+   so no link is lost, while the unlike pairs of a large family never leave the join.
 
 The similarity is that of aligned runs of five words: ``aligned / (a + b - aligned)`` where ``aligned`` is the longest
 common subsequence of the two run sequences within a band. Two texts that reach the threshold cannot leave that band.
@@ -36,7 +38,7 @@ WORDS = 5
 THRESHOLD = 0.8
 COMPONENTS = 16
 SAMPLED = 4
-LEADERS = 64
+PARITIES = 16
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.default_rng(6).integers(1, 2**63, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -70,6 +72,12 @@ def sketch(runs: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(runs: np.ndarray) -> np.ndarray:
+    """Parity of the number of labelled runs in each hash cell, as PARITIES words of 64 bits."""
+    cells = np.bincount((mix(labelled(runs)) >> np.uint64(32)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
 def aligned_runs(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence whose pairs (i, j) have |i - j| <= band.
 
@@ -117,7 +125,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, digest (of the word sequence), sketch`` for each row with an id and at least one word."""
+    """``id, digest (of the word sequence), sketch, runs (their number), bits (parities)`` for each row with an id and at least one word."""
     importable(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,14 +135,15 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 w = Words(texts[lo:hi])
                 runs, limits = w.grams(WORDS)
                 use = np.flatnonzero(w.counts)
-                digests, made = [], []
+                digests, made, bits, counts = [], [], [], np.diff(limits)
                 for d in use:
                     digests.append(hashlib.blake2b(w.hash[w.first[d] : w.first[d + 1]].tobytes(), digest_size=16).digest())
+                    bits.append(parities(runs[limits[d] : limits[d + 1]]))
                     made.append(sketch(runs[limits[d] : limits[d + 1]]).view(np.int64))
-                yield pd.DataFrame({"id": ids[lo:hi][use], "digest": digests, "sketch": made})
+                yield pd.DataFrame({"id": ids[lo:hi][use], "digest": digests, "sketch": made, "runs": counts[use], "bits": bits})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
-    return rows.mapInPandas(run, "id long, digest binary, sketch array<long>")
+    return rows.mapInPandas(run, "id long, digest binary, sketch array<long>, runs long, bits array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
@@ -167,45 +176,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "order-minhash")
-    rows = sketches(docs, doc_id, text).groupBy("id").agg(F.min(F.struct("digest", "sketch")).alias("s")).select("id", "s.*")
+    rows = sketches(docs, doc_id, text).groupBy("id").agg(F.min(F.struct("digest", "sketch", "runs", "bits")).alias("s")).select("id", "s.*")
     base = scratch.save(rows, "sketches")
-    reps = scratch.save(base.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch")), "representatives")
+    reps = scratch.save(base.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("runs").alias("runs"), F.first("bits").alias("bits")), "representatives")
     members = reps.select(F.col("rep").alias("id"), F.explode("sketch").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1").select("bucket", "low")
-    buckets = scratch.save(members.join(shared.hint("merge"), "bucket").select("bucket", "id", "low"), "buckets")
-
-    first = buckets.groupBy("id").agg(F.min("low").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
-    links = scratch.save(verified(scratch.save(first, "pairs"), docs, doc_id, text, threshold), "links")
-    found, classes = [links], components(scratch, links)
-    worked = None  # (bucket, id) compared with all other classes of the bucket
-    while True:
-        marked = buckets.join(classes.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("class_id", "id").alias("class"))
-        if worked is not None:
-            marked = marked.join(worked.hint("merge"), ["bucket", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        else:
-            marked = marked.withColumn("done", F.lit(False))
-        per_class = marked.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-        main = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", F.negative("class").alias("c"))).alias("m")).where("classes > 1").select("bucket", F.negative("m.c").alias("main"))
-        still = scratch.save(marked.join(main.hint("merge"), "bucket"), "unresolved")
-        ranked = still.where("class <> main and not done").select("bucket", "id", "class", F.expr("row_number() over (partition by bucket order by id)").alias("r"))
-        lead = scratch.save(ranked.where(F.col("r") <= LEADERS).drop("r"), "leaders")
-        if not lead.take(1):
-            break
-        pairs = lead.select("bucket", F.col("id").alias("x"), F.col("class").alias("cx")).join(still.select("bucket", F.col("id").alias("y"), F.col("class").alias("cy")).hint("merge"), "bucket").where("cx <> cy")
-        pairs = scratch.save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        more = scratch.save(verified(pairs, docs, doc_id, text, threshold), "links")
-        done = lead.select("bucket", "id", F.lit(True).alias("done"))
-        worked = scratch.save(done if worked is None else worked.union(done), "worked")
-        found.append(more)
-        everything = found[0]
-        for t in found[1:]:
-            everything = everything.union(t)
-        if more.take(1):
-            classes = components(scratch, everything)
-        scratch.drop(pairs, still, lead)
-    everything = found[0]
-    for t in found[1:]:
-        everything = everything.union(t)
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = members.join(sizes.hint("merge"), "bucket").groupBy("id").agg(F.sum("n").alias("degree"), F.collect_list("bucket").alias("buckets"))  # COMPONENTS buckets at most
+    buckets = scratch.save(shared.select("id", "degree", F.explode("buckets").alias("bucket")), "buckets")
+    best = buckets.groupBy("bucket").agg(F.max(F.struct("degree", F.negative("id").alias("id"))).alias("lead"))
+    first = buckets.join(best.hint("merge"), "bucket").groupBy("id").agg(F.negative(F.max("lead").getField("id")).alias("lead")).where("lead <> id")
+    pairs = scratch.save(first.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
+    links = scratch.save(verified(pairs, docs, doc_id, text, threshold), "links")
+    classes = components(scratch, links)
+
+    marked = buckets.select("bucket", "id").join(classes.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("class_id", "id").alias("class"))
+    per_class = marked.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    main = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", F.negative("class").alias("c"))).alias("m")).where("classes > 1").select("bucket", F.negative("m.c").alias("main"))
+    still = marked.join(main.hint("merge"), "bucket").join(reps.select(F.col("rep").alias("id"), "runs", "bits").hint("merge"), "id")
+    still = scratch.save(still, "unresolved")
+    x, y = still.where("class <> main").alias("x"), still.alias("y")
+    differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(PARITIES)), F.lit(0))
+    longer, shorter = F.greatest("x.runs", "y.runs"), F.least("x.runs", "y.runs")
+    # at the threshold, aligned runs are threshold / (1 + threshold) of both texts' runs; the others are in one text only
+    most = (F.col("x.runs") + F.col("y.runs")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & (shorter >= longer * threshold - 1e-9) & (differ <= most)
+    rest = x.join(y.hint("merge"), on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    more = scratch.save(verified(scratch.save(rest, "pairs"), docs, doc_id, text, threshold), "links")
+    everything = links.union(more)
+    if not more.isEmpty():
+        classes = components(scratch, everything)
     n_links = everything.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     info = reps.select("digest", "rep", "n_copies").join(classes.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").join(n_links.hint("merge"), "rep", "left")
     info = scratch.save(info.select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "classes")
