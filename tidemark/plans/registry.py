@@ -12,14 +12,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+class Tables:
+    """Tables of an input folder: ``t(name)``."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
 def query(name: str, sql: str | None = None):
-    """Register a query ``f(t)`` where ``t(name)`` is a table of the input folder."""
+    """Register a query ``f(t)`` over the tables ``t`` of an input folder."""
 
     def put(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-
-        QUERIES[name] = run
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             SQL[name] = sql
         return f
