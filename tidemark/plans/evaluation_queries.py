@@ -146,3 +146,41 @@ def w32(t):
     hit = d.where("e = 'error'").select("k", "i", F.lit(True).alias("y"))
     j = moved.join(hit.hint("merge"), ["k", "i"], "left").withColumn("y", F.coalesce("y", F.lit(False)))
     return N.auc(j, "v", F.col("y"), ["scale", "shift"]).select("scale", "shift", r6("auc", "auc"))
+
+
+@query("s02_row_bootstrap_of_rank_correlation", f"WITH {_LAB}, a AS (SELECT n_chars AS x, length(source) + (doc_id % 13) AS y, row_number() OVER (ORDER BY doc_id) - 1 AS id, count(*) OVER () AS m FROM lj WHERE lang = 'de'), d AS (SELECT b, ('0x' || substr(md5('r:' || b || ':' || j.id), 1, 8))::BIGINT % j.m AS id FROM range(0, 60) q(b), a j), s AS (SELECT b, x, y FROM d JOIN a USING (id)), r AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2.0::DOUBLE AS ry FROM s), c AS (SELECT b, corr(rx, ry) AS rho FROM r GROUP BY b) SELECT round(quantile_cont(rho, 0.025), 6) AS lo, round(median(rho), 6) AS mid, round(quantile_cont(rho, 0.975), 6) AS hi FROM c")
+def s02(t):
+    d = labelled(t).where("lang = 'de'").select("doc_id", F.col("n_chars").alias("x"), (F.length("source") + F.col("doc_id") % 13).alias("y"))
+    a = d.withColumn("id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long"))
+    m = a.agg(F.count("*").alias("m"))
+    draws = a.select(F.col("id").alias("j")).crossJoin(F.broadcast(m)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    s = draws.select("b", (N.draw(F.lit("r"), F.col("b"), F.col("j")) % F.col("m")).alias("id")).join(a.select("id", "x", "y").hint("merge"), "id")
+    rho = N.spearman(s, "x", "y", ["b"])
+    return rho.agg(r6(F.percentile("rho", F.lit(0.025)), "lo"), r6(F.median("rho"), "mid"), r6(F.percentile("rho", F.lit(0.975)), "hi"))
+
+
+@query("s09_cue_feature_grounding", "WITH c AS (SELECT conv_id, max(regexp_matches(text, '(?i)(?:^|[^\\p{L}])(que|what|was)(?:$|[^\\p{L}])')::INT) AS question, max(regexp_matches(text, '\\d')::INT) AS quantity, avg(length(text)) AS size, count(*)::DOUBLE AS turns FROM conversations GROUP BY 1), l AS (SELECT conv_id, unnest(['question', 'quantity']) AS cue, unnest([question, quantity]) AS y, size, turns FROM c), f AS (SELECT cue, y, unnest(['size', 'turns']) AS feature, unnest([size, turns]) AS x FROM l) SELECT cue, feature, count(*) FILTER (WHERE y = 1) AS n, round((avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0)) / sqrt((var_pop(x) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 1) + var_pop(x) FILTER (WHERE y = 0) * count(*) FILTER (WHERE y = 0)) / count(*)), 5) AS effect FROM f GROUP BY 1, 2")
+def s09(t):
+    q = F.col("text").rlike(r"(?i)(?:^|[^\p{L}])(que|what|was)(?:$|[^\p{L}])")
+    c = t("conversations").groupBy("conv_id").agg(F.bool_or(q).alias("question"), F.bool_or(F.col("text").rlike(r"\d")).alias("quantity"), F.avg(F.length("text")).alias("size"), F.count("*").cast("double").alias("turns"))
+    d = c.select(F.explode(F.create_map(F.lit("question"), "question", F.lit("quantity"), "quantity")).alias("cue", "y"), "size", "turns")
+    d = d.select("cue", "y", F.explode(F.create_map(F.lit("size"), "size", F.lit("turns"), "turns")).alias("feature", "x"))
+    return d.groupBy("cue", "feature").agg(F.count_if("y").alias("n"), F.round(N.std_mean_diff("x", F.col("y")), 5).alias("effect"))
+
+
+@query("s10_audit_with_null_model", f"WITH {EV}, {WINDOWS}, {PAIRS}, nul AS (SELECT mt.k, ('0x' || substr(md5('n:' || k || ':' || c), 1, 8))::BIGINT / 4294967296.0::DOUBLE - ('0x' || substr(md5('n:' || k || ':' || d), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS diff FROM mt) SELECT 'real' AS model, count(*) AS pairs, round(avg(diff), 6) AS shift FROM mt UNION ALL SELECT 'null', count(*), round(avg(diff), 6) FROM nul")
+def s10(t):
+    m = matched(t)
+    u = lambda c: N.draw(F.lit("n"), F.col("k"), F.col(c)) / 4294967296.0
+    null = m.select(F.lit("null").alias("model"), (u("case") - u("control")).alias("diff"))
+    both = match_diffs(t).select(F.lit("real").alias("model"), "diff").union(null)
+    return both.groupBy("model").agg(F.count("*").alias("pairs"), r6(F.avg("diff"), "shift"))
+
+
+@query("m09_labelled_window_dataset", f"WITH {EV}, wd AS (SELECT k, unnest(range(0, n - 15, 8)) AS lo FROM (SELECT k, count(*) AS n FROM s GROUP BY k) WHERE n >= 16), w AS (SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, avg(v) AS x, avg((e = 'signup')::INT) AS a, avg((e = 'purchase')::INT) AS b FROM wd JOIN s ON s.k = wd.k AND s.i >= lo AND s.i < lo + 16 GROUP BY wd.k, lo) SELECT k, win, unnest(['signup', 'purchase']) AS label_source, unnest([a >= 0.25, b >= 0.25]) AS label, round(x, 6) AS x FROM w")
+def m09(t):
+    from tidemark.plans.windows_queries import windowed
+
+    share = lambda e: F.avg((F.col("e") == e).cast("double")) >= 0.25
+    g = windowed(ev(t), 16, 8).groupBy("k", F.col("win").cast("long").alias("win")).agg(F.avg("v").alias("x"), share("signup").alias("a"), share("purchase").alias("b"))
+    return g.select("k", "win", F.explode(F.create_map(F.lit("signup"), "a", F.lit("purchase"), "b")).alias("label_source", "label"), r6("x", "x"))

@@ -114,3 +114,28 @@ def a18(t):
     g = t("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
     line = F.concat(F.lit("| "), "o_orderstatus", F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))
     return g.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderstatus", line.alias("l")))), lambda s: s["l"]), "\n").alias("markdown"))
+
+
+@query("a03_xml_tiers", "SELECT conv_id::VARCHAR AS participant, turn::VARCHAR AS utterance, turn * 10 AS start_frame, turn * 10 + 9 AS end_frame, role AS label, split_part(text, ' ', 1) AS value, turn * 10 AS lo, turn * 10 + length(role) AS hi FROM conversations WHERE regexp_matches(text, '^[A-Za-z]+ ')")
+def a03(t):
+    """Conversations written as annotation XML, one collection each, and read back as label rows."""
+    from tidemark.streaming.run import work_folder
+
+    c = t("conversations").where(F.col("text").rlike("^[A-Za-z]+ "))
+    quoted = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
+    lo = F.col("turn") * 10
+    label = F.struct(F.col("role").alias("_LABEL"), quoted(F.split("text", " ")[0]).alias("_VALUE"), lo.alias("_START"), (lo + F.length("role")).alias("_END"))
+    utt = F.struct(F.col("turn").cast("string").alias("_ID"), lo.alias("_START_FRAME"), (lo + 9).alias("_END_FRAME"), F.array(label).alias("NON-MANUAL"))
+    tiers = c.groupBy("conv_id").agg(F.collect_list(utt).alias("UTTERANCE")).select(F.array(F.struct(quoted(F.col("conv_id").cast("string")).alias("_PARTICIPANT"), "UTTERANCE")).alias("SEGMENT-TIER"))
+    folder = work_folder(t.spark)
+    tiers.write.format("xml").option("rootTag", "EXPORT").option("rowTag", "COLLECTION").save(folder)
+    rows = I.read_xml_tiers(t.spark, folder)
+    return rows.where("not corrupt").select("participant", "utterance", "start_frame", "end_frame", "label", "value", "lo", "hi")
+
+
+@query("a11_file_inventory")
+def a11(t):
+    """Inventory of the table files, verified against a manifest that expects one file more."""
+    found = I.inventory(t.spark, t.sf_dir)
+    manifest = found.union(found.limit(1).select(F.lit("gone.parquet"), "length", "sha256"))
+    return I.verify(manifest, found)

@@ -1,13 +1,11 @@
-"""All queries of the library proper, by name, and the SQL that DuckDB runs for the same rows."""
+"""Where queries register: by name, with the SQL that DuckDB runs for the same rows. ``catalog`` loads them all."""
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "s01_matched_pair_bootstrap"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -32,11 +30,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
-
-
-for _part in ("ingest", "scalars", "joins", "reports", "windows", "evaluation", "modelling", "sets", "streams"):
-    try:
-        importlib.import_module(f"tidemark.plans.{_part}_queries")
-    except ModuleNotFoundError as e:
-        if e.name != f"tidemark.plans.{_part}_queries":
-            raise

@@ -10,7 +10,6 @@ from tidemark.plans.registry import query
 from tidemark.plans.windows_queries import A_FAST, A_HOLD, A_SLOW, r6
 from tidemark.streaming import run as R
 
-BASE = "FROM events"
 
 
 @query("r01_validate_and_reject", "SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view', 'error', 'purchase') THEN 'unknown_type' WHEN value > 240 THEN 'rate' WHEN CAST(props->>'$.k' AS INTEGER) < 8 THEN 'short' ELSE 'ok' END AS reason FROM events")
@@ -69,3 +68,65 @@ def r10(t):
     e = s.where("event_type = 'error'").select(F.col("user_id").alias("u"), F.col("event_id").alias("error"), F.col("ts").alias("et")).withWatermark("et", "1 hour")
     j = p.join(e, F.expr("user_id = u and et between pt - interval 3 hours and pt + interval 3 hours"))
     return R.drain(j.select("purchase", "error"))
+
+
+def _turn(s, v, least=25.0):
+    way, extreme, total = s
+    d = v - extreme
+    sign = float((d > 0) - (d < 0))
+    rev = 0
+    if way == 0.0:
+        if abs(d) >= least:
+            way, extreme = sign, v
+    elif sign == way:
+        extreme = v
+    elif abs(d) >= least:
+        way, extreme, rev = -way, v, 1
+    return (way, extreme, total + rev), (rev, total + rev)
+
+
+@query("r05_stateful_reversal_counter", "WITH RECURSIVE s AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), r AS (SELECT user_id, event_id, i, 0.0::DOUBLE AS w, v AS x, 0 AS rev FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.event_id, s.i, CASE WHEN w = 0 AND abs(v - x) >= 25 THEN sign(v - x) WHEN w <> 0 AND sign(v - x) <> w AND abs(v - x) >= 25 THEN -w ELSE w END, CASE WHEN (w = 0 AND abs(v - x) >= 25) OR (w <> 0 AND (sign(v - x) = w OR abs(v - x) >= 25)) THEN v ELSE x END, CASE WHEN w <> 0 AND sign(v - x) <> w AND abs(v - x) >= 25 THEN 1 ELSE 0 END FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1) SELECT user_id, event_id, rev, sum(rev) OVER (PARTITION BY user_id ORDER BY i)::BIGINT AS total FROM r")
+def r05(t):
+    s = R.read_stream(t.spark, t.sf_dir, "events")
+    return R.drain(R.per_key(s, "user_id", "event_id", "value", "rev int, total long", "way double, extreme double, total long", lambda v: ((0.0, v, 0), (0, 0)), _turn))
+
+
+RING = 600
+
+
+def _baseline(s, v):
+    import numpy as np
+
+    ring, n, lo, hi = list(s[0]), s[1], s[2], s[3]
+    ring = [*ring, v][-RING:]
+    if n % 8 == 0:
+        lo, hi = (float(x) for x in np.percentile(ring, [20, 95]))
+    level = max(0.0, (v - lo) / (hi - lo)) if hi > lo else 0.0
+    return (ring, n + 1, lo, hi), (level,)
+
+
+@query("r06_stateful_adaptive_baseline", "WITH s AS (SELECT user_id AS k, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i, value AS v FROM events), q AS (SELECT k, event_id, i, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.2) OVER w END AS lo, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.95) OVER w END AS hi, v FROM s WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN 599 PRECEDING AND CURRENT ROW)), f AS (SELECT k, event_id, v, last_value(lo IGNORE NULLS) OVER z AS lo, last_value(hi IGNORE NULLS) OVER z AS hi FROM q WINDOW z AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING)) SELECT k AS user_id, event_id, round(CASE WHEN hi > lo THEN greatest(0, (v - lo) / (hi - lo)) ELSE 0 END, 6) AS level FROM f")
+def r06(t):
+    s = R.read_stream(t.spark, t.sf_dir, "events")
+    out = R.per_key(s, "user_id", "event_id", "value", "level double", "ring array<double>, n long, lo double, hi double", lambda v: _baseline(([], 0, 0.0, 0.0), v), _baseline)
+    return R.drain(out).withColumn("level", F.round("level", 6))
+
+
+def _emit(s, v, on=40.0, least=2):
+    begin, n = s
+    hi = -1
+    if v > on:
+        begin = n if begin < 0 else begin
+    elif begin >= 0:
+        hi, lo = (n if n - begin >= least else -1), begin
+        begin = -1
+        if hi >= 0:
+            return (begin, n + 1), (lo, hi)
+    return (begin, n + 1), (-1, -1)
+
+
+@query("r07_stateful_event_emission", "WITH s AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i, value AS v FROM events), n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), z AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM s WHERE v > 40) SELECT user_id, min(i) AS lo, max(i) + 1 AS hi FROM z JOIN n USING (user_id) GROUP BY user_id, g HAVING count(*) >= 2 AND max(i) + 1 < any_value(n)")
+def r07(t):
+    s = R.read_stream(t.spark, t.sf_dir, "events")
+    out = R.per_key(s, "user_id", "event_id", "value", "lo long, hi long", "begin long, n long", lambda v: _emit((-1, 0), v), _emit)
+    return R.drain(out.where("hi >= 0").select("user_id", "lo", "hi"))

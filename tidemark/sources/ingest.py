@@ -86,9 +86,9 @@ def inventory(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> D
 
 
 def verify(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """Status of each manifest row: missing, empty, size, checksum, ok."""
+    """Status of each manifest row: missing_or_empty (Spark's file sources skip empty files), size, checksum, ok."""
     j = manifest.alias("m").join(found.alias("f"), F.col("m.name") == F.col("f.name"), "left")
-    status = F.when(F.col("f.name").isNull(), "missing").when(F.col("f.length") == 0, "empty").when(F.col("f.length") != F.col("m.length"), "size").when(F.col("f.sha256") != F.col("m.sha256"), "checksum").otherwise("ok")
+    status = F.when(F.col("f.name").isNull(), "missing_or_empty").when(F.col("f.length") != F.col("m.length"), "size").when(F.col("f.sha256") != F.col("m.sha256"), "checksum").otherwise("ok")
     return j.select(F.col("m.name").alias("name"), status.alias("status"))
 
 
