@@ -178,7 +178,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", ve
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"rep": [], "hits": []})
+            return pd.DataFrame({"rep": pd.Series(dtype="int64"), "hits": pd.Series(dtype=object)})
         left = left.sort_values("rep")
         ids, x, q = left["rep"].to_numpy(), np.stack(left["v"].to_list()), np.stack(right["w"].to_list())
         out = []
