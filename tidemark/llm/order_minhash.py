@@ -125,7 +125,8 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, digest (of the word sequence), sketch, runs (their number), bits (parities)`` for each row with an id and at least one word."""
+    """``id, digest (of the word sequence), sketch, runs (their number), bits (parities)`` for each row with an id;
+    the digest is null and the rest empty for a text without words."""
     importable(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,23 +135,24 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             for lo, hi in chunks(texts):
                 w = Words(texts[lo:hi])
                 runs, limits = w.grams(WORDS)
-                use = np.flatnonzero(w.counts)
-                digests, made, bits, counts = [], [], [], np.diff(limits)
-                for d in use:
-                    digests.append(hashlib.blake2b(w.hash[w.first[d] : w.first[d + 1]].tobytes(), digest_size=16).digest())
-                    bits.append(parities(runs[limits[d] : limits[d + 1]]))
-                    made.append(sketch(runs[limits[d] : limits[d + 1]]).view(np.int64))
-                yield pd.DataFrame({"id": ids[lo:hi][use], "digest": digests, "sketch": made, "runs": counts[use], "bits": bits})
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
+                digests, made, bits = [], [], []
+                for d in range(hi - lo):
+                    own = runs[limits[d] : limits[d + 1]]
+                    digests.append(hashlib.blake2b(w.hash[w.first[d] : w.first[d + 1]].tobytes(), digest_size=16).digest() if len(own) else None)
+                    bits.append(parities(own) if len(own) else [])
+                    made.append(sketch(own).view(np.int64) if len(own) else [])
+                yield pd.DataFrame({"id": ids[lo:hi], "digest": digests, "sketch": made, "runs": np.diff(limits), "bits": bits})
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull())
     return rows.mapInPandas(run, "id long, digest binary, sketch array<long>, runs long, bits array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts reach the threshold. Only texts that occur in a pair are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """Those of the written ``pairs(a, b)`` whose texts reach the threshold. Only texts that occur in a pair are
+    shuffled; they are written out, so that a text with very many partners is split by a plain skewed join."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     one = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    texts = lookup_join(one, ids, ["id"], "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+    texts = scratch.save(lookup_join(one, ids, ["id"], "left_semi", size=2 * pairs.count()).groupBy("id").agg(F.min("t").alias("t")), "texts")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -163,30 +165,33 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshol
 
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")).hint("merge"), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    links = scratch.save(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "links")
+    scratch.drop(texts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per id: ``doc_id``, ``class_id`` (smallest id of its class), ``n_links`` (verified links between its
-    text and other texts; copies are not links), ``n_copies`` (ids with the same words, itself included).
+    """One row per id: ``doc_id``, ``class_id`` (smallest id of its class), ``n_links`` (links of its text
+    that were verified on the way; copies and pairs already in one class are not compared), ``n_copies`` (ids with the
+    same words, itself included).
 
     Rows without an id take no part. A text that is null, empty or without a word is a class of its own, with 0
-    copies. Rows that share an id are one document, with the smallest of their texts' digests. Texts of fewer than
+    copies. Rows that share an id are one document, with the largest of their texts' digests. Texts of fewer than
     five words have one run, all their words. An empty table gives an empty result; other columns are not used.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "order-minhash")
-    rows = sketches(docs, doc_id, text).groupBy("id").agg(F.min(F.struct("digest", "sketch", "runs", "bits")).alias("s")).select("id", "s.*")
+    rows = sketches(docs, doc_id, text).groupBy("id").agg(F.max(F.struct("digest", "sketch", "runs", "bits")).alias("s")).select("id", "s.*")
     base = scratch.save(rows, "sketches")
-    reps = scratch.save(base.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("runs").alias("runs"), F.first("bits").alias("bits")), "representatives")
+    reps = scratch.save(base.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("runs").alias("runs"), F.first("bits").alias("bits")), "representatives")
     members = reps.select(F.col("rep").alias("id"), F.explode("sketch").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = members.join(sizes.hint("merge"), "bucket").groupBy("id").agg(F.sum("n").alias("degree"), F.collect_list("bucket").alias("buckets"))  # COMPONENTS buckets at most
     buckets = scratch.save(shared.select("id", "degree", F.explode("buckets").alias("bucket")), "buckets")
     best = buckets.groupBy("bucket").agg(F.max(F.struct("degree", F.negative("id").alias("id"))).alias("lead"))
     first = buckets.join(best.hint("merge"), "bucket").groupBy("id").agg(F.negative(F.max("lead").getField("id")).alias("lead")).where("lead <> id")
-    pairs = scratch.save(first.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "pairs")
-    links = scratch.save(verified(pairs, docs, doc_id, text, threshold), "links")
+    pairs = scratch.save(first.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")), "pairs")
+    links = verified(scratch, pairs, docs, doc_id, text, threshold)
     classes = components(scratch, links)
 
     marked = buckets.select("bucket", "id").join(classes.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("class_id", "id").alias("class"))
@@ -201,16 +206,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     most = (F.col("x.runs") + F.col("y.runs")) * ((1 - threshold) / (1 + threshold)) + 1e-6
     on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & (shorter >= longer * threshold - 1e-9) & (differ <= most)
     rest = x.join(y.hint("merge"), on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = scratch.save(verified(scratch.save(rest, "pairs"), docs, doc_id, text, threshold), "links")
+    more = verified(scratch, scratch.save(rest, "pairs"), docs, doc_id, text, threshold)
     everything = links.union(more)
     if not more.isEmpty():
         classes = components(scratch, everything)
     n_links = everything.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     info = reps.select("digest", "rep", "n_copies").join(classes.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").join(n_links.hint("merge"), "rep", "left")
     info = scratch.save(info.select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "classes")
-    known = lookup_join(base.select("id", "digest"), info, ["digest"])
-    ids = docs.select(F.col(doc_id).cast("long").alias("id")).where("id is not null").distinct()
-    out = ids.join(known.hint("merge"), "id", "left")
+    out = lookup_join(base.select("id", "digest"), info, ["digest"])
     return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
 
 
