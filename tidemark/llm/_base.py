@@ -73,19 +73,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup_join(left: DataFrame, table: DataFrame, on: list[str], how: str = "left", salts: int = 32, size: int | None = None) -> DataFrame:
+def lookup_join(left: DataFrame, table: DataFrame, on: list[str], how: str = "left", size: int | None = None) -> DataFrame:
     """Join a table with one row per key to ``left``, whose keys may be hot.
 
-    The table's rows are counted first. Up to ``BROADCAST_ROWS`` it is broadcast; beyond that the left side is
-    salted and the table repeated once per salt, so that a hot key is shared by ``salts`` tasks.
-    Keys compare null-safe in the caller's sense: null keys don't match.
+    The table's rows are counted first (or ``size`` bounds them). Up to ``BROADCAST_ROWS`` it is broadcast; beyond that
+    both sides are shuffled, and adaptive execution splits a hot key of the left side, since the other side has one
+    row for it. Null keys don't match.
     """
     n = table.count() if size is None else size
-    if n <= BROADCAST_ROWS:
-        return left.join(F.broadcast(table), on, how)
-    salted = left.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
-    wide = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return salted.join(wide.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
+    return left.join(F.broadcast(table) if n <= BROADCAST_ROWS else table.hint("merge"), on, how)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -115,7 +111,7 @@ def _is_star(edges: DataFrame) -> bool:
     return seen.where("lo <> hi or (root = 1 and lo is not null)").isEmpty()
 
 
-def append_columns(df: DataFrame, inputs: list[str], fields: str, make, texts_in: int = 0, part: int = 2_000_000) -> DataFrame:
+def append_columns(df: DataFrame, inputs: list[str], fields: str, make, texts_in: int = 0, part: int = 1_000_000) -> DataFrame:
     """All rows and columns of ``df`` with new ones computed in Python from the columns ``inputs``.
 
     ``make`` gets one list per input and returns one list or numpy array per new column. Batches are split so that the

@@ -80,7 +80,7 @@ class Words:
         return mix(out), limits
 
 
-def chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Split a batch so that no part has many more than ``most`` characters; a longer text is a part of its own."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

@@ -9,7 +9,7 @@
    left out.
 
 The sums have map-side combine, so a hot host costs a row per task; the table of paths is broadcast only after its
-rows are counted, else the join is salted.
+rows are counted, else it is a skewed sort-merge join.
 """
 
 from __future__ import annotations

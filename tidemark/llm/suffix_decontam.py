@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-The texts of a task are taken in shards of about two million characters. Each shard gets a suffix array over its
+The texts of a task are taken in shards of about a million characters. Each shard gets a suffix array over its
 words; every suffix of every benchmark item is searched in it by binary search, one word deeper at a time, which gives
 its longest verbatim match and all its places. A window (ten words of an item, or the whole of a shorter item) that
 occurs marks its words in the document as hit.
