@@ -42,9 +42,11 @@ def test_xml_tiers_inherit_participant(spark, tmp_path):
 
 def test_run_folder_is_not_overwritten(spark, tmp_path):
     df = spark.range(5)
-    assert I.write_run(df, str(tmp_path)) == I.write_run(df, str(tmp_path))
+    first = I.write_run(df, str(tmp_path))
+    assert I.write_run(df, str(tmp_path)) == first
     assert spark.read.parquet(f"{tmp_path}/runs").count() == 5
-    assert I.write_run(spark.range(6), str(tmp_path)) != spark.read.parquet(f"{tmp_path}/runs").first()["run_id"]
+    second = I.write_run(spark.range(6), str(tmp_path))
+    assert second != first and spark.read.parquet(f"{tmp_path}/_latest").first()["run_id"] == second
 
 
 def test_inventory_and_verify(spark, tmp_path):
@@ -117,7 +119,8 @@ def test_nearest_match_equals_all_pairs(spark):
 def test_bootstrap_finds_a_planted_effect_and_not_a_null(spark):
     r = random.Random(6)
     for shift in (0.2, 0.0):
-        rows = [(c, shift + r.gauss(0, 0.1)) for c in range(40) for _ in range(4)]
+        noise = [r.gauss(0, 0.1) for _ in range(160)]
+        rows = [(j // 4, shift + x - sum(noise) / 160) for j, x in enumerate(noise)]
         b = N.cluster_bootstrap(spark.createDataFrame(rows, "c long, d double"), "c", "d", 200).first()
         assert (b["lo"] > 0) == (shift > 0) and b["lo"] <= b["shift"] <= b["hi"]
     few = N.cluster_bootstrap(spark.createDataFrame([(c, 1.0) for c in range(5)], "c long, d double"), "c", "d", 50).first()

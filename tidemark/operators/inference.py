@@ -32,7 +32,7 @@ def cluster_bootstrap(pairs: DataFrame, cluster: str, diff: str, replicates: int
     j = size.crossJoin(F.broadcast(b))
     enough = F.col("m") >= 10
     p = F.greatest(F.lit(1.0 / replicates), F.least(F.lit(1.0), 2 * F.least("below", "above")))
-    return j.select(F.col("m").alias("clusters"), F.col("n").alias("pairs"), (F.col("s") / F.col("n")).alias("shift"), F.when(enough, F.col("lo")).alias("lo"), F.when(enough, F.col("hi")).alias("hi"), F.when(enough, p).alias("p"), (F.col("s") / F.col("n") / F.col("sd")).alias("effect"), (F.lit(2.8) * F.col("sd") / F.sqrt("m")).alias("mde"))
+    return j.select(F.col("m").alias("clusters"), F.col("n").alias("pairs"), (F.col("s") / F.col("n")).alias("shift"), F.when(enough, F.col("lo")).alias("lo"), F.when(enough, F.col("hi")).alias("hi"), F.when(enough, p).alias("p"), (F.col("s") / F.col("n") / F.nullif(F.col("sd"), F.lit(0.0))).alias("effect"), (F.lit(2.8) * F.col("sd") / F.sqrt("m")).alias("mde"))
 
 
 def auc(df: DataFrame, score: str, label: Column, by: list[str] | None = None) -> DataFrame:
