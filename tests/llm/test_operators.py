@@ -218,6 +218,54 @@ def test_urls(spark):
     assert url_markov.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def brute_ratios(ruled, urls, order=6, prior=2.0):
+    """Two models of exact counts in dicts."""
+    places = lambda u: [(seq[p : p + order - 1], seq[p + order - 1]) for seq in [("^",) * (order - 1) + tuple(u.encode()) + ("$",)] for p in range(len(seq) - order + 1)]
+    tables = []
+    for y in ("block", "allow"):
+        g, c = Counter(), Counter()
+        for u, v in ruled:
+            if v == y and zlib.crc32(u.encode()) % 5:
+                for before, x in places(u):
+                    for k in range(order):
+                        ctx = before[order - 1 - k :]
+                        g[ctx, x] += 1
+                        c[ctx] += 1
+        tables.append((g, c))
+
+    def one(u):
+        total = 0.0
+        for before, x in places(u):
+            for sign, (g, c) in zip((-1, 1), tables):
+                p = 1 / 98
+                for k in range(order):
+                    ctx = before[order - 1 - k :]
+                    p = (g[ctx, x] + prior * p) / (c[ctx] + prior)
+                total += sign * np.log(p)
+        return total / len(places(u))
+
+    return {u: one(u) for u in urls}
+
+
+def test_url_ratios_equal_exact_counts(spark, monkeypatch):
+    import tidemark.llm._base as base
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    urls = [f"http://h{i % 7}.{('net', 'org', 'info')[i % 3]}/{'fr' if i % 3 == 1 else 'x'}/{word()}" for i in range(6000)]
+    urls += urls[:500]  # repeated urls count as often
+    verdict = {"net": "block", "org": "allow"}
+    ruled = [(u, verdict[u.split("/")[2].split(".")[1]]) for u in urls if ".info/" not in u]
+    some = r.sample(sorted(set(urls)), 300)
+    want = brute_ratios(ruled, some)
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x["url"]: x["llr"] for x in url_markov.judge(df).collect()}
+    assert len(got) == 6000 and max(abs(got[u] - want[u]) for u in some) < 1e-9
+    monkeypatch.setattr(base, "BROADCAST_ROWS", 0)
+    again = {x["url"]: x["llr"] for x in url_markov.judge(df).collect()}
+    assert max(abs(got[u] - again[u]) for u in got) < 1e-9
+
+
 # --- learned filters
 
 
