@@ -150,3 +150,25 @@ def test_entry_and_names(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_word_error_rate_reads_whole_texts(spark, tmp_path):
+    from tidemark.plans.catalog import QUERIES
+
+    r = random.Random(3)
+    start = "the same beginning of every text that is longer than sixty letters "
+    texts = [start + " ".join(r.choice(["cat", "cow", "dog", "été", "day\nnight"]) for _ in range(r.choice([0, 1, 40, 90]))) for _ in range(30)] + ["", "  ", "one", start]
+    spark.createDataFrame([(i // 8, i % 8, "user", x) for i, x in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    tokens = [x.lower().split() for x in texts]
+    want = {(i // 8, i % 8): brute(tokens[i], tokens[i + 1]) for i in range(len(texts) - 1) if i % 8 < 7}
+    assert {(x["conv_id"], x["turn"]): x["edits"] for x in QUERIES["s13_word_error_rate_whole"](spark, str(tmp_path)).collect()} == want

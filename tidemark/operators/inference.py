@@ -105,6 +105,32 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(b) == 0, F.size(a)).otherwise(F.element_at(table, -1))
 
 
+def token_edits(a: list, b: list) -> int:
+    """Edit distance of two whole token lists: tokens become numbers, equal ends are left out, and each row of the table
+    is one running minimum."""
+    import numpy as np
+
+    lo, n, m = 0, len(a), len(b)
+    while lo < min(n, m) and a[lo] == b[lo]:
+        lo += 1
+    while n > lo and m > lo and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    ids: dict = {}
+    x, y = ([ids.setdefault(w, len(ids)) for w in part] for part in (a[lo:n], b[lo:m]))
+    place, other = np.arange(len(y) + 1), np.array(y, np.int64)
+    row = place.copy()
+    for w in x:
+        step = row + 1
+        step[1:] = np.minimum(step[1:], row[:-1] + (other != w))
+        row = np.minimum.accumulate(step - place) + place
+    return int(row[-1])
+
+
+def word_edits(a: Column, b: Column) -> Column:
+    """``token_edits`` of two columns of token arrays; NULL where one is NULL."""
+    return F.udf(lambda u, v: None if u is None or v is None else token_edits(list(u), list(v)), "long", useArrow=True)(a, b)
+
+
 def f1_report(df: DataFrame, truth: Column, predicted: Column) -> list[Column]:
     """Aggregates of a confusion table: F1, balanced accuracy, positive rates and the majority baseline."""
     tp, fp, fn, tn = (F.count_if(c) for c in (truth & predicted, ~truth & predicted, truth & ~predicted, ~truth & ~predicted))

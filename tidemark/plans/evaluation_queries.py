@@ -105,6 +105,18 @@ def s13(t):
     return d.select("conv_id", "turn", "edits", r6(F.col("edits") / F.nullif(F.size("tk"), F.lit(0)), "wer"))
 
 
+_WHOLE = r"w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS tk FROM conversations), p AS MATERIALIZED (SELECT row_number() OVER () AS id, a.conv_id, a.turn, a.tk AS r, b.tk AS h FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), dp(id, i, j, v) AS (SELECT id, 0::BIGINT, j, j FROM (SELECT id, unnest(range(0, len(h) + 1)) AS j FROM p) UNION ALL SELECT id, i, j, j + min(t - j) OVER (PARTITION BY id ORDER BY j) FROM (SELECT d.id, d.i + 1 AS i, d.j, least(d.v + 1, CASE WHEN d.j > 0 THEN lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j) + (p.r[d.i + 1] <> p.h[d.j])::BIGINT END) AS t FROM dp d JOIN p ON p.id = d.id WHERE d.i < len(p.r)))"
+
+
+@query("s13_word_error_rate_whole", f"WITH RECURSIVE {_WHOLE} SELECT conv_id, turn, v AS edits, round(v / nullif(len(r), 0)::DOUBLE, 6) AS wer FROM dp JOIN p ON p.id = dp.id AND i = len(r) AND j = len(h)")
+def s13_whole(t):
+    """Over whole texts and whole words."""
+    w = t("conversations").select("conv_id", "turn", F.filter(F.split(F.lower("text"), "[ \t\n\r]+"), lambda x: x != "").alias("tk"))
+    nxt = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("tk").alias("hyp"))
+    d = w.join(nxt.hint("merge"), ["conv_id", "turn"]).withColumn("edits", N.word_edits(F.col("tk"), F.col("hyp")))
+    return d.select("conv_id", "turn", "edits", r6(F.col("edits") / F.nullif(F.size("tk"), F.lit(0)), "wer"))
+
+
 @query("s14_recall_and_oov", "WITH tr AS (SELECT lang, source FROM documents WHERE doc_id % 5 <> 0), mx AS (SELECT source, arg_max(lang, (n, lang)) AS guess FROM (SELECT source, lang, count(*) AS n FROM tr GROUP BY ALL) GROUP BY 1), te AS (SELECT d.lang, guess FROM documents d LEFT JOIN mx ON mx.source = d.source AND d.source <> 'src3' WHERE doc_id % 5 = 0) SELECT lang, count(*) AS n, round(avg((coalesce(guess, '') = lang)::INT), 6) AS recall, count(*) FILTER (WHERE guess IS NULL) AS oov FROM te GROUP BY 1")
 def s14(t):
     d = t("documents").select("doc_id", "lang", "source")
