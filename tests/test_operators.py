@@ -172,3 +172,16 @@ def test_word_error_rate_reads_whole_texts(spark, tmp_path):
     tokens = [x.lower().split() for x in texts]
     want = {(i // 8, i % 8): brute(tokens[i], tokens[i + 1]) for i in range(len(texts) - 1) if i % 8 < 7}
     assert {(x["conv_id"], x["turn"]): x["edits"] for x in QUERIES["s13_word_error_rate_whole"](spark, str(tmp_path)).collect()} == want
+
+
+def test_json_and_audit_leave_no_keys_out(spark, tmp_path):
+    from tidemark.plans.catalog import QUERIES
+
+    spark.range(20).selectExpr("id o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(40).selectExpr("id div 2 l_orderkey", "cast(id % 2 as int) l_linenumber", "id l_partkey", "if(id % 3 = 0, 'N', 'R') l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(30).selectExpr("id doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(5, 33).selectExpr("id doc_id").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(tuple(r) for r in QUERIES["a05_nested_json_flatten_whole"](spark, str(tmp_path)).collect())
+    assert got == [(i // 2, i % 2, i, "?" if i % 3 == 0 else "R") for i in range(40)]
+    r = QUERIES["c01_audited_join_whole"](spark, str(tmp_path)).first()
+    assert (r["matched"], r["left_only"], r["right_only"]) == (25, 5, 3)

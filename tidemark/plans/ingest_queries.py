@@ -37,15 +37,25 @@ def a02(t):
     return I.ledger(parsed(t))
 
 
-@query("a05_nested_json_flatten", "SELECT o_orderkey, l_linenumber AS instance, l_partkey AS part, coalesce(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, '?') AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 4 = 0")
-def a05(t):
-    li = t("lineitem").where("l_orderkey % 4 = 0")
+def flattened(orders, lines):
+    """One JSON text per order with its lines nested, and the lines flattened out of it again."""
     item = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"))
-    docs = t("orders").join(li.groupBy("l_orderkey").agg(F.collect_list(item).alias("instances")).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.to_json(F.struct("o_orderkey", "instances")).alias("json"))
+    docs = orders.join(lines.groupBy("l_orderkey").agg(F.collect_list(item).alias("instances")).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.to_json(F.struct("o_orderkey", "instances")).alias("json"))
     j = docs.select(F.from_json("json", "o_orderkey long, instances array<struct<n:int,part:long,flag:string>>").alias("j"))
     return j.select("j.o_orderkey", F.explode("j.instances").alias("i")).select("o_orderkey", F.col("i.n").alias("instance"), "i.part", F.coalesce("i.flag", F.lit("?")).alias("flag"))
 
 
+@query("a05_nested_json_flatten", "SELECT o_orderkey, l_linenumber AS instance, l_partkey AS part, coalesce(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, '?') AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 4 = 0")
+def a05(t):
+    return flattened(t("orders"), t("lineitem").where("l_orderkey % 4 = 0"))
+
+
+@query("a05_nested_json_flatten_whole", "SELECT o_orderkey, l_linenumber AS instance, l_partkey AS part, coalesce(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, '?') AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def a05_whole(t):
+    """All orders and all their lines."""
+    return flattened(t("orders"), t("lineitem"))
+
+
 @query("a06_text_map", r"SELECT conv_id, turn, role AS key, list_filter(regexp_split_to_array(trim(split_part(text, chr(10), 1)), '\s+'), lambda x: x <> '') AS tokens FROM conversations")
 def a06(t):
     line = F.concat("role", F.lit(":  "), F.split("text", "\n")[0])

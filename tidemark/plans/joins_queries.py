@@ -17,6 +17,12 @@ def c01(t):
     return J.audit_join(t("documents").where("doc_id % 10 <> 0"), t("labels"), "doc_id")
 
 
+@query("c01_audited_join_whole", "WITH k AS (SELECT d.doc_id AS a, l.doc_id AS b FROM (SELECT doc_id FROM documents) d FULL JOIN labels l ON d.doc_id = l.doc_id) SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS matched, count(*) FILTER (WHERE b IS NULL) AS left_only, count(*) FILTER (WHERE a IS NULL) AS right_only, round(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) / count(*) FILTER (WHERE a IS NOT NULL)::DOUBLE, 6) AS share FROM k")
+def c01_whole(t):
+    """All documents and all labels: the unmatched counts are those of the tables."""
+    return J.audit_join(t("documents"), t("labels"), "doc_id")
+
+
 @query("c02_lookup_with_default", "SELECT d.doc_id, coalesce(quality, 0) AS quality, CASE WHEN l.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM documents d LEFT JOIN labels l USING (doc_id)")
 def c02(t):
     j = t("documents").select("doc_id").join(t("labels").withColumn("c", F.lit(1.0)).hint("shuffle_hash"), "doc_id", "left")
