@@ -185,3 +185,9 @@ def test_json_and_audit_leave_no_keys_out(spark, tmp_path):
     assert got == [(i // 2, i % 2, i, "?" if i % 3 == 0 else "R") for i in range(40)]
     r = QUERIES["c01_audited_join_whole"](spark, str(tmp_path)).first()
     assert (r["matched"], r["left_only"], r["right_only"]) == (25, 5, 3)
+
+
+def test_whole_bootstrap_has_the_replicates_of_the_reference():
+    from tidemark.plans.catalog import SQL
+
+    assert "range(0, 4000)" in SQL["s01_matched_pair_bootstrap_whole"] and "range(0, 200)" in SQL["s01_matched_pair_bootstrap"]

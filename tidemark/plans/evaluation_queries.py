@@ -14,6 +14,8 @@ from tidemark.plans.reports_queries import _LAB, labelled
 from tidemark.plans.windows_queries import EM, EV, em, ev, r6
 
 B = 200
+#: Replicates of the reference
+WHOLE_B = 4000
 
 
 def match_diffs(t):
@@ -25,15 +27,30 @@ def match_diffs(t):
     return m.join(a.hint("merge"), ["k", "case"]).join(b.hint("merge"), ["k", "control"]).select("k", (F.col("y1") - F.col("y0")).alias("diff"))
 
 
-_BOOT = f"cl AS (SELECT k, sum(diff) AS s, count(*) AS n, row_number() OVER (ORDER BY k) - 1 AS id FROM mt GROUP BY k), sz AS (SELECT count(*) AS m, sum(s) AS s, sum(n) AS n, stddev_samp(s / n) AS sd FROM cl), dr AS (SELECT b, ('0x' || substr(md5('b:' || b || ':' || j), 1, 8))::BIGINT % m AS id FROM range(0, {B}) r(b), sz, range(0, (SELECT m FROM sz)) q(j)), bm AS (SELECT b, sum(s) / sum(n) AS mean FROM dr JOIN cl USING (id) GROUP BY b), bs AS (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi, avg((mean <= 0)::INT) AS below, avg((mean >= 0)::INT) AS above FROM bm)"
+def _boot(reps):
+    return f"cl AS (SELECT k, sum(diff) AS s, count(*) AS n, row_number() OVER (ORDER BY k) - 1 AS id FROM mt GROUP BY k), sz AS (SELECT count(*) AS m, sum(s) AS s, sum(n) AS n, stddev_samp(s / n) AS sd FROM cl), dr AS (SELECT b, ('0x' || substr(md5('b:' || b || ':' || j), 1, 8))::BIGINT % m AS id FROM range(0, {reps}) r(b), sz, range(0, (SELECT m FROM sz)) q(j)), bm AS (SELECT b, sum(s) / sum(n) AS mean FROM dr JOIN cl USING (id) GROUP BY b), bs AS (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi, avg((mean <= 0)::INT) AS below, avg((mean >= 0)::INT) AS above FROM bm)"
 
 
-@query("s01_matched_pair_bootstrap", f"WITH {EV}, {WINDOWS}, {PAIRS}, {_BOOT} SELECT m AS clusters, CAST(n AS BIGINT) AS pairs, round(s / n, 6) AS shift, round(CASE WHEN m >= 10 THEN lo END, 6) AS lo, round(CASE WHEN m >= 10 THEN hi END, 6) AS hi, round(CASE WHEN m >= 10 THEN greatest(1.0 / {B}, least(1.0, 2 * least(below, above))) END, 6) AS p, round(s / n / sd, 6) AS effect, round(2.8 * sd / sqrt(m), 6) AS mde FROM sz, bs")
-def s01(t):
-    b = N.cluster_bootstrap(match_diffs(t), "k", "diff", B)
+def _s01_sql(reps):
+    return f"WITH {EV}, {WINDOWS}, {PAIRS}, {_boot(reps)} SELECT m AS clusters, CAST(n AS BIGINT) AS pairs, round(s / n, 6) AS shift, round(CASE WHEN m >= 10 THEN lo END, 6) AS lo, round(CASE WHEN m >= 10 THEN hi END, 6) AS hi, round(CASE WHEN m >= 10 THEN greatest(1.0 / {reps}, least(1.0, 2 * least(below, above))) END, 6) AS p, round(s / n / sd, 6) AS effect, round(2.8 * sd / sqrt(m), 6) AS mde FROM sz, bs"
+
+
+def bootstrapped(t, reps):
+    b = N.cluster_bootstrap(match_diffs(t), "k", "diff", reps)
     return b.select("clusters", "pairs", *[r6(c, c) for c in ("shift", "lo", "hi", "p", "effect", "mde")])
 
 
+@query("s01_matched_pair_bootstrap", _s01_sql(B))
+def s01(t):
+    return bootstrapped(t, B)
+
+
+@query("s01_matched_pair_bootstrap_whole", _s01_sql(WHOLE_B))
+def s01_whole(t):
+    """With as many replicates as the reference."""
+    return bootstrapped(t, WHOLE_B)
+
+
 _SCORE = "sc AS (SELECT doc_id, n_chars, q, lang, source FROM lj)"
 
 
