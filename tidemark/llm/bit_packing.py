@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._base import BROADCAST_ROWS, importable, shuffle_width
-from tidemark.llm._words import chunks
+from tidemark.llm._words import chunks, mix
 
 BLOCK_IDS = 4096
 SEGMENT_CHARS = 4_000_000
@@ -93,21 +93,62 @@ class Segment:
         return self.ids(int(self.limits[d]), int(self.limits[d + 1]))
 
 
+class PartCache:
+    """Ids of parts, as bytes by part, in two generations of at most ``LIMIT`` bytes each.
+
+    A part found in the old generation moves to the young one; when that is full it becomes the old one. So parts in
+    use stay, whatever the number of parts seen, and none is ever encoded again just because others filled the cache.
+    """
+
+    LIMIT = 48_000_000
+    ENTRY = 160  # bytes of an entry besides its characters and ids
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = self.asked = self.made = 0
+
+    def put(self, part: str, ids: bytes) -> None:
+        if self.size > self.LIMIT:
+            self.young, self.old, self.size = {}, self.young, 0
+        self.young[part] = ids
+        self.size += self.ENTRY + len(part) + len(ids)
+
+    def get(self, parts: list[str], make) -> list[bytes]:
+        """Ids of distinct parts; ``make(parts)`` gives those of unknown ones."""
+        found = list(map(self.young.get, parts))
+        fresh = []
+        for i, x in enumerate(found):
+            if x is None:
+                if (x := self.old.get(parts[i])) is None:
+                    fresh.append(i)
+                else:
+                    found[i] = x
+                    self.put(parts[i], x)
+        self.asked, self.made = self.asked + len(parts), self.made + len(fresh)
+        for i, x in zip(fresh, make([parts[i] for i in fresh]) if fresh else (), strict=True):
+            found[i] = x
+            self.put(parts[i], x)
+        return found
+
+
 class PieceTokenizer:
-    """A tokenizers-library file applied to whole texts, with its results kept by word.
+    """A tokenizers-library file applied to whole texts, each distinct part of a chunk of them looked up once.
 
     Files that split a text by the pattern ``contractions | letters | one digit | other`` and encode every part for
-    itself give the same ids if each distinct part is encoded once. Texts that hold only characters below U+0250, for
-    which Python's own classes equal the pattern's, are cut by ``re`` and looked up; all others, and files of another
-    kind, go through the library whole.
+    itself give the same ids if each distinct part is encoded once. Texts of characters below U+0250, whose classes
+    and lower case are the same in Python and in the library, are cut into parts with numpy; all others, and files of
+    another kind, go through the library whole.
     """
 
-    MOST = 400_000  # parts kept by a worker
+    CHUNK = 1_000_000  # characters cut into parts at once
+    JOINED = 500  # unknown parts encoded as one text, a blank between them
 
     def __init__(self, path: str, end_id: int):
         import json
         import os
         import re
+        import unicodedata
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -118,32 +159,111 @@ class PieceTokenizer:
         kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = [str(p.get("pattern", {}).get("Regex")) for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_part = kinds == ["NFC", "Replace", "Lowercase"] and splits[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
-        self.part = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-        self.odd = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]|<\|")
-        self.end, self.kept = np.array([end_id], "<u4").tobytes(), {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        # superscripts and fractions, the dotted capital I and the capitals whose small letters lie elsewhere go whole
+        self.odd = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]|<\|")
+        kind = {"L": 1, "N": 2}
+        self.kind = np.array([0 if chr(c).isspace() else kind.get(unicodedata.category(chr(c))[0], 3) for c in range(0x300)], np.uint8)
+        self.end, self.kept = np.uint32(end_id), PartCache()
+        self.power = np.full(self.CHUNK, 0x9E3779B97F4A7C15, np.uint64)
+        self.power[0] = 1
+        np.cumprod(self.power, out=self.power)
+        self.back = np.full(self.CHUNK, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+        self.back[0] = 1
+        np.cumprod(self.back, out=self.back)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts. Blanks between parts are dropped by the split, and each part is a word of the joined text."""
+        out: list[bytes] = []
+        groups = [parts[i : i + self.JOINED] for i in range(0, len(parts), self.JOINED)]
+        for group, e in zip(groups, self.lib.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            word, ids = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4")
+            if not len(word) or int(word[-1]) + 1 != len(group) or (np.diff(word) < 0).any():
+                out += [x.astype("<u4").tobytes() for x in self._whole(group)]
+                continue
+            raw, at = ids.tobytes(), (4 * np.searchsorted(word, np.arange(len(group) + 1))).tolist()
+            out += [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return out
+
+    def _cut(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of the parts of lower-cased characters."""
+        kind = np.append(self.kind[code], np.uint8(0))
+        before = np.append(np.uint8(0), kind[:-1])
+        begin = (kind != 0) & ((kind != before) | (kind == 2))
+        mark = np.flatnonzero(begin[:-1] & (code == 39))
+        if len(mark):  # contractions
+            far = np.append(code, [0, 0])
+            one, two = far[mark + 1], far[mark + 2]
+            short = np.isin(one, [ord(c) for c in "stmd"])
+            long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            begin[mark[short | long] + 1] = False
+            after = np.append(mark[short] + 2, mark[long] + 3)
+            begin[after] = kind[after] != 0
+        edge = np.flatnonzero(begin | (kind == 0) & (before != 0))
+        first = begin[edge]
+        return edge[first], np.append(edge[1:], len(code))[first]
+
+    def _chunk(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a lower-cased text without surrogates, the begin of each part, and how many ids each has."""
+        code = np.frombuffer(text.encode("utf-16-le"), "<u2")
+        lo, hi = self._cut(code)
+        if not len(lo):
+            return np.zeros(0, np.uint32), lo, lo
+        if len(code) > self.CHUNK:  # a text without blanks that long: no table of powers for it
+            which, first = np.arange(len(lo)), np.arange(len(lo))
+        else:
+            total = np.append(np.uint64(0), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * self.power[: len(code)]))
+            digest = mix((total[hi] - total[lo]) * self.back[lo]) + (hi - lo).astype(np.uint64)
+            which, seen = pd.factorize(digest)
+            first = np.zeros(len(seen), np.int64)
+            first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+            # parts of one digest must be equal, character by character
+            size = hi - lo
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            if not np.array_equal(size, size[first[which]]) or not np.array_equal(code[np.repeat(lo, size) + place], code[np.repeat(lo[first[which]], size) + place]):
+                which, first = np.arange(len(lo)), np.arange(len(lo))
+        made = self.kept.get([text[a:b] for a, b in zip(lo[first].tolist(), hi[first].tolist(), strict=True)], self._parts)
+        pool, count = np.frombuffer(b"".join(made), "<u4"), np.array([len(x) // 4 for x in made])
+        begin = (np.cumsum(count) - count)[which]
+        per = count[which]
+        ids = pool[np.repeat(begin - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))]
+        return ids, lo, per
+
+    def _by_parts(self, texts: list[str]) -> list[np.ndarray]:
+        low = "\n".join(texts).lower()
+        limits = np.cumsum([len(t) + 1 for t in texts])  # lower case has as many characters here
+        ids, counts = [], []
+        at = 0
+        while at < len(low):
+            end = at + self.CHUNK
+            if end < len(low):  # a part never holds white space, so a chunk may end at any
+                back = max(low.rfind(" ", at, end), low.rfind("\n", at, end))
+                if back <= at:
+                    ahead = [x for x in (low.find(" ", end), low.find("\n", end)) if x >= 0]
+                    back = min(ahead, default=len(low))
+                end = back + 1
+            got, lo, per = self._chunk(low[at:end])
+            ids.append(got)
+            counts.append((lo + at, per))
+            at = end
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        lo, per = (np.concatenate([c[k] for c in counts]) if counts else np.zeros(0, np.int64) for k in (0, 1))
+        upto = np.append(0, np.cumsum(per))[np.searchsorted(lo, limits)]
+        return np.split(flat, upto[:-1]) if len(texts) else []
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of each text (null: empty), with the end id."""
-        out: list = [b""] * len(texts)
+        out: list = [np.zeros(0, np.uint32)] * len(texts)
         plain, whole = [], []
         for i, t in enumerate(texts):
             if t:
                 (plain if self.by_part and not self.odd.search(t) else whole).append(i)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if plain:
-            if len(self.kept) > self.MOST:
-                self.kept.clear()
-            kept, find = self.kept, self.part.findall
-            parts = [find(texts[i].lower()) for i in plain]
-            fresh = list(set().union(*parts).difference(kept))
-            kept.update(zip(fresh, self._whole(fresh), strict=True))
-            for i, p in zip(plain, parts, strict=True):
-                out[i] = b"".join(map(kept.__getitem__, p))
-        return [np.frombuffer(b + self.end, "<u4") for b in out]
+        for at, made in ((whole, self._whole([texts[i] for i in whole])), (plain, self._by_parts([texts[i] for i in plain]))):
+            for i, ids in zip(at, made, strict=True):
+                out[i] = ids
+        return [np.append(x, self.end) for x in out]
 
 
 _TOKENIZERS: dict = {}
