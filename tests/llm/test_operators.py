@@ -319,20 +319,3 @@ def test_language(spark):
     edge = {r["text"]: r for r in cross_parsing.identify(docs(spark, [*EDGE, (9, "123 !!", "aa", "s", 1)]), m).collect()}
     assert edge[None]["lang_pred"] == edge[""]["lang_pred"] == edge["123 !!"]["lang_pred"] == "und" and edge["one two"]["lang_pred"] in parts
     assert {r["lang_pred"] for r in cross_parsing.identify(d, cross_parsing.learn(d.limit(0))).collect()} == {"und"}
-
-
-def test_cross_parsing_equals_greedy_search():
-    r = random.Random(9)
-    text = "".join(r.choice("abc ") for _ in range(400))
-    m = cross_parsing.Model({"x": text})
-    ref = m.alphabet.encode(text).tobytes()
-    for _ in range(50):
-        t = "".join(r.choice("abcd ") for _ in range(r.randrange(1, 90)))
-        s = m.alphabet.encode(t).tobytes()
-        n, i = 0, 0
-        while i < len(s):
-            k = i + 1
-            while k <= len(s) and s[i:k] in ref:
-                k += 1
-            n, i = n + 1, max(k - 1, i + 1)
-        assert abs(int(m.phrases([t])[0, 0]) - n) <= s.count(bytes([cross_parsing.SYMBOLS - 1])) + 1
