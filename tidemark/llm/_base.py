@@ -152,11 +152,17 @@ def labelled_sample(scratch: Scratch, docs: DataFrame, labels: DataFrame, rows:
     numbers of all labels and of labels 1.
 
     ``labels(key, label)`` is sampled first; what is left has a fixed bound and is broadcast, so the texts are filtered
-    where they are read and none but the sample is written. Null labels and texts are left out.
+    where they are read and none but the sample is written. Null labels, keys and texts are left out. Repeated labels of
+    a key are one, the largest; rows of documents that share a key are rows of their own, and are thinned at random
+    where they break the bound.
     """
-    lab = labels.where(F.col("label").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("label").cast("int").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    lab = labels.where(F.col("label").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(F.col("label").cast("int")).alias("y"))
+    lab = lab.withColumn("h", F.xxhash64(F.col("_k").cast("string")))
     stats = lab.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     total, ones = stats["n"], int(stats["p"] or 0)
     drawn = lab.where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, rows / max(1, total)) * (1 << 30)))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("t"))
-    return scratch.save(texts.join(F.broadcast(drawn), "_k").select("h", "t", "y"), "sample"), total, ones
+    sample = scratch.save(texts.join(F.broadcast(drawn), "_k").select("h", "t", "y"), "sample")
+    if (n := sample.count()) > 2 * rows:
+        sample = scratch.save(sample.where(F.rand(7) < rows / n), "sample")
+    return sample, total, ones

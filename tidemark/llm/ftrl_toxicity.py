@@ -3,7 +3,8 @@
 Features of a text are the distinct hashes of its words, pairs of neighbours and pairs with one word between. Training
 takes a bounded sample of labelled rows, dealt to shards; every shard runs FTRL-proximal (a learning rate per
 coordinate, L1 for sparse weights) from the shared state, and the shards' states are averaged by coordinate in Spark
-after each round. The result has at most ``2 ** BITS`` weights, nearly all zero, and is broadcast to score every text.
+after each round. The state of every touched coordinate is kept from round to round, at most ``2 ** BITS`` of them. Of
+the weights nearly all are zero; the others are broadcast to score every text.
 """
 
 from __future__ import annotations
@@ -90,7 +91,8 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
-    """Fit on the texts of at most about ``SAMPLE_ROWS`` of ``labels(key, label)``. With one class or none, every score is the smoothed rate of label 1."""
+    """Fit on the texts of at most about ``SAMPLE_ROWS`` of ``labels(key, label)``; a document labelled more than once
+    counts once, with its largest label. With one class or none, every score is the smoothed rate of label 1."""
     spark = docs.sparkSession
     sample, total, ones = labelled_sample(Scratch(spark, "toxicity"), docs, labels, SAMPLE_ROWS, text, key)
     if not 0 < ones < total:
@@ -101,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     z, n, bias = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(2)
     for _ in range(ROUNDS):
         at = np.flatnonzero(n)
-        state = spark.sparkContext.broadcast((at, z[at].astype(np.float32), n[at].astype(np.float32), bias))
+        state = spark.sparkContext.broadcast((at, z[at], n[at], bias.copy()))
 
         def run(frames: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
             at, z0, n0, bias0 = state.value
@@ -117,11 +119,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
         # a coordinate that a shard never saw stays as it was there; the mean is over the shards that moved it
         states = shards.select("t", "y").mapInPandas(run, "c long, z double, n double")
-        mean = states.groupBy("c").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).where((F.abs("z") > L1 / 8) | (F.col("c") < 0)).toPandas()  # 2 ** BITS + 1 rows at most
-        c = mean["c"].to_numpy()
+        mean = states.groupBy("c").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()  # 2 ** BITS + 1 rows at most
+        c, z_mean, n_mean = (mean.column(k).to_numpy() for k in ("c", "z", "n"))
         z[:], n[:] = 0, 0
-        z[c[c >= 0]], n[c[c >= 0]] = mean["z"].to_numpy()[c >= 0], mean["n"].to_numpy()[c >= 0]
-        bias[:] = mean.loc[c < 0, ["z", "n"]].to_numpy()[0]
+        z[c[c >= 0]], n[c[c >= 0]] = z_mean[c >= 0], n_mean[c >= 0]
+        bias[:] = z_mean[c < 0][0], n_mean[c < 0][0]
         state.unpersist()
     w = weights(z, n)
     coord = np.flatnonzero(w)
@@ -132,7 +134,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Every row with ``score`` (0 to 1) and ``predicted`` (1 if the score is at least 0.5).
 
     A null or empty text has no features and gets the bias alone. Whole texts are used, whatever their length; repeated
-    rows score alike. Columns of these names are replaced.
+    rows score alike. Columns of these names are replaced; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _held_out(by: int, remainder: int):
+    """Whether crc32 of the id as text leaves the remainder; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % by == remainder, F.lit(False))
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,7 +66,7 @@ def op6_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.ftrl_toxicity import learn, score
 
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    held = _held_out(5, 0)
     labels = _t(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("toxic").alias("label"))
     model = learn(docs, labels)
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
@@ -71,7 +76,7 @@ def op8_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.cross_parsing import identify, learn
 
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    held = _held_out(3, 1)
     model = learn(docs.where(~held))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
@@ -87,7 +92,6 @@ def op10_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.order_minhash import near_duplicates
 
@@ -104,7 +108,7 @@ def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.site_quality import classify, learn
 
     docs = _t(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = _held_out(5, 0)
     labels = _t(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label"))
     model = learn(docs, labels)
     out = classify(docs, model)
