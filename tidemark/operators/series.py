@@ -118,32 +118,22 @@ def band_energy(df: DataFrame, value: str, fast: int, slow: int, window: int) ->
     return x.withColumn("energy", F.sqrt(F.greatest(F.lit(0.0), moving_average("_sq", window)))).drop("_band", "_sq")
 
 
-def fold(df: DataFrame, zero: Column, step, out: Column, value: str = "v", key: str = "k", idx: str = "i") -> DataFrame:
-    """A recursive filter: one row of state per row of the series, from the past only.
+def fold_long(df: DataFrame, make, values: str | list[str] = "v", out: str = "y double", key: str = "k", idx: str = "i") -> DataFrame:
+    """A recursive filter: ``make(*arrays) -> array or arrays`` on the values of one series in order, as ``out``.
 
-    ``step(state, x)`` gets the state and the next value. The values of a series are gathered in order and folded with
-    ``aggregate``, so nothing leaves the JVM; the states are appended to an array, which suits series of up to a few
-    thousand rows. ``out`` is taken from ``state`` and exploded again. For longer series use ``fold_long``.
-    """
-    x = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))), lambda s: s["v"]).alias("_x"))
-    rest = F.slice("_x", 2, F.greatest(F.size("_x") - 1, F.lit(0)))
-    begin = zero
-    run = F.aggregate(rest, F.struct(begin.alias("s"), F.array(begin).alias("all")), lambda acc, v: F.struct(step(acc["s"], v).alias("s"), F.concat(acc["all"], F.array(step(acc["s"], v))).alias("all")))
-    return x.select(key, F.posexplode(run["all"]).alias(idx, "state")).select(key, F.col(idx).cast("long").alias(idx), out.alias("y"))
-
-
-def fold_long(df: DataFrame, make, value: str = "v", key: str = "k", idx: str = "i") -> DataFrame:
-    """The same for long series: ``make(values) -> values`` on numpy arrays, one series at a time, in Arrow batches.
-
-    A series must fit a task; time is linear in its length.
+    It runs on numpy arrays in Arrow batches, one series at a time; a series must fit a task, and time is linear in its
+    length. See ``filters`` for what to put in.
     """
+    names = [values] if isinstance(values, str) else values
+    columns = [c.split()[0] for c in out.split(",")]
 
     def run(pdf):
         pdf = pdf.sort_values(idx)
-        return pdf[[key, idx]].assign(y=make(pdf[value].to_numpy()))
+        made = make(*[pdf[c].to_numpy() for c in names])
+        return pdf[[key, idx]].assign(**dict(zip(columns, made if isinstance(made, tuple) else (made,), strict=True)))
 
     kind = dict(df.dtypes)
-    return df.select(key, idx, value).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {idx} {kind[idx]}, y double")
+    return df.select(key, idx, *names).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {idx} {kind[idx]}, {out}")
 
 
 def runs(df: DataFrame, on: str, key: str = "k", idx: str = "i") -> DataFrame:

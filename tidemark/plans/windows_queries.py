@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import filters as X
 from tidemark.operators import series as S
 from tidemark.plans.registry import query
 
@@ -134,17 +136,12 @@ DT = 1 / 24
 A_FAST, A_SLOW, A_HOLD = (1 - math.exp(-DT / tau) for tau in (0.08, 0.5, 0.6))
 
 
-def _ema_state(s, v):
-    fast = s["fast"] + F.lit(A_FAST) * (v - s["fast"])
-    slow = s["slow"] + F.lit(A_SLOW) * (v - s["slow"])
-    energy = s["energy"] + F.lit(A_HOLD) * ((fast - slow) * (fast - slow) - s["energy"])
-    return F.struct(fast.alias("fast"), slow.alias("slow"), energy.alias("energy"))
+SHARES = (A_FAST, A_SLOW, A_HOLD)
 
 
 def causal_band_rms(df, value="v"):
     """Causal band energy of a series: exponential means fast, slow and of the squared difference; adds nothing from the future."""
-    first = F.element_at("_x", 1)
-    return S.fold(df, F.struct(first.alias("fast"), first.alias("slow"), F.lit(0.0).alias("energy")), _ema_state, F.sqrt("state.energy"), value)
+    return S.fold_long(df, lambda v: X.band_energy(v, SHARES, None)[1], value)
 
 
 W14_SQL = f"WITH RECURSIVE {EV}, r AS (SELECT k, i, v AS f, v AS g, 0.0::DOUBLE AS en FROM s WHERE i = 0 UNION ALL SELECT s.k, s.i, f + {A_FAST!r} * (v - f), g + {A_SLOW!r} * (v - g), en + {A_HOLD!r} * (pow(f + {A_FAST!r} * (v - f) - g - {A_SLOW!r} * (v - g), 2) - en) FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1) SELECT k, i, round(sqrt(en), 6) AS y FROM r"
@@ -155,24 +152,32 @@ def w14(t):
     return causal_band_rms(ev(t)).select("k", "i", r6("y", "y"))
 
 
-def _reversal(s, v, least=25.0):
-    d = v - s["extreme"]
-    far, same = F.abs(d) >= least, F.signum(d) == s["way"]
-    begin, back = (s["way"] == 0) & far, (s["way"] != 0) & ~same & far
-    way = F.when(begin, F.signum(d)).when(back, -s["way"]).otherwise(s["way"])
-    extreme = F.when(begin | back | ((s["way"] != 0) & same), v).otherwise(s["extreme"])
-    return F.struct(way.alias("way"), extreme.alias("extreme"), back.cast("int").alias("rev"))
+LEAST = 25.0
 
 
 def reversals(df, value="v"):
-    """Reversals of direction with hysteresis, and their level over the last 24 rows."""
-    first = F.element_at("_x", 1)
-    got = S.fold(df, F.struct(F.lit(0.0).alias("way"), first.alias("extreme"), F.lit(0).alias("rev")), _reversal, F.col("state.rev"), value)
-    recent = F.sum("y").over(S.over().rowsBetween(-24, 0))
-    return got.select("k", "i", F.col("y").alias("rev"), F.least(recent / 3.0, F.lit(1.2)).alias("level"))
+    """Turns of a series by at least ``LEAST``, and their level over the last 24 rows."""
 
+    def make(v):
+        flags, _, _ = X.turns(v, LEAST, 0.0, float(v[0]))
+        return flags.astype("int32"), np.minimum(X.recent(flags, np.arange(len(v)), 24, np.zeros(0))[0] / 3.0, 1.2)
 
-W15_SQL = f"WITH RECURSIVE {EV}, r AS (SELECT k, i, 0.0::DOUBLE AS w, v AS x, 0 AS rev FROM s WHERE i = 0 UNION ALL SELECT s.k, s.i, CASE WHEN w = 0 AND abs(v - x) >= 25 THEN sign(v - x) WHEN w <> 0 AND sign(v - x) <> w AND abs(v - x) >= 25 THEN -w ELSE w END, CASE WHEN (w = 0 AND abs(v - x) >= 25) OR (w <> 0 AND (sign(v - x) = w OR abs(v - x) >= 25)) THEN v ELSE x END, CASE WHEN w <> 0 AND sign(v - x) <> w AND abs(v - x) >= 25 THEN 1 ELSE 0 END FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1) SELECT k, i, rev, round(least(sum(rev) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) / 3.0::DOUBLE, 1.2), 6) AS level FROM r"
+    return S.fold_long(df, make, value, "rev int, level double")
+
+
+def turns_sql(key, kept, source):
+    """Recursive SQL of the turns: the way of the movement and the furthest value on it since the last turn."""
+    moved = f"abs(v - reach) >= {LEAST!r}"
+    back = f"way * (reach - v) >= {LEAST!r}"
+    return (
+        f"tn AS (SELECT {key}, i, {', '.join(kept)}, 0.0::DOUBLE AS way, v AS reach, 0 AS rev FROM {source} WHERE i = 0 UNION ALL "
+        f"SELECT s.{key}, s.i, {', '.join('s.' + c for c in kept)}, CASE WHEN way = 0 THEN (CASE WHEN {moved} THEN sign(v - reach) ELSE 0 END) WHEN {back} THEN -way ELSE way END, "
+        f"CASE WHEN way = 0 THEN (CASE WHEN {moved} THEN v ELSE reach END) WHEN {back} THEN v ELSE way * greatest(way * reach, way * v) END, "
+        f"CASE WHEN way <> 0 AND {back} THEN 1 ELSE 0 END FROM tn JOIN {source} s ON s.{key} = tn.{key} AND s.i = tn.i + 1)"
+    )
+
+
+W15_SQL = f"WITH RECURSIVE {EV}, {turns_sql('k', ['event_id'], 's')} SELECT k, i, rev, round(least(sum(rev) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) / 3.0::DOUBLE, 1.2), 6) AS level FROM tn"
 
 
 @query("w15_reversal_level", W15_SQL)
@@ -180,22 +185,29 @@ def w15(t):
     return reversals(ev(t)).select("k", "i", "rev", r6("level", "level"))
 
 
-@query("w16_axis_contrast", f"WITH RECURSIVE {EV}, r AS (SELECT k, i, v AS f, v AS g, 0.0::DOUBLE AS en, p AS f2, p AS g2, 0.0::DOUBLE AS e2 FROM s WHERE i = 0 UNION ALL SELECT s.k, s.i, f + {A_FAST!r} * (v - f), g + {A_SLOW!r} * (v - g), en + {A_HOLD!r} * (pow(f + {A_FAST!r} * (v - f) - g - {A_SLOW!r} * (v - g), 2) - en), f2 + {A_FAST!r} * (p - f2), g2 + {A_SLOW!r} * (p - g2), e2 + {A_HOLD!r} * (pow(f2 + {A_FAST!r} * (p - f2) - g2 - {A_SLOW!r} * (p - g2), 2) - e2) FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1) SELECT k, i, round(greatest(sqrt(en) - 0.5 * sqrt(e2), 0), 6) AS level, sqrt(en) - 0.5 * sqrt(e2) >= 5 AS on_ FROM r")
+_BAND = "r AS (SELECT k, i, v AS f, v AS g, 0.0::DOUBLE AS en, p AS f2, p AS g2, 0.0::DOUBLE AS e2 FROM s WHERE i = 0 UNION ALL SELECT s.k, s.i, " + ", ".join(f"f{n} + {A_FAST!r} * ({c} - f{n}), g{n} + {A_SLOW!r} * ({c} - g{n}), e{n or 'n'} + {A_HOLD!r} * (pow(f{n} + {A_FAST!r} * ({c} - f{n}) - g{n} - {A_SLOW!r} * ({c} - g{n}), 2) - e{n or 'n'})" for n, c in (("", "v"), ("2", "p"))) + " FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1)"
+
+
+@query("w16_axis_contrast", f"WITH RECURSIVE {EV}, {_BAND}, {turns_sql('k', ['event_id'], 's')}, nt AS (SELECT k, i, sum(rev) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS n FROM tn) SELECT r.k, r.i, round(greatest(sqrt(en) - 0.5 * sqrt(e2), 0), 6) AS level, sqrt(en) - 0.5 * sqrt(e2) >= 5 AND n >= 2 AS on_ FROM r JOIN nt ON nt.k = r.k AND nt.i = r.i")
 def w16(t):
-    d = ev(t)
-    own, other = causal_band_rms(d, "v"), causal_band_rms(d, "p").withColumnRenamed("y", "z")
-    x = own.join(other.hint("merge"), ["k", "i"]).withColumn("c", F.col("y") - 0.5 * F.col("z"))
-    return x.select("k", "i", r6(F.greatest(F.col("c"), F.lit(0.0)), "level"), (F.col("c") >= 5).alias("on_"))
+    """Energy of one axis less half the other's; on where it is high and the axis has turned twice in the last 24 rows."""
+
+    def make(v, p):
+        own, other = X.band_energy(v, SHARES, None)[1], X.band_energy(p, SHARES, None)[1]
+        flags, _, _ = X.turns(v, LEAST, 0.0, float(v[0]))
+        n, _ = X.recent(flags, np.arange(len(v)), 24, np.zeros(0))
+        c = own - 0.5 * other
+        return np.maximum(c, 0.0), (c >= 5) & (n >= 2)
+
+    return S.fold_long(ev(t), make, ["v", "p"], "level double, on_ boolean").select("k", "i", r6("level", "level"), "on_")
+
+
+RING = 600
 
 
 @query("w17_adaptive_level", f"WITH {EV}, q AS (SELECT k, i, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.2) OVER w END AS lo, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.95) OVER w END AS hi, v FROM s WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN 599 PRECEDING AND CURRENT ROW)), f AS (SELECT k, i, v, last_value(lo IGNORE NULLS) OVER z AS lo, last_value(hi IGNORE NULLS) OVER z AS hi FROM q WINDOW z AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING)) SELECT k, i, round(CASE WHEN hi > lo THEN greatest(0, (v - lo) / (hi - lo)) ELSE 0 END, 6) AS level FROM f")
 def w17(t):
-    w = S.over()
-    past = w.rowsBetween(-599, 0)
-    at = F.col("i") % 8 == 0
-    d = ev(t).select("k", "i", "v", F.when(at, F.percentile("v", F.lit(0.2)).over(past)).alias("lo"), F.when(at, F.percentile("v", F.lit(0.95)).over(past)).alias("hi"))
-    d = d.withColumns({"lo": S.carry_forward("lo"), "hi": S.carry_forward("hi")})
-    return d.select("k", "i", r6(F.when(F.col("hi") > F.col("lo"), F.greatest(F.lit(0.0), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(0.0), "level"))
+    return S.fold_long(ev(t), lambda v: X.adaptive_level(v, RING, 8, None)[1]).select("k", "i", r6("y", "level"))
 
 
 FPS, MINC, BETA = 24.0, 1.0, 0.007
@@ -204,13 +216,7 @@ A_D = 1 / (1 + (1 / (2 * math.pi)) * FPS)
 
 def one_euro(df, value="v"):
     """Adaptive causal low-pass: the smoothed speed raises the cutoff."""
-
-    def step(s, v):
-        speed = F.lit(A_D) * (v - s["y"]) * F.lit(FPS) + F.lit(1 - A_D) * s["d"]
-        alpha = 1 / (1 + F.lit(FPS) / (F.lit(2 * math.pi) * (F.lit(MINC) + F.lit(BETA) * F.abs(speed))))
-        return F.struct((alpha * v + (1 - alpha) * s["y"]).alias("y"), speed.alias("d"))
-
-    return S.fold(df, F.struct(F.element_at("_x", 1).alias("y"), F.lit(0.0).alias("d")), step, F.col("state.y"), value)
+    return S.fold_long(df, lambda v: X.one_euro(v, FPS, MINC, BETA), value)
 
 
 @query("w18_one_euro", f"WITH RECURSIVE {EV}, r AS (SELECT k, i, v AS y, 0.0::DOUBLE AS d FROM s WHERE i = 0 UNION ALL SELECT k, i, al * v + (1 - al) * y, sp FROM (SELECT *, 1 / (1 + {FPS!r} / ({2 * math.pi!r} * ({MINC!r} + {BETA!r} * abs(sp)))) AS al FROM (SELECT s.k, s.i, s.v, r.y, {A_D!r} * (v - y) * {FPS!r} + {1 - A_D!r} * d AS sp FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1))) SELECT k, i, round(y, 6) AS y FROM r")
@@ -307,15 +313,16 @@ _AC = "c AS (SELECT k, i, sp - avg(sp) OVER (PARTITION BY k) AS x FROM d), den A
 
 
 def repetition(df, least=6, most=40):
-    """Peaks of the autocorrelation of the speed above 0.15 between two lags; rows are joined to those ``lag`` later
-    by an equi-join, each row repeated once per lag."""
-    x = speeds(df).withColumn("x", F.col("sp") - F.avg("sp").over(S.whole())).select("k", "i", "x")
-    den = x.groupBy("k").agg(F.sum(F.col("x") * F.col("x")).alias("q")).where("q > 1e-12")
-    later = x.select("k", "x", "i").withColumn("lag", F.explode(F.sequence(F.lit(least), F.lit(most)))).select("k", F.col("x").alias("x2"), "lag", (F.col("i") - F.col("lag")).alias("i"))
-    ac = later.join(x.hint("merge"), ["k", "i"]).groupBy("k", "lag").agg(F.sum(F.col("x") * F.col("x2")).alias("r")).join(den.hint("merge"), "k").withColumn("r", F.col("r") / F.col("q"))
-    w = Window.partitionBy("k").orderBy("lag")
-    pk = ac.withColumns({"before": F.lag("r").over(w), "after": F.lead("r").over(w)})
-    return pk.groupBy("k").agg(F.count_if((F.col("r") > 0.15) & (F.col("r") >= F.col("before")) & (F.col("r") > F.col("after"))).alias("repetition"))
+    """Peaks of the autocorrelation of the speed above 0.15 between two lags. The products with the rows ``lag`` later
+    are ``lead`` columns of one window, summed by series before anything is shuffled again."""
+    w = S.over()
+    x = speeds(df).select("k", "i", (F.col("sp") - F.avg("sp").over(S.whole())).alias("x"))
+    later = x.select("k", "x", *[F.lead("x", n).over(w).alias(f"x{n}") for n in range(least, most + 1)])
+    sums = later.groupBy("k").agg(F.sum(F.col("x") * F.col("x")).alias("q"), *[F.sum(F.col("x") * F.col(f"x{n}")).alias(f"s{n}") for n in range(least, most + 1)]).where("q > 1e-12")
+    at = lambda n: F.col(f"s{n}") / F.col("q") if least <= n <= most else F.lit(None).cast("double")
+    peak = lambda n: F.coalesce(((at(n) > 0.15) & (at(n) >= at(n - 1)) & (at(n) > at(n + 1))).cast("int"), F.lit(0))
+    found = sums.where(f"s{least} is not null")
+    return found.select("k", sum((peak(n) for n in range(least, most + 1)), F.lit(0)).cast("long").alias("repetition"))
 
 
 @query("w26_repetition", f"WITH {EV}, {_STEP}, {_AC} SELECT k, count(*) FILTER (WHERE r > 0.15 AND r >= before AND r > after) AS repetition FROM pk GROUP BY k")
