@@ -31,3 +31,15 @@ def standardise(rows: DataFrame, fold: Column, values: list[str], folds: int) ->
     stats = f.where("not held").groupBy("fold").agg(*[x for v in values for x in (F.avg(v).alias(f"_m_{v}"), F.stddev_pop(v).alias(f"_s_{v}"))])
     j = f.join(F.broadcast(stats), "fold")  # one row per fold
     return j.withColumns({v: (F.col(v) - F.col(f"_m_{v}")) / F.nullif(F.col(f"_s_{v}"), F.lit(0.0)) for v in values}).drop("_f", *[f"_{p}_{v}" for v in values for p in "ms"])
+
+
+def standardise_vectors(rows: DataFrame, fold: Column, x: str, folds: int) -> DataFrame:
+    """``standardise`` for all dimensions of a vector: one aggregation per fold and dimension, whose few rows (folds
+    times dimensions, as arrays one row per fold) are broadcast."""
+    d = rows.withColumn("_f", fold)
+    f = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("held", F.col("_f") == F.col("fold"))
+    flat = f.where("not held").select("fold", F.posexplode(x).alias("_j", "_e"))
+    stats = flat.groupBy("fold", "_j").agg(F.avg("_e").alias("_m"), F.stddev_pop("_e").alias("_s"))
+    lists = stats.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("_j", "_m", "_s"))).alias("_st"))
+    j = f.join(F.broadcast(lists), "fold")  # one row per fold
+    return j.withColumn(x, F.zip_with(x, "_st", lambda e, s: (e - s["_m"]) / F.nullif(s["_s"], F.lit(0.0)))).drop("_f", "_st")

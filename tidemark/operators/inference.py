@@ -93,18 +93,6 @@ def permutation_test(df: DataFrame, x: str, label: str, row: str, replicates: in
     return j.agg(F.first("observed").alias("observed"), ((F.count_if(F.abs("d") >= F.abs("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"), (F.lit(2.8) * F.stddev_pop("d")).alias("mde"))
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two token arrays: one row of the table is folded over the tokens of ``a``."""
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j.cast("int"))
-
-    def row(prev: Column, x: Column) -> Column:
-        start = F.array((prev[0] + 1).cast("int"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), start, lambda acc, j: F.concat(acc, F.array(F.least(F.element_at(acc, -1) + 1, prev[j] + 1, prev[j - 1] + F.when(F.get(b, j - 1) == x, 0).otherwise(1)).cast("int"))))
-
-    table = F.when(F.size(b) > 0, F.aggregate(a, first, row))
-    return F.when(F.size(b) == 0, F.size(a)).otherwise(F.element_at(table, -1))
-
-
 def token_edits(a: list, b: list) -> int:
     """Edit distance of two whole token lists: tokens become numbers, equal ends are left out, and each row of the table
     is one running minimum."""
@@ -136,3 +124,51 @@ def f1_report(df: DataFrame, truth: Column, predicted: Column) -> list[Column]:
     tp, fp, fn, tn = (F.count_if(c) for c in (truth & predicted, ~truth & predicted, truth & ~predicted, ~truth & ~predicted))
     n = tp + fp + fn + tn
     return [F.round(F.coalesce(2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0)), F.lit(0.0)), 6).alias("f1"), F.round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6).alias("balanced_accuracy"), F.round((tp + fp) / n, 6).alias("predicted_rate"), F.round(F.greatest(tp + fn, fp + tn) / n, 6).alias("majority")]
+
+
+def halves_moments(vectors: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """For every dimension ``a`` of the first half of a vector and ``b`` of the second: ``n`` and the sums ``u``, ``v``,
+    ``uu``, ``vv``, ``uv``. One aggregation on (a, b), with partial sums in every task before the shuffle."""
+    half = F.floor(F.size(x) / 2).cast("int")
+    d = vectors.select(*by, F.posexplode(F.slice(x, F.lit(1), half)).alias("a", "_u"), F.slice(x, half + 1, half).alias("_o")).select(*by, "a", "_u", F.posexplode("_o").alias("b", "_v"))
+    u, v = F.col("_u"), F.col("_v")
+    return d.groupBy(*by, "a", "b").agg(F.count("*").alias("n"), F.sum(u).alias("u"), F.sum(v).alias("v"), F.sum(u * u).alias("uu"), F.sum(v * v).alias("vv"), F.sum(u * v).alias("uv"))
+
+
+def gram(vectors: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """``a, b, s``: the sum of products of every two dimensions."""
+    d = vectors.select(*by, F.posexplode(x).alias("a", "_u"), F.col(x).alias("_o")).select(*by, "a", "_u", F.posexplode("_o").alias("b", "_v"))
+    return d.groupBy(*by, "a", "b").agg(F.sum(F.col("_u") * F.col("_v")).alias("s"))
+
+
+def shared_fraction(vectors: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """Frobenius norm of the cross Gram matrix of a vector's halves over the geometric mean of their own Gram matrices'
+    norms: 0 for orthogonal halves, 1 for equal directions."""
+    size = vectors.select(F.floor(F.size(x) / 2).alias("h")).first()
+    h = size["h"] if size else 0
+    g = gram(vectors, x, by)
+    norm = lambda c: F.sqrt(F.sum(F.when(c, F.col("s") * F.col("s"))))
+    low_a, low_b = F.col("a") < h, F.col("b") < h
+    one = g.groupBy(*by).agg(norm(low_a & ~low_b).alias("c"), norm(low_a & low_b).alias("p"), norm(~low_a & ~low_b).alias("q"), F.count_if(low_a & ~low_b).alias("pairs"))
+    return one.select(*by, (F.col("c") / F.nullif(F.sqrt(F.col("p") * F.col("q")), F.lit(0.0))).alias("shared"), "pairs")
+
+
+def canonical_angles(vectors: DataFrame, x: str) -> DataFrame:
+    """Canonical correlations between the halves of a vector, largest first, and their angles. Only the Gram matrix,
+    of dimensions times dimensions, comes to the driver."""
+    import numpy as np
+
+    rows = gram(vectors, x, []).collect()
+    n = 1 + max((r["a"] for r in rows), default=-1)
+    m = np.zeros((n, n))
+    for r in rows:
+        m[r["a"], r["b"]] = r["s"]
+    h = n // 2
+
+    def whiten(c):
+        w, q = np.linalg.eigh(c)
+        keep = w > 1e-10 * max(w.max(initial=0.0), 1e-300)
+        return q[:, keep] / np.sqrt(w[keep])
+
+    c = np.clip(np.linalg.svd(whiten(m[:h, :h]).T @ m[:h, h:] @ whiten(m[h:, h:]), compute_uv=False), 0.0, 1.0) if h else np.zeros(0)
+    return vectors.sparkSession.createDataFrame([(i, float(v), float(np.degrees(np.arccos(v)))) for i, v in enumerate(c)], "i int, cosine double, degrees double")

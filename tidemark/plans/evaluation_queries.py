@@ -113,21 +113,16 @@ def s12(t):
     return g.crossJoin(F.broadcast(k)).select("lang", F.round("d", 4).alias("effect"), "n", "positive", "of_")
 
 
-@query("s13_word_error_rate", "WITH w AS (SELECT conv_id, turn, list_transform(string_split(substr(regexp_replace(lower(text), '[^a-z ]', '', 'g'), 1, 60), ' '), lambda x: left(x, 1)) AS tk FROM conversations), p AS (SELECT a.conv_id, a.turn, array_to_string(a.tk, '') AS r, array_to_string(b.tk, '') AS h FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, levenshtein(r, h) AS edits, round(levenshtein(r, h) / nullif(length(r), 0)::DOUBLE, 6) AS wer FROM p")
-def s13(t):
-    text = F.substring(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), 1, 60)
-    w = t("conversations").select("conv_id", "turn", F.filter(F.transform(F.split(text, " "), lambda x: F.substring(x, 1, 1)), lambda x: x != "").alias("tk"))
-    nxt = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("tk").alias("hyp"))
-    d = w.join(nxt.hint("merge"), ["conv_id", "turn"]).withColumn("edits", N.edit_distance(F.col("tk"), F.col("hyp")).cast("long"))
-    return d.select("conv_id", "turn", "edits", r6(F.col("edits") / F.nullif(F.size("tk"), F.lit(0)), "wer"))
+_WHOLE = r"w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS tk FROM conversations), p AS MATERIALIZED (SELECT row_number() OVER () AS id, a.conv_id, a.turn, a.tk AS r, b.tk AS h FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), dp(id, i, j, v) AS (SELECT id, 0::BIGINT, j, j FROM (SELECT id, unnest(range(0, len(h) + 1)) AS j FROM p) UNION ALL SELECT id, i, j, j + min(t - j) OVER (PARTITION BY id ORDER BY j) FROM (SELECT d.id, d.i + 1 AS i, d.j, least(d.v + 1, CASE WHEN d.j > 0 THEN lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j) + (p.r[d.i + 1] <> p.h[d.j])::BIGINT END) AS t FROM dp d JOIN p ON p.id = d.id WHERE d.i < len(p.r)))"
 
 
-_WHOLE = r"w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS tk FROM conversations), p AS MATERIALIZED (SELECT row_number() OVER () AS id, a.conv_id, a.turn, a.tk AS r, b.tk AS h FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), dp(id, i, j, v) AS (SELECT id, 0::BIGINT, j, j FROM (SELECT id, unnest(range(0, len(h) + 1)) AS j FROM p) UNION ALL SELECT id, i, j, j + min(t - j) OVER (PARTITION BY id ORDER BY j) FROM (SELECT d.id, d.i + 1 AS i, d.j, least(d.v + 1, CASE WHEN d.j > 0 THEN lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j) + (p.r[d.i + 1] <> p.h[d.j])::BIGINT END) AS t FROM dp d JOIN p ON p.id = d.id WHERE d.i < len(p.r)))"
+_WER = f"WITH RECURSIVE {_WHOLE} SELECT conv_id, turn, v AS edits, round(v / nullif(len(r), 0)::DOUBLE, 6) AS wer FROM dp JOIN p ON p.id = dp.id AND i = len(r) AND j = len(h)"
 
 
-@query("s13_word_error_rate_whole", f"WITH RECURSIVE {_WHOLE} SELECT conv_id, turn, v AS edits, round(v / nullif(len(r), 0)::DOUBLE, 6) AS wer FROM dp JOIN p ON p.id = dp.id AND i = len(r) AND j = len(h)")
-def s13_whole(t):
-    """Over whole texts and whole words."""
+@query("s13_word_error_rate", _WER)
+@query("s13_word_error_rate_whole", _WER)
+def s13(t):
+    """Over whole texts and whole words (under both of the names it has had)."""
     w = t("conversations").select("conv_id", "turn", F.filter(F.split(F.lower("text"), "[ \t\n\r]+"), lambda x: x != "").alias("tk"))
     nxt = w.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("tk").alias("hyp"))
     d = w.join(nxt.hint("merge"), ["conv_id", "turn"]).withColumn("edits", N.word_edits(F.col("tk"), F.col("hyp")))
@@ -153,18 +148,31 @@ def s15(t):
     return d.groupBy("label", "threshold").agg(*N.f1_report(d, F.col("y"), F.col("p")))
 
 
-@query("s16_axis_identity", f"WITH {EM}, c AS (SELECT k, a, b, abs(corr(x[a], x[b])) AS r FROM m, range(1, 5) p(a), range(5, 9) q(b) GROUP BY ALL) SELECT CAST(a - 1 AS INTEGER) AS a, CAST(b - 5 AS INTEGER) AS b, round(median(r), 6) AS r FROM c GROUP BY 1, 2")
+@query("s16_axis_identity", f"WITH {EM}, c AS (SELECT k, a, b, abs(corr(x[a], x[b + 32])) AS r FROM m, range(1, 33) p(a), range(1, 33) q(b) GROUP BY ALL) SELECT CAST(a - 1 AS INTEGER) AS a, CAST(b - 1 AS INTEGER) AS b, round(median(r), 6) AS r FROM c GROUP BY 1, 2")
 def s16(t):
-    d = em(t).select("k", F.posexplode(F.slice("x", 1, 4)).alias("a", "u"), F.slice("x", 5, 4).alias("o")).select("k", "a", "u", F.posexplode("o").alias("b", "v"))
-    c = d.groupBy("k", "a", "b").agg(F.abs(F.corr("u", "v")).alias("r"))
+    """Median over the series of the correlation of every dimension of one half with every one of the other."""
+    g = N.halves_moments(em(t), "x", ["k"])
+    c = g.select("k", "a", "b", F.abs((F.col("n") * F.col("uv") - F.col("u") * F.col("v")) / F.sqrt((F.col("n") * F.col("uu") - F.col("u") * F.col("u")) * (F.col("n") * F.col("vv") - F.col("v") * F.col("v")))).alias("r"))
     return c.groupBy("a", "b").agg(r6(F.median("r"), "r"))
 
 
-@query("s17_shared_subspace_gram", f"WITH {EM}, g AS (SELECT a, b, sum(x[a] * x[b + 32]) AS d, sum(x[a] * x[a]) AS na, sum(x[b + 32] * x[b + 32]) AS nb FROM m, range(1, 9) p(a), range(1, 9) q(b) GROUP BY ALL) SELECT CAST(a - 1 AS INTEGER) AS a, CAST(b - 1 AS INTEGER) AS b, round(d / sqrt(na * nb), 6) AS cosine FROM g")
+@query("s17_shared_subspace_gram", f"WITH {EM}, g AS (SELECT a, b, sum(x[a] * x[b + 32]) AS d, sum(x[a] * x[a]) AS na, sum(x[b + 32] * x[b + 32]) AS nb FROM m, range(1, 33) p(a), range(1, 33) q(b) GROUP BY ALL) SELECT CAST(a - 1 AS INTEGER) AS a, CAST(b - 1 AS INTEGER) AS b, round(d / sqrt(na * nb), 6) AS cosine FROM g")
 def s17(t):
-    d = em(t).select(F.posexplode(F.slice("x", 1, 8)).alias("a", "u"), F.slice("x", 33, 8).alias("o")).select("a", "u", F.posexplode("o").alias("b", "v"))
-    g = d.groupBy("a", "b").agg(F.sum(F.col("u") * F.col("v")).alias("d"), F.sum(F.col("u") * F.col("u")).alias("na"), F.sum(F.col("v") * F.col("v")).alias("nb"))
-    return g.select("a", "b", r6(F.col("d") / F.sqrt(F.col("na") * F.col("nb")), "cosine"))
+    g = N.halves_moments(em(t), "x", [])
+    return g.select("a", "b", r6(F.col("uv") / F.sqrt(F.col("uu") * F.col("vv")), "cosine"))
+
+
+@query("s17_subspace_fraction", f"WITH {EM}, g AS (SELECT k, a, b, sum(x[a] * x[b]) AS s FROM m, range(1, 65) p(a), range(1, 65) q(b) GROUP BY ALL) SELECT k, round(sqrt(sum(s * s) FILTER (WHERE a <= 32 AND b > 32) / (sqrt(sum(s * s) FILTER (WHERE a <= 32 AND b <= 32)) * sqrt(sum(s * s) FILTER (WHERE a > 32 AND b > 32)))), 5) AS shared, count(*) FILTER (WHERE a <= 32 AND b > 32) AS pairs FROM g GROUP BY k")
+def s17_fraction(t):
+    """How much of two halves' directions is common, over the vectors of each label: the size of their cross Gram
+    matrix against those of their own, from sums that combine before the shuffle."""
+    return N.shared_fraction(em(t), "x", ["k"]).select("k", F.round("shared", 5).alias("shared"), "pairs")
+
+
+@query("s17_canonical_angles")
+def s17_angles(t):
+    """Canonical correlations of the two halves of the vectors; a 64 x 64 Gram matrix comes to the driver."""
+    return N.canonical_angles(em(t), "x").select("i", r6("cosine", "cosine"), r6("degrees", "degrees"))
 
 
 @query("w32_alignment_sweep", f"WITH {EV}, gr AS (SELECT sc, off FROM (SELECT unnest([0.5, 1.0, 2.0]) AS sc), (SELECT unnest([-4, 0, 4]) AS off)), z AS (SELECT sc, off, s.v, coalesce(q.e = 'error', false) AS y FROM s, gr LEFT JOIN s q ON q.k = s.k AND q.i = CAST(floor(s.i * sc) AS BIGINT) + off), g AS (SELECT sc, off, v, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS n FROM z GROUP BY ALL), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY sc, off ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT sc::DOUBLE AS scale, CAST(off AS BIGINT) AS shift, round((sum(p * (below + n / 2.0)) / (sum(p) * sum(n)))::DOUBLE, 6) AS auc FROM w GROUP BY 1, 2")

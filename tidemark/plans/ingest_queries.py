@@ -45,20 +45,19 @@ def flattened(orders, lines):
     return j.select("j.o_orderkey", F.explode("j.instances").alias("i")).select("o_orderkey", F.col("i.n").alias("instance"), "i.part", F.coalesce("i.flag", F.lit("?")).alias("flag"))
 
 
-@query("a05_nested_json_flatten", "SELECT o_orderkey, l_linenumber AS instance, l_partkey AS part, coalesce(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, '?') AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 4 = 0")
-def a05(t):
-    return flattened(t("orders"), t("lineitem").where("l_orderkey % 4 = 0"))
+_FLAT = "SELECT o_orderkey, l_linenumber AS instance, l_partkey AS part, coalesce(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, '?') AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
 
 
-@query("a05_nested_json_flatten_whole", "SELECT o_orderkey, l_linenumber AS instance, l_partkey AS part, coalesce(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, '?') AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
-def a05_whole(t):
-    """All orders and all their lines."""
+@query("a05_nested_json_flatten", _FLAT)
+@query("a05_nested_json_flatten_whole", _FLAT)
+def a05(t):
+    """All orders and all their lines (under both of the names it has had)."""
     return flattened(t("orders"), t("lineitem"))
 
 
-@query("a06_text_map", r"SELECT conv_id, turn, role AS key, list_filter(regexp_split_to_array(trim(split_part(text, chr(10), 1)), '\s+'), lambda x: x <> '') AS tokens FROM conversations")
+@query("a06_text_map", r"SELECT conv_id, turn, role AS key, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS tokens FROM conversations")
 def a06(t):
-    line = F.concat("role", F.lit(":  "), F.split("text", "\n")[0])
+    line = F.concat("role", F.lit(":  "), "text")
     return t("conversations").select("conv_id", "turn", I.text_map(line).alias("m")).select("conv_id", "turn", "m.*")
 
 
@@ -79,6 +78,13 @@ def a08(t):
     return t("pages").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("a08_pruned_scan_with_limit", "WITH u AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]+)', 1) AS shard FROM pages WHERE page_id >= 20 AND url LIKE 'http%') SELECT page_id, url, shard FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY page_id) AS r FROM u) WHERE r <= 25")
+def a08_limit(t):
+    """Two of the columns, rows above an id by the file's statistics, and the first 25 usable rows of each shard: the
+    limit is applied in every task before the shuffle, so a hot shard costs 25 rows a task."""
+    return I.first_of_each(t("pages").where("page_id >= 20 and url like 'http%'").select("page_id", "url", F.regexp_extract("url", "://([^/?#]+)", 1).alias("shard")), "shard", "page_id", 25)
+
+
 @query("a10_series_contract", "WITH f AS (SELECT label, count(*) AS frames, count(*) FILTER (WHERE len(embedding) <> 64) AS bad_width FROM embeddings GROUP BY 1) SELECT label, frames, bad_width, CASE WHEN bad_width > 0 THEN 'width' WHEN frames < 48 THEN 'short' ELSE 'ok' END AS status FROM f")
 def a10(t):
     f = t("embeddings").groupBy("label").agg(F.count("*").alias("frames"), F.count_if(F.size("embedding") != 64).alias("bad_width"))
@@ -119,6 +125,20 @@ def a17(t):
     return t("orders").agg(F.md5(F.concat_ws(":", F.count("*").cast("string"), F.sum(h).cast("string"))).alias("run_id"), F.count("*").alias("n"))
 
 
+_RUN = "g AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), h AS (SELECT md5(count(*) || ':' || sum(('0x' || substr(md5(to_json({n: n, o_orderstatus: o_orderstatus})), 1, 12))::BIGINT)) AS run_id FROM g)"
+
+
+@query("a17_run_scoped_write", f"WITH {_RUN} SELECT g.*, run_id, true AS latest FROM g, h")
+def a17_write(t):
+    """A report written under the id of its content, twice: the second write finds the run there and changes nothing."""
+    from tidemark.streaming.run import work_folder
+
+    g, folder = t("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")), work_folder(t.spark)
+    runs = {I.write_run(g, folder) for _ in range(2)}
+    latest = t.spark.read.parquet(f"{folder}/_latest").first()["run_id"]
+    return t.spark.read.parquet(f"{folder}/runs").select("o_orderstatus", "n", "run_id", F.col("run_id").isin(latest, *runs).alias("latest"))
+
+
 @query("a18_report_as_text", "SELECT string_agg('| ' || o_orderstatus || ' | ' || n || ' |', chr(10) ORDER BY o_orderstatus) AS markdown FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
 def a18(t):
     g = t("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
@@ -126,21 +146,50 @@ def a18(t):
     return g.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderstatus", line.alias("l")))), lambda s: s["l"]), "\n").alias("markdown"))
 
 
-@query("a03_xml_tiers", "SELECT conv_id::VARCHAR AS participant, turn::VARCHAR AS utterance, turn * 10 AS start_frame, turn * 10 + 9 AS end_frame, role AS label, split_part(text, ' ', 1) AS value, turn * 10 AS lo, turn * 10 + length(role) AS hi FROM conversations WHERE regexp_matches(text, '^[A-Za-z]+ ')")
-def a03(t):
-    """Conversations written as annotation XML, one collection each, and read back as label rows."""
+@query("a18_report_sinks", """WITH g AS (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1) SELECT 'json' AS sink, '{"status":"' || status || '","n":' || n || '}' AS line FROM g UNION ALL SELECT 'csv', 'status,n' UNION ALL SELECT 'csv', status || ',' || n FROM g UNION ALL SELECT 'markdown', '| ' || status || ' | ' || n || ' |' FROM g UNION ALL SELECT 'markdown', unnest(['| status | n |', '| - | - |'])""")
+def a18_sinks(t):
+    """A report written as JSON lines, CSV with a header and a Markdown table, and the lines of all three files."""
+    from tidemark.streaming.run import work_folder
+
+    g, folder = t("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n")), work_folder(t.spark)
+    I.write_report(g, folder, "status")
+    lines = t.spark.read.format("text").load([f"{folder}/{k}" for k in ("json", "csv", "markdown")]).select(F.regexp_extract("_metadata.file_path", "/(json|csv|markdown)/[^/]*$", 1).alias("sink"), F.col("value").alias("line"))
+    return lines
+
+
+def annotation_files(t):
+    """All conversations written as annotation XML, one collection each, with a file among them that is cut short."""
     from tidemark.streaming.run import work_folder
 
-    c = t("conversations").where(F.col("text").rlike("^[A-Za-z]+ "))
     quoted = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
     lo = F.col("turn") * 10
-    label = F.struct(F.col("role").alias("_LABEL"), quoted(F.split("text", " ")[0]).alias("_VALUE"), lo.alias("_START"), (lo + F.length("role")).alias("_END"))
+    label = F.struct(F.col("role").alias("_LABEL"), quoted(F.col("text")).alias("_VALUE"), lo.alias("_START"), (lo + F.length("role")).alias("_END"))
     utt = F.struct(F.col("turn").cast("string").alias("_ID"), lo.alias("_START_FRAME"), (lo + 9).alias("_END_FRAME"), F.array(label).alias("NON-MANUAL"))
-    tiers = c.groupBy("conv_id").agg(F.collect_list(utt).alias("UTTERANCE")).select(F.array(F.struct(quoted(F.col("conv_id").cast("string")).alias("_PARTICIPANT"), "UTTERANCE")).alias("SEGMENT-TIER"))
+    tiers = t("conversations").groupBy("conv_id").agg(F.collect_list(utt).alias("UTTERANCE")).select(F.array(F.struct(quoted(F.col("conv_id").cast("string")).alias("_PARTICIPANT"), "UTTERANCE")).alias("SEGMENT-TIER"))
     folder = work_folder(t.spark)
-    tiers.write.format("xml").option("rootTag", "EXPORT").option("rowTag", "COLLECTION").save(folder)
-    rows = I.read_xml_tiers(t.spark, folder)
-    return rows.where("not corrupt").select("participant", "utterance", "start_frame", "end_frame", "label", "value", "lo", "hi")
+    tiers.write.format("xml").option("rootTag", "EXPORT").option("rowTag", "COLLECTION").save(f"{folder}/good")
+    cut = "<EXPORT><COLLECTION><SEGMENT-TIER PARTICIPANT='cut'><UTTERANCE ID='1'></SEGMENT-TIER></COLLECTION></EXPORT>"
+    t.spark.createDataFrame([(cut,)], "value string").coalesce(1).write.text(f"{folder}/cut")
+    return folder
+
+
+#: Line ends and tabs in an attribute are blanks to an XML parser
+_XV = "trim(regexp_replace(text, '[\n\r\t]', ' ', 'g'))"
+
+
+@query("a03_xml_tiers", f"SELECT conv_id::VARCHAR AS participant, turn::VARCHAR AS utterance, turn * 10 AS start_frame, turn * 10 + 9 AS end_frame, role AS label, {_XV} AS value, turn * 10 AS lo, turn * 10 + length(role) AS hi FROM conversations")
+def a03(t):
+    """Conversations written as annotation XML, one collection each, and read back as label rows."""
+    rows = I.read_xml_tiers(t.spark, annotation_files(t))
+    return rows.where("not corrupt").select("participant", "utterance", "start_frame", "end_frame", "label", F.trim(F.regexp_replace("value", "[\n\r\t]", " ")).alias("value"), "lo", "hi")
+
+
+@query("a04_annotation_corpus_report", f"WITH x AS (SELECT conv_id, turn, role, {_XV} AS v FROM conversations) SELECT 1::BIGINT AS unparseable, count(DISTINCT conv_id) AS participants, count(DISTINCT (conv_id, turn)) AS utterances, count(*) AS labels, count(*) FILTER (WHERE role <> 'user') AS unmapped, count(DISTINCT CASE WHEN role <> 'user' THEN (role, v) END) AS unmapped_pairs, sum(length(role) + 1)::BIGINT AS frames FROM x")
+def a04(t):
+    """One row over all files of a folder: what was read, which (label, value) pairs no rule maps, and how many
+    files could not be parsed, which is counted and stops nothing."""
+    rows = I.read_xml_tiers(t.spark, annotation_files(t)).withColumn("value", F.trim(F.regexp_replace("value", "[\n\r\t]", " ")))
+    return I.annotation_report(rows, ["user"])
 
 
 @query("a11_file_inventory")

@@ -23,10 +23,10 @@ def m02(t):
     return t("documents").select("doc_id", K.kfold(F.col("doc_id"), 5).alias("fold"))
 
 
-@query("m03_train_only_standardisation", f"WITH {EM}, d AS (SELECT vec_id, x[1] AS a, {_KF.format(k='vec_id', n=3)} AS f FROM m), st AS (SELECT fold, avg(a) AS mu, stddev_pop(a) AS sd FROM d, range(0, 3) q(fold) WHERE f <> fold GROUP BY 1) SELECT vec_id, CAST(st.fold AS INTEGER) AS fold, f = st.fold AS held, round((a - mu) / sd, 6) AS a FROM d, st")
+@query("m03_train_only_standardisation", f"WITH {EM}, d AS (SELECT vec_id, j, x[j] AS e, {_KF.format(k='vec_id', n=3)} AS f FROM m, range(1, 65) r(j)), st AS (SELECT fold, j, avg(e) AS mu, stddev_pop(e) AS sd FROM d, range(0, 3) q(fold) WHERE f <> fold GROUP BY 1, 2) SELECT vec_id, CAST(st.fold AS INTEGER) AS fold, f = st.fold AS held, list(round((e - mu) / sd, 6) ORDER BY d.j) AS x FROM d JOIN st ON st.j = d.j GROUP BY ALL")
 def m03(t):
-    d = em(t).select("vec_id", F.col("x")[0].alias("a"))
-    return K.standardise(d, K.kfold(F.col("vec_id"), 3), ["a"], 3).select("vec_id", "fold", "held", r6("a", "a"))
+    """All dimensions, by the means and deviations of each fold's training rows."""
+    return K.standardise_vectors(em(t).select("vec_id", "x"), K.kfold(F.col("vec_id"), 3), "x", 3).select("vec_id", "fold", "held", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
 
 
 @query("m04_logistic_leave_group_out")

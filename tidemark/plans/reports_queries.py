@@ -43,12 +43,9 @@ def words(t):
     return t("conversations").select("conv_id", "turn", F.explode(tk).alias("token"))
 
 
-_ASCII = "WHERE NOT regexp_matches(token, 'ẞ|SS')"
-
-
-@query("d04_vocabulary_rank_ids", f"WITH {_TOK}, w AS (SELECT conv_id, turn, token FROM (SELECT conv_id, turn, unnest(tk) AS token FROM k) {_ASCII}), v AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY 1 HAVING count(*) >= 2) SELECT conv_id, turn, count(*) AS n, sum(CASE WHEN id IS NULL THEN 1 ELSE 0 END)::BIGINT AS oov, max(coalesce(id, -1)) AS top FROM w LEFT JOIN v USING (token) GROUP BY 1, 2")
+@query("d04_vocabulary_rank_ids", f"WITH {_TOK}, w AS (SELECT conv_id, turn, token FROM (SELECT conv_id, turn, unnest(tk) AS token FROM k)), v AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY 1 HAVING count(*) >= 2) SELECT conv_id, turn, count(*) AS n, sum(CASE WHEN id IS NULL THEN 1 ELSE 0 END)::BIGINT AS oov, max(coalesce(id, -1)) AS top FROM w LEFT JOIN v USING (token) GROUP BY 1, 2")
 def d04(t):
-    w = words(t).where(~F.col("token").rlike("ẞ|SS"))
+    w = words(t)
     v = R.vocabulary(w, "token", 2)
     j = w.join(v.select("token", "id").hint("merge"), "token", "left")
     return j.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("oov"), F.max(F.coalesce("id", F.lit(-1))).alias("top"))
@@ -183,10 +180,10 @@ def d22(t):
     return j.select("name", F.when(F.col("b").isNull(), "unaccounted").when(F.col("a") == F.col("b"), "fresh").otherwise("stale").alias("status"))
 
 
-@query("d23_median_ratio_to_own_scale", "SELECT l_orderkey, round(median(l_extendedprice / nullif(l_quantity - 1, 0)), 3) AS ratio, count(*) FILTER (WHERE l_extendedprice / nullif(l_quantity - 1, 0) > 2000) AS over, round(max(l_extendedprice) - min(l_extendedprice), 6) AS range FROM lineitem GROUP BY 1")
+@query("d23_median_ratio_to_own_scale", "SELECT l_orderkey, round(median(l_extendedprice / nullif(l_quantity - 1, 0)), 6) AS ratio, count(*) FILTER (WHERE l_extendedprice / nullif(l_quantity - 1, 0) > 2000) AS over, round(max(l_extendedprice) - min(l_extendedprice), 6) AS range FROM lineitem GROUP BY 1")
 def d23(t):
     r = F.col("l_extendedprice") / F.nullif(F.col("l_quantity") - 1, F.lit(0))
-    return t("lineitem").groupBy("l_orderkey").agg(F.round(F.median(r), 3).alias("ratio"), F.count_if(r > 2000).alias("over"), r6(F.max("l_extendedprice") - F.min("l_extendedprice"), "range"))
+    return t("lineitem").groupBy("l_orderkey").agg(r6(F.median(r), "ratio"), F.count_if(r > 2000).alias("over"), r6(F.max("l_extendedprice") - F.min("l_extendedprice"), "range"))
 
 
 @query("d24_masked_mean_vector", f"WITH {EM}, e AS (SELECT k, j, avg(x[j]) FILTER (WHERE x[1] > 0) AS a FROM m, range(1, 65) r(j) GROUP BY k, j) SELECT k, CAST(arg_max(j, (a, -j)) - 1 AS INTEGER) AS top, round(max(a), 6) AS value, (SELECT avg((m.x[1] > 0)::INT) >= 0.5 FROM m WHERE m.k = e.k) AS usable FROM e GROUP BY k")

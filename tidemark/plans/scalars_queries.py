@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions import vocabulary as V
 from tidemark.plans.registry import query
 from tidemark.plans.windows_queries import EM, EV, em, ev, md5_int, r6
 
@@ -134,10 +135,10 @@ def b16(t):
     return m.select("doc_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in CUES])
 
 
-@query("b17_unpivot_text_columns", "SELECT conv_id, turn, field, cell FROM (SELECT conv_id, turn, 'role' AS field, trim(role) AS cell FROM conversations UNION ALL SELECT conv_id, turn, 'first_word', trim(split_part(text, ' ', 1)) FROM conversations) WHERE cell <> '' AND lower(cell) <> 'nan'")
+@query("b17_unpivot_text_columns", "SELECT conv_id, turn, field, cell FROM (SELECT conv_id, turn, 'role' AS field, trim(role) AS cell FROM conversations UNION ALL SELECT conv_id, turn, 'text', trim(text) FROM conversations) WHERE cell <> '' AND lower(cell) <> 'nan'")
 def b17(t):
-    d = t("conversations").select("conv_id", "turn", "role", F.split("text", " ")[0].alias("first_word"))
-    u = d.unpivot(["conv_id", "turn"], ["role", "first_word"], "field", "cell").withColumn("cell", F.trim("cell"))
+    d = t("conversations").select("conv_id", "turn", "role", "text")
+    u = d.unpivot(["conv_id", "turn"], ["role", "text"], "field", "cell").withColumn("cell", F.trim("cell"))
     return u.where((F.col("cell") != "") & (F.lower("cell") != "nan"))
 
 
@@ -161,13 +162,46 @@ def b19(t):
     return n.agg(F.count("*").alias("entities"), F.count_if(F.col("n") > 0).alias("covered"), F.count_if(F.col("n") == 0).alias("unmapped"))
 
 
+_MOVED = "mv AS (SELECT conv_id, turn, text, unnest([" + ", ".join(f"{{'cue': '{k}', 'span': {V.span_sql(p)}}}" for k, (p, _) in V.MOVEMENTS.items()) + "], recursive := true) FROM conversations)"
+_READ = "list_filter([" + ", ".join(V.span_sql([p]) for p in V.READINGS) + "], lambda x: x IS NOT NULL)"
+
+
+@query("b16_movements_and_readings", f"WITH {_MOVED} SELECT conv_id, turn, list_sort(list(cue || '=' || span) FILTER (WHERE span IS NOT NULL)) AS moved, any_value({_READ}) AS read FROM mv GROUP BY ALL HAVING count(span) > 0 OR len(any_value({_READ})) > 0")
+def b16_whole(t):
+    """All movements with what names them, and all readings, of every text that has any."""
+    d = t("conversations").select("conv_id", "turn", F.map_entries(V.movements(F.col("text"))).alias("m"), V.readings(F.col("text")).alias("read"))
+    d = d.where((F.size("m") > 0) | (F.size("read") > 0))
+    return d.select("conv_id", "turn", F.when(F.size("m") > 0, F.array_sort(F.transform("m", lambda e: F.concat_ws("=", e["key"], e["value"])))).alias("moved"), "read")
+
+
+def moved(t):
+    return t("conversations").select("conv_id", "turn", V.movements(F.col("text")).alias("m"))
+
+
+@query("b19_texts_with_movements", f"WITH {_MOVED}, x AS (SELECT conv_id, turn, count(span) AS n FROM mv GROUP BY 1, 2) SELECT count(*) AS texts, count(*) FILTER (WHERE n > 0) AS with_movement, count(*) FILTER (WHERE n = 0) AS reading_only, round(avg((n > 0)::INT), 4) AS coverage FROM x")
+def b19_whole(t):
+    n = F.size("m")
+    return moved(t).agg(F.count("*").alias("texts"), F.count_if(n > 0).alias("with_movement"), F.count_if(n == 0).alias("reading_only"), F.round(F.avg((n > 0).cast("double")), 4).alias("coverage"))
+
+
+_EXPECT = "xp AS (SELECT unnest([" + ", ".join(f"{{'cue': '{k}', 'expects': {e!r}}}" if e else f"{{'cue': '{k}', 'expects': CAST([] AS VARCHAR[])}}" for k, (_, e) in V.MOVEMENTS.items()) + "], recursive := true))"
+
+
+@query("b19_expectations", f"WITH {_MOVED}, {_EXPECT}, n AS (SELECT cue, count(*) AS n FROM mv WHERE span IS NOT NULL GROUP BY 1) SELECT xp.cue, array_to_string(expects, ',') AS expects, len(expects) > 0 AS testable, coalesce(n, 0) AS texts FROM xp LEFT JOIN n USING (cue)")
+def b19_expectations(t):
+    """Per movement the features it should show in and how many texts name it; one without features is unmapped."""
+    n = moved(t).select(F.explode(F.map_keys("m")).alias("cue")).groupBy("cue").agg(F.count("*").alias("n"))
+    x = t.spark.createDataFrame([(k, ",".join(e)) for k, (_, e) in V.MOVEMENTS.items()], "cue string, expects string")
+    return x.join(n.hint("merge"), "cue", "left").select("cue", "expects", (F.col("expects") != "").alias("testable"), F.coalesce("n", F.lit(0)).alias("texts"))
+
+
 @query("b20_tokens_without_asides", r"SELECT conv_id, turn, list_filter(regexp_split_to_array(upper(trim(regexp_replace(regexp_replace('(que) ' || replace(text, 'ß', 'SS') || ' (aside) end', '(?i)[(\[]\s*(que|what)\s*[)\]]', '\1', 'g'), '[(\[][^)\]]*[)\]]', ' ', 'g'))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS tokens FROM conversations")
 def b20(t):
     c = F.concat(F.lit("(que) "), "text", F.lit(" (aside) end"))
     return t("conversations").select("conv_id", "turn", C.tokens_without_asides(c, "que|what").alias("tokens"))
 
 
-_TOK = r"k AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(upper(trim(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS tk FROM conversations)"
+_TOK = r"k AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(upper(trim(replace(text, 'ß', 'SS'))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS tk FROM conversations)"
 
 
 @query("b21_lexical_labels", f"WITH {_TOK}, e AS (SELECT conv_id, turn, list_filter(tk[1:6], lambda x: x IN ('THE', 'LA', 'DER', 'QUE')) AS ev FROM k) SELECT conv_id, turn, len(ev) > 0 AS present, ev[1:8] AS evidence, CASE WHEN len(ev) > 0 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS confidence, 'lexical' AS provenance FROM e")

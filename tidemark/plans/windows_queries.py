@@ -114,17 +114,17 @@ def w11(t):
     return ev(t).select("k", "i", r6(S.weighted(S.held_frame("v", 4), GAUSS), "y"))
 
 
-@query("w12_sign_continuous_smoothing", f"WITH {EM}, d AS (SELECT k, i, x[1:4] AS q, list_inner_product(x[1:4], lag(x[1:4]) OVER (PARTITION BY k ORDER BY i)) AS dp FROM m), f AS (SELECT k, i, q, sum(CASE WHEN dp < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS flips FROM d), g AS (SELECT k, i, list_transform(q, lambda e: e * (CASE WHEN flips % 2 = 1 THEN -1 ELSE 1 END)) AS q FROM f), b AS (SELECT k, i, avg(q[1]) OVER w AS q1, avg(q[2]) OVER w AS q2, avg(q[3]) OVER w AS q3, avg(q[4]) OVER w AS q4 FROM g WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SELECT k, i, list_transform([q1, q2, q3, q4], lambda e: round(e / sqrt(q1 * q1 + q2 * q2 + q3 * q3 + q4 * q4), 5)) AS q FROM b")
+@query("w12_sign_continuous_smoothing", f"WITH {EM}, d AS (SELECT k, i, x, list_inner_product(x, lag(x) OVER (PARTITION BY k ORDER BY i)) AS dp FROM m), f AS (SELECT k, i, x, CASE WHEN sum(CASE WHEN dp < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) % 2 = 1 THEN -1 ELSE 1 END AS sg FROM d), g AS (SELECT k, i, j, avg(x[j] * sg) OVER (PARTITION BY k, j ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS e FROM f, range(1, 65) r(j)) SELECT k, i, list_transform(list(e ORDER BY j), lambda y: round(y / sqrt(list_sum(list_transform(list(e ORDER BY j), lambda z: z * z))), 5)) AS q FROM g GROUP BY k, i")
 def w12(t):
+    """Whole vectors: each takes the sign that agrees with the one before, five are averaged, the mean is made a unit."""
     w = S.over()
-    q = F.slice("x", 1, 4)
-    dot = F.aggregate(F.zip_with("q", F.lag("q").over(w), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    d = em(t).select("k", "i", q.alias("q")).withColumn("flip", F.coalesce((dot < 0).cast("int"), F.lit(0)))
-    d = d.withColumn("sign", F.when(F.sum("flip").over(w) % 2 == 1, -1).otherwise(1))
-    f = w.rowsBetween(-2, 2)
-    d = d.select("k", "i", *[F.avg(F.col("q")[j] * F.col("sign")).over(f).alias(f"q{j}") for j in range(4)])
-    norm = F.sqrt(sum(F.col(f"q{j}") * F.col(f"q{j}") for j in range(4)))
-    return d.select("k", "i", F.array(*[F.round(F.col(f"q{j}") / norm, 5) for j in range(4)]).alias("q"))
+    dot = F.aggregate(F.zip_with("x", F.lag("x").over(w), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    d = em(t).select("k", "i", "x").withColumn("flip", F.coalesce((dot < 0).cast("int"), F.lit(0)))
+    d = d.withColumn("sign", F.when(F.sum("flip").over(w) % 2 == 1, -1.0).otherwise(1.0))
+    near = F.collect_list(F.transform("x", lambda e: e * F.col("sign"))).over(w.rowsBetween(-2, 2))
+    d = d.select("k", "i", near.alias("near")).withColumn("y", F.aggregate(F.slice("near", 2, 4), F.col("near")[0], lambda a, b: F.zip_with(a, b, lambda p, q: p + q)))
+    norm = F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, e: a + e * e))
+    return d.withColumn("_n", norm).select("k", "i", F.transform("y", lambda e: F.round(e / F.col("_n"), 5)).alias("q"))
 
 
 @query("w13_band_energy", f"WITH {ARR}, b AS (SELECT k, i, {_held(1, 1, 'list_avg', 'f')}, {_held(8, 8, 'list_avg', 'g')} FROM s JOIN a USING (k)), q AS (SELECT k, list((f - g) * (f - g) ORDER BY i) AS c FROM b GROUP BY k) SELECT k, i, round(sqrt({_held(9, 9, 'list_avg', 'y', 'c')[:-5]}), 6) AS energy FROM b JOIN q USING (k)")
@@ -384,14 +384,19 @@ def w33(t):
     return d.select("k", "i", r6(hold, "v"), F.col("v").isNull().alias("repaired"))
 
 
-@query("w34_stabilise_noisy_axis", f"WITH {EM}, l AS (SELECT k, i, j, x[j] AS e, x[j] - lag(x[j]) OVER (PARTITION BY k, j ORDER BY i) AS dl FROM m, range(1, 5) r(j)), n AS (SELECT k, j, stddev_pop(dl) AS sd, median(e) AS md FROM l GROUP BY k, j), w AS (SELECT k, arg_max(j, sd) AS worst, max(sd) > 1.05 * median(sd) AS bad FROM n GROUP BY k) SELECT l.k, i, CAST(l.j - 1 AS INTEGER) AS dim, round(CASE WHEN bad AND worst = l.j THEN md ELSE avg(e) OVER (PARTITION BY l.k, l.j ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END, 6) AS y FROM l JOIN n ON n.k = l.k AND n.j = l.j JOIN w ON w.k = l.k")
+@query("w34_stabilise_noisy_axis", f"WITH {EM}, z AS (SELECT k, i, j, CASE WHEN j = 5 AND i % 2 = 0 THEN 4 * x[j] ELSE x[j] END AS e FROM m, range(1, 65) r(j)), l AS (SELECT *, e - lag(e) OVER (PARTITION BY k, j ORDER BY i) AS dl FROM z), n AS (SELECT k, j, stddev_pop(dl) AS sd, median(e) AS md FROM l GROUP BY k, j), w AS (SELECT k, arg_max(j, sd) AS worst, max(sd) > 3 * median(sd) AS bad FROM n GROUP BY k), y AS (SELECT l.k, i, l.j, CASE WHEN bad AND worst = l.j THEN md ELSE avg(e) OVER (PARTITION BY l.k, l.j ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS y FROM l JOIN n ON n.k = l.k AND n.j = l.j JOIN w ON w.k = l.k), c AS (SELECT k, j, median(y) AS m FROM y GROUP BY k, j) SELECT y.k, i, CAST(y.j - 1 AS INTEGER) AS dim, round(y - m, 6) AS y FROM y JOIN c ON c.k = y.k AND c.j = y.j")
 def w34(t):
+    """Of all dimensions (one of them made noisy) the noisiest is held at its median if its steps spread more than
+    three times the median spread; the others are smoothed; all are centred on their medians."""
     w = Window.partitionBy("k", "dim").orderBy("i")
-    d = em(t).select("k", "i", F.posexplode(F.slice("x", 1, 4)).alias("dim", "e")).withColumn("dl", F.col("e") - F.lag("e").over(w))
+    d = em(t).select("k", "i", F.posexplode("x").alias("dim", "e"))
+    d = d.withColumn("e", F.when((F.col("dim") == 4) & (F.col("i") % 2 == 0), 4 * F.col("e")).otherwise(F.col("e"))).withColumn("dl", F.col("e") - F.lag("e").over(w))
     n = d.groupBy("k", "dim").agg(F.stddev_pop("dl").alias("sd"), F.median("e").alias("md"))
-    worst = n.groupBy("k").agg(F.max_by("dim", "sd").alias("worst"), (F.max("sd") > 1.05 * F.median("sd")).alias("bad"))
+    worst = n.groupBy("k").agg(F.max_by("dim", "sd").alias("worst"), (F.max("sd") > 3 * F.median("sd")).alias("bad"))
     j = d.withColumn("s", F.avg("e").over(w.rowsBetween(-1, 1))).join(n.select("k", "dim", "md").hint("merge"), ["k", "dim"]).join(worst.hint("merge"), "k")
-    return j.select("k", "i", "dim", r6(F.when(F.col("bad") & (F.col("worst") == F.col("dim")), F.col("md")).otherwise(F.col("s")), "y"))
+    y = j.select("k", "i", "dim", F.when(F.col("bad") & (F.col("worst") == F.col("dim")), F.col("md")).otherwise(F.col("s")).alias("y"))
+    centre = y.groupBy("k", "dim").agg(F.median("y").alias("m"))
+    return y.join(centre.hint("merge"), ["k", "dim"]).select("k", "i", "dim", r6(F.col("y") - F.col("m"), "y"))
 
 
 @query("w35_jitter_and_energy", f"WITH {EM}, d AS (SELECT k, i, sqrt(list_sum(list_transform(list_zip(x, lag(x) OVER (PARTITION BY k ORDER BY i)), lambda z: pow(z[1] - z[2], 2)))) AS st FROM m) SELECT k, round(avg(st), 6) AS mean_step, round(max(st), 6) AS max_step FROM d WHERE i > 0 GROUP BY k")
@@ -401,11 +406,11 @@ def w35(t):
     return em(t).select("k", "i", st.alias("st")).where("i > 0").groupBy("k").agg(r6(F.avg("st"), "mean_step"), r6(F.max("st"), "max_step"))
 
 
-@query("w36_bridge_vector_gaps", f"WITH {EM}, h AS (SELECT k, i, CASE WHEN i % 11 IN (3, 4) OR i % 29 BETWEEN 12 AND 20 THEN NULL ELSE x[1:3] END AS x FROM m), z AS (SELECT k, i, x, max(CASE WHEN x IS NOT NULL THEN i END) OVER w AS i0, min(CASE WHEN x IS NOT NULL THEN i END) OVER u AS i1 FROM h WINDOW w AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT z.k, z.i, CASE WHEN z.x IS NOT NULL THEN list_transform(z.x, lambda e: round(e, 6)) WHEN i1 - i0 - 1 <= 4 THEN list_transform(list_zip(a.x, b.x), lambda p: round(p[1] + (p[2] - p[1]) * (z.i - i0) / (i1 - i0), 6)) END AS x FROM z LEFT JOIN h a ON a.k = z.k AND a.i = i0 LEFT JOIN h b ON b.k = z.k AND b.i = i1")
+@query("w36_bridge_vector_gaps", f"WITH {EM}, h AS (SELECT k, i, CASE WHEN i % 11 IN (3, 4) OR i % 29 BETWEEN 12 AND 20 THEN NULL ELSE x END AS x FROM m), z AS (SELECT k, i, x, max(CASE WHEN x IS NOT NULL THEN i END) OVER w AS i0, min(CASE WHEN x IS NOT NULL THEN i END) OVER u AS i1 FROM h WINDOW w AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT z.k, z.i, CASE WHEN z.x IS NOT NULL THEN list_transform(z.x, lambda e: round(e, 6)) WHEN i1 - i0 - 1 <= 4 THEN list_transform(list_zip(a.x, b.x), lambda p: round(p[1] + (p[2] - p[1]) * (z.i - i0) / (i1 - i0), 6)) END AS x FROM z LEFT JOIN h a ON a.k = z.k AND a.i = i0 LEFT JOIN h b ON b.k = z.k AND b.i = i1")
 def w36(t):
     w = S.over()
     gap = (F.col("i") % 11).isin(3, 4) | (F.col("i") % 29).between(12, 20)
-    d = em(t).select("k", "i", F.when(~gap, F.slice("x", 1, 3)).alias("x"))
+    d = em(t).select("k", "i", F.when(~gap, F.col("x")).alias("x"))
     b, a = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col("x").isNotNull(), F.col("i"))
     d = d.withColumns({"i0": F.last(at, True).over(b), "i1": F.first(at, True).over(a), "x0": F.last("x", True).over(b), "x1": F.first("x", True).over(a)})
@@ -414,10 +419,14 @@ def w36(t):
     return d.select("k", "i", F.transform(y, lambda e: F.round(e, 6)).alias("x"))
 
 
-@query("w37_peak_row_of_window", f"WITH {EV}, {_WIN} SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, max(v + p) AS score, arg_max(i, (v + p, -i)) AS at FROM wd JOIN s ON s.k = wd.k AND s.i >= lo AND s.i < lo + 16 GROUP BY wd.k, lo")
+@query("w37_peak_row_of_window", f"WITH {EV}, {_WIN} SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, max(v + p) AS score, arg_max(i, (v + p, -i)) AS at, arg_max([v, p, v - p], (v + p, -i)) AS carried FROM wd JOIN s ON s.k = wd.k AND s.i >= lo AND s.i < lo + 16 GROUP BY wd.k, lo")
 def w37(t):
+    """The row with the largest summed evidence of each window, the first on ties, with its vector."""
     sc = F.col("v") + F.col("p")
-    return windowed(ev(t), 16, 8).groupBy("k", F.col("win").cast("long").alias("win")).agg(F.max(sc).alias("score"), F.max_by("i", F.struct(sc, -F.col("i"))).alias("at"))
+    first = F.struct(sc, -F.col("i"))
+    row = F.struct("i", F.array("v", "p", F.col("v") - F.col("p")).alias("x"))
+    g = windowed(ev(t), 16, 8).groupBy("k", F.col("win").cast("long").alias("win")).agg(F.max(sc).alias("score"), F.max_by(row, first).alias("r"))
+    return g.select("k", "win", "score", F.col("r.i").alias("at"), F.col("r.x").alias("carried"))
 
 
 @query("w38_strictly_increasing_clock", f"WITH {EV}, c AS (SELECT k, i, CAST(floor(v) AS BIGINT) AS c FROM s) SELECT k, i, max(c - i) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) + i AS clock FROM c")

@@ -32,12 +32,19 @@ def read_lenient(lines: DataFrame, names: list[str], kinds: dict[str, str], requ
 
 
 def ledger(rows: DataFrame, examples: int = 20) -> DataFrame:
-    """Per reason the number of rejected rows and the first line numbers; a bounded aggregate, since only the smallest
-    numbers are kept by a ranked window over the rejects."""
+    """Per reason the number of rejected rows and the first line numbers, in one aggregation: the examples are the least
+    numbers by tasks' own ranks first, so a hot reason costs ``examples`` rows a task."""
     bad = rows.where("reason is not null").select("reason", "line_no")
-    first = bad.withColumn("r", F.row_number().over(Window.partitionBy("reason").orderBy("line_no"))).where(F.col("r") <= examples)
+    first = first_of_each(bad, "reason", "line_no", examples)
     lists = first.groupBy("reason").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
-    return bad.groupBy("reason").agg(F.count("*").alias("n")).join(lists, "reason")
+    return bad.groupBy("reason").agg(F.count("*").alias("n")).join(lists.hint("merge"), "reason")
+
+
+def first_of_each(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """The ``n`` rows of each group that come first. A ranked window with a bound: Spark keeps ``n`` rows of a group in
+    each task before it shuffles."""
+    w = Window.partitionBy(group).orderBy(order)
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
 def text_map(line: Column) -> Column:
@@ -92,6 +99,17 @@ def verify(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return j.select(F.col("m.name").alias("name"), status.alias("status"))
 
 
+def write_report(rows: DataFrame, folder: str, order: str) -> None:
+    """A small report as JSON lines, as CSV with a header and as a Markdown table, each a folder with one file."""
+    one = rows.coalesce(1).sortWithinPartitions(order)
+    one.write.json(f"{folder}/json")
+    one.write.option("header", "true").csv(f"{folder}/csv")
+    row = lambda cells: "| " + " | ".join(cells) + " |"
+    cells = F.concat(F.lit("| "), F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]), " | "), F.lit(" |"))
+    body = one.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), cells.alias("l")))), lambda s: s["l"]), "\n").alias("b"))
+    body.select(F.concat_ws("\n", F.lit(row(rows.columns)), F.lit(row(["-"] * len(rows.columns))), "b").alias("value")).write.text(f"{folder}/markdown")
+
+
 def write_run(df: DataFrame, folder: str) -> str:
     """Write under a run id made from the content, and refuse to overwrite; a row in ``_latest`` points to it."""
     rows = df.select(F.md5(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))).alias("h"))
@@ -111,9 +129,21 @@ def read_xml_tiers(spark: SparkSession, path: str) -> DataFrame:
     wrapping quotes are stripped; a file that can't be parsed gives one row with ``corrupt``."""
     label = "struct<_LABEL:string,_VALUE:string,_START:long,_END:long>"
     schema = f"`SEGMENT-TIER` array<struct<_PARTICIPANT:string,UTTERANCE:array<struct<_ID:string,_START_FRAME:long,_END_FRAME:long,`NON-MANUAL`:array<{label}>>>>>, _corrupt_record string"
-    raw = spark.read.format("xml").option("rowTag", "COLLECTION").option("mode", "PERMISSIVE").schema(schema).load(path).select("*", F.col("_metadata.file_name").alias("file"))
-    strip = lambda c: F.regexp_replace(F.trim(c), "^'|'$", "")
+    raw = spark.read.format("xml").option("recursiveFileLookup", "true").option("rowTag", "COLLECTION").option("mode", "PERMISSIVE").schema(schema).load(path).select("*", F.col("_metadata.file_name").alias("file"))
+    strip = lambda c: F.regexp_replace(F.trim(c), r"^'|'\z", "")
     tiers = raw.select("file", F.col("_corrupt_record").isNotNull().alias("corrupt"), F.explode_outer("SEGMENT-TIER").alias("t"))
     utt = tiers.select("file", "corrupt", strip(F.col("t._PARTICIPANT")).alias("participant"), F.explode_outer("t.UTTERANCE").alias("u"))
     lab = utt.select("file", "corrupt", "participant", F.col("u._ID").alias("utterance"), F.col("u._START_FRAME").alias("start_frame"), F.col("u._END_FRAME").alias("end_frame"), F.explode_outer("u.NON-MANUAL").alias("n"))
     return lab.select("file", "corrupt", "participant", "utterance", "start_frame", "end_frame", strip(F.col("n._LABEL")).alias("label"), strip(F.col("n._VALUE")).alias("value"), F.col("n._START").alias("lo"), F.col("n._END").alias("hi"))
+
+
+def annotation_report(rows: DataFrame, mapped: list[str]) -> DataFrame:
+    """One row over the label rows of ``read_xml_tiers``: files' records that can't be parsed, participants, utterances,
+    labels, how many have a label that is not ``mapped`` and how many different (label, value) pairs those are, and the
+    frames that labels cover."""
+    good, lost = ~F.col("corrupt"), ~F.col("label").isin(mapped)
+    return rows.agg(
+        F.count_if("corrupt").alias("unparseable"), F.count_distinct(F.when(good, F.col("participant"))).alias("participants"),
+        F.count_distinct(F.when(good, F.struct("participant", "utterance"))).alias("utterances"), F.count_if(good & F.col("label").isNotNull()).alias("labels"),
+        F.count_if(good & lost).alias("unmapped"), F.count_distinct(F.when(good & lost, F.struct("label", "value"))).alias("unmapped_pairs"), F.sum(F.when(good, F.col("hi") - F.col("lo") + 1)).alias("frames"),
+    )
