@@ -19,6 +19,17 @@ def leave_one_group_out(rows: DataFrame, row: str, group: str) -> DataFrame:
     return d.select("fold", row, F.when(F.col("g") == F.col("fold"), "test").when(F.col("g") == nxt, "val").otherwise("train").alias("role"))
 
 
+def fold_summary(rows: DataFrame, row: str, group: str) -> DataFrame:
+    """A row per fold: its validating group, the rows that test, validate and train, whether it had to fall back on
+    training without a group of its own (fewer than three groups), and whether no row has two roles."""
+    roles = leave_one_group_out(rows, row, group).join(rows.select(row, F.col(group).alias("_g")).hint("merge"), row)
+    n = lambda r: F.count_if(F.col("role") == r)
+    per_row = roles.groupBy("fold", row).agg(F.count_distinct("role").alias("roles")).groupBy("fold").agg((F.max("roles") == 1).alias("disjoint"))
+    s = roles.groupBy("fold").agg(F.max(F.when(F.col("role") == "val", F.col("_g"))).alias("val_group"), n("test").alias("test"), n("val").alias("validation"), n("train").alias("train"))
+    groups = rows.select(group).distinct().agg(F.count("*").alias("_n"))
+    return s.join(per_row.hint("merge"), "fold").crossJoin(F.broadcast(groups)).select("fold", "val_group", "test", "validation", "train", (F.col("_n") < 3).alias("fallback"), "disjoint")
+
+
 def kfold(key: Column, k: int, seed: str = "k") -> Column:
     """Fold number of a key by seeded hash."""
     return (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key.cast("string"))), 1, 8), 16, 10).cast("long") % k).cast("int")

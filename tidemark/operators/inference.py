@@ -8,55 +8,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import mean_ranks, numbered, running_sums, written  # noqa: F401
+
 
 def draw(*parts: Column) -> Column:
     """A reproducible integer below 2 ** 32."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
-def cluster_bootstrap(pairs: DataFrame, cluster: str, diff: str, replicates: int, seed: str = "b") -> DataFrame:
+def cluster_bootstrap(pairs: DataFrame, cluster: str, diff: str, replicates: int, seed: str = "b", by: list[str] | None = None) -> DataFrame:
     """Mean of ``diff`` with a bootstrap over clusters: 95 % interval, two-sided p with floor 1 / replicates, effect in
-    deviations of cluster means, and the detectable effect. No interval below ten clusters.
+    deviations of cluster means, and the detectable effect, in every group. No interval below ten clusters.
 
     Pairs are first reduced to one sum and count per cluster, so a replicate costs clusters, not rows; replicates are
     spread over tasks and draw clusters by number.
     """
-    c = pairs.groupBy(cluster).agg(F.sum(diff).alias("s"), F.count("*").alias("n"))
-    c = c.withColumn("id", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("long"))  # one row per cluster
-    size = c.agg(F.count("*").alias("m"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.stddev_samp(F.col("s") / F.col("n")).alias("sd"))
+    by = by or []
+    c = pairs.groupBy(*by, cluster).agg(F.sum(diff).alias("s"), F.count("*").alias("n"))
+    c = running_sums(c, by, [cluster], {"id": F.lit(1).cast("long")})
+    size = c.groupBy(*by).agg(F.count("*").alias("m"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.stddev_samp(F.col("s") / F.col("n")).alias("sd"))
     spark = pairs.sparkSession
-    reps = spark.range(replicates).withColumnRenamed("id", "b").crossJoin(F.broadcast(size.select("m")))
-    drawn = reps.select("b", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: draw(F.lit(seed), F.col("b"), j) % F.col("m"))).alias("id"))
-    means = drawn.join(c.select("id", "s", "n").hint("shuffle_hash"), "id").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    b = means.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), F.avg((F.col("mean") <= 0).cast("double")).alias("below"), F.avg((F.col("mean") >= 0).cast("double")).alias("above"))
-    j = size.crossJoin(F.broadcast(b))
+    reps = spark.range(replicates).withColumnRenamed("id", "b").crossJoin(F.broadcast(size.select(*by, "m")))
+    drawn = reps.select(*by, "b", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: draw(F.lit(seed), F.col("b"), j) % F.col("m"))).alias("id"))
+    means = drawn.join(c.select(*by, "id", "s", "n").hint("shuffle_hash"), [*by, "id"]).groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    b = means.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), F.avg((F.col("mean") <= 0).cast("double")).alias("below"), F.avg((F.col("mean") >= 0).cast("double")).alias("above"))
+    j = size.join(F.broadcast(b), by) if by else size.crossJoin(F.broadcast(b))  # a row per group
     enough = F.col("m") >= 10
     p = F.greatest(F.lit(1.0 / replicates), F.least(F.lit(1.0), 2 * F.least("below", "above")))
-    return j.select(F.col("m").alias("clusters"), F.col("n").alias("pairs"), (F.col("s") / F.col("n")).alias("shift"), F.when(enough, F.col("lo")).alias("lo"), F.when(enough, F.col("hi")).alias("hi"), F.when(enough, p).alias("p"), (F.col("s") / F.col("n") / F.nullif(F.col("sd"), F.lit(0.0))).alias("effect"), (F.lit(2.8) * F.col("sd") / F.sqrt("m")).alias("mde"))
+    return j.select(*by, F.col("m").alias("clusters"), F.col("n").alias("pairs"), (F.col("s") / F.col("n")).alias("shift"), F.when(enough, F.col("lo")).alias("lo"), F.when(enough, F.col("hi")).alias("hi"), F.when(enough, p).alias("p"), (F.col("s") / F.col("n") / F.nullif(F.col("sd"), F.lit(0.0))).alias("effect"), (F.lit(2.8) * F.col("sd") / F.sqrt("m")).alias("mde"))
 
 
 def auc(df: DataFrame, score: str, label: Column, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve with tied scores at half weight; NULL if a class is missing.
 
-    Rows are counted by distinct score first; ranks are then cumulative counts over those.
+    Rows are counted by distinct score first; ranks are then running sums over those, in parts by range of score, so
+    neither a few groups nor very many scores end in one task.
     """
     by = by or []
     g = df.groupBy(*by, score).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("q"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    g = running_sums(g, by, [score], {"below": F.col("q")})
     area = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)) / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))
     return g.groupBy(*by).agg(area.alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 
-def mean_rank(value: str, by: list[str]) -> Column:
-    """Rank from 1 with ties averaged."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2.0
-
-
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    d = df.select(*by, mean_rank(x, by).alias("_rx"), mean_rank(y, by).alias("_ry"))
-    return d.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    """Rank correlation with ties averaged. Equal pairs of values are counted first; ranks come from running sums over
+    distinct values and are joined back to the distinct pairs."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_c"))
+    total = d.groupBy(*by).agg(F.sum("_c").alias("n"))
+    j = d.join(mean_ranks(d, by, x, "_c", "_rx").hint("merge"), [*by, x]).join(mean_ranks(d, by, y, "_c", "_ry").hint("merge"), [*by, y])
+    j = j.join(total.hint("shuffle_hash"), by) if by else j.crossJoin(F.broadcast(total))
+    u, v = F.col("_rx") - (F.col("n") + 1) / 2, F.col("_ry") - (F.col("n") + 1) / 2  # less the mean rank
+    s = j.groupBy(*by).agg(F.sum(F.col("_c") * u * v).alias("uv"), F.sum(F.col("_c") * u * u).alias("uu"), F.sum(F.col("_c") * v * v).alias("vv"), F.first("n").alias("n"))
+    return s.select(*by, (F.col("uv") / F.nullif(F.sqrt(F.col("uu") * F.col("vv")), F.lit(0.0))).alias("rho"), "n")
 
 
 def std_mean_diff(x: str, label: Column) -> Column:
@@ -75,22 +79,48 @@ def partial_corr(xy: Column, xz: Column, yz: Column) -> Column:
     return (xy - xz * yz) / F.sqrt((1 - xz * xz) * (1 - yz * yz))
 
 
-def permutation_test(df: DataFrame, x: str, label: str, row: str, replicates: int, seed: str = "p") -> DataFrame:
-    """Two-sided permutation test of a difference of means, with +1 in both counts, and the detectable difference.
+DRAW_BINS = 4096
+
+
+def permutation_sums(df: DataFrame, x: str, ones: DataFrame, row: str, replicates: int, by: list[str], seed: str = "p") -> DataFrame:
+    """``by, b, s``: the sum of ``x`` over the ``k`` rows of a group with the smallest draws in replicate ``b``, with
+    ``ones(by, k)``.
 
-    A replicate gives the label to the rows with the smallest draws; its statistic comes from sums over them. Rows
-    times replicates are ranked within a replicate, so replicates are spread over tasks.
+    Draws are counted in ``DRAW_BINS`` bins first: all rows below the bin that the k-th draw falls in belong to the
+    sum, and only the rows of that bin, one in as many as there are bins, are ranked.
     """
-    d = df.select(row, F.col(x).alias("_x"), F.col(label).cast("int").alias("_y"))
-    tot = d.agg(F.count("*").alias("n"), F.sum("_y").alias("k"), F.sum("_x").alias("t"), F.sum(F.col("_x") * F.col("_y")).alias("s"))
-    reps = d.select(row, "_x").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    r = reps.withColumn("h", draw(F.lit(seed), F.col("b"), F.col(row))).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h", row)))
-    sums = r.crossJoin(F.broadcast(tot)).groupBy("b").agg(F.sum(F.when(F.col("r") <= F.col("k"), F.col("_x")).otherwise(0.0)).alias("s"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("t").alias("t"))
-    stat = lambda s, t, k, n: F.col(s) / F.col(k) - (F.col(t) - F.col(s)) / (F.col(n) - F.col(k))
-    null = sums.select(stat("s", "t", "k", "n").alias("d"))
-    obs = tot.select(stat("s", "t", "k", "n").alias("observed"))
-    j = null.crossJoin(F.broadcast(obs))
-    return j.agg(F.first("observed").alias("observed"), ((F.count_if(F.abs("d") >= F.abs("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"), (F.lit(2.8) * F.stddev_pop("d")).alias("mde"))
+    reps = df.select(*by, row, x).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("h", draw(F.lit(seed), F.col("b"), F.col(row)))
+    reps = reps.withColumn("bin", F.floor(F.col("h") / ((1 << 32) // DRAW_BINS)))
+    bins = reps.groupBy(*by, "b", "bin").agg(F.count("*").alias("n"), F.sum(x).alias("s"))
+    w = Window.partitionBy(*by, "b").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumns({"before": F.coalesce(F.sum("n").over(w), F.lit(0)), "sofar": F.coalesce(F.sum("s").over(w), F.lit(0.0))})
+    bins = bins.join(F.broadcast(ones), by) if by else bins.crossJoin(F.broadcast(ones))  # a row per group
+    cut = bins.where("before < k and before + n >= k").select(*by, "b", "bin", "sofar", (F.col("k") - F.col("before")).alias("left"))
+    near = reps.join(cut.hint("merge"), [*by, "b", "bin"])
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy(*by, "b").orderBy("h", row))).where("r <= left")
+    return near.groupBy(*by, "b").agg((F.sum(x) + F.first("sofar")).alias("s"))
+
+
+def permutation_test(df: DataFrame, x: str, label: str, row: str, replicates: int, seed: str = "p", by: list[str] | None = None, slack: float = 1e-12) -> DataFrame:
+    """Two-sided permutation test of a difference of means, with +1 in both counts, and the detectable difference, in
+    every group. A group with one class has no test."""
+    by = by or []
+    d = df.select(*by, row, F.col(x).alias("_x"), F.col(label).cast("int").alias("_y"))
+    tot = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_y").alias("k"), F.sum("_x").alias("t"), F.sum(F.col("_x") * F.col("_y")).alias("o")).where("k > 0 and k < n")
+    sums = permutation_sums(d, "_x", tot.select(*by, "k"), row, replicates, by, seed)
+    j = sums.join(F.broadcast(tot), by) if by else sums.crossJoin(F.broadcast(tot))
+    stat = lambda s: F.col(s) / F.col("k") - (F.col("t") - F.col(s)) / (F.col("n") - F.col("k"))
+    j = j.select(*by, "k", "n", stat("s").alias("d"), stat("o").alias("observed"))
+    hits = F.count_if(F.abs("d") >= F.abs("observed") - slack)
+    return j.groupBy(*by).agg(F.first("observed").alias("observed"), ((hits + 1) / (F.count("*") + 1)).alias("p"), (F.lit(2.8) * F.stddev_pop("d")).alias("mde"), F.first("k").alias("positives"), F.first("n").alias("rows"))
+
+
+def bonferroni(tests: DataFrame, p: str, interpretable: Column, family: list[str] | None = None) -> DataFrame:
+    """``tests`` and ``adjusted``: p times the number of interpretable tests of a family, at most 1; NULL for others."""
+    family = family or []
+    m = tests.groupBy(*family).agg(F.count_if(interpretable & F.col(p).isNotNull()).alias("_m"))
+    j = tests.join(F.broadcast(m), family) if family else tests.crossJoin(F.broadcast(m))
+    return j.withColumn("adjusted", F.when(interpretable, F.least(F.lit(1.0), F.col(p) * F.col("_m")))).drop("_m")
 
 
 def token_edits(a: list, b: list) -> int:
@@ -172,3 +202,11 @@ def canonical_angles(vectors: DataFrame, x: str) -> DataFrame:
 
     c = np.clip(np.linalg.svd(whiten(m[:h, :h]).T @ m[:h, h:] @ whiten(m[h:, h:]), compute_uv=False), 0.0, 1.0) if h else np.zeros(0)
     return vectors.sparkSession.createDataFrame([(i, float(v), float(np.degrees(np.arccos(v)))) for i, v in enumerate(c)], "i int, cosine double, degrees double")
+
+
+def f1_means(confusion: DataFrame, by: list[str]) -> DataFrame:
+    """Macro, micro and support-weighted F1 of the labels of ``confusion(by, label, tp, fp, fn)``."""
+    f1 = lambda tp, fp, fn: F.coalesce(2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0)), F.lit(0.0))
+    c = confusion.withColumns({"f1": f1(F.col("tp"), F.col("fp"), F.col("fn")), "support": F.col("tp") + F.col("fn")})
+    weighted = F.sum(F.col("f1") * F.col("support")) / F.nullif(F.sum("support"), F.lit(0))
+    return c.groupBy(*by).agg(F.round(F.avg("f1"), 6).alias("macro"), F.round(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")), 6).alias("micro"), F.round(weighted, 6).alias("weighted"))

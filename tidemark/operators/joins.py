@@ -27,15 +27,15 @@ def interval_rows(rows: DataFrame, spans: DataFrame, bucket: int, key: str = "k"
     return r.alias("r").join(s.alias("s").hint("merge"), on).select("r.*", *[F.col(f"s.{c}") for c in extra]).drop("_b")
 
 
-def nearest_match(cases: DataFrame, controls: DataFrame, group: str, covariates: list[str], caliper: float, order: str) -> DataFrame:
+def nearest_match(cases: DataFrame, controls: DataFrame, group: str, covariates: list[str], caliper: float, order: str, scales: dict[str, float] | None = None) -> DataFrame:
     """For each case the nearest control of its group on z-scaled covariates within the caliper, with replacement;
-    first on ties. Scales are pooled over both sides. Cases and controls have ``group``, ``order`` and the covariates.
+    first on ties. Scales are pooled over both sides if not given. Cases and controls have ``group``, ``order`` and the covariates.
 
     Under a caliper two partners are at most one cell of the first covariate apart, so controls are repeated to three
     cells and joined by group and cell: exact, and not quadratic in a group.
     """
     both = cases.select(*covariates).union(controls.select(*covariates))
-    sds = both.agg(*[F.stddev_pop(c).alias(f"_sd_{c}") for c in covariates])
+    sds = both.agg(*[(F.lit(scales[c]) if scales else F.stddev_pop(c)).alias(f"_sd_{c}") for c in covariates])
     z = lambda d: d.crossJoin(F.broadcast(sds)).withColumns({f"_z_{c}": F.col(c) / F.nullif(F.col(f"_sd_{c}"), F.lit(0.0)) for c in covariates}).withColumn("_cell", F.floor(F.coalesce(F.col(f"_z_{covariates[0]}"), F.lit(0.0)) / caliper))
     a = z(cases).alias("a")
     b = z(controls).withColumn("_cell", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1))).alias("b")

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import numbered
+
 
 def vocabulary(tokens: DataFrame, token: str, min_count: int = 1) -> DataFrame:
     """Tokens with count and rank id (most frequent first, then by name).
 
-    The ids come from a window over counts, one row per distinct token; that is the size of the vocabulary, not of the
-    corpus. For vocabularies that don't fit a task, range-partition the counts and add partition offsets.
+    The ids are running counts over the distinct tokens, in parts by range of count, so a vocabulary of any size will do.
     """
     c = tokens.groupBy(F.col(token).alias("token")).agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    return c.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).cast("long"))
+    return numbered(c.withColumn("_down", -F.col("n")), ["_down", "token"]).drop("_down")
 
 
 def kappa(df: DataFrame, a: Column, b: Column) -> DataFrame:

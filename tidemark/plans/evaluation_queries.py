@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import inference as N
+from tidemark.operators import logistic as L
 from tidemark.operators import series as S
+from tidemark.operators.joins import nearest_match
 from tidemark.plans.joins_queries import PAIRS, WINDOWS, audit_windows, matched
 from tidemark.plans.registry import query
 from tidemark.plans.reports_queries import _LAB, labelled
-from tidemark.plans.windows_queries import EM, EV, em, ev, r6
+from tidemark.plans.windows_queries import EM, EV, em, ev, r6, windowed
 
 B = 200
 #: Replicates of the reference
@@ -83,34 +85,58 @@ def s06(t):
     return g.select("source", F.round("smd", 5).alias("smd"), r6("xy", "point_biserial"), r6(N.partial_corr(F.col("xy"), F.col("xz"), F.col("yz")), "partial"))
 
 
-@query("s07_permutation_test", f"WITH {_LAB}, d AS (SELECT doc_id, n_chars::DOUBLE AS x, toxic AS y FROM lj), tt AS (SELECT count(*) AS n, sum(y) AS k, sum(x) AS t, sum(x * y) AS s FROM d), r AS (SELECT b, x, row_number() OVER (PARTITION BY b ORDER BY ('0x' || substr(md5('p:' || b || ':' || doc_id), 1, 8))::BIGINT, doc_id) AS r FROM d, range(0, 99) q(b)), z AS (SELECT b, sum(CASE WHEN r <= k THEN x ELSE 0 END) AS s FROM r, tt GROUP BY b), nl AS (SELECT z.s / k - (t - z.s) / (n - k) AS d FROM z, tt), ob AS (SELECT s / k - (t - s) / (n - k) AS o FROM tt) SELECT round(any_value(o), 4) AS observed, round((count(*) FILTER (WHERE abs(d) >= abs(o) - 1e-12) + 1) / (count(*) + 1.0::DOUBLE), 6) AS p, round(2.8 * stddev_pop(d), 4) AS mde FROM nl, ob")
+#: Replicates of a permutation test in the reference
+PERMUTED = 20_000
+
+
+def _permuted_sql(reps, rows, by="", row="doc_id"):
+    """Null differences ``nl(by, d)`` and observed ``ob(by, o, k, n)`` of a permutation test over ``rows(by, row, x, y)``."""
+    cols, part = (f"{by}, ", f"PARTITION BY {by}, b") if by else ("", "PARTITION BY b")
+    using = f"USING ({by})" if by else "ON true"
+    return f"tt AS (SELECT {cols}count(*) AS n, sum(y) AS k, sum(x) AS t, sum(x * y) AS s FROM {rows} GROUP BY ALL HAVING sum(y) > 0 AND sum(y) < count(*)), r AS (SELECT {cols}b, x, row_number() OVER ({part} ORDER BY ('0x' || substr(md5('p:' || b || ':' || {row}), 1, 8))::BIGINT, {row}) AS r FROM {rows}, range(0, {reps}) q(b)), z AS (SELECT {cols}b, sum(CASE WHEN r <= k THEN x ELSE 0 END) AS s FROM r JOIN tt {using} GROUP BY {cols}b), nl AS (SELECT {cols}z.s / k - (t - z.s) / (n - k) AS d FROM z JOIN tt {using}), ob AS (SELECT {cols}s / k - (t - s) / (n - k) AS o, k, n FROM tt)"
+
+
+@query("s07_permutation_test", f"WITH {_LAB}, d AS (SELECT doc_id, n_chars::DOUBLE AS x, toxic AS y FROM lj), {_permuted_sql(PERMUTED, 'd')} SELECT round(any_value(o), 4) AS observed, round((count(*) FILTER (WHERE abs(d) >= abs(o) - 1e-12) + 1) / (count(*) + 1.0::DOUBLE), 6) AS p, round(2.8 * stddev_pop(d), 4) AS mde FROM nl, ob")
 def s07(t):
     d = labelled(t).withColumn("chars", F.col("n_chars").cast("double"))
-    r = N.permutation_test(d, "chars", "toxic", "doc_id", 99)
+    r = N.permutation_test(d, "chars", "toxic", "doc_id", PERMUTED)
     return r.select(F.round("observed", 4).alias("observed"), r6("p", "p"), F.round("mde", 4).alias("mde"))
 
 
-@query("s08_bonferroni_interpretable", f"WITH {_LAB}, e AS (SELECT source, count(*) AS n, avg(toxic) AS p FROM lj GROUP BY 1) SELECT source, n >= 18 AS interpretable, CASE WHEN n >= 18 THEN round(least(1.0, p * count(*) FILTER (WHERE n >= 18) OVER ()), 6) END AS adjusted FROM e")
+BY_GROUP = 999
+
+
+@query("s08_bonferroni_interpretable", f"WITH {_LAB}, d AS (SELECT source, doc_id, n_chars::DOUBLE AS x, toxic AS y FROM lj), {_permuted_sql(BY_GROUP, 'd', 'source')}, e AS (SELECT source, any_value(n) AS n, any_value(k) AS k, (count(*) FILTER (WHERE abs(d) >= abs(o) - 1e-12) + 1) / (count(*) + 1.0::DOUBLE) AS p FROM nl JOIN ob USING (source) GROUP BY 1) SELECT source, round(p, 6) AS p, n >= 18 AND k >= 2 AS interpretable, CASE WHEN n >= 18 AND k >= 2 THEN round(least(1.0, p * count(*) FILTER (WHERE n >= 18 AND k >= 2) OVER ()), 6) END AS adjusted FROM e")
 def s08(t):
-    e = labelled(t).groupBy("source").agg(F.count("*").alias("n"), F.avg("toxic").alias("p"))
-    ok = F.col("n") >= 18
-    m = e.agg(F.count_if(ok).alias("m"))
-    return e.crossJoin(F.broadcast(m)).select("source", ok.alias("interpretable"), F.when(ok, F.round(F.least(F.lit(1.0), F.col("p") * F.col("m")), 6)).alias("adjusted"))
+    """A permutation test of length against toxicity in every source, corrected for the tests that can be read."""
+    d = labelled(t).withColumn("chars", F.col("n_chars").cast("double"))
+    e = N.permutation_test(d, "chars", "toxic", "doc_id", BY_GROUP, by=["source"])
+    ok = (F.col("rows") >= 18) & (F.col("positives") >= 2)
+    return N.bonferroni(e, "p", ok).select("source", r6("p", "p"), ok.alias("interpretable"), r6("adjusted", "adjusted"))
+
+
+_RULES = "ru AS (SELECT x, unnest(['size', 'symbols', 'both']) AS rule, unnest([n_chars::DOUBLE, CASE WHEN r THEN n_chars + 1e6 ELSE n_chars END, n_chars * (1 + quality)]) AS score FROM lj)"
 
 
-@query("s11_operating_point", f"WITH {_LAB}, th AS (SELECT quantile_cont(n_chars, 0.9) AS t FROM lj WHERE NOT x) SELECT round(any_value(t), 6) AS threshold, round(avg((n_chars > t)::INT) FILTER (WHERE x), 6) AS hit, round(avg((n_chars > t)::INT) FILTER (WHERE NOT x), 6) AS false_alarm FROM lj, th")
+@query("s11_operating_point", f"WITH {_LAB}, {_RULES}, th AS (SELECT rule, quantile_cont(score, 0.9) AS t FROM ru WHERE NOT x GROUP BY 1) SELECT rule, round(any_value(t), 6) AS threshold, round(avg((score > t)::INT) FILTER (WHERE x), 6) AS hit, round(avg((score > t)::INT) FILTER (WHERE NOT x), 6) AS false_alarm FROM ru JOIN th USING (rule) GROUP BY 1")
 def s11(t):
-    d = labelled(t)
-    th = d.where("not x").agg(F.percentile("n_chars", F.lit(0.9)).alias("t"))
-    over = (F.col("n_chars") > F.col("t")).cast("double")
-    return d.crossJoin(F.broadcast(th)).agg(r6(F.first("t"), "threshold"), r6(F.avg(F.when(F.col("x"), over)), "hit"), r6(F.avg(F.when(~F.col("x"), over)), "false_alarm"))
+    """Threshold of three rules at a tenth of false alarms among quiet rows, and what it hits."""
+    n = F.col("n_chars")
+    rules = F.create_map(F.lit("size"), n.cast("double"), F.lit("symbols"), F.when(F.col("r"), n + 1e6).otherwise(n.cast("double")), F.lit("both"), (n * (1 + F.col("quality"))).cast("double"))
+    d = labelled(t).select("x", F.explode(rules).alias("rule", "score"))
+    th = d.where("not x").groupBy("rule").agg(F.percentile("score", F.lit(0.9)).alias("t"))
+    over = (F.col("score") > F.col("t")).cast("double")
+    return d.join(F.broadcast(th), "rule").groupBy("rule").agg(r6(F.first("t"), "threshold"), r6(F.avg(F.when(F.col("x"), over)), "hit"), r6(F.avg(F.when(~F.col("x"), over)), "false_alarm"))
 
 
-@query("s12_split_by_group", f"WITH {_LAB}, g AS (SELECT lang, avg(n_chars) FILTER (WHERE x) - avg(n_chars) FILTER (WHERE NOT x) AS d, count(*) AS n FROM lj GROUP BY 1) SELECT lang, round(d, 4) AS effect, n, count(*) FILTER (WHERE d > 0) OVER () AS positive, count(*) OVER () AS of_ FROM g")
+@query("s12_split_by_group", f"WITH {_LAB}, p AS (SELECT *, ('0x' || substr(md5('g:' || doc_id), 1, 8))::BIGINT % 3 = 0 AS z FROM lj), g AS (SELECT lang, avg(n_chars) FILTER (WHERE x) - avg(n_chars) FILTER (WHERE NOT x) AS d, avg(n_chars) FILTER (WHERE z) - avg(n_chars) FILTER (WHERE NOT z) AS q, count(*) AS n FROM p GROUP BY 1) SELECT lang, round(d, 4) AS effect, round(q, 4) AS placebo, n, count(*) FILTER (WHERE d > 0) OVER () AS positive, count(*) OVER () AS of_ FROM g")
 def s12(t):
-    g = labelled(t).groupBy("lang").agg((F.avg(F.when(F.col("x"), F.col("n_chars"))) - F.avg(F.when(~F.col("x"), F.col("n_chars")))).alias("d"), F.count("*").alias("n"))
+    """Effect per group beside that of a mark that means nothing, and in how many groups the effect is positive."""
+    apart = lambda c: F.avg(F.when(c, F.col("n_chars"))) - F.avg(F.when(~c, F.col("n_chars")))
+    d = labelled(t).withColumn("z", N.draw(F.lit("g"), F.col("doc_id")) % 3 == 0)
+    g = d.groupBy("lang").agg(apart(F.col("x")).alias("d"), apart(F.col("z")).alias("q"), F.count("*").alias("n"))
     k = g.agg(F.count_if(F.col("d") > 0).alias("positive"), F.count("*").alias("of_"))
-    return g.crossJoin(F.broadcast(k)).select("lang", F.round("d", 4).alias("effect"), "n", "positive", "of_")
+    return g.crossJoin(F.broadcast(k)).select("lang", F.round("d", 4).alias("effect"), F.round("q", 4).alias("placebo"), "n", "positive", "of_")
 
 
 _WHOLE = r"w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS tk FROM conversations), p AS MATERIALIZED (SELECT row_number() OVER () AS id, a.conv_id, a.turn, a.tk AS r, b.tk AS h FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), dp(id, i, j, v) AS (SELECT id, 0::BIGINT, j, j FROM (SELECT id, unnest(range(0, len(h) + 1)) AS j FROM p) UNION ALL SELECT id, i, j, j + min(t - j) OVER (PARTITION BY id ORDER BY j) FROM (SELECT d.id, d.i + 1 AS i, d.j, least(d.v + 1, CASE WHEN d.j > 0 THEN lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j) + (p.r[d.i + 1] <> p.h[d.j])::BIGINT END) AS t FROM dp d JOIN p ON p.id = d.id WHERE d.i < len(p.r)))"
@@ -138,6 +164,25 @@ def s14(t):
     return te.groupBy("lang").agg(F.count("*").alias("n"), r6(F.avg((F.coalesce("guess", F.lit("")) == F.col("lang")).cast("double")), "recall"), F.count_if(F.col("guess").isNull()).alias("oov"))
 
 
+_GUESS = "tr AS (SELECT lang, source FROM documents WHERE doc_id % 5 <> 0), mx AS (SELECT source, arg_max(lang, (n, lang)) AS guess FROM (SELECT source, lang, count(*) AS n FROM tr GROUP BY ALL) GROUP BY 1), tp AS (SELECT arg_max(lang, (n, lang)) AS top FROM (SELECT lang, count(*) AS n FROM tr GROUP BY 1)), te AS (SELECT d.lang, guess FROM documents d LEFT JOIN mx ON mx.source = d.source AND d.source <> 'src3' WHERE doc_id % 5 = 0)"
+
+
+@query("s14_recogniser_summary", f"WITH {_GUESS} SELECT count(*) AS n, round(avg((coalesce(guess, '') = lang)::INT), 6) AS accuracy, round(avg((guess = lang)::INT) FILTER (WHERE guess IS NOT NULL), 6) AS closed_accuracy, round(avg((lang = top)::INT), 6) AS baseline, round(avg((guess IS NULL)::INT), 6) AS oov_share, count(DISTINCT guess) AS distinct_guesses, count(DISTINCT guess) <= 1 AS constant FROM te, tp")
+def s14_summary(t):
+    """All held-out rows in one: accuracy, that over rows with a known source, the commonest class as baseline, the
+    share of unknown ones, and whether the guesses are one and the same."""
+    d = t("documents").select("doc_id", "lang", "source")
+    train, te = d.where("doc_id % 5 <> 0"), d.where("doc_id % 5 = 0")
+    guess = train.groupBy("source", "lang").agg(F.count("*").alias("n")).groupBy("source").agg(F.max_by("lang", F.struct("n", "lang")).alias("guess")).where("source <> 'src3'")
+    top = train.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max_by("lang", F.struct("n", "lang")).alias("top"))
+    j = te.join(guess.hint("merge"), "source", "left").crossJoin(F.broadcast(top))  # one row
+    hit = (F.col("guess") == F.col("lang")).cast("double")
+    return j.agg(
+        F.count("*").alias("n"), r6(F.avg(F.coalesce(hit, F.lit(0.0))), "accuracy"), r6(F.avg(hit), "closed_accuracy"), r6(F.avg((F.col("lang") == F.col("top")).cast("double")), "baseline"),
+        r6(F.avg(F.col("guess").isNull().cast("double")), "oov_share"), F.count_distinct("guess").alias("distinct_guesses"), (F.count_distinct("guess") <= 1).alias("constant"),
+    )
+
+
 _PRED = "pd AS (SELECT t AS threshold, CASE WHEN l = 'quality' THEN q ELSE x END AS y, (doc_id % 10) / 10.0 >= t AS p, l AS label FROM lj, (SELECT unnest([0.3, 0.5]) AS t), (SELECT unnest(['quality', 'toxic']) AS l))"
 
 
@@ -148,6 +193,15 @@ def s15(t):
     return d.groupBy("label", "threshold").agg(*N.f1_report(d, F.col("y"), F.col("p")))
 
 
+@query("s15_f1_means", f"WITH {_LAB}, {_PRED}, c AS (SELECT label, threshold, count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp, count(*) FILTER (WHERE y AND NOT p) AS fn FROM pd GROUP BY 1, 2), f AS (SELECT *, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)::DOUBLE AS f1 FROM c) SELECT threshold::DOUBLE AS threshold, round(avg(f1), 6) AS macro, round(coalesce(2.0 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0)::DOUBLE, 6) AS micro, round(sum(f1 * (tp + fn)) / nullif(sum(tp + fn), 0), 6) AS weighted FROM f GROUP BY 1")
+def s15_means(t):
+    """Macro, micro and support-weighted F1 over the labels at each threshold."""
+    d = labelled(t).withColumn("threshold", F.explode(F.array(F.lit(0.3), F.lit(0.5))))
+    d = d.select("threshold", ((F.col("doc_id") % 10) / 10.0 >= F.col("threshold")).alias("p"), F.explode(F.create_map(F.lit("quality"), "q", F.lit("toxic"), "x")).alias("label", "y"))
+    c = d.groupBy("label", "threshold").agg(F.count_if(F.col("y") & F.col("p")).alias("tp"), F.count_if(~F.col("y") & F.col("p")).alias("fp"), F.count_if(F.col("y") & ~F.col("p")).alias("fn"))
+    return N.f1_means(c, ["threshold"])
+
+
 @query("s16_axis_identity", f"WITH {EM}, c AS (SELECT k, a, b, abs(corr(x[a], x[b + 32])) AS r FROM m, range(1, 33) p(a), range(1, 33) q(b) GROUP BY ALL) SELECT CAST(a - 1 AS INTEGER) AS a, CAST(b - 1 AS INTEGER) AS b, round(median(r), 6) AS r FROM c GROUP BY 1, 2")
 def s16(t):
     """Median over the series of the correlation of every dimension of one half with every one of the other."""
@@ -185,24 +239,36 @@ def w32(t):
     return N.auc(j, "v", F.col("y"), ["scale", "shift"]).select("scale", "shift", r6("auc", "auc"))
 
 
-@query("s02_row_bootstrap_of_rank_correlation", f"WITH {_LAB}, a AS (SELECT n_chars AS x, length(source) + (doc_id % 13) AS y, row_number() OVER (ORDER BY doc_id) - 1 AS id, count(*) OVER () AS m FROM lj WHERE lang = 'de'), d AS (SELECT b, ('0x' || substr(md5('r:' || b || ':' || j.id), 1, 8))::BIGINT % j.m AS id FROM range(0, 60) q(b), a j), s AS (SELECT b, x, y FROM d JOIN a USING (id)), r AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2.0::DOUBLE AS ry FROM s), c AS (SELECT b, corr(rx, ry) AS rho FROM r GROUP BY b) SELECT round(quantile_cont(rho, 0.025), 6) AS lo, round(median(rho), 6) AS mid, round(quantile_cont(rho, 0.975), 6) AS hi FROM c")
+@query("s02_row_bootstrap_of_rank_correlation", f"WITH {_LAB}, a AS (SELECT n_chars AS x, length(source) + (doc_id % 13) AS y, row_number() OVER (ORDER BY doc_id) - 1 AS id, count(*) OVER () AS m FROM lj), d AS (SELECT b, ('0x' || substr(md5('r:' || b || ':' || j.id), 1, 8))::BIGINT % j.m AS id FROM range(0, {WHOLE_B}) q(b), a j), s AS (SELECT b, x, y FROM d JOIN a USING (id)), r AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2.0::DOUBLE AS ry FROM s), c AS (SELECT b, corr(rx, ry) AS rho FROM r GROUP BY b) SELECT round(quantile_cont(rho, 0.025), 6) AS lo, round(median(rho), 6) AS mid, round(quantile_cont(rho, 0.975), 6) AS hi FROM c")
 def s02(t):
-    d = labelled(t).where("lang = 'de'").select("doc_id", F.col("n_chars").alias("x"), (F.length("source") + F.col("doc_id") % 13).alias("y"))
-    a = d.withColumn("id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long"))
+    d = labelled(t).select("doc_id", F.col("n_chars").alias("x"), (F.length("source") + F.col("doc_id") % 13).alias("y"))
+    a = N.written(N.numbered(d, ["doc_id"]))
     m = a.agg(F.count("*").alias("m"))
-    draws = a.select(F.col("id").alias("j")).crossJoin(F.broadcast(m)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    draws = a.select(F.col("id").alias("j")).crossJoin(F.broadcast(m)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(WHOLE_B - 1))))
     s = draws.select("b", (N.draw(F.lit("r"), F.col("b"), F.col("j")) % F.col("m")).alias("id")).join(a.select("id", "x", "y").hint("merge"), "id")
-    rho = N.spearman(s, "x", "y", ["b"])
+    rho = N.spearman(N.written(s), "x", "y", ["b"])
     return rho.agg(r6(F.percentile("rho", F.lit(0.025)), "lo"), r6(F.median("rho"), "mid"), r6(F.percentile("rho", F.lit(0.975)), "hi"))
 
 
-@query("s09_cue_feature_grounding", "WITH c AS (SELECT conv_id, max(regexp_matches(text, '(?i)(?:^|[^\\p{L}])(que|what|was)(?:$|[^\\p{L}])')::INT) AS question, max(regexp_matches(text, '\\d')::INT) AS quantity, avg(length(text)) AS size, count(*)::DOUBLE AS turns FROM conversations GROUP BY 1), l AS (SELECT conv_id, unnest(['question', 'quantity']) AS cue, unnest([question, quantity]) AS y, size, turns FROM c), f AS (SELECT cue, y, unnest(['size', 'turns']) AS feature, unnest([size, turns]) AS x FROM l) SELECT cue, feature, count(*) FILTER (WHERE y = 1) AS n, round((avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0)) / sqrt((var_pop(x) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 1) + var_pop(x) FILTER (WHERE y = 0) * count(*) FILTER (WHERE y = 0)) / count(*)), 5) AS effect FROM f GROUP BY 1, 2")
+_CUES = {"question": r"(?i)(?:^|[^\p{L}])(que|what|was)(?:$|[^\p{L}])", "quantity": r"\d", "emphasis": r"[!?]", "aside": r"[(\[]"}
+_FEATS = {"size": "avg(length(text))", "turns": "count(*)::DOUBLE", "words": "avg(len(string_split(text, ' ')))", "lines": "avg(len(string_split(text, chr(10))))"}
+_PAIRED = "c AS (SELECT conv_id, " + ", ".join(f"max(regexp_matches(text, '{p}')::INT) AS c_{k}" for k, p in _CUES.items()) + ", " + ", ".join(f"{e} AS f_{k}" for k, e in _FEATS.items()) + " FROM conversations GROUP BY 1), f AS (SELECT cue || '/' || feature AS pair, cue, feature, conv_id, y, x FROM (SELECT conv_id, unnest([" + ", ".join(f"'{k}'" for k in _CUES) + "]) AS cue, unnest([" + ", ".join(f"c_{k}" for k in _CUES) + "]) AS y, " + ", ".join(f"f_{k}" for k in _FEATS) + " FROM c), LATERAL (SELECT unnest([" + ", ".join(f"'{k}'" for k in _FEATS) + "]) AS feature, unnest([" + ", ".join(f"f_{k}" for k in _FEATS) + "]) AS x))"
+
+
+@query("s09_cue_feature_grounding", f"WITH {_PAIRED}, {_permuted_sql(BY_GROUP, 'f', 'pair', 'conv_id')}, pv AS (SELECT pair, (count(*) FILTER (WHERE abs(d) >= abs(o) - 1e-9) + 1) / (count(*) + 1.0::DOUBLE) AS p FROM nl JOIN ob USING (pair) GROUP BY 1), ef AS (SELECT pair, any_value(cue) AS cue, any_value(feature) AS feature, count(*) AS rows, count(*) FILTER (WHERE y = 1) AS n, (avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0)) / nullif(sqrt((var_pop(x) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 1) + var_pop(x) FILTER (WHERE y = 0) * count(*) FILTER (WHERE y = 0)) / count(*)), 0) AS effect FROM f GROUP BY 1), j AS (SELECT ef.*, p, p IS NOT NULL AND n >= 8 AND rows - n >= 8 AS ok FROM ef LEFT JOIN pv USING (pair)) SELECT cue, feature, n, round(effect, 5) AS effect, round(p, 6) AS p, ok AS interpretable, CASE WHEN ok THEN round(least(1.0, p * count(*) FILTER (WHERE ok) OVER ()), 6) END AS adjusted FROM j")
 def s09(t):
-    q = F.col("text").rlike(r"(?i)(?:^|[^\p{L}])(que|what|was)(?:$|[^\p{L}])")
-    c = t("conversations").groupBy("conv_id").agg(F.bool_or(q).alias("question"), F.bool_or(F.col("text").rlike(r"\d")).alias("quantity"), F.avg(F.length("text")).alias("size"), F.count("*").cast("double").alias("turns"))
-    d = c.select(F.explode(F.create_map(F.lit("question"), "question", F.lit("quantity"), "quantity")).alias("cue", "y"), "size", "turns")
-    d = d.select("cue", "y", F.explode(F.create_map(F.lit("size"), "size", F.lit("turns"), "turns")).alias("feature", "x"))
-    return d.groupBy("cue", "feature").agg(F.count_if("y").alias("n"), F.round(N.std_mean_diff("x", F.col("y")), 5).alias("effect"))
+    """Every cue against every feature: effect, permutation p and its correction over the tests that can be read."""
+    flag = lambda p: F.bool_or(F.col("text").rlike(p))
+    feats = {"size": F.avg(F.length("text")), "turns": F.count("*").cast("double"), "words": F.avg(F.size(F.split("text", " "))), "lines": F.avg(F.size(F.split("text", "\n")))}
+    c = t("conversations").groupBy("conv_id").agg(*[flag(p).alias(f"c_{k}") for k, p in _CUES.items()], *[f.alias(f"f_{k}") for k, f in feats.items()])
+    d = c.select("conv_id", F.explode(F.create_map(*[x for k in _CUES for x in (F.lit(k), F.col(f"c_{k}"))])).alias("cue", "y"), *[f"f_{k}" for k in feats])
+    d = d.select("conv_id", "cue", "y", F.explode(F.create_map(*[x for k in feats for x in (F.lit(k), F.col(f"f_{k}"))])).alias("feature", "x")).withColumn("pair", F.concat_ws("/", "cue", "feature"))
+    d = N.written(d)
+    e = d.groupBy("pair").agg(F.first("cue").alias("cue"), F.first("feature").alias("feature"), F.count("*").alias("all"), F.count_if("y").alias("n"), N.std_mean_diff("x", F.col("y")).alias("effect"))
+    p = N.permutation_test(d, "x", "y", "conv_id", BY_GROUP, by=["pair"], slack=1e-9).select("pair", "p")
+    j = e.join(p.hint("merge"), "pair", "left")
+    ok = F.col("p").isNotNull() & (F.col("n") >= 8) & (F.col("all") - F.col("n") >= 8)
+    return N.bonferroni(j, "p", ok).select("cue", "feature", "n", F.round("effect", 5).alias("effect"), r6("p", "p"), ok.alias("interpretable"), r6("adjusted", "adjusted"))
 
 
 @query("s10_audit_with_null_model", f"WITH {EV}, {WINDOWS}, {PAIRS}, nul AS (SELECT mt.k, ('0x' || substr(md5('n:' || k || ':' || c), 1, 8))::BIGINT / 4294967296.0::DOUBLE - ('0x' || substr(md5('n:' || k || ':' || d), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS diff FROM mt) SELECT 'real' AS model, count(*) AS pairs, round(avg(diff), 6) AS shift FROM mt UNION ALL SELECT 'null', count(*), round(avg(diff), 6) FROM nul")
@@ -214,10 +280,67 @@ def s10(t):
     return both.groupBy("model").agg(F.count("*").alias("pairs"), r6(F.avg("diff"), "shift"))
 
 
+#: Markers of windows: a share of one event type; the placebos are the same series of marks, turned by half their length
+_MARKS = ["signup", "purchase", "click"]
+_AUDIT_WINDOWS = (
+    "w0 AS (SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, avg(v) AS amp, avg(p) AS pace, avg(CASE WHEN e = 'error' THEN 1.0 ELSE 0 END) AS real, "
+    + ", ".join(f"avg(CASE WHEN e = '{m}' THEN 1.0 ELSE 0 END) >= 0.25 AS m_{m}" for m in _MARKS)
+    + " FROM (SELECT k, unnest(range(0, n - 15, 8)) AS lo FROM (SELECT k, count(*) AS n FROM s GROUP BY k) WHERE n >= 16) wd JOIN s ON s.k = wd.k AND s.i >= lo AND s.i < lo + 16 GROUP BY wd.k, lo), "
+    "wn AS (SELECT *, ('0x' || substr(md5('n:' || k || ':' || win), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS \"null\", win >= 1 AS inside, count(*) OVER (PARTITION BY k) AS nw FROM w0), "
+    "mk AS (SELECT k, win, nw, unnest([" + ", ".join(f"{{'marker': '{m}', 'marked': m_{m}}}" for m in _MARKS) + "], recursive := true) FROM wn), "
+    "fm AS (SELECT k, win, marker, 'markers' AS family, marked FROM mk UNION ALL SELECT k, (win + nw // 2) % nw, marker, 'placebo', marked FROM mk), "
+    "sd AS (SELECT stddev_pop(amp) AS sa, stddev_pop(pace) AS sp FROM wn), "
+    "x AS (SELECT fm.*, amp, pace, real, \"null\", inside FROM fm JOIN wn USING (k, win)), "
+    "pr AS (SELECT a.k, a.family, a.marker, a.inside AND b.inside AS inside, a.win AS c, b.win AS d, round(pow((a.amp - b.amp) / sa, 2) + pow((a.pace - b.pace) / sp, 2), 12) AS d2, a.real - b.real AS real, a.\"null\" - b.\"null\" AS nul FROM x a JOIN x b ON a.k = b.k AND a.family = b.family AND a.marker = b.marker AND a.marked AND NOT b.marked JOIN sd ON true WHERE pow((a.amp - b.amp) / sa, 2) + pow((a.pace - b.pace) / sp, 2) <= 1), "
+    "mt0 AS (SELECT k, family, marker, c, arg_min(inside, (d2, d)) AS inside, arg_min(real, (d2, d)) AS real, arg_min(nul, (d2, d)) AS nul FROM pr GROUP BY ALL), "
+    "mt1 AS (SELECT k, family, marker, inside, unnest(['real', 'null']) AS model, unnest([real, nul]) AS diff FROM mt0), "
+    "mt AS (SELECT k, family, marker, model, 'sensitivity' AS subset, diff FROM mt1 UNION ALL SELECT k, family, marker, model, 'primary', diff FROM mt1 WHERE inside), "
+    "c0 AS (SELECT family, marker, model, subset, k, sum(diff) AS s, count(*) AS n FROM mt GROUP BY ALL), "
+    "cl AS (SELECT *, row_number() OVER (PARTITION BY family, marker, model, subset ORDER BY k) - 1 AS id FROM c0), "
+    "sz AS (SELECT family, marker, model, subset, count(*) AS m, sum(s) AS s, sum(n) AS n FROM cl GROUP BY ALL), "
+    "dr AS (SELECT family, marker, model, subset, b, ('0x' || substr(md5('b:' || b || ':' || j), 1, 8))::BIGINT % m AS id FROM (SELECT *, unnest(range(0, m)) AS j FROM sz), range(0, 400) r(b)), "
+    "bm AS (SELECT family, marker, model, subset, b, sum(s) / sum(n) AS mean FROM dr JOIN cl USING (family, marker, model, subset, id) GROUP BY ALL), "
+    "bs AS (SELECT family, marker, model, subset, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi, avg((mean <= 0)::INT) AS below, avg((mean >= 0)::INT) AS above FROM bm GROUP BY ALL), "
+    "ad AS (SELECT family, marker, model, subset, m, n, s / n AS shift, CASE WHEN m >= 10 THEN lo END AS lo, CASE WHEN m >= 10 THEN hi END AS hi, CASE WHEN m >= 10 THEN greatest(1.0 / 400, least(1.0, 2 * least(below, above))) END AS p FROM sz JOIN bs USING (family, marker, model, subset))"
+)
+
+
+@query("s10_full_audit", f"WITH {EV}, {_AUDIT_WINDOWS} SELECT family, marker, model, subset, m AS clusters, CAST(n AS BIGINT) AS pairs, round(shift, 6) AS shift, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN least(1.0, p * count(p) OVER (PARTITION BY family, model, subset)) END, 6) AS adjusted FROM ad")
+def s10_full(t):
+    """Matched shift of an outcome and of a random one (the null model) at every marker and at its placebo, over all
+    windows and over those inside the span: cluster bootstrap interval, p, and p corrected within the family."""
+    g = windowed(ev(t), 16, 8).groupBy("k", F.col("win").cast("long").alias("win"))
+    share = lambda e: F.avg((F.col("e") == e).cast("double"))
+    w = g.agg(F.avg("v").alias("amp"), F.avg("p").alias("pace"), share("error").alias("real"), *[(share(m) >= 0.25).alias(f"m_{m}") for m in _MARKS])
+    w = N.written(w.withColumns({"null": N.draw(F.lit("n"), F.col("k"), F.col("win")) / 4294967296.0, "inside": F.col("win") >= 1, "nw": F.count(F.lit(1)).over(S.whole())}))
+    marks = w.select("k", "win", "nw", F.explode(F.create_map(*[x for m in _MARKS for x in (F.lit(m), F.col(f"m_{m}"))])).alias("marker", "marked"))
+    turned = marks.withColumn("win", (F.col("win") + F.floor(F.col("nw") / 2)) % F.col("nw"))
+    both = marks.withColumn("family", F.lit("markers")).union(turned.withColumn("family", F.lit("placebo"))).drop("nw")
+    x = w.select("k", "win", "amp", "pace", "real", "null", "inside")
+    rows = N.written(both.join(x.hint("merge"), ["k", "win"]).withColumn("g", F.concat_ws("|", F.col("k").cast("string"), "family", "marker")))
+    sds = w.agg(F.stddev_pop("amp").alias("amp"), F.stddev_pop("pace").alias("pace")).first().asDict()
+    m = nearest_match(rows.where("marked"), rows.where("not marked"), "g", ["amp", "pace"], 1.0, "win", sds)
+    side = lambda win, n: rows.select("g", F.col("win").alias(win), F.col("real").alias(f"real{n}"), F.col("null").alias(f"null{n}"), F.col("inside").alias(f"inside{n}"), *(["k", "family", "marker"] if n else []))
+    j = m.join(side("case", 1).hint("merge"), ["g", "case"]).join(side("control", 0).hint("merge"), ["g", "control"])
+    inside = F.col("inside1") & F.col("inside0")
+    d = j.select("k", "family", "marker", inside.alias("inside"), F.explode(F.create_map(F.lit("real"), F.col("real1") - F.col("real0"), F.lit("null"), F.col("null1") - F.col("null0"))).alias("model", "diff"))
+    d = d.withColumn("subset", F.explode(F.when(F.col("inside"), F.array(F.lit("sensitivity"), F.lit("primary"))).otherwise(F.array(F.lit("sensitivity")))))
+    b = N.cluster_bootstrap(N.written(d), "k", "diff", 400, by=["family", "marker", "model", "subset"])
+    return N.bonferroni(b, "p", F.col("p").isNotNull(), ["family", "model", "subset"]).select("family", "marker", "model", "subset", "clusters", "pairs", *[r6(c, c) for c in ("shift", "lo", "hi", "p", "adjusted")])
+
+
+@query("s18_held_out_dependence")
+def s18(t):
+    """Whether the halves of the vectors depend on each other, by a model that tells real pairs from mixed ones, and
+    for comparison whether the first eight dimensions depend on a noisy copy of themselves."""
+    noise = F.transform(F.slice("x", 1, 8), lambda e, i: e + 0.05 * (N.draw(F.lit("noise"), F.col("vec_id"), i) / 4294967296.0 - 0.5))
+    d = em(t).select("vec_id", F.slice("x", 1, 8).alias("a"), F.slice("x", 33, 8).alias("b"), noise.alias("c"))
+    both = [L.dependence(d, "vec_id", "a", o).withColumn("pair", F.lit(n)) for n, o in (("halves", "b"), ("copies", "c"))]
+    return both[0].union(both[1]).select("pair", "n", r6("accuracy", "accuracy"), r6("jsd", "jsd"), "verdict")
+
+
 @query("m09_labelled_window_dataset", f"WITH {EV}, wd AS (SELECT k, unnest(range(0, n - 15, 8)) AS lo FROM (SELECT k, count(*) AS n FROM s GROUP BY k) WHERE n >= 16), w AS (SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, avg(v) AS x, avg((e = 'signup')::INT) AS a, avg((e = 'purchase')::INT) AS b FROM wd JOIN s ON s.k = wd.k AND s.i >= lo AND s.i < lo + 16 GROUP BY wd.k, lo) SELECT k, win, unnest(['signup', 'purchase']) AS label_source, unnest([a >= 0.25, b >= 0.25]) AS label, round(x, 6) AS x FROM w")
 def m09(t):
-    from tidemark.plans.windows_queries import windowed
-
     share = lambda e: F.avg((F.col("e") == e).cast("double")) >= 0.25
     g = windowed(ev(t), 16, 8).groupBy("k", F.col("win").cast("long").alias("win")).agg(F.avg("v").alias("x"), share("signup").alias("a"), share("purchase").alias("b"))
     return g.select("k", "win", F.explode(F.create_map(F.lit("signup"), "a", F.lit("purchase"), "b")).alias("label_source", "label"), r6("x", "x"))
