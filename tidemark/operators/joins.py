@@ -14,13 +14,14 @@ def audit_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return k.agg(F.count_if((F.col("l") > 0) & (F.col("r") > 0)).alias("matched"), F.count_if(F.col("r") == 0).alias("left_only"), F.count_if(F.col("l") == 0).alias("right_only"), F.round(F.count_if((F.col("l") > 0) & (F.col("r") > 0)) / F.count_if(F.col("l") > 0), 6).alias("share"))
 
 
-def interval_rows(rows: DataFrame, spans: DataFrame, bucket: int, key: str = "k", idx: str = "i", lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Rows of a series with each span ``[lo, hi]`` of their key that holds them.
+def interval_rows(rows: DataFrame, spans: DataFrame, bucket: int, key: str = "k", idx: str = "i", lo: str = "lo", hi: str = "hi", select: Column | None = None) -> DataFrame:
+    """Rows of a series with each span ``[lo, hi]`` of their key that holds them; of the spans, those that ``select``
+    (a condition on their columns) takes.
 
     Spans are repeated once per bucket of ``bucket`` rows that they touch, so the join is an equi-join on key and
     bucket and a long series is spread over tasks; the range is a residual condition.
     """
-    s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
+    s = (spans if select is None else spans.where(select)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
     r = rows.withColumn("_b", F.floor(F.col(idx) / bucket))
     on = (F.col(f"r.{key}") == F.col(f"s.{key}")) & (F.col("r._b") == F.col("s._b")) & F.col(f"r.{idx}").between(F.col(f"s.{lo}"), F.col(f"s.{hi}"))
     extra = [c for c in spans.columns if c != key]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import columns as C
+from tidemark.functions import signals as G
 from tidemark.operators import inference as N
 from tidemark.operators import logistic as L
 from tidemark.operators import series as S
@@ -22,8 +22,9 @@ WHOLE_B = 4000
 
 def match_diffs(t):
     """Outcome difference of each matched pair of windows."""
-    w = audit_windows(t).select("k", "win", "y")
-    m = matched(t)
+    w = N.written(audit_windows(t))
+    m = matched(t, w)
+    w = w.select("k", "win", "y")
     a = w.select("k", F.col("win").alias("case"), F.col("y").alias("y1"))
     b = w.select("k", F.col("win").alias("control"), F.col("y").alias("y0"))
     return m.join(a.hint("merge"), ["k", "case"]).join(b.hint("merge"), ["k", "control"]).select("k", (F.col("y1") - F.col("y0")).alias("diff"))
@@ -344,3 +345,14 @@ def m09(t):
     share = lambda e: F.avg((F.col("e") == e).cast("double")) >= 0.25
     g = windowed(ev(t), 16, 8).groupBy("k", F.col("win").cast("long").alias("win")).agg(F.avg("v").alias("x"), share("signup").alias("a"), share("purchase").alias("b"))
     return g.select("k", "win", F.explode(F.create_map(F.lit("signup"), "a", F.lit("purchase"), "b")).alias("label_source", "label"), r6("x", "x"))
+
+
+_U02 = ("value", "smoothed", "less the other axis")
+
+
+@query("u02_signal_family", f"WITH {EV}, n AS (SELECT k, count(*) AS n FROM s GROUP BY k), q AS (SELECT s.k, s.i, v, v - p AS o, (coalesce(lag(v) OVER w, v) + v + coalesce(lead(v) OVER w, v)) / 3 AS m, e = 'error' AS y FROM s WINDOW w AS (PARTITION BY s.k ORDER BY s.i)), f AS (SELECT k % 4 AS g, y, unnest({list(_U02)!r}) AS name, unnest([v, m, o]) AS score FROM q), g AS (SELECT g, name, score, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS n FROM f GROUP BY ALL), w2 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY g, name ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT g, name, round((sum(p * (below + n / 2.0)) / (sum(p) * sum(n)))::DOUBLE, 6) AS auc FROM w2 GROUP BY 1, 2")
+def u02(t):
+    """AUC of every signal of a named family in every group of users."""
+    d = N.written(ev(t).select("k", "i", "v", "p", "e"))
+    j = G.scores(d, "level").join(d.select("k", "i", "e").hint("merge"), ["k", "i"]).withColumn("g", F.col("k") % 4)
+    return N.auc(j.select("g", "name", F.round("score", 9).alias("score"), "e"), "score", F.col("e") == "error", ["g", "name"]).select("g", "name", r6("auc", "auc"))

@@ -73,8 +73,8 @@ def audit_windows(t):
     return g.agg(F.avg("v").alias("amp"), F.avg("p").alias("pace"), F.avg((F.col("e") == "error").cast("double")).alias("y"), (F.avg((F.col("e") == "signup").cast("double")) >= 0.25).alias("marked"))
 
 
-def matched(t):
-    w = audit_windows(t)
+def matched(t, w=None):
+    w = audit_windows(t) if w is None else w
     return J.nearest_match(w.where("marked"), w.where("not marked"), "k", ["amp", "pace"], 1.0, "win")
 
 
@@ -127,3 +127,10 @@ def c11(t):
 def c12(t):
     g = t("conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("arms"))
     return g.withColumn("status", F.when(F.size("arms") == 2, "ok").when(F.size("arms") < 2, "single").otherwise("extra"))
+
+
+@query("u01_selected_intervals", f"WITH {EV}, {SPANS} SELECT s.k, s.i, count(*) AS spans FROM s JOIN sp ON sp.k = s.k AND s.i BETWEEN lo AND hi WHERE hi - lo >= 2 AND sp.id % 3 <> 0 GROUP BY 1, 2")
+def u01(t):
+    """Rows inside the intervals that a predicate, any column expression, selects."""
+    chosen = (F.col("hi") - F.col("lo") >= 2) & (F.col("id") % 3 != 0)
+    return J.interval_rows(ev(t).select("k", "i"), spans(t), 64, select=chosen).groupBy("k", "i").agg(F.count("*").alias("spans"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators import reports as R
 from tidemark.operators import series as S
+from tidemark.operators.inference import spearman
 from tidemark.plans.registry import query
 from tidemark.plans.scalars_queries import _TOK, TYPES
 from tidemark.plans.windows_queries import EM, EV, em, ev, r6
+from tidemark.sources.ingest import first_of_each
 
 
 @query("d01_status_counts", "SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END) AS groups FROM orders GROUP BY 1")
@@ -123,12 +125,30 @@ def d14(t):
     return R.fleiss_kappa(d, "doc_id", "y")
 
 
-@query("d15_latency_summary", "WITH r AS (SELECT event_type AS e, avg(value) AS m FROM events GROUP BY event_type, user_id) SELECT e.event_type AS module, min(value) AS fastest, round(avg(value), 6) AS mean, round(median(value), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(1000 / avg(value), 6) AS rate, round((SELECT stddev_pop(m) / avg(m) FROM r WHERE r.e = e.event_type), 6) AS noise FROM events e GROUP BY 1")
+_FACTS = "CASE WHEN count(*) < 100 THEN 'too_few_samples' WHEN n.noise > 0.5 THEN 'noisy' WHEN quantile_cont(value, 0.99) > 10 * median(value) THEN 'long_tail' ELSE 'reportable' END"
+
+
+@query("d15_latency_summary", f"WITH r AS (SELECT event_type AS e, avg(value) AS m FROM events GROUP BY event_type, user_id), n AS (SELECT e, stddev_pop(m) / avg(m) AS noise FROM r GROUP BY 1) SELECT event_type AS module, count(*) AS samples, min(value) AS fastest, round(avg(value), 6) AS mean, round(median(value), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(1000 / avg(value), 6) AS rate, round(n.noise, 6) AS noise, {_FACTS} AS verdict FROM events JOIN n ON n.e = event_type GROUP BY event_type, n.noise")
 def d15(t):
     e = t("events").withColumnRenamed("event_type", "module")
-    noise = e.groupBy("module", "user_id").agg(F.avg("value").alias("m")).groupBy("module").agg(r6(F.stddev_pop("m") / F.avg("m"), "noise"))
-    s = e.groupBy("module").agg(F.min("value").alias("fastest"), F.avg("value").alias("a"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
-    return s.join(noise.hint("merge"), "module").select("module", "fastest", r6("a", "mean"), *[r6(F.col("p")[i], n) for i, n in enumerate(("p50", "p95", "p99"))], r6(1000 / F.col("a"), "rate"), "noise")
+    noise = e.groupBy("module", "user_id").agg(F.avg("value").alias("m")).groupBy("module").agg((F.stddev_pop("m") / F.avg("m")).alias("noise"))
+    s = e.groupBy("module").agg(F.count("*").alias("samples"), F.min("value").alias("fastest"), F.avg("value").alias("a"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
+    p = F.col("p")
+    verdict = F.when(F.col("samples") < 100, "too_few_samples").when(F.col("noise") > 0.5, "noisy").when(p[2] > 10 * p[0], "long_tail").otherwise("reportable")
+    return s.join(noise.hint("merge"), "module").select("module", "samples", "fastest", r6("a", "mean"), *[r6(p[i], n) for i, n in enumerate(("p50", "p95", "p99"))], r6(1000 / F.col("a"), "rate"), r6("noise", "noise"), verdict.alias("verdict"))
+
+
+_SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+@query("d16_percentiles_and_extremes", f"SELECT l_returnflag AS flag, list_transform(quantile_cont(l_extendedprice, {_SHARES!r}), lambda x: round(x, 6)) AS percentiles, list_sort(list(l_extendedprice ORDER BY l_extendedprice))[1:5] AS lowest, list_reverse_sort(list(l_extendedprice ORDER BY l_extendedprice DESC))[1:5] AS highest FROM lineitem GROUP BY 1")
+def d16_extremes(t):
+    """Percentiles of a group, and its five least and greatest values, of which each task keeps its own five."""
+    d = t("lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("x"), "l_orderkey", "l_linenumber")
+    p = d.groupBy("flag").agg(F.transform(F.percentile("x", F.array(*[F.lit(q) for q in _SHARES])), lambda x: F.round(x, 6)).alias("percentiles"))
+    low = first_of_each(d, "flag", "x", 5).groupBy("flag").agg(F.array_sort(F.collect_list("x")).alias("lowest"))
+    high = first_of_each(d.withColumn("y", -F.col("x")), "flag", "y", 5).groupBy("flag").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("highest"))
+    return p.join(low.hint("merge"), "flag").join(high.hint("merge"), "flag")
 
 
 @query("d16_fixed_bin_histogram", "SELECT CAST(greatest(0, least(11, floor((l_quantity - 0) / 5) + 1)) AS BIGINT) AS bin, count(*) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1")
@@ -191,3 +211,12 @@ def d24(t):
     d = em(t).select("k", (F.col("x")[0] > 0).alias("on_"), F.posexplode("x").alias("dim", "e"))
     e = d.groupBy("k", "dim").agg(F.avg(F.when(F.col("on_"), F.col("e"))).alias("a"), F.avg(F.col("on_").cast("double")).alias("share"))
     return e.groupBy("k").agg(F.max_by("dim", F.struct("a", F.negative("dim"))).alias("top"), r6(F.max("a"), "value"), (F.max("share") >= 0.5).alias("usable"))
+
+
+@query("d24_class_means_and_correlations", f"WITH {EM}, e AS (SELECT k, i, j, x[j] AS e FROM m, range(1, 65) r(j)), r AS (SELECT j, rank() OVER (PARTITION BY j ORDER BY k) + (count(*) OVER (PARTITION BY j, k) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY j ORDER BY e) + (count(*) OVER (PARTITION BY j, e) - 1) / 2.0::DOUBLE AS b FROM e), c AS (SELECT j, corr(a, b) AS rho FROM r GROUP BY j), g AS (SELECT k, j, avg(e) AS mean FROM e GROUP BY k, j) SELECT CAST(g.j - 1 AS INTEGER) AS dim, list(round(mean, 6) ORDER BY k) AS means, round(any_value(rho), 6) AS rho FROM g JOIN c ON c.j = g.j GROUP BY g.j")
+def d24_classes(t):
+    """Per dimension the mean of every group, and the rank correlation of the dimension with the group's number."""
+    e = em(t).select("k", F.posexplode("x").alias("dim", "e"))
+    means = e.groupBy("dim", "k").agg(F.avg("e").alias("mean")).groupBy("dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "mean"))), lambda s: F.round(s["mean"], 6)).alias("means"))
+    rho = spearman(e, "k", "e", ["dim"]).select("dim", r6("rho", "rho"))
+    return means.join(rho.hint("merge"), "dim")

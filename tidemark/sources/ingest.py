@@ -82,7 +82,7 @@ def verify_sample(df: DataFrame, key: str, n: int, seed: str = "v") -> DataFrame
 def stratified_sample(df: DataFrame, key: str, group: str, n: int, groups: int, seed: str = "g") -> DataFrame:
     """``n // groups`` rows of each group by seeded hash, topped up to ``n`` from the rest in the same order."""
     h = df.withColumn("_h", hash_rank(F.col(key), seed))
-    ranked = h.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_h")))
+    ranked = h.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_h"))).where(F.col("_r") <= n)  # no group gives more
     return ranked.orderBy(F.col("_r") > n // groups, "_h").limit(n).drop("_h", "_r")
 
 
