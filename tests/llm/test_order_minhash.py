@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import order_minhash as om
 from tidemark.llm._words import Words
@@ -131,3 +132,87 @@ def test_rounds_link_what_the_smallest_id_does_not(spark):
 
 def test_empty_table(spark):
     assert om.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_alignment_of_unique_and_of_repeating_runs():
+    r = random.Random(8)
+    for k in (3, 40, 5000):
+        for _ in range(60):
+            a = np.array([r.randrange(k) for _ in range(r.randrange(0, 50))], np.uint64)
+            b = np.array([x for x in a.tolist() if r.random() < 0.8] + [r.randrange(k) for _ in range(r.randrange(0, 9))], np.uint64)
+            want = lcs(a.tolist(), b.tolist())
+            assert om.aligned_runs(a, b, 200) == want == om._banded_bits(a, b, 200)
+            for band in (0, 1, 4, 11):
+                inside = banded_lcs(a.tolist(), b.tolist(), band)
+                assert om._banded_bits(a, b, band) == inside <= om.aligned_runs(a, b, band) <= want  # equal ends may lie outside the band
+
+
+def banded_lcs(a, b, band):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            t[i][j] = max(t[i - 1][j], t[i][j - 1], t[i - 1][j - 1] + 1 if x == y and abs(i - j) <= band else 0)
+    return t[-1][-1]
+
+
+def test_long_texts_are_aligned_fast():
+    import time
+
+    r = random.Random(9)
+    words = [f"w{r.randrange(5000)}" for _ in range(100_000)]
+    other = list(words)
+    for _ in range(1500):
+        other[r.randrange(len(other))] = "x"
+    runs, limits = Words([" ".join(words), " ".join(other)]).grams(5)
+    began = time.process_time()
+    got = om.similarity(runs[: limits[1]], runs[limits[1] :], 0.8)
+    assert 0.8 < got < 0.95 and time.process_time() - began < 1.0
+
+
+def test_pages_of_one_template_meet_on_rare_runs(spark, monkeypatch):
+    r = random.Random(10)
+    template = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(60):  # about half of each page is the template's
+        rows.append((i, " ".join(template + [f"p{i}x{j}" for j in range(r.choice([80, 100]))])))
+    for i in range(60, 90):  # near copies of some of them
+        w = rows[i - 60][1].split()
+        w[r.randrange(len(w))] = "changed"
+        rows.append((i, " ".join(w)))
+    rows += [(90, None), (91, ""), (92, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    runs = {i: brute_runs(t) for i, t in rows}
+    near = [(a, b) for a in runs for b in runs if a < b and runs[a] and runs[b] and abs(len(runs[a]) - len(runs[b])) < 40 and brute_similarity(runs[a], runs[b]) >= 0.8]
+    want = classes(near, runs)
+    plain = {r["doc_id"]: r["class_id"] for r in om.near_duplicates(df).collect()}
+    used = []
+    monkeypatch.setattr(om, "rare_runs", lambda *a, f=om.rare_runs: used.append(1) or f(*a))
+    monkeypatch.setattr(om, "BUCKET_PAIRS", 3)
+    assert {r["doc_id"]: r["class_id"] for r in om.near_duplicates(df).collect()} == plain == want and used
+
+
+def test_rare_runs_hold_one_of_every_like_pair(spark):
+    import tidemark.llm._base as base
+
+    rows = [x[:2] for x in fixture_rows() if x[0] is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string").dropDuplicates(["doc_id"])
+    members = df.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("class"), F.lit(1).cast("long").alias("runs"))
+    rare = {}
+    for x in om.rare_runs(base.Scratch(spark, "t"), members, df, "doc_id", "text", 0.8).collect():
+        rare.setdefault(x["id"], set()).add(x["run"])
+    runs = {r["doc_id"]: brute_runs(r["text"]) for r in df.collect()}
+    for a in runs:
+        for b in runs:
+            if a < b and runs[a] and runs[b] and brute_similarity(runs[a], runs[b]) >= 0.8:
+                assert rare[a] & rare[b]
+
+
+def test_components_of_a_hub_a_chain_and_by_shuffles(spark, monkeypatch):
+    import tidemark.llm._base as base
+
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(37)] + [(1037, 5), (2000, 2001), (2001, 2000), (7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = classes([(min(e), max(e)) for e in edges], {x for e in edges for x in e})
+    for rows in (base.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(base, "BROADCAST_ROWS", rows)
+        assert {r["id"]: r["class_id"] for r in base.components(base.Scratch(spark, "t"), df).collect()} == want

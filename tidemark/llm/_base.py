@@ -24,9 +24,12 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset (tests), a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A local one takes its place only if that is unset and
+    all executors are in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -69,6 +72,22 @@ class Scratch:
             _delete(self.spark, t._scratch_path)  # type: ignore[attr-defined]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with marks before it the first that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def beside(docs: DataFrame, names: list[str], step) -> DataFrame:
+    """``step(docs)`` with only the columns of ``docs``, where ``step`` adds or replaces the columns ``names``: own
+    columns of those names are put aside for it and come back as they were."""
+    moved = {c: free_name(docs, f"_own_{c}") for c in docs.columns if c.lower() in {n.lower() for n in names}}
+    out = step(docs.withColumnsRenamed(moved) if moved else docs)
+    return out.select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -89,17 +108,19 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps until every component is a star around its smallest id: each step is a
     join and two aggregations over the edges, which are written out after each round; only a count of the ids that
-    break the star comes to the driver.
+    break the star comes to the driver. The least neighbours are a written table with one row per id: broadcast while it
+    is small, else joined by a plain shuffle, so that adaptive execution can split the links of a hub.
     """
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _is_star(now):
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = lookup_join(both, low, ["u"], "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.save(large, "large")
+        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = lookup_join(large, low2, ["u"], "inner").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = scratch.save(small, "edges")
-        scratch.drop(now)
+        scratch.drop(now, low, large, low2)
         now = new
     return now.select(F.col("u").alias("id"), F.col("v").alias("class_id")).union(now.select("v", "v").distinct())
 
@@ -111,12 +132,12 @@ def _is_star(edges: DataFrame) -> bool:
     return seen.where("lo <> hi or (root = 1 and lo is not null)").isEmpty()
 
 
-def append_columns(df: DataFrame, inputs: list[str], fields: str, make, texts_in: int = 0, part: int = 1_000_000) -> DataFrame:
+def append_columns(df: DataFrame, inputs: list[str], fields: str, make, texts_in: int = 0, part: int = 1_000_000, without: tuple[str, ...] = ()) -> DataFrame:
     """All rows and columns of ``df`` with new ones computed in Python from the columns ``inputs``.
 
     ``make`` gets one list per input and returns one list or numpy array per new column. Batches are split so that the
     texts of input number ``texts_in`` hold about ``part`` characters at once. Columns of ``df`` that have the name of
-    a new one are replaced.
+    a new one are replaced, those ``without`` names are left out.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -126,7 +147,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: str, make, texts_in
 
     importable(df.sparkSession)
     new = StructType.fromDDL(fields)
-    gone = {f.name.lower() for f in new}
+    gone = {f.name.lower() for f in new} | {c.lower() for c in without}
     kept = [f for f in df.schema if f.name.lower() not in gone]
     schema = StructType([*kept, *new])
     new_arrow = to_arrow_schema(new)

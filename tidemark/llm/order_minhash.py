@@ -14,7 +14,10 @@ makes it sensitive to edit similarity rather than to set overlap alone.
    members outside the commonest class are paired with every member of another class. A pair is compared unless it
    can't reach the threshold: each text carries the parities of its labelled runs in ``64 * PARITIES`` hash cells, and
    as many runs at least are in one text only as there are cells in which two texts differ. That is an exact bound,
-   so no link is lost, while the unlike pairs of a large family never leave the join.
+   so no link is lost, while the unlike pairs of a large family never leave the join;
+4. buckets with many such pairs, as of pages made from one template, are not paired at all. Two texts of similarity t
+   share one of the ``(1 - t) n + 1`` rarest labelled runs of either (n its runs), in any order of all runs; members of
+   those buckets meet on these rare runs only, which what they have in common with all the others is not among.
 
 The similarity is that of aligned runs of five words: ``aligned / (a + b - aligned)`` where ``aligned`` is the longest
 common subsequence of the two run sequences within a band. Two texts that reach the threshold cannot leave that band.
@@ -24,6 +27,7 @@ Without moved passages it equals the Jaccard similarity of the labelled runs.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import Scratch, components, importable, lookup_join
+from tidemark.llm._base import BROADCAST_ROWS, Scratch, components, free_name, importable, lookup_join
 from tidemark.llm._words import Words, chunks, mix
 
 WORDS = 5
@@ -39,6 +43,12 @@ THRESHOLD = 0.8
 COMPONENTS = 16
 SAMPLED = 4
 PARITIES = 16
+#: Pairs of equal runs for a run, beyond which two texts are aligned by bits
+REPEATS = 8
+#: Buckets with more pairs than this, about a second of a task to tell apart by parities, go by rare runs instead;
+#: cells in which those are counted
+BUCKET_PAIRS = 1 << 24
+CELLS = 1 << 22
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.default_rng(6).integers(1, 2**63, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -78,37 +88,67 @@ def parities(runs: np.ndarray) -> np.ndarray:
     return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
 
 
-def aligned_runs(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest common subsequence whose pairs (i, j) have |i - j| <= band.
-
-    Equal ends are stripped, then rows of b update one bit vector over a (bit-parallel LCS); only bits inside the band
-    can match.
-    """
+def _ends(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many runs two sequences share at their begin, and at their end beyond that."""
     n = min(len(a), len(b))
     diff = np.flatnonzero(a[:n] != b[:n])
     head = int(diff[0]) if len(diff) else n
-    a, b = a[head:], b[head:]
-    n = min(len(a), len(b))
+    n -= head
     diff = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
-    tail = int(diff[0]) if len(diff) else n
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    return head, int(diff[0]) if len(diff) else n
+
+
+def aligned_runs(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence whose pairs (i, j) have |i - j| <= band.
+
+    Equal ends are stripped. Runs of five words seldom repeat, so there are about as many pairs of equal runs as runs:
+    the longest ascending chain of them is found by bisection, in n log n. Texts that repeat themselves go through a bit
+    vector as wide as the band instead.
+    """
+    head, tail = _ends(a, b)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if not len(a) or not len(b):
         return head + tail
+    order = np.argsort(b, kind="stable")
+    lo, hi = (np.searchsorted(b[order], a, side=side) for side in ("left", "right"))
+    count = hi - lo
+    if int(count.sum()) > REPEATS * (len(a) + len(b)):
+        return head + tail + _banded_bits(a, b, band)
+    i = np.repeat(np.arange(len(a)), count)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+    near = np.abs(i - j) <= band
+    i, j = i[near], j[near]
+    ends: list[int] = []  # the least last place of a chain of each length
+    for place in j[np.lexsort((-j, i))].tolist():
+        if not ends or place > ends[-1]:
+            ends.append(place)
+        else:
+            ends[bisect_left(ends, place)] = place
+    return head + tail + len(ends)
+
+
+def _banded_bits(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The same by bit-parallel rows over b. Only the places of a inside the band are held: what falls out below is
+    final, as a match changes no bit beneath it."""
     places: dict[int, int] = {}
     for i, v in enumerate(a.tolist()):
         places[v] = places.get(v, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    v, wide = full, 2 * band + 1
+    n, done, base, top = len(a), 0, 0, min(len(a), band)
+    v = (1 << top) - 1
     for j, w in enumerate(b.tolist()):
-        m = places.get(w)
-        if m is None:
-            continue
-        lo = max(0, j - band)
-        m &= ((1 << wide) - 1) << lo if j >= band else (1 << (j + band + 1)) - 1
-        if m:
+        if top < n and top <= j + band:
+            v |= 1 << (top - base)
+            top += 1
+        if base < j - band:
+            if base >= top:
+                break
+            done += not v & 1
+            v >>= 1
+            base += 1
+        if m := (places.get(w, 0) >> base) & ((1 << (top - base)) - 1):
             u = v & m
-            v = ((v + u) | (v - u)) & full
-    return head + tail + len(a) - v.bit_count()
+            v = ((v + u) | (v - u)) & ((1 << (top - base)) - 1)
+    return done + (top - base) - v.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
@@ -170,6 +210,62 @@ def verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, doc_id: str, t
     return links
 
 
+def rare_runs(scratch: Scratch, members: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """``(run, rank, id, class, runs)``: the rarest labelled runs of each of the ``members(id, class, runs)`` that a text
+    of similarity ``threshold`` must have one of, with their place among all its runs, the rarest first. Rare is what falls in a seldom-hit one of ``CELLS`` hash cells, counted over the members; any
+    order of the runs would be exact, this one keeps the runs of a template out. Runs of cells that only one member hits
+    are in no other text and are left out."""
+    one = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    kinds = scratch.save(members.select("id", "class", "runs").distinct(), "members")
+    texts = scratch.save(lookup_join(one, kinds, ["id"], "inner").groupBy("id").agg(F.min("t").alias("t"), F.first("class").alias("class"), F.first("runs").alias("runs")), "texts")
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for pdf in frames:
+            got, own = pdf["t"].tolist(), list(zip(pdf["id"].tolist(), pdf["class"].tolist(), strict=True))
+            for lo, hi in chunks(got):
+                runs, limits = Words(got[lo:hi]).grams(WORDS)
+                yield from ((own[lo + d], labelled(runs[limits[d] : limits[d + 1]])) for d in range(hi - lo))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(CELLS, np.int64)
+        for _, runs in each(frames):
+            seen[np.unique((runs >> np.uint64(20)).astype(np.int64) % CELLS)] += 1
+        cells = np.flatnonzero(seen)
+        for a in range(0, len(cells), 100_000):
+            yield pd.DataFrame({"c": cells[a : a + 100_000], "n": seen[cells[a : a + 100_000]]})
+
+    table = texts.mapInPandas(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    hits = np.zeros(CELLS, np.int64)
+    hits[table.column("c").to_numpy()] = table.column("n").to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(hits.astype(np.float32))
+
+    def rarest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own, runs in each(frames):
+            n = len(runs) - int(np.ceil(threshold * len(runs) - 1e-9)) + 1
+            seen = sent.value[(runs >> np.uint64(20)).astype(np.int64) % CELLS]
+            first = np.lexsort((runs, seen))[:n]
+            rank = np.flatnonzero(seen[first] > 1)
+            yield pd.DataFrame({"run": runs[first[rank]].view(np.int64), "rank": rank, "id": own[0], "class": own[1], "runs": len(runs)})
+
+    return texts.mapInPandas(rarest, "run long, rank long, id long, class long, runs long")
+
+
+def _apart(groups: DataFrame, key: str, fits) -> DataFrame:
+    """Pairs ``(a, b)`` of members of one group of ``groups(key, id, class, main, ...)`` that are in different classes.
+    Members outside the group's commonest class are paired with all others; that reaches every pair of classes."""
+    x, y = groups.where("class <> main").alias("x"), groups.alias("y")
+    on = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.class") != F.col("y.class")) & fits
+    return x.join(y.hint("merge"), on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def _divided(members: DataFrame, key: str) -> DataFrame:
+    """The groups of ``members(key, id, class)`` that hold several classes: ``key``, ``main`` (the commonest class) and
+    ``pairs``, an upper bound of the pairs that ``_apart`` has to look at."""
+    per_class = members.groupBy(key, "class").agg(F.count("*").alias("n"))
+    main = per_class.groupBy(key).agg(F.count("*").alias("classes"), F.sum("n").alias("all"), F.max(F.struct("n", F.negative("class").alias("c"))).alias("m")).where("classes > 1")
+    return main.select(key, F.negative("m.c").alias("main"), ((F.col("all") - F.col("m.n")) * F.col("all")).alias("pairs"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per id: ``doc_id``, ``class_id`` (smallest id of its class), ``n_links`` (links of its text
     that were verified on the way; copies and pairs already in one class are not compared), ``n_copies`` (ids with the
@@ -194,18 +290,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = verified(scratch, pairs, docs, doc_id, text, threshold)
     classes = components(scratch, links)
 
-    marked = buckets.select("bucket", "id").join(classes.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("class_id", "id").alias("class"))
-    per_class = marked.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    main = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", F.negative("class").alias("c"))).alias("m")).where("classes > 1").select("bucket", F.negative("m.c").alias("main"))
-    still = marked.join(main.hint("merge"), "bucket").join(reps.select(F.col("rep").alias("id"), "runs", "bits").hint("merge"), "id")
-    still = scratch.save(still, "unresolved")
-    x, y = still.where("class <> main").alias("x"), still.alias("y")
+    marked = lookup_join(buckets.select("bucket", "id"), classes, ["id"]).select("bucket", "id", F.coalesce("class_id", "id").alias("class"))
+    marked = scratch.save(marked, "marked")
+    divided = scratch.save(_divided(marked, "bucket"), "divided")
+    still = lookup_join(marked, divided, ["bucket"], "inner")
+    sized = reps.select(F.col("rep").alias("id"), "runs", "bits")
+    few = scratch.save(still.where(F.col("pairs") <= BUCKET_PAIRS).join(sized.hint("merge"), "id"), "unresolved")
     differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(PARITIES)), F.lit(0))
     longer, shorter = F.greatest("x.runs", "y.runs"), F.least("x.runs", "y.runs")
+    like = shorter >= longer * threshold - 1e-9
     # at the threshold, aligned runs are threshold / (1 + threshold) of both texts' runs; the others are in one text only
     most = (F.col("x.runs") + F.col("y.runs")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & (shorter >= longer * threshold - 1e-9) & (differ <= most)
-    rest = x.join(y.hint("merge"), on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    rest = _apart(few, "bucket", like & (differ <= most))
+    many = still.where(F.col("pairs") > BUCKET_PAIRS)
+    if not divided.where(F.col("pairs") > BUCKET_PAIRS).isEmpty():
+        members = many.select("id", "class").distinct().join(sized.select("id", "runs").hint("merge"), "id")
+        rare = scratch.save(rare_runs(scratch, members, docs, doc_id, text, threshold), "rare")
+        mixed = scratch.save(_divided(rare, "run"), "rare-divided")
+        # what two texts have in common from their first common run on
+        ahead = F.least(F.col("x.runs") - F.col("x.rank"), F.col("y.runs") - F.col("y.rank"))
+        enough = ahead >= (F.col("x.runs") + F.col("y.runs")) * (threshold / (1 + threshold)) - 1e-6
+        rest = rest.union(_apart(lookup_join(rare, mixed, ["run"], "inner"), "run", like & enough))
+    rest = rest.distinct()
     more = verified(scratch, scratch.save(rest, "pairs"), docs, doc_id, text, threshold)
     everything = links.union(more)
     if not more.isEmpty():
@@ -221,7 +327,8 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The rows of ``docs`` that are their class's smallest id, with their own columns. Rows without an id stay; of
     rows that share an id all stay or go together."""
     classes = near_duplicates(docs, doc_id, text, threshold)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    key = free_name(docs, "_gone")
+    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(key))
     n = gone.count()
-    small = F.broadcast(gone) if n <= 300_000 else gone.hint("shuffle_hash")
-    return docs.join(small, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    small = F.broadcast(gone) if n <= BROADCAST_ROWS else gone.hint("shuffle_hash")
+    return docs.join(small, F.col(doc_id).cast("long") == F.col(key), "left_anti")
