@@ -1,7 +1,6 @@
 """Conflict-constrained best-fit packing of documents into sequences of a fixed number of tokens.
 
-Documents are dealt by the hash of their id to shards of about ``SHARD_ROWS``, which pack for themselves, longest
-first. A shard keeps its open bins ordered by residual. A piece looks up the tightest bin that holds it and goes on to
+Documents are dealt at random to shards of about ``SHARD_ROWS``, which pack for themselves, longest first. A shard keeps its open bins ordered by residual. A piece looks up the tightest bin that holds it and goes on to
 the next wider ones until one has neither its source nor its duplicate cluster, which each bin carries as bitmaps; if
 none has room, it opens a bin. A document longer than a sequence is cut: full pieces fill bins of their own and the
 rest is packed like any other.
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import append_columns, importable
+from tidemark.llm._base import Scratch, append_columns, importable
 from tidemark.llm._words import Words
 
 CAPACITY = 2048
@@ -80,30 +79,34 @@ def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def word_lengths(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row with ``n_tokens`` (words, and an end mark) and ``cluster`` (digest of its words; null without any)."""
+    """Every row without its text, with ``n_tokens`` (words, and an end mark) and ``cluster`` (digest of its words; null
+    without any)."""
 
     def run(texts: list) -> tuple:
         w = Words(texts)
         digest = [hashlib.blake2b(w.hash[a:b].tobytes(), digest_size=8).hexdigest() if b > a else None for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         return w.counts + 1, digest
 
-    return append_columns(docs, [text], "n_tokens long, cluster string", run)
+    return append_columns(docs, [text], "n_tokens long, cluster string", run, without=(text,))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", tokens: str = "n_tokens", source: str = "source", cluster: str = "cluster", rows: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", tokens: str = "n_tokens", source: str = "source", cluster: str = "cluster") -> DataFrame:
     """Rows ``doc_id, piece, start, n_tokens, bin_id, bin_offset``: a document's tokens ``start .. start + n_tokens``
     are at ``bin_offset`` of sequence ``bin_id``. No bin has two pieces of one source or of one cluster, other than
     null ones, and none exceeds the capacity.
 
     Documents with null or no tokens have no piece. Null ids are packed like others; rows of one id are separate
-    documents of one cluster if their texts are. Other columns are not used; an empty table gives an empty result.
+    documents, of one cluster if their texts are. Other columns are not used; an empty table gives an empty result.
+
+    What is packed, ids and numbers but no texts, is written out first with the shard of each row drawn at random: so
+    repeated rows spread over the shards, and a task that runs again finds the same rows in its shard.
     """
-    importable(docs.sparkSession)
+    spark = docs.sparkSession
+    importable(spark)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(tokens).cast("long").alias("n_tokens"), F.col(source).cast("string").alias("source"), F.col(cluster).cast("string").alias("cluster")).where("n_tokens > 0")
-    n = own.count() if rows is None else rows
-    shards = max(1, -(-n // SHARD_ROWS))
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", "cluster"))
-    dealt = own.withColumn("shard", F.pmod(spread, F.lit(shards)).cast("long"))
+    rows = Scratch(spark, "packing").save(own.withColumn("spread", F.rand(5)), "lengths")
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    dealt = rows.withColumn("shard", F.least(F.floor(F.col("spread") * shards), F.lit(shards - 1)).cast("long")).drop("spread")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["doc_id"].isna()
@@ -122,4 +125,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", toke
 
 def pack_texts(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
     """``pack`` with words as tokens and exact copies as clusters. A null or empty text is its end mark alone."""
-    return pack(word_lengths(docs.select("doc_id", F.col(text).alias("text"), "source"), "text"), capacity, rows=docs.count())
+    return pack(word_lengths(docs.select("doc_id", F.col(text).alias("text"), "source"), "text"), capacity)
