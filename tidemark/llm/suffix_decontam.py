@@ -6,9 +6,11 @@ its longest verbatim match and all its places. A window (ten words of an item, o
 occurs marks its words in the document as hit.
 
 Only words of the benchmark can take part in a match, so a shard's array holds just the runs of such words that are as
-long as the shortest window; nothing that could match is left out. There is no shuffle. The benchmark goes out in
-blocks of at most ``BLOCK_CHARS`` characters, one narrow pass over the documents for each, so no broadcast grows with it.
-Words are compared by 64-bit hashes.
+long as the shortest window; no window that could match is left out. (A longest match shorter than that is not
+reported, and of one suffix's equally long matches in a shard only the first place is.) There is no shuffle. The
+benchmark goes out in blocks of at most ``BLOCK_CHARS`` characters, one narrow pass over the documents for each; after
+``CHAIN`` of them the rows are written and the blocks given up, so no worker holds more. Words are compared by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import append_columns, importable
+from tidemark.llm._base import Scratch, append_columns, beside, importable
 from tidemark.llm._words import Words
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
+CHAIN = 4
 _FIELDS = "n_words long, hit_spans array<struct<lo:int,hi:int>>, items array<string>, longest array<struct<item_id:string,item_pos:int,doc_pos:int,length:int>>"
 
 
@@ -172,15 +175,25 @@ def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     out = docs
     for c, kind in (("n_words", "long"), ("hit_spans", "array<struct<lo:int,hi:int>>"), ("items", "array<string>"), ("longest", "array<struct<item_id:string,item_pos:int,doc_pos:int,length:int>>")):
         out = out.withColumn(c, F.lit(None).cast(kind))
-    blocks = list(_blocks_out(docs, items, item_id, item_text, window)) or [docs.sparkSession.sparkContext.broadcast(TestSuffixes([], window))]
-    for sent in blocks:
-        out = append_columns(out, [text_col, "hit_spans", "items", "longest"], _FIELDS, lambda t, s, i, g, sent=sent: _scan(t, s, i, g, sent.value))
+    spark, held, scratch, written = docs.sparkSession, [], None, None
+    for n, block in enumerate(_item_blocks(items, item_id, item_text)):
+        if n and n % CHAIN == 0:
+            scratch = scratch or Scratch(spark, "decontamination")
+            out, before = scratch.save(out, "matches"), written
+            written = out
+            if before is not None:
+                scratch.drop(before)
+            while held:
+                held.pop().destroy()
+        held.append(spark.sparkContext.broadcast(TestSuffixes(block, window)))
+        out = _with_block(out, text_col, held[-1])
+    if not held:
+        out = _with_block(out, text_col, spark.sparkContext.broadcast(TestSuffixes([], window)))
     return out.withColumn("items", F.array_distinct("items"))
 
 
-def _blocks_out(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int):
-    for block in _item_blocks(items, item_id, item_text):
-        yield docs.sparkSession.sparkContext.broadcast(TestSuffixes(block, window))
+def _with_block(rows: DataFrame, text_col: str, sent) -> DataFrame:
+    return append_columns(rows, [text_col, "hit_spans", "items", "longest"], _FIELDS, lambda t, s, i, g: _scan(t, s, i, g, sent.value))
 
 
 def hit_words(spans: str = "hit_spans"):
@@ -198,9 +211,5 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a hit word, with their own columns."""
-    if clash := {"n_words", "hit_spans", "items", "longest"} & {c.lower() for c in docs.columns}:
-        renamed = {c: f"_own_{c}" for c in docs.columns if c.lower() in clash}
-        back = {v: k for k, v in renamed.items()}
-        return remove_contaminated(docs.withColumnsRenamed(renamed), items).withColumnsRenamed(back)
-    return find_matches(docs, items).where(F.size("hit_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without a hit word, with their own columns, whatever their names."""
+    return beside(docs, ["n_words", "hit_spans", "items", "longest"], lambda d: find_matches(d, items).where(F.size("hit_spans") == 0))
