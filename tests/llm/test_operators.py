@@ -68,6 +68,7 @@ def test_decontamination_equals_brute_force(spark):
 def test_decontamination_blocks_and_clashing_columns(spark, monkeypatch):
     monkeypatch.setattr(suffix_decontam, "BLOCK_CHARS", 40)
     items = [(i, f"a{i} b c d e f g h i j k{i}") for i in range(6)]
+    monkeypatch.setattr(suffix_decontam, "CHAIN", 2)  # rows are written after every two of the six blocks
     rows = [(i, f"zz a{i} b c d e f g h i j k{i} yy", "own", 1) for i in range(7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, items string, n_words int")
     kept = suffix_decontam.remove_contaminated(df, spark.createDataFrame(items, "item_id long, text string"))
@@ -89,6 +90,15 @@ def test_site_lines(spark):
     assert line_frequency.drop_site_lines(docs(spark, [])).collect() == []
 
 
+def test_site_lines_beside_own_columns_and_long_lines(spark):
+    rows = [(i, "menu\n" + "x" * 100_000 + f"{i}\n" + "same " * 20_000, "en", "a", 1) for i in range(9)]
+    df = docs(spark, rows).withColumns({"_h": F.lit(1), "_lines": F.lit("l"), "_host": F.lit("z"), "N_LINES": F.lit("old")})
+    out = line_frequency.drop_site_lines(df)
+    assert [c for c in out.columns if c not in ("n_lines", "n_dropped")] == [c for c in df.columns if c != "N_LINES"]
+    got = out.collect()
+    assert all((r["_h"], r["_lines"], r["_host"], r["n_dropped"]) == (1, "l", "z", 2) and len(r["text"]) == 100_001 for r in got)
+
+
 def test_site_lines_by_join(spark, monkeypatch):
     import tidemark.llm._base as base
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import lookup_join
+from tidemark.llm._base import free_name, lookup_join
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -24,7 +24,8 @@ def _key(line):
 
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Per host (null is a host of its own) with any: ``_host``, ``_lines`` array of line keys above the ratio."""
+    """Per host with any (null is a host of its own): ``_h``, its null-safe key, and ``_lines``, an array of the keys of
+    lines above the ratio. Every row is a page, whatever its id."""
     p = pages.select(F.col(host).alias("_host"), F.split(F.col(text), "\n").alias("_l"))
     totals = p.groupBy("_host").agg(F.count("*").alias("_total"))
     lines = p.select("_host", F.explode(F.array_distinct(F.transform(F.filter("_l", lambda x: F.trim(x) != ""), _key))).alias("_k"))
@@ -40,17 +41,18 @@ def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text",
 
     Lines are compared after trimming spaces; blank lines are kept and never counted. A null text stays null with 0
     lines; a text that is all boilerplate becomes empty; rows are never removed. Pages with a null host form one host.
-    A line twice on a page counts one page and is cut twice. A line on fewer than ``min_pages`` pages of its host is
+    A line twice on a page counts one page and is cut twice; rows with one id are pages of their own. Lines and texts may
+    be of any length. A line on fewer than ``min_pages`` pages of its host is
     kept whatever its share, so that hosts of a few pages stay whole. Columns named ``n_lines`` and ``n_dropped`` are replaced.
     """
-    table = boilerplate(pages, host, text, ratio, min_pages)
-    base = pages.drop("n_lines", "n_dropped").withColumn("_h", F.struct(F.col(host).isNull(), F.coalesce(F.col(host).cast("string"), F.lit(""))))
-    joined = lookup_join(base, table, ["_h"])
+    base = pages.drop("n_lines", "n_dropped")
+    own_key, own_lines = free_name(base, "_h"), free_name(base, "_lines")
+    table = boilerplate(pages, host, text, ratio, min_pages).select(F.col("_h").alias(own_key), F.col("_lines").alias(own_lines))
+    joined = lookup_join(base.withColumn(own_key, F.struct(F.col(host).isNull(), F.coalesce(F.col(host).cast("string"), F.lit("")))), table, [own_key])
     lines = F.split(F.col(text), "\n")
-    bad = lambda x: F.array_contains(F.col("_lines"), _key(x)) & (F.trim(x) != "")
-    kept = F.filter(lines, lambda x: ~bad(x))
-    any_bad = F.col("_lines").isNotNull()
+    kept = F.filter(lines, lambda x: ~(F.array_contains(F.col(own_lines), _key(x)) & (F.trim(x) != "")))
+    any_bad, none = F.col(own_lines).isNotNull(), F.lit(0).cast("long")
+    n_lines = F.when(F.col(text).isNotNull(), F.size(lines)).otherwise(none).cast("long")
+    n_dropped = F.when(any_bad & F.col(text).isNotNull(), F.size(lines) - F.size(kept)).otherwise(none).cast("long")
     new = F.when(any_bad, F.array_join(kept, "\n")).otherwise(F.col(text))
-    out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long") * F.col(text).isNotNull().cast("long"))
-    out = out.withColumn("n_dropped", F.when(any_bad & F.col(text).isNotNull(), F.size(lines) - F.size(kept)).otherwise(0).cast("long"))
-    return out.withColumn(text, new).drop("_h", "_lines")
+    return joined.withColumns({"n_lines": n_lines, "n_dropped": n_dropped}).withColumn(text, new).drop(own_key, own_lines)
