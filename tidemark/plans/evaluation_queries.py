@@ -86,8 +86,8 @@ def s06(t):
     return g.select("source", F.round("smd", 5).alias("smd"), r6("xy", "point_biserial"), r6(N.partial_corr(F.col("xy"), F.col("xz"), F.col("yz")), "partial"))
 
 
-#: Replicates of a permutation test in the reference
-PERMUTED = 20_000
+#: Replicates of permutation tests: of most, and of the reference
+BY_GROUP, PERMUTED = 999, 20_000
 
 
 def _permuted_sql(reps, rows, by="", row="doc_id"):
@@ -97,14 +97,25 @@ def _permuted_sql(reps, rows, by="", row="doc_id"):
     return f"tt AS (SELECT {cols}count(*) AS n, sum(y) AS k, sum(x) AS t, sum(x * y) AS s FROM {rows} GROUP BY ALL HAVING sum(y) > 0 AND sum(y) < count(*)), r AS (SELECT {cols}b, x, row_number() OVER ({part} ORDER BY ('0x' || substr(md5('p:' || b || ':' || {row}), 1, 8))::BIGINT, {row}) AS r FROM {rows}, range(0, {reps}) q(b)), z AS (SELECT {cols}b, sum(CASE WHEN r <= k THEN x ELSE 0 END) AS s FROM r JOIN tt {using} GROUP BY {cols}b), nl AS (SELECT {cols}z.s / k - (t - z.s) / (n - k) AS d FROM z JOIN tt {using}), ob AS (SELECT {cols}s / k - (t - s) / (n - k) AS o, k, n FROM tt)"
 
 
-@query("s07_permutation_test", f"WITH {_LAB}, d AS (SELECT doc_id, n_chars::DOUBLE AS x, toxic AS y FROM lj), {_permuted_sql(PERMUTED, 'd')} SELECT round(any_value(o), 4) AS observed, round((count(*) FILTER (WHERE abs(d) >= abs(o) - 1e-12) + 1) / (count(*) + 1.0::DOUBLE), 6) AS p, round(2.8 * stddev_pop(d), 4) AS mde FROM nl, ob")
-def s07(t):
+def _s07_sql(reps):
+    return f"WITH {_LAB}, d AS (SELECT doc_id, n_chars::DOUBLE AS x, toxic AS y FROM lj), {_permuted_sql(reps, 'd')} SELECT round(any_value(o), 4) AS observed, round((count(*) FILTER (WHERE abs(d) >= abs(o) - 1e-12) + 1) / (count(*) + 1.0::DOUBLE), 6) AS p, round(2.8 * stddev_pop(d), 4) AS mde FROM nl, ob"
+
+
+def permuted(t, reps):
     d = labelled(t).withColumn("chars", F.col("n_chars").cast("double"))
-    r = N.permutation_test(d, "chars", "toxic", "doc_id", PERMUTED)
+    r = N.permutation_test(N.written(d.select("doc_id", "chars", "toxic")), "chars", "toxic", "doc_id", reps)
     return r.select(F.round("observed", 4).alias("observed"), r6("p", "p"), F.round("mde", 4).alias("mde"))
 
 
-BY_GROUP = 999
+@query("s07_permutation_test", _s07_sql(BY_GROUP))
+def s07(t):
+    return permuted(t, BY_GROUP)
+
+
+@query("s07_permutation_test_whole", _s07_sql(PERMUTED))
+def s07_whole(t):
+    """With as many replicates as the reference."""
+    return permuted(t, PERMUTED)
 
 
 @query("s08_bonferroni_interpretable", f"WITH {_LAB}, d AS (SELECT source, doc_id, n_chars::DOUBLE AS x, toxic AS y FROM lj), {_permuted_sql(BY_GROUP, 'd', 'source')}, e AS (SELECT source, any_value(n) AS n, any_value(k) AS k, (count(*) FILTER (WHERE abs(d) >= abs(o) - 1e-12) + 1) / (count(*) + 1.0::DOUBLE) AS p FROM nl JOIN ob USING (source) GROUP BY 1) SELECT source, round(p, 6) AS p, n >= 18 AND k >= 2 AS interpretable, CASE WHEN n >= 18 AND k >= 2 THEN round(least(1.0, p * count(*) FILTER (WHERE n >= 18 AND k >= 2) OVER ()), 6) END AS adjusted FROM e")
@@ -350,9 +361,9 @@ def m09(t):
 _U02 = ("value", "smoothed", "less the other axis")
 
 
-@query("u02_signal_family", f"WITH {EV}, n AS (SELECT k, count(*) AS n FROM s GROUP BY k), q AS (SELECT s.k, s.i, v, v - p AS o, (coalesce(lag(v) OVER w, v) + v + coalesce(lead(v) OVER w, v)) / 3 AS m, e = 'error' AS y FROM s WINDOW w AS (PARTITION BY s.k ORDER BY s.i)), f AS (SELECT k % 4 AS g, y, unnest({list(_U02)!r}) AS name, unnest([v, m, o]) AS score FROM q), g AS (SELECT g, name, score, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS n FROM f GROUP BY ALL), w2 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY g, name ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT g, name, round((sum(p * (below + n / 2.0)) / (sum(p) * sum(n)))::DOUBLE, 6) AS auc FROM w2 GROUP BY 1, 2")
+@query("u02_signal_family", f"WITH {EV}, n AS (SELECT k, count(*) AS n FROM s GROUP BY k), q AS (SELECT s.k, s.i, v, v - p AS o, (coalesce(lag(v) OVER w, v) + v + coalesce(lead(v) OVER w, v)) / 3 AS m, e = 'error' AS y FROM s WINDOW w AS (PARTITION BY s.k ORDER BY s.i)), f AS (SELECT k % 4 AS g, y, unnest({list(_U02)!r}) AS name, unnest([round(v, 6), round(m, 6), round(o, 6)]) AS score FROM q), g AS (SELECT g, name, score, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS n FROM f GROUP BY ALL), w2 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY g, name ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT g, name, round((sum(p * (below + n / 2.0)) / (sum(p) * sum(n)))::DOUBLE, 6) AS auc FROM w2 GROUP BY 1, 2")
 def u02(t):
     """AUC of every signal of a named family in every group of users."""
     d = N.written(ev(t).select("k", "i", "v", "p", "e"))
     j = G.scores(d, "level").join(d.select("k", "i", "e").hint("merge"), ["k", "i"]).withColumn("g", F.col("k") % 4)
-    return N.auc(j.select("g", "name", F.round("score", 9).alias("score"), "e"), "score", F.col("e") == "error", ["g", "name"]).select("g", "name", r6("auc", "auc"))
+    return N.auc(j.select("g", "name", F.round("score", 6).alias("score"), "e"), "score", F.col("e") == "error", ["g", "name"]).select("g", "name", r6("auc", "auc"))
