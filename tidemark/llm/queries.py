@@ -46,13 +46,14 @@ def op5_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+WITH pg AS MATERIALIZED (SELECT *, row_number() OVER () AS page FROM documents),
+l AS (SELECT page, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pg WHERE text IS NOT NULL),
 tot AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
-cnt AS (SELECT source, trim(line) AS k, count(DISTINCT doc_id) AS c FROM l WHERE trim(line) <> '' GROUP BY 1, 2),
+cnt AS (SELECT source, trim(line) AS k, count(DISTINCT page) AS c FROM l WHERE trim(line) <> '' GROUP BY 1, 2),
 bad AS (SELECT cnt.source, k FROM cnt JOIN tot ON cnt.source IS NOT DISTINCT FROM tot.source WHERE c >= 5 AND c > n * 0.05),
 m AS (SELECT l.*, bad.k IS NOT NULL AS is_bad FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND trim(l.line) = bad.k),
-a AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE is_bad) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT is_bad), '') AS clean_text FROM m GROUP BY 1)
-SELECT d.doc_id, d.source, CAST(coalesce(a.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(a.n_dropped, 0) AS BIGINT) AS n_dropped, a.clean_text FROM documents d LEFT JOIN a USING (doc_id)
+a AS (SELECT page, count(*) AS n_lines, count(*) FILTER (WHERE is_bad) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT is_bad), '') AS clean_text FROM m GROUP BY 1)
+SELECT d.doc_id, d.source, CAST(coalesce(a.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(a.n_dropped, 0) AS BIGINT) AS n_dropped, a.clean_text FROM pg d LEFT JOIN a USING (page)
 """
 
 
@@ -107,11 +108,11 @@ def op4_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.site_quality import classify, learn
 
-    docs = _t(spark, sf_dir, "documents")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     held = _held_out(5, 0)
     labels = _t(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label"))
     model = learn(docs, labels)
-    out = classify(docs, model)
+    out = classify(docs, model, keep_text=False)
     return out.select("doc_id", held.alias("held_out"), "p_doc", "p_host", "p_path", "p_good", "predicted")
 
 

@@ -8,6 +8,7 @@
 3. A document's posterior odds are its likelihood ratio times the odds of its path, from which its own probability is
    left out.
 
+Texts are measured once: the rows are written with their probability, and the sums and the result are made from that.
 The sums have map-side combine, so a hot host costs a row per task; the table of paths is broadcast only after its
 rows are counted, else it is a skewed sort-merge join.
 """
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import Scratch, append_columns, labelled_sample, lookup_join
+from tidemark.llm._base import Scratch, append_columns, free_name, labelled_sample, lookup_join
 from tidemark.llm._words import Words
 
 #: Bound of the training sample in labelled rows.
@@ -41,7 +42,7 @@ def measures(texts: list) -> np.ndarray:
 
     def per_doc(flags: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-        return total[np.minimum(w.begin[1:], len(flags))] - total[np.minimum(w.begin[:-1], len(flags))]
+        return total[w.begin[1:] - 1] - total[w.begin[:-1]]  # without the mark between texts
 
     chars, words = np.maximum(size, 1), np.maximum(n, 1)
     bang, bar, line = raw == 33, raw == 124, raw == 10
@@ -62,7 +63,7 @@ def measures(texts: list) -> np.ndarray:
     out[:, 4] = rate(per_doc((raw >= 48) & (raw <= 57)), chars)
     out[:, 5] = rate(again, words)
     out[:, 6] = np.log1p(n)
-    out[:, 7] = (per_doc(~_SPACE[raw]) - (size < 0)) / words / 10
+    out[:, 7] = per_doc(~_SPACE[raw]) / words / 10
     out[:, 8] = rate(per_doc(_STOP[raw]), words)
     out[:, 9] = rate(per_doc(line), words)
     out[:, 10] = np.log(np.maximum(distinct, 1)) - 0.8 * np.log1p(n)
@@ -123,10 +124,15 @@ def _strength(groups: DataFrame, parent: str) -> float:
     return float(np.clip(r["pq"] / r["n"] / max(between, 1e-9) - 1, 1.0, 1e4))
 
 
-def site_rates(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, float, float, float]:
+def _site(host: str, path: str):
+    """Null-safe key of a host and a path."""
+    part = lambda c, n: (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n), F.col(c).isNull().alias(n + "n"))
+    return F.struct(*part(host, "h"), *part(path, "p"))
+
+
+def site_rates(scratch: Scratch, scored: DataFrame, host: str, path: str) -> tuple[DataFrame, float, float, float]:
     """Sums by (host, path) with their host's sums, and the global rate and both prior strengths."""
-    key = F.struct(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h"), F.col(host).isNull().alias("hn"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("p"), F.col(path).isNull().alias("pn"))
-    paths = scored.select(key.alias("_site"), "p_doc").groupBy("_site").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s")).cache()
+    paths = scratch.save(scored.select(_site(host, path).alias("_site"), "p_doc").groupBy("_site").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s")), "paths")
     top = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     rate = (top["s"] + 1) / (top["n"] + 2) if top["n"] else 0.5
     hosts = paths.groupBy("_site.h", "_site.hn").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
@@ -136,23 +142,24 @@ def site_rates(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, floa
     return both.select("_site", "n", "s", "host_n", "host_s"), rate, m_host, m_path
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, model: Model, text: str = "text", host: str = "source", path: str = "lang", keep_text: bool = True) -> DataFrame:
     """Every row with ``p_doc``, ``p_host``, ``p_path`` (rates without the row itself), ``p_good`` and ``predicted``.
 
     Null hosts are one host, null paths one path of theirs. A null or empty text is measured as a text without
     characters. Repeated rows count and are judged one by one. Columns of these names are replaced; an empty table
-    gives an empty result.
+    gives an empty result. Without ``keep_text`` the column ``text`` is left out, and not written.
     """
     names = ["p_doc", "p_host", "p_path", "p_good", "predicted"]
     base = docs.drop(*names)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    scored = append_columns(base, [text], "p_doc double", lambda texts: (sent.value.probability(texts),))
-    slim = append_columns(base.select(F.col(host).alias("h"), F.col(path).alias("p"), F.col(text).alias("t")), ["t"], "p_doc double", lambda texts: (sent.value.probability(texts),))
-    table, rate, m_host, m_path = site_rates(slim, "h", "p")
-    key = F.struct(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h"), F.col(host).isNull().alias("hn"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("p"), F.col(path).isNull().alias("pn"))
-    table = table.select("_site", F.struct("n", "s", "host_n", "host_s").alias("_sums"))
-    j = lookup_join(scored.withColumn("_site", key), table, ["_site"])
-    p, g = F.col("p_doc"), F.col("_sums")
+    scratch = Scratch(docs.sparkSession, "quality")
+    scored = append_columns(base, [text], "p_doc double", lambda texts: (sent.value.probability(texts),), without=() if keep_text else (text,))
+    scored = scratch.save(scored, "scored")
+    table, rate, m_host, m_path = site_rates(scratch, scored, host, path)
+    site, sums = free_name(base, "_site"), free_name(base, "_sums")
+    table = table.select(F.col("_site").alias(site), F.struct("n", "s", "host_n", "host_s").alias(sums))
+    j = lookup_join(scored.withColumn(site, _site(host, path)), table, [site])
+    p, g = F.col("p_doc"), F.col(sums)
     p_host = (g["host_s"] - p + m_host * rate) / (g["host_n"] - 1 + m_host)
     p_path = (g["s"] - p + m_path * F.col("p_host")) / (g["n"] - 1 + m_path)
     safe = lambda c: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), c))
@@ -160,4 +167,4 @@ def classify(docs: DataFrame, model: Model, text: str = "text", host: str = "sou
     logit = lambda c: F.log(c / (1 - c))
     odds = logit(p) - float(np.log(model.rate / (1 - model.rate))) + logit(F.col("p_path"))
     j = j.withColumn("p_good", 1 / (1 + F.exp(-odds))).withColumn("predicted", (F.col("p_good") >= 0.5).cast("int"))
-    return j.select(*[F.col(f"`{c}`") for c in base.columns], *names)
+    return j.select(*[F.col(f"`{c}`") for c in base.columns if keep_text or c.lower() != text.lower()], *names)
