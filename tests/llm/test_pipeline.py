@@ -55,3 +55,20 @@ def test_stages(spark, tmp_path):
 
 def test_names():
     assert [f"op{n}" for n in range(1, 11)] == sorted({k.split("_")[0] for k in queries.QUERIES}, key=lambda k: int(k[2:]))
+
+
+def test_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    sf = corpus(tmp_path, spark)
+    own = {"predicted": "mine", "P_good": "mine", "n_lines": "mine", "n_dropped": "mine", "_h": "mine", "_lines": "mine", "_site": "mine", "_gone": "mine", "items": "mine", "hit_spans": "mine", "bin_id": "mine"}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60 or doc_id >= 240").withColumns({k: F.lit(v) for k, v in own.items()})
+    for k, (name, stage) in enumerate(p.STAGES):
+        assert stage(spark, docs.limit(0), sf).collect() == [], name
+        out = stage(spark, docs, sf)
+        if k < len(p.STAGES) - 1:
+            assert out.columns == docs.columns
+            assert all(r[c] == "mine" for r in out.collect() for c in own), name
+            docs = spark.createDataFrame(out.collect(), out.schema)
+        assert out.count()
