@@ -49,13 +49,32 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Folders of tables that may still be read
+_OPEN: list[str] = []
+
+
+def open_tables() -> set[str]:
+    """The folders of scratch tables so far; see ``close_tables``."""
+    return set(_OPEN)
+
+
+def close_tables(spark: SparkSession, keep: set[str]) -> None:
+    """Remove all scratch tables but those in folders of ``keep``: once a result that was made from them is written,
+    nothing reads them any more."""
+    for path in [p for p in _OPEN if p not in keep]:
+        _delete(spark, path)
+        _OPEN.remove(path)
+
+
 class Scratch:
-    """Tables written to the shared folder, to cut lineage where a job must survive lost executors."""
+    """Tables written to the shared folder, to cut lineage where a job must survive lost executors. They stay until the
+    interpreter ends or ``close_tables``."""
 
     def __init__(self, spark: SparkSession, label: str):
         importable(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _OPEN.append(self.path)
         atexit.register(_delete_quietly, spark, self.path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
