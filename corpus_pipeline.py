@@ -1,7 +1,8 @@
 """Corpus pipeline: documents in, packed training sequences out.
 
-Each stage is written as Parquet to the shared folder and read again by the next one, which is then removed, so a lost
-executor costs a stage at most and the disk holds two stages. All but the last return the columns of ``documents``, and
+Each stage is written as Parquet to the shared folder and read again by the next one. What a stage wrote for itself goes
+when its result is written, and a stage's result when the next one's is, so a lost executor costs a stage at most and the
+disk holds two stages. All but the last return the columns of ``documents``, and
 further columns as they are, whatever their names. An empty table passes through every stage and gives an empty result;
 repeated rows, and rows without an id, are documents of their own until ``near_dedup``, which lets rows that share an id
 stay or go together and keeps those without one.
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import Scratch, beside
+from tidemark.llm._base import Scratch, beside, close_tables, open_tables
 from tidemark.llm.best_fit_packing import pack_texts
 from tidemark.llm.line_frequency import drop_site_lines
 from tidemark.llm.order_minhash import keep_one_of_each
@@ -61,7 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), _read(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES:
+        mine = open_tables()
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        close_tables(spark, mine)
         if before is not None:
             scratch.drop(before)
         before = docs
