@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
-from tidemark.plans.windows_queries import md5_int, r6
 from tidemark.sources import ingest as I
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import columns as C
 from tidemark.operators import joins as J
 from tidemark.operators import series as S
 from tidemark.plans.registry import query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.functions import vocabulary as V
 from tidemark.plans.registry import query
-from tidemark.plans.windows_queries import EM, EV, em, ev, md5_int, r6
+from tidemark.plans.windows_queries import EM, em, md5_int, r6
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 _CNT = "c AS (SELECT user_id AS k, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{x}') AS {x}" for x in TYPES) + " FROM events GROUP BY 1)"
