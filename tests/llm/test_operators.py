@@ -197,6 +197,27 @@ def test_neighbours_small_and_edges(spark):
     assert [tuple(x)[:3] for x in hilbert_ann.nearest(two, F.col("id") % 20 == 0).collect()] == [(0, 1, 1)]
 
 
+def test_neighbours_in_parts_and_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_ann, "BLOCK", 16)
+    monkeypatch.setattr(hilbert_ann, "ASKED", 3)  # the queries of a block go to several tasks
+    r = np.random.default_rng(9)
+    vec = [(i, [float(x) for x in r.integers(-2, 3, 8)]) for i in range(400)]  # many equal products
+    df = spark.createDataFrame(vec, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for x in hilbert_ann.nearest(df, F.col("id") % 20 == 0, target=1.0).collect():
+        got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
+    vectors, found = dict(vec), 0
+    for q, near in got.items():
+        want = sorted((-float((np.array(vectors[q]) * np.array(vectors[i])).sum()), i) for i, _ in vec if i != q and any(vectors[i]))
+        own = [(-s, i) for _, i, s in sorted(near)]
+        assert own == sorted(own) and all(s == float((np.array(vectors[q]) * np.array(vectors[i])).sum()) for _, i, s in near)
+        found += len({i for _, i in own} & {i for _, i in want[:20]})
+    assert found >= 0.9 * 20 * len(got)
+    assert set(got) == {i for i, v in vec if i % 20 == 0 and any(v)}
+    twice = hilbert_ann.nearest(df.union(df.where("vec_id < 7")), F.col("id") % 20 == 0).collect()  # a row of each copy of query 0
+    assert len(twice) == 21 * 20 and all(x["vec_id"] != x["query_id"] for x in twice)
+
+
 def test_hilbert_neighbouring_keys_touch():
     for axes, depth in ((2, 4), (3, 3)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << depth)] * axes), -1).reshape(-1, axes)

@@ -3,7 +3,9 @@
 Each of ``CURVES`` orderings projects the vectors on a few random orthogonal directions, shifts them and sorts them by
 their place on a Hilbert curve; the sort is a range partitioning in Spark. A curve is cut into blocks of ``BLOCK``
 neighbours in key order. A query goes to its own block and ``reach`` blocks on either side, on every curve; each block
-is scored at once as a matrix product, and the best of all blocks are merged and reranked by their exact inner product.
+is scored as a matrix product, ``ASKED`` queries or so in a task, and the best of all blocks are merged and reranked by
+their exact inner product, first those of some blocks beside each other, then the rest, so that no list grows with all
+blocks at once.
 
 ``reach`` is calibrated: a bounded sample of queries is compared with all rows, and the smallest reach with a recall
 of ``TARGET`` on it is taken. Data with structure need a few blocks; uniform directions in many dimensions have none,
@@ -30,6 +32,8 @@ BLOCK = 1024
 TARGET = 0.96
 SAMPLE_QUERIES = 96
 SALTS = 16
+#: Queries that a task scores against a block at once
+ASKED = 8192
 
 
 def hilbert_key(points: np.ndarray, depth: int) -> np.ndarray:
@@ -77,7 +81,7 @@ def _collapse(v: DataFrame, keep: int) -> DataFrame:
         for pdf in frames:
             keys = pdf["v"].map(lambda x: x.tobytes())
             for _, g in pdf.assign(k=keys).groupby("k", sort=False):
-                yield pd.DataFrame({"ids": [np.sort(g["id"].to_numpy())[:keep]], "salt": [int(g["id"].iloc[0]) % SALTS], "v": [g["v"].iloc[0]]})
+                yield pd.DataFrame({"ids": [np.unique(g["id"].to_numpy())[:keep]], "salt": [int(g["id"].iloc[0]) % SALTS], "v": [g["v"].iloc[0]]})
 
     def small(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buffer: list = []
@@ -89,7 +93,7 @@ def _collapse(v: DataFrame, keep: int) -> DataFrame:
         if buffer:
             yield pd.concat(buffer)
 
-    lowest = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids")
+    lowest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids")
     parts = v.mapInPandas(small, "ids array<long>, salt int, v array<double>")
     salted = parts.groupBy("v", "salt").agg(lowest)
     return salted.groupBy("v").agg(lowest).select(F.col("ids")[0].alias("rep"), "ids", "v")
@@ -115,8 +119,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", ve
     """The ``k`` nearest other rows of each query row by inner product: ``query_id, rank, vec_id, score``.
 
     ``queries`` is a condition on the column ``id``. Vectors that are null, zero, of another length than most, or hold
-    a null or non-finite component take no part; nor do rows with a null id. Ties go to the smaller id; rows that share
-    an id are candidates of each other's queries no more than the query itself. With fewer than ``k`` candidates all
+    a null or non-finite component take no part; nor do rows with a null id. Ties go to the smaller id. Rows that share
+    an id and a vector are one candidate; rows that share an id are no candidates of each other's queries, and where
+    they differ a query of that id may get fewer than ``k``. With fewer than ``k`` candidates all
     are returned; an empty table gives an empty result. Other columns are not used.
     """
     spark = vectors.sparkSession
@@ -173,12 +178,18 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", ve
     blocks = -(-n // BLOCK)
 
     reach = _calibrate(scratch, reps, wanted, rank, k, blocks, target)
+    # about how many queries reach a block, and so into how many parts they are dealt
+    parts = max(1, -(-wanted.count() * (2 * reach + 1) // (max(1, blocks) * ASKED)))
+    beside = max(1, round((2 * reach + 1) ** 0.5))
+    every = F.array(*[F.lit(i) for i in range(parts)])
     cells = rank.select("curve", F.floor(F.col("at") / BLOCK).cast("long").alias("block"), "rep", "q", "v")
-    seekers = cells.where("q").select("curve", F.explode(F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.lit(blocks - 1), F.col("block") + reach))).alias("b"), F.col("rep").alias("r"), F.col("v").alias("w")).select(F.col("curve").alias("c"), "b", "r", "w")
+    near = F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.lit(blocks - 1), F.col("block") + reach))
+    seekers = cells.where("q").select("curve", F.explode(near).alias("b"), F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("p"), F.col("rep").alias("r"), F.col("v").alias("w")).select(F.col("curve").alias("c"), "b", "p", "r", "w")
+    dealt = cells.select("curve", "block", F.explode(every).alias("part"), "rep", "v")
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"rep": pd.Series(dtype="int64"), "hits": pd.Series(dtype=object)})
+            return pd.DataFrame({"rep": pd.Series(dtype="int64"), "beside": pd.Series(dtype="int64"), "hits": pd.Series(dtype=object)})
         left = left.sort_values("rep")
         ids, x, q = left["rep"].to_numpy(), np.stack(left["v"].to_list()), np.stack(right["w"].to_list())
         out = []
@@ -192,10 +203,11 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", ve
                 exact = (x[near] * query).sum(axis=1)
                 order = np.lexsort((ids[near], -exact))[: k + 1]
                 out.append([{"s": float(-exact[j]), "id": int(ids[near[j]])} for j in order])
-        return pd.DataFrame({"rep": right["r"].to_numpy(), "hits": out})
+        return pd.DataFrame({"rep": right["r"].to_numpy(), "beside": int(left["block"].iloc[0]) // beside, "hits": out})
 
-    found = cells.select("curve", "block", "rep", "v").groupBy("curve", "block").cogroup(seekers.groupBy("c", "b")).applyInPandas(best, "rep long, hits array<struct<s:double,id:long>>")
-    merged = scratch.save(found.groupBy("rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits")), "found")
+    found = dealt.groupBy("curve", "block", "part").cogroup(seekers.groupBy("c", "b", "p")).applyInPandas(best, "rep long, beside long, hits array<struct<s:double,id:long>>")
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits")
+    merged = scratch.save(found.groupBy("rep", "beside").agg(least).groupBy("rep").agg(least), "found")
 
     # copies of the representatives found, then of the query's own
     flat = merged.select("rep", F.explode("hits").alias("h")).select("rep", F.col("h.s").alias("s"), F.col("h.id").alias("hit"))
