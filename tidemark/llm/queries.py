@@ -122,6 +122,53 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(_t(spark, sf_dir, "documents"))
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations damaged by crc32(``conv_id:turn``) % 20: 0 drops a row, 1 empties it, 2 takes its end marks, 3
+    repeats it, 4 makes it the user's."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(part("text"), "[.!?]", "")).otherwise(part("text"))
+    role = F.when(kind == 4, "user").otherwise(part("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (kind == 0).alias("dropped"), F.when(kind == 3, 2).otherwise(1).alias("times"))
+
+
+def op11_conversation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.conversation_audit import audits
+
+    return audits(_damaged(_t(spark, sf_dir, "conversations")), dropped="dropped", times="times")
+
+
+def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.histogram_packing import pack_documents
+
+    return pack_documents(_t(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
+
+
+def op13_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.phrase_tiles import collocations
+
+    return collocations(_t(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pc AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pc WHERE p <> ''),
+tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, m, ph, count(*) AS f FROM (SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') for i in range(1, len(w) - m + 2)]) AS ph FROM w, range(1, 6) r(m) WHERE len(w) >= m) GROUP BY 1, 2, 3),
+c AS (SELECT lang, m, ph, f, string_split(ph, ' ') AS q FROM g WHERE m >= 2 AND f >= 100),
+sup AS (SELECT lang, s AS ph, max(f) AS best FROM (SELECT lang, f, m, unnest(flatten([[array_to_string(q[i:i + k - 1], ' ') for i in range(1, m - k + 2)] for k in range(2, m)])) AS s FROM c WHERE m > 2) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN sup USING (lang, ph) WHERE best IS NULL OR 100 * best < 100 * f),
+cut AS (SELECT lang, ph, f, m, k, array_to_string(q[:k], ' ') AS x, array_to_string(q[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+sc AS (SELECT cut.lang, cut.ph, cut.f AS a, k, gx.f AS l, gy.f AS r, n, CAST((CAST(1000 AS HUGEINT) * cut.f * n) // (CAST(gx.f AS HUGEINT) * gy.f) AS BIGINT) AS score
+       FROM cut JOIN g gx ON gx.lang = cut.lang AND gx.ph = x AND gx.m = k JOIN g gy ON gy.lang = cut.lang AND gy.ph = y AND gy.m = cut.m - k JOIN tot ON tot.lang = cut.lang),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS o FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank FROM low WHERE o = 1)
+SELECT lang, rank, ph AS phrase, a, l, r, n, score FROM rk WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_decontamination": op3_suffix_array_decontamination,
     "op5_site_line_dedup": op5_site_line_dedup,
@@ -133,5 +180,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ftrl_toxicity": op6_ftrl_toxicity,
     "op8_cross_parsing_language": op8_cross_parsing_language,
     "op10_bit_packed_ids": op10_bit_packed_ids,
+    "op11_conversation_audit": op11_conversation_audit,
+    "op12_histogram_packing": op12_histogram_packing,
+    "op13_tiled_collocations": op13_tiled_collocations,
 }
-SQL: dict[str, str] = {"op3_suffix_array_decontamination": OP3_SQL, "op5_site_line_dedup": OP5_SQL}
+SQL: dict[str, str] = {"op3_suffix_array_decontamination": OP3_SQL, "op5_site_line_dedup": OP5_SQL, "op13_tiled_collocations": OP13_SQL}
