@@ -138,6 +138,33 @@ def op11_conversation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits(_damaged(_t(spark, sf_dir, "conversations")), dropped="dropped", times="times")
 
 
+OP11_SQL = r"""
+WITH RECURSIVE t256 AS (SELECT [list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) for i in range(256)] AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, [CAST(unicode(x) AS BIGINT) for x in string_split(key, '')]), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) % 20 AS kind FROM raw, t256),
+dam AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM dam),
+f AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM num),
+moves(s, letter, needs, cost, d) AS (VALUES (0, 'D', '', 4, 0), (1, 'D', '', 4, 1), (2, 'D', '', 4, 2), (3, 'D', '', 4, 3), (0, 'K', 's', 0, 1), (0, 'K', 'u', 0, 2), (1, 'K', 'u', 0, 2), (3, 'K', 'u', 0, 2), (2, 'K', 'a', 0, 3), (0, 'R', 'user', 3, 2), (1, 'R', 'user', 3, 2), (3, 'R', 'user', 3, 2), (2, 'R', 'assistant', 3, 3)),
+closing(s, d, tail, text, cost) AS (VALUES (0, 0, '', '', 0), (1, 1, '', '', 0), (2, 2, '', '', 0), (3, 3, '', '', 0), (0, 2, 'I', 'user:' || chr(10), 3), (1, 2, 'I', 'user:' || chr(10), 3), (3, 2, 'I', 'user:' || chr(10), 3), (2, 3, 'I', 'assistant:' || chr(10), 3), (0, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10), 6), (1, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10), 6)),
+dp(conv_id, i, s, best) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), d, {'cost': CAST(closing.cost AS BIGINT), 'audit': tail, 'text': closing.text} FROM (SELECT DISTINCT conv_id FROM dam), closing WHERE closing.s = 0
+  UNION ALL
+  SELECT p.conv_id, p.i + 1, c.d, min({'cost': p.best.cost + m.cost + c.cost + CASE WHEN f.fault = 'truncated' AND m.letter <> 'D' THEN 3 ELSE 0 END, 'audit': p.best.audit || m.letter || c.tail,
+      'text': p.best.text || CASE m.letter WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10) ELSE m.needs || ':' || f.text || chr(10) END || c.text})
+  FROM dp p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN moves m ON m.s = p.s AND (m.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate') AND (m.letter = 'R' OR m.needs = f.c)) JOIN closing c ON c.s = m.d
+  GROUP BY p.conv_id, p.i + 1, c.d),
+ends AS (SELECT conv_id, max(i) AS n, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE i > 1 AND b || c NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY 1),
+won AS (SELECT dp.conv_id, min(best) AS best FROM dp JOIN ends e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = e.n WHERE s IN (0, 3) GROUP BY 1),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.text[:len(best.text) - 1], '')) AS repaired_sha256
+FROM ids LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN won ON won.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -184,4 +211,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_histogram_packing": op12_histogram_packing,
     "op13_tiled_collocations": op13_tiled_collocations,
 }
-SQL: dict[str, str] = {"op3_suffix_array_decontamination": OP3_SQL, "op5_site_line_dedup": OP5_SQL, "op13_tiled_collocations": OP13_SQL}
+SQL: dict[str, str] = {"op3_suffix_array_decontamination": OP3_SQL, "op5_site_line_dedup": OP5_SQL, "op11_conversation_audit": OP11_SQL, "op13_tiled_collocations": OP13_SQL}
