@@ -14,8 +14,6 @@ transitions, the others are found by binary search.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +29,11 @@ SAMPLE_CHARS_ALL = 240_000
 DENSE = 64
 #: Characters of a piece that is parsed side by side with others
 PIECE = 1024
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (categories L*); numbers such as fractions and Roman numerals are none."""
+    return any(map(str.isalpha, text))
 
 
 class Alphabet:
@@ -218,7 +220,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     samples: dict[str, str] = {}
     for r in sorted(drawn.select("l", "h", F.substring("t", begin, F.col("n")).alias("t")).collect(), key=lambda r: (r["l"], r["h"], r["t"])):
         samples[r["l"]] = samples.get(r["l"], "") + "\n" + r["t"]
-    return Model({k: v for k, v in samples.items() if _LETTER.search(v)})
+    return Model({k: v for k, v in samples.items() if has_letter(v)})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -235,7 +237,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(texts: list) -> tuple:
         m = sent.value
         pred, score, rates = ["und"] * len(texts), np.zeros(len(texts)), [None] * len(texts)
-        use = [i for i, t in enumerate(texts) if m.langs and t and _LETTER.search(t)]
+        use = [i for i, t in enumerate(texts) if m.langs and t and has_letter(t)]
         n = m.phrases([texts[i] for i in use]) if use else []
         for i, row in zip(use, n, strict=True):
             best = int(row.argmin())
