@@ -164,8 +164,18 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return got / (n + m - got)
 
 
+def _choice(text: str):
+    """By which of the texts of one id is chosen, the least: those with a word first, then by their hash."""
+    return F.struct((~F.coalesce(F.col(text).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))).alias("wordless"), F.xxhash64(text).alias("hash"))
+
+
+def _chosen(rows: DataFrame, *others) -> DataFrame:
+    """``id, t``, one row per id of ``rows(id, t)``, and the given aggregates."""
+    return rows.groupBy("id").agg(F.min_by("t", _choice("t")).alias("t"), *others)
+
+
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, digest (of the word sequence), sketch, runs (their number), bits (parities)`` for each row with an id;
+    """``id, pick (see _choice), digest (of the word sequence), sketch, runs (their number), bits (parities)`` for each row with an id;
     the digest is null and the rest empty for a text without words."""
     importable(docs.sparkSession)
 
@@ -181,10 +191,10 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                     digests.append(hashlib.blake2b(w.hash[w.first[d] : w.first[d + 1]].tobytes(), digest_size=16).digest() if len(own) else None)
                     bits.append(parities(own) if len(own) else [])
                     made.append(sketch(own).view(np.int64) if len(own) else [])
-                yield pd.DataFrame({"id": ids[lo:hi], "digest": digests, "sketch": made, "runs": np.diff(limits), "bits": bits})
+                yield pd.DataFrame({"id": ids[lo:hi], "wordless": pdf["wordless"].to_numpy()[lo:hi], "hash": pdf["hash"].to_numpy()[lo:hi], "digest": digests, "sketch": made, "runs": np.diff(limits), "bits": bits})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull())
-    return rows.mapInPandas(run, "id long, digest binary, sketch array<long>, runs long, bits array<long>")
+    return rows.select("id", "t", _choice("t").alias("c")).select("id", "t", "c.*").mapInPandas(run, "id long, wordless boolean, hash long, digest binary, sketch array<long>, runs long, bits array<long>")
 
 
 def verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
@@ -192,7 +202,7 @@ def verified(scratch: Scratch, pairs: DataFrame, docs: DataFrame, doc_id: str, t
     shuffled; they are written out, so that a text with very many partners is split by a plain skewed join."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     one = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    texts = scratch.save(lookup_join(one, ids, ["id"], "left_semi", size=2 * pairs.count()).groupBy("id").agg(F.min("t").alias("t")), "texts")
+    texts = scratch.save(lookup_join(one, ids, ["id"], "left_semi", size=2 * pairs.count()).transform(_chosen), "texts")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -217,7 +227,7 @@ def rare_runs(scratch: Scratch, members: DataFrame, docs: DataFrame, doc_id: str
     are in no other text and are left out."""
     one = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     kinds = scratch.save(members.select("id", "class", "runs").distinct(), "members")
-    texts = scratch.save(lookup_join(one, kinds, ["id"], "inner").groupBy("id").agg(F.min("t").alias("t"), F.first("class").alias("class"), F.first("runs").alias("runs")), "texts")
+    texts = scratch.save(lookup_join(one, kinds, ["id"], "inner").transform(_chosen, F.first("class").alias("class"), F.first("runs").alias("runs")), "texts")
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for pdf in frames:
@@ -267,17 +277,17 @@ def _divided(members: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per id: ``doc_id``, ``class_id`` (smallest id of its class), ``n_links`` (links of its text
-    that were verified on the way; copies and pairs already in one class are not compared), ``n_copies`` (ids with the
+    """One row per id: ``doc_id``, ``class_id`` (smallest id of its class), ``n_verified`` (links of its
+    text that were verified on the way; copies and pairs already in one class are not compared), ``n_copies`` (ids with the
     same words, itself included).
 
     Rows without an id take no part. A text that is null, empty or without a word is a class of its own, with 0
-    copies. Rows that share an id are one document, with the largest of their texts' digests. Texts of fewer than
+    copies. Rows that share an id are one document, with the text of the least hash among those that have a word. Texts of fewer than
     five words have one run, all their words. An empty table gives an empty result; other columns are not used.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "order-minhash")
-    rows = sketches(docs, doc_id, text).groupBy("id").agg(F.max(F.struct("digest", "sketch", "runs", "bits")).alias("s")).select("id", "s.*")
+    rows = sketches(docs, doc_id, text).groupBy("id").agg(F.min(F.struct("wordless", "hash", "digest", "sketch", "runs", "bits")).alias("s")).select("id", "s.digest", "s.sketch", "s.runs", "s.bits")
     base = scratch.save(rows, "sketches")
     reps = scratch.save(base.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("runs").alias("runs"), F.first("bits").alias("bits")), "representatives")
     members = reps.select(F.col("rep").alias("id"), F.explode("sketch").alias("bucket"))
@@ -316,11 +326,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     everything = links.union(more)
     if not more.isEmpty():
         classes = components(scratch, everything)
-    n_links = everything.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    info = reps.select("digest", "rep", "n_copies").join(classes.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").join(n_links.hint("merge"), "rep", "left")
-    info = scratch.save(info.select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"), "classes")
+    n_verified = everything.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_verified"))
+    info = reps.select("digest", "rep", "n_copies").join(classes.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").join(n_verified.hint("merge"), "rep", "left")
+    info = scratch.save(info.select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"), "n_copies"), "classes")
     out = lookup_join(base.select("id", "digest"), info, ["digest"])
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
+    return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
