@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A table may be broadcast when it has at most so many rows (keys and a few numbers each).
 BROADCAST_ROWS = 300_000
+#: and its texts and arrays have at most so many bytes
+BROADCAST_BYTES = 32_000_000
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -114,12 +116,25 @@ def shuffle_width(spark: SparkSession) -> int:
 def lookup_join(left: DataFrame, table: DataFrame, on: list[str], how: str = "left", size: int | None = None) -> DataFrame:
     """Join a table with one row per key to ``left``, whose keys may be hot.
 
-    The table's rows are counted first (or ``size`` bounds them). Up to ``BROADCAST_ROWS`` it is broadcast; beyond that
+    The table's rows and bytes are counted first (or ``size`` bounds the rows, of keys and numbers alone). Up to
+    ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` it is broadcast; beyond that
     both sides are shuffled, and adaptive execution splits a hot key of the left side, since the other side has one
     row for it. Null keys don't match.
     """
-    n = table.count() if size is None else size
-    return left.join(F.broadcast(table) if n <= BROADCAST_ROWS else table.hint("merge"), on, how)
+    small = size <= BROADCAST_ROWS if size is not None else _fits(table)
+    return left.join(F.broadcast(table) if small else table.hint("merge"), on, how)
+
+
+def _fits(table: DataFrame) -> bool:
+    size = F.lit(0).cast("long")
+    for f in table.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array":
+            size = size + 24 * F.coalesce(F.array_size(c), F.lit(0))
+    got = table.agg(F.count("*").alias("n"), F.sum(size).alias("size")).first()
+    return got["n"] <= BROADCAST_ROWS and (got["size"] or 0) <= BROADCAST_BYTES
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

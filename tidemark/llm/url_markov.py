@@ -22,7 +22,8 @@ from tidemark.llm._base import Scratch, lookup_join
 
 ORDER = 6
 PRIOR = 2.0
-SYMBOLS = 97
+#: The end of a url, and each of the 256 bytes
+SYMBOLS = 257
 #: Symbols and the mark before the begin
 BASE = SYMBOLS + 1
 #: Urls that are cut into windows at once
@@ -53,12 +54,12 @@ def rule_columns(host, path, rules: list[tuple] = RULES) -> tuple:
 
 
 def _windows(urls: list) -> tuple[np.ndarray, np.ndarray]:
-    """For every character (and an end mark) of the urls: the url, and the character with the ``ORDER - 1`` before it as
+    """For every byte (and an end mark) of the urls: the url, and the byte with the ``ORDER - 1`` before it as
     a number of ``ORDER`` digits in base ``BASE``. The n-grams that end there are its last digits, so nothing is hashed."""
     raw = [(u or "").encode("utf-8", "replace") for u in urls]
     size = np.array([len(r) for r in raw], np.int64)
     flat = np.frombuffer(b"".join(raw), np.uint8)
-    sym = np.where((flat >= 32) & (flat < 127), flat.astype(np.int64) - 31, 96)
+    sym = flat.astype(np.int64) + 1
     owner = np.repeat(np.arange(len(raw)), size + 1)
     limits = np.concatenate(([0], np.cumsum(size + 1)))
     seq = np.zeros(int(limits[-1]), np.int64)  # 0 ends a url
