@@ -50,7 +50,9 @@ WITH pg AS MATERIALIZED (SELECT *, row_number() OVER () AS page FROM documents),
 l AS (SELECT page, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pg WHERE text IS NOT NULL),
 tot AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 cnt AS (SELECT source, trim(line) AS k, count(DISTINCT page) AS c FROM l WHERE trim(line) <> '' GROUP BY 1, 2),
-bad AS (SELECT cnt.source, k FROM cnt JOIN tot ON cnt.source IS NOT DISTINCT FROM tot.source WHERE c >= 5 AND c > n * 0.05),
+everywhere AS (SELECT k, sum(c) AS g, (SELECT count(*) FROM documents) AS pages FROM cnt GROUP BY 1),
+bad AS (SELECT cnt.source, k FROM cnt JOIN everywhere USING (k) JOIN tot ON cnt.source IS NOT DISTINCT FROM tot.source
+        WHERE c + CASE WHEN n < pages THEN 80e0 * (g - c) / (pages - n) ELSE 0e0 END > 0.05e0 * (n + 80e0)),
 m AS (SELECT l.*, bad.k IS NOT NULL AS is_bad FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND trim(l.line) = bad.k),
 a AS (SELECT page, count(*) AS n_lines, count(*) FILTER (WHERE is_bad) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT is_bad), '') AS clean_text FROM m GROUP BY 1)
 SELECT d.doc_id, d.source, CAST(coalesce(a.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(a.n_dropped, 0) AS BIGINT) AS n_dropped, a.clean_text FROM pg d LEFT JOIN a USING (page)
