@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._base import Scratch, importable, shuffle_width
+from tidemark.operators.ranks import numbered
 
 CURVES = 8
 DIRECTIONS, DEPTH = 6, 6
@@ -65,17 +66,18 @@ def hilbert_key(points: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
-    """Ids and vectors that take part: finite, not zero, without nulls, of the commonest length."""
+    """Ids and vectors that take part: finite, not zero, without nulls; shorter ones filled up with zeros, which add
+    nothing to an inner product."""
     v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.where(ok)
-    sizes = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).head(1)
-    return (v.where(F.size("v") == sizes[0]["d"]), sizes[0]["d"]) if sizes else (v, 0)
+    d = v.agg(F.max(F.size("v"))).first()[0] or 0
+    return v.select("id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(d) - F.size("v"))).alias("v")), d
 
 
 def _collapse(v: DataFrame, keep: int) -> DataFrame:
-    """One row per distinct vector: ``rep`` (smallest id), ``ids`` (the ``keep`` smallest), ``v``; in three steps, so
-    that a vector with very many copies is never gathered in one place."""
+    """One row per distinct vector: ``rep`` (its number in the order of smallest ids), ``ids`` (the ``keep`` smallest),
+    ``v``; in three steps, so that a vector with very many copies is never gathered in one place."""
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -96,7 +98,8 @@ def _collapse(v: DataFrame, keep: int) -> DataFrame:
     lowest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids")
     parts = v.mapInPandas(small, "ids array<long>, salt int, v array<double>")
     salted = parts.groupBy("v", "salt").agg(lowest)
-    return salted.groupBy("v").agg(lowest).select(F.col("ids")[0].alias("rep"), "ids", "v")
+    one = salted.groupBy("v").agg(lowest).select(F.col("ids")[0].alias("first"), "ids", "v")
+    return numbered(one, ["first", "v"], "rep").drop("first")
 
 
 class _Curves:
@@ -118,10 +121,10 @@ class _Curves:
 def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
     """The ``k`` nearest other rows of each query row by inner product: ``query_id, rank, vec_id, score``.
 
-    ``queries`` is a condition on the column ``id``. Vectors that are null, zero, of another length than most, or hold
-    a null or non-finite component take no part; nor do rows with a null id. Ties go to the smaller id. Rows that share
-    an id and a vector are one candidate; rows that share an id are no candidates of each other's queries, and where
-    they differ a query of that id may get fewer than ``k``. With fewer than ``k`` candidates all
+    ``queries`` is a condition on the column ``id``. Vectors that are null, zero, or hold
+    a null or non-finite component take no part; nor do rows with a null id. Shorter vectors have zeros at their end. Ties
+    go to the smaller id. Rows that share an id and a vector are one candidate; rows of one id with other vectors are
+    candidates of each other like any. With fewer than ``k`` candidates all
     are returned; an empty table gives an empty result. Other columns are not used.
     """
     spark = vectors.sparkSession
@@ -154,7 +157,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", ve
             for c in range(CURVES if len(pdf) else 0):
                 yield pd.DataFrame({"curve": c, "key": sent.value.keys(c, x), "rep": pdf["rep"], "q": pdf["q"], "v": pdf["v"]})
 
-    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), {}
@@ -166,7 +169,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", ve
 
     on_curves = marked.mapInPandas(keyed, "curve int, key long, rep long, q boolean, v array<double>")
     ordered = on_curves.repartitionByRange(width, "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
-    placed = scratch.save(ordered.mapInPandas(numbered, "part int, curve int, place long, rep long, q boolean, v array<double>"), "curves")
+    placed = scratch.save(ordered.mapInPandas(placed_rows, "part int, curve int, place long, rep long, q boolean, v array<double>"), "curves")
     # rows of each curve in each task: at most tasks + curves numbers
     counts = placed.groupBy("curve", "part").agg(F.count("*").alias("n")).collect()
     starts, upto = [], {}
@@ -212,9 +215,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", ve
     # copies of the representatives found, then of the query's own
     flat = merged.select("rep", F.explode("hits").alias("h")).select("rep", F.col("h.s").alias("s"), F.col("h.id").alias("hit"))
     members = flat.join(reps.select(F.col("rep").alias("hit"), "ids").hint("merge"), "hit")
-    lists = members.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("s"), i.alias("id")))))), 1, k + 1).alias("near"))
+    lists = members.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("s"), i.alias("id"), F.col("hit").alias("hit")))))), 1, k + 1).alias("near"))
     answer = asked.join(scratch.save(lists, "lists").hint("merge"), "rep")
-    own = F.slice(F.filter("near", lambda h: h["id"] != F.col("query_id")), 1, k)
+    own = F.slice(F.filter("near", lambda h: (h["id"] != F.col("query_id")) | (h["hit"] != F.col("rep"))), 1, k)
     return answer.select("query_id", F.posexplode(own).alias("p", "h")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("h.id").alias("vec_id"), F.negative(F.col("h.s")).alias("score"))
 
 
