@@ -7,7 +7,7 @@ occurs marks its words in the document as hit.
 
 Only words of the benchmark can take part in a match, so a shard's array holds just the runs of such words that are as
 long as the shortest window; no window that could match is left out. (A longest match shorter than that is not
-reported, and of one suffix's equally long matches in a shard only the first place is.) There is no shuffle. The
+reported.) There is no shuffle. The
 benchmark goes out in blocks of at most ``BLOCK_CHARS`` characters, one narrow pass over the documents for each; after
 ``CHAIN`` of them the rows are written and the blocks given up, so no worker holds more. Words are compared by 64-bit
 hashes.
@@ -77,12 +77,12 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
 
 
 def search(words: np.ndarray, order: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, ...]:
-    """Binary search of all test suffixes: lengths and first places of the longest matches, and for each suffix at
-    which a window begins the range ``[lo, hi)`` of the array where it occurs."""
+    """Binary search of all test suffixes: lengths of the longest matches and the range ``[lo, hi)`` of the array
+    where they are, and for each suffix at which a window begins the range where it occurs."""
     m, n = len(tests.left), len(order)
     padded = np.concatenate((words, np.full(tests.depth + 1, -1, np.int64)))
     lo, hi = np.zeros(m, np.int64), np.full(m, n, np.int64)
-    best, best_at = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    best = np.zeros(m, np.int64)
     wlo, whi = np.zeros(m, np.int64), np.zeros(m, np.int64)
     alive, d = np.arange(m), 0
     while len(alive):
@@ -100,11 +100,11 @@ def search(words: np.ndarray, order: np.ndarray, tests: TestSuffixes) -> tuple[n
         alive = alive[found]
         lo[alive], hi[alive] = ends[0][found], ends[1][found]
         d += 1
-        best[alive], best_at[alive] = d, order[lo[alive]]
+        best[alive] = d
         whole = alive[tests.window[alive] == d]
         wlo[whole], whi[whole] = lo[whole], hi[whole]
         alive = alive[tests.left[alive] > d]
-    return best, best_at, wlo, whi
+    return best, lo, hi, wlo, whi
 
 
 def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +136,7 @@ def _scan(texts: list, spans_before: list, items_before: list, longest_before: l
         place = np.zeros(len(words), np.int64)
         place[put] = known
         order = suffix_array(words, tests.depth)
-        best, best_at, wlo, whi = search(words, order, tests)
+        best, mlo, mhi, wlo, whi = search(words, order, tests)
         hit = np.flatnonzero(whi > wlo)
         if len(hit):
             rank, which = _expand(wlo[hit], whi[hit])
@@ -155,8 +155,8 @@ def _scan(texts: list, spans_before: list, items_before: list, longest_before: l
             for a, b in zip(np.flatnonzero(edge[0]), np.flatnonzero(edge[1]), strict=True):
                 spans[doc[a]].append({"lo": int(a - w.first[doc[a]]), "hi": int(b + 1 - w.first[doc[a]])})
             top = hit[np.append(True, tests.item[hit][1:] != tests.item[hit][:-1]) | (best[hit] >= np.append(0, best[hit][:-1]))]
-            for s in top:  # the longest matches, without those that are the tail of one
-                at = place[best_at[s]]
+            rank, which = _expand(mlo[top], mhi[top])  # the longest matches, without those that are the tail of one
+            for s, at in zip(top[which], place[order[rank]], strict=True):
                 longest[doc[at]].append({"item_id": tests.ids[tests.item[s]], "item_pos": int(tests.pos[s]), "doc_pos": int(at - w.first[doc[at]]), "length": int(best[s])})
     return counts, spans, items, longest
 
@@ -164,8 +164,8 @@ def _scan(texts: list, spans_before: list, items_before: list, longest_before: l
 def find_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``hit_spans`` (word ranges inside windows, one list per block of items;
     ranges of different blocks may overlap), ``items`` (ids of items with an occurring window, as strings, distinct)
-    and ``longest`` (for each shard's first place of a test suffix's longest match: item, position in it, position
-    in the document, words).
+    and ``longest`` (every place of a test suffix's longest match in a shard: item, position in it, position in the
+    document, words; ties are all listed).
 
     Null and empty texts have no words and no hits; so have items without words. An item with a null id marks words but
     is not listed. Repeated rows of documents are each reported; repeated items count once. Columns of ``docs`` that
