@@ -4,6 +4,7 @@ from tidemark.plans import (  # noqa: F401
     evaluation_queries,
     ingest_queries,
     joins_queries,
+    live_queries,
     modelling_queries,
     reports_queries,
     scalars_queries,

@@ -10,6 +10,7 @@ from tidemark.operators import filters as X
 from tidemark.plans.registry import query
 from tidemark.plans.windows_queries import A_FAST, A_HOLD, A_SLOW, LEAST, RING, SHARES, r6, turns_sql
 from tidemark.streaming import run as R
+from tidemark.streaming import state as T
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000  # microseconds
 #: Series of a user with the row's place, for SQL
@@ -119,31 +120,43 @@ def r10(t):
 SPAN = 36 * HOUR
 
 
-@query("r05_stateful_reversal_counter", f"WITH RECURSIVE {_S}, {turns_sql('user_id', ['event_id', 'ts'], 's')} SELECT user_id, event_id, rev, round(least(sum(rev) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 36 HOUR PRECEDING AND CURRENT ROW) / 3.0::DOUBLE, 1.2), 6) AS level FROM tn")
-def r05(t):
-    """Turns of a user's values by at least ``LEAST``, and their level over the last 36 hours; older turns are forgotten."""
+def turn_levels(stream):
+    """The turns of each user's values and their level, with turns as a list that a timer shortens."""
 
-    def step(state, pdf):
+    def step(now, recent, pdf):
         v, at = pdf["value"].to_numpy(), pdf["at"].to_numpy()
-        way, reach, before = state or (0.0, float(v[0]), [])
+        way, reach = now or (0.0, float(v[0]))
         flags, way, reach = X.turns(v, LEAST, way, reach)
-        n, kept = X.recent(flags, at, SPAN, np.array(before, np.int64))
-        return (way, reach, [int(x) for x in kept]), pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "rev": flags.astype("int32"), "level": np.minimum(n / 3.0, 1.2)}), None
+        n, _ = X.recent(flags, at, SPAN, recent.astype(np.int64))
+        frame = pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "rev": flags.astype("int32"), "level": np.minimum(n / 3.0, 1.2)})
+        return (float(way), float(reach)), at[flags], frame
 
-    s = R.read_stream(t.spark, t.sf_dir, "events").withColumn("at", F.unix_micros("ts"))
-    out = R.per_key(s, "user_id", ["event_id"], ["value", "at"], "event_id long, rev int, level double", "way double, reach double, turns array<long>", step)
-    return R.drain(out).withColumn("level", F.round("level", 6))
+    return T.series(stream, "user_id", ["event_id"], ["value", "at", "ts"], "event_id long, rev int, level double", "way double, reach double", "long", step, span=SPAN)
+
+
+@query("r05_stateful_reversal_counter", f"WITH RECURSIVE {_S}, {turns_sql('user_id', ['event_id', 'ts'], 's')} SELECT user_id, event_id, rev, round(least(sum(rev) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 36 HOUR PRECEDING AND CURRENT ROW) / 3.0::DOUBLE, 1.2), 6) AS level FROM tn")
+def r05(t):
+    """Turns of a user's values by at least ``LEAST``, and their level over the last 36 hours; older turns are forgotten."""
+
+    s = R.read_stream(t.spark, t.sf_dir, "events").withColumn("at", F.unix_micros("ts")).withWatermark("ts", "1 hour")
+    with T.typed_state(t.spark):
+        out = R.drain(turn_levels(s))
+    return out.select("user_id", "event_id", "rev", F.round("level", 6).alias("level"))
 
 
 @query("r06_stateful_adaptive_baseline", "WITH s AS (SELECT user_id AS k, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i, value AS v FROM events), q AS (SELECT k, event_id, i, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.2) OVER w END AS lo, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.95) OVER w END AS hi, v FROM s WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN 599 PRECEDING AND CURRENT ROW)), f AS (SELECT k, event_id, v, last_value(lo IGNORE NULLS) OVER z AS lo, last_value(hi IGNORE NULLS) OVER z AS hi FROM q WINDOW z AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING)) SELECT k AS user_id, event_id, round(CASE WHEN hi > lo THEN greatest(0, (v - lo) / (hi - lo)) ELSE 0 END, 6) AS level FROM f")
 def r06(t):
-    def step(state, pdf):
-        state, level = X.adaptive_level(pdf["value"].to_numpy(), RING, 8, state)
-        return state, pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "level": level}), None
+    """The last values are a list that a batch only appends to; it is cut back when it is twice as long as needed."""
+
+    def step(now, recent, pdf):
+        v = pdf["value"].to_numpy()
+        (_, n, lo, hi), level = X.adaptive_level(v, RING, 8, (recent, *now) if now else None)
+        return (n, lo, hi), v, pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "level": level})
 
     s = R.read_stream(t.spark, t.sf_dir, "events")
-    out = R.per_key(s, "user_id", ["event_id"], ["value"], "event_id long, level double", "ring array<double>, n long, lo double, hi double", step)
-    return R.drain(out).withColumn("level", F.round("level", 6))
+    with T.typed_state(t.spark):
+        out = R.drain(T.series(s, "user_id", ["event_id"], ["value"], "event_id long, level double", "n long, lo double, hi double", "double", step, keep=RING - 1))
+    return out.select("user_id", "event_id", F.round("level", 6).alias("level"))
 
 
 ON, SHORTEST, QUIET = 40.0, 2, 2 * DAY

@@ -29,6 +29,10 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return s.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
+#: Tables by name, and what of a batch goes to each
+Routes = dict[str, Callable[[DataFrame], DataFrame]]
+
+
 class Sink:
     """A stream's work folder: state, and results under the number of their batch, so that a batch that is run again
     replaces itself."""
@@ -36,12 +40,25 @@ class Sink:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or work_folder(spark)
 
-    def run(self, stream: DataFrame, mode: str = "append") -> None:
+    def run(self, stream: DataFrame, mode: str = "append", routes: Routes | None = None) -> None:
         """Run to the end of what is available; a second run goes on where the first ended. The last batch is one
-        without data, in which the final watermark closes windows and timers."""
+        without data, in which the final watermark closes windows and timers.
+
+        With ``routes`` a batch goes to several tables, each what its function makes of the batch. The batch is computed
+        once; every table replaces what the same batch has written before, so that a batch that ended between two tables
+        is whole after it is run again.
+        """
 
         def put(df: DataFrame, batch: int) -> None:
-            df.write.mode("overwrite").parquet(f"{self.folder}/out/{'all' if mode == 'complete' else f'batch={batch}'}")
+            if routes is None:
+                df.write.mode("overwrite").parquet(f"{self.folder}/out/{'all' if mode == 'complete' else f'batch={batch}'}")
+                return
+            df.persist()
+            try:
+                for name, pick in routes.items():
+                    pick(df).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+            finally:
+                df.unpersist()
 
         q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).foreachBatch(put).start()
         q.awaitTermination()
@@ -51,6 +68,10 @@ class Sink:
     def results(self, stream: DataFrame, mode: str = "append") -> DataFrame:
         return self.spark.read.schema(stream.schema).parquet(f"{self.folder}/out/{'all' if mode == 'complete' else 'batch=*'}")
 
+    def table(self, name: str, stream: DataFrame, routes: Routes) -> DataFrame:
+        """What a route has written so far."""
+        return self.spark.read.schema(routes[name](stream).schema).parquet(f"{self.folder}/{name}/batch=*")
+
     def open_state(self) -> DataFrame:
         """What the keys of a ``per_key`` operator remember at the end: their key and the columns of their state."""
         rows = self.spark.read.format("statestore").load(f"{self.folder}/state")
@@ -65,6 +86,12 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def arrivals(rows: DataFrame, batch: Column, batches: int, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``build(stream)`` writes for a table that arrives in parts; see ``arrive``."""
+    sink, stream = arrive(rows, batch, batches, build)
+    return sink.results(stream)
+
+
+def arrive(rows: DataFrame, batch: Column, batches: int, build: Callable[[DataFrame], DataFrame], routes: Routes | None = None) -> tuple[Sink, DataFrame]:
     """Run ``build(stream)`` over a table that arrives in ``batches`` parts: rows with ``batch`` = 0 first, and so on.
 
     Each part is written to the watched folder by one job and taken in by one run, so it may be of any size, and its
@@ -77,8 +104,8 @@ def arrivals(rows: DataFrame, batch: Column, batches: int, build: Callable[[Data
     stream = build(spark.readStream.schema(rows.schema).parquet(f"{sink.folder}/in/part=*"))
     for b in range(batches):
         rows.where(batch == b).write.parquet(f"{sink.folder}/in/part={b}")
-        sink.run(stream)
-    return sink.results(stream)
+        sink.run(stream, routes=routes)
+    return sink, stream
 
 
 def per_key(stream: DataFrame, key: str, order: list[str], values: list[str], out: str, state: str, step: Callable, expire: Callable | None = None) -> DataFrame:
