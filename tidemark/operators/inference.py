@@ -5,9 +5,12 @@ Random draws are md5 integers of ``seed:replicate:place``, so that a run can be
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import sized
 from tidemark.operators.ranks import mean_ranks, numbered, running_sums, written  # noqa: F401
 
 
@@ -31,11 +34,45 @@ def cluster_bootstrap(pairs: DataFrame, cluster: str, diff: str, replicates: int
     reps = spark.range(replicates).withColumnRenamed("id", "b").crossJoin(F.broadcast(size.select(*by, "m")))
     drawn = reps.select(*by, "b", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: draw(F.lit(seed), F.col("b"), j) % F.col("m"))).alias("id"))
     means = drawn.join(c.select(*by, "id", "s", "n").hint("shuffle_hash"), [*by, "id"]).groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return _interval(size, means, replicates, by)
+
+
+#: Below the n-th of these a draw of 32 bits means fewer than n + 1 copies: the Poisson distribution of mean 1
+_COPIES = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
+def copies(*parts: Column) -> Column:
+    """How often a resample takes a row: a reproducible Poisson number of mean 1."""
+    u = draw(*parts)
+    return sum(((u >= F.lit(c)).cast("int") for c in _COPIES), F.lit(0))
+
+
+def poisson_bootstrap(pairs: DataFrame, cluster: str, diff: str, replicates: int, seed: str = "b", by: list[str] | None = None) -> DataFrame:
+    """As ``cluster_bootstrap``, with a number of copies drawn for each cluster by itself.
+
+    No cluster is looked up by number, so nothing is joined: a cluster's row gives its share to each replicate where it
+    stands, and sums meet by group and replicate with partial sums in every task. What is shuffled is a row for each
+    task and replicate, however many clusters there are.
+    """
+    by = by or []
+    c = written(pairs.groupBy(*by, cluster).agg(F.sum(diff).alias("s"), F.count("*").alias("n")))
+    size = c.groupBy(*by).agg(F.count("*").alias("m"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.stddev_samp(F.col("s") / F.col("n")).alias("sd"))
+    each = c.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    each = each.withColumn("w", copies(F.lit(seed), F.col("b"), F.col(cluster))).where("w > 0")
+    means = each.groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    return _interval(size, means, replicates, by)
+
+
+def _interval(size: DataFrame, means: DataFrame, replicates: int, by: list[str]) -> DataFrame:
     b = means.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"), F.avg((F.col("mean") <= 0).cast("double")).alias("below"), F.avg((F.col("mean") >= 0).cast("double")).alias("above"))
-    j = size.join(F.broadcast(b), by) if by else size.crossJoin(F.broadcast(b))  # a row per group
+    j = size.join(sized(written(b)), by) if by else size.crossJoin(F.broadcast(b))  # a row per group
     enough = F.col("m") >= 10
     p = F.greatest(F.lit(1.0 / replicates), F.least(F.lit(1.0), 2 * F.least("below", "above")))
-    return j.select(*by, F.col("m").alias("clusters"), F.col("n").alias("pairs"), (F.col("s") / F.col("n")).alias("shift"), F.when(enough, F.col("lo")).alias("lo"), F.when(enough, F.col("hi")).alias("hi"), F.when(enough, p).alias("p"), (F.col("s") / F.col("n") / F.nullif(F.col("sd"), F.lit(0.0))).alias("effect"), (F.lit(2.8) * F.col("sd") / F.sqrt("m")).alias("mde"))
+    shift = F.col("s") / F.col("n")
+    return j.select(
+        *by, F.col("m").alias("clusters"), F.col("n").alias("pairs"), shift.alias("shift"), F.when(enough, F.col("lo")).alias("lo"), F.when(enough, F.col("hi")).alias("hi"),
+        F.when(enough, p).alias("p"), (shift / F.nullif(F.col("sd"), F.lit(0.0))).alias("effect"), (F.lit(2.8) * F.col("sd") / F.sqrt("m")).alias("mde"),
+    )
 
 
 def auc(df: DataFrame, score: str, label: Column, by: list[str] | None = None) -> DataFrame:
@@ -87,7 +124,7 @@ def permutation_sums(df: DataFrame, x: str, ones: DataFrame, row: str, replicate
     ``ones(by, k)``.
 
     Draws are counted in ``DRAW_BINS`` bins first: all rows below the bin that the k-th draw falls in belong to the
-    sum, and only the rows of that bin, one in as many as there are bins, are ranked.
+    sum, and only the rows of that bin, one in as many as there are bins, are shuffled and ranked.
     """
     reps = df.select(*by, row, x).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("h", draw(F.lit(seed), F.col("b"), F.col(row)))
     reps = reps.withColumn("bin", F.floor(F.col("h") / ((1 << 32) // DRAW_BINS)))
@@ -96,7 +133,7 @@ def permutation_sums(df: DataFrame, x: str, ones: DataFrame, row: str, replicate
     bins = bins.withColumns({"before": F.coalesce(F.sum("n").over(w), F.lit(0)), "sofar": F.coalesce(F.sum("s").over(w), F.lit(0.0))})
     bins = bins.join(F.broadcast(ones), by) if by else bins.crossJoin(F.broadcast(ones))  # a row per group
     cut = bins.where("before < k and before + n >= k").select(*by, "b", "bin", "sofar", (F.col("k") - F.col("before")).alias("left"))
-    near = reps.join(cut.hint("merge"), [*by, "b", "bin"])
+    near = reps.join(sized(written(cut)), [*by, "b", "bin"])  # a row per group and replicate
     near = near.withColumn("r", F.row_number().over(Window.partitionBy(*by, "b").orderBy("h", row))).where("r <= left")
     return near.groupBy(*by, "b").agg((F.sum(x) + F.first("sofar")).alias("s"))
 
@@ -123,30 +160,30 @@ def bonferroni(tests: DataFrame, p: str, interpretable: Column, family: list[str
     return j.withColumn("adjusted", F.when(interpretable, F.least(F.lit(1.0), F.col(p) * F.col("_m")))).drop("_m")
 
 
-def token_edits(a: list, b: list) -> int:
-    """Edit distance of two whole token lists: tokens become numbers, equal ends are left out, and each row of the table
-    is one running minimum."""
-    import numpy as np
-
-    lo, n, m = 0, len(a), len(b)
-    while lo < min(n, m) and a[lo] == b[lo]:
-        lo += 1
-    while n > lo and m > lo and a[n - 1] == b[m - 1]:
-        n, m = n - 1, m - 1
-    ids: dict = {}
-    x, y = ([ids.setdefault(w, len(ids)) for w in part] for part in (a[lo:n], b[lo:m]))
-    place, other = np.arange(len(y) + 1), np.array(y, np.int64)
-    row = place.copy()
-    for w in x:
-        step = row + 1
-        step[1:] = np.minimum(step[1:], row[:-1] + (other != w))
-        row = np.minimum.accumulate(step - place) + place
-    return int(row[-1])
-
-
 def word_edits(a: Column, b: Column) -> Column:
-    """``token_edits`` of two columns of token arrays; NULL where one is NULL."""
-    return F.udf(lambda u, v: None if u is None or v is None else token_edits(list(u), list(v)), "long", useArrow=True)(a, b)
+    """Edit distance of two columns of token arrays; NULL where one is NULL.
+
+    The tokens of a pair are numbered, each number is a character beyond the usual ones, and the built-in distance of
+    strings does the rest. Up to a million different tokens in a pair.
+    """
+    every = F.array_distinct(F.concat(a, b))
+    code = lambda w: F.lpad(F.hex(F.array_position(every, w) + 0xFFFF), 8, "0")
+    text = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, code), "")), "UTF-32")
+    return F.levenshtein(text(a), text(b)).cast("long")
+
+
+def chi_square_tail(x: Column, degrees: int = 1) -> Column:
+    """P(a chi-square variable of ``degrees`` is at least ``x``): the regularised upper incomplete gamma function, by its
+    series below ``degrees / 2 + 1`` and by its continued fraction above; NULL for a NULL, 1 for a negative ``x``."""
+    a = degrees / 2.0
+    h = F.greatest(x.cast("double"), F.lit(0.0)) / 2
+    scale = F.exp(a * F.log(F.nullif(h, F.lit(0.0))) - h - math.lgamma(a))
+    steps = F.sequence(F.lit(1), F.lit(int(200 + 6 * a)))
+    add = lambda s, n: F.struct((s["term"] * h / (a + n)).alias("term"), (s["sum"] + s["term"] * h / (a + n)).alias("sum"))
+    low = 1 - scale * F.aggregate(steps, F.struct(F.lit(1 / a).alias("term"), F.lit(1 / a).alias("sum")), add, lambda s: s["sum"])
+    tail = F.aggregate(F.reverse(steps), F.lit(0.0), lambda t, n: n * (n - a) / (h + 2 * n + 1 - a - t))  # from within
+    high = scale / (h + 1 - a - tail)
+    return F.when(x.isNull(), None).when(h == 0, 1.0).when(h < a + 1, F.greatest(low, F.lit(0.0))).otherwise(high)
 
 
 def f1_report(df: DataFrame, truth: Column, predicted: Column) -> list[Column]:
@@ -183,24 +220,47 @@ def shared_fraction(vectors: DataFrame, x: str, by: list[str]) -> DataFrame:
     return one.select(*by, (F.col("c") / F.nullif(F.sqrt(F.col("p") * F.col("q")), F.lit(0.0))).alias("shared"), "pairs")
 
 
-def canonical_angles(vectors: DataFrame, x: str) -> DataFrame:
-    """Canonical correlations between the halves of a vector, largest first, and their angles. Only the Gram matrix,
-    of dimensions times dimensions, comes to the driver."""
+def mean_squared_cosine(vectors: DataFrame, x: str, by: list[str], least: float = 1e-8) -> DataFrame:
+    """``by, n, shared``: the mean squared cosine of all pairs of a first half of a vector and a second half of any: 0 if
+    all are orthogonal, 1 if all point one way. Halves shorter than ``least`` count as they are over ``least``.
+
+    The squared products of all pairs sum up to the inner product of two Gram matrices, those of the unit first and of the
+    unit second halves, so there are no pairs: one aggregation over dimensions, with partial sums in every task.
+    """
+    half = F.floor(F.size(x) / 2).cast("int")
+    unit = lambda v: F.transform(v, lambda e: e / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)), F.lit(least)))
+    sides = F.array(*[F.struct(F.lit(name).alias("_side"), unit(v).alias("_v")) for name, v in (("u", F.slice(x, F.lit(1), half)), ("v", F.slice(x, half + 1, half)))])
+    d = vectors.where(half > 0).select(*by, F.explode(sides).alias("_s")).select(*by, "_s.*")
+    g = gram(d, "_v", [*by, "_side"])
+    both = g.groupBy(*by, "a", "b").agg(F.sum(F.when(F.col("_side") == "u", F.col("s"))).alias("u"), F.sum(F.when(F.col("_side") == "v", F.col("s"))).alias("v"))
+    dot = both.groupBy(*by).agg(F.sum(F.col("u") * F.col("v")).alias("_dot"))
+    n = vectors.where(half > 0).groupBy(*by).agg(F.count("*").alias("n"))
+    j = n.join(dot.hint("merge"), by) if by else n.crossJoin(F.broadcast(dot))
+    return j.select(*by, "n", (F.col("_dot") / F.nullif(F.col("n") * F.col("n"), F.lit(0)).cast("double")).alias("shared"))
+
+
+def canonical_angles(vectors: DataFrame, x: str, centred: bool = True) -> DataFrame:
+    """Cosines of the principal angles between the halves of a vector over all rows, largest first, and the angles;
+    ``centred`` takes the mean off every dimension. Only a matrix of dimensions times dimensions comes to the driver:
+    a one behind each vector carries its sums and the number of rows along."""
     import numpy as np
 
-    rows = gram(vectors, x, []).collect()
+    rows = gram(vectors.select(F.concat(F.col(x).cast("array<double>"), F.array(F.lit(1.0))).alias(x)), x, []).collect()
     n = 1 + max((r["a"] for r in rows), default=-1)
     m = np.zeros((n, n))
     for r in rows:
         m[r["a"], r["b"]] = r["s"]
-    h = n // 2
+    if n:
+        total, mean = m[-1, -1], m[-1, :-1] / max(m[-1, -1], 1.0)
+        m = m[:-1, :-1] - (total * np.outer(mean, mean) if centred else 0.0)
+    h = max(0, n - 1) // 2
 
     def whiten(c):
         w, q = np.linalg.eigh(c)
         keep = w > 1e-10 * max(w.max(initial=0.0), 1e-300)
         return q[:, keep] / np.sqrt(w[keep])
 
-    c = np.clip(np.linalg.svd(whiten(m[:h, :h]).T @ m[:h, h:] @ whiten(m[h:, h:]), compute_uv=False), 0.0, 1.0) if h else np.zeros(0)
+    c = np.clip(np.linalg.svd(whiten(m[:h, :h]).T @ m[:h, h : 2 * h] @ whiten(m[h : 2 * h, h : 2 * h]), compute_uv=False), 0.0, 1.0) if h else np.zeros(0)
     return vectors.sparkSession.createDataFrame([(i, float(v), float(np.degrees(np.arccos(v)))) for i, v in enumerate(c)], "i int, cosine double, degrees double")
 
 

@@ -64,3 +64,13 @@ def within_relative(left: DataFrame, right: DataFrame, x: str, y: str, tol: floa
     r = r.withColumn("_c", F.explode(F.sequence(cell("_y") - 1, cell("_y") + 1)))
     hit = left.where(F.col(x) > 0).withColumn("_c", cell(x)).alias("l").join(r.alias("r").hint("merge"), (F.col("l._c") == F.col("r._c")) & (F.abs(F.col("_y") - F.col(x)) <= F.lit(tol) * F.col(x)), "left_semi").drop("_c").distinct().withColumn("_hit", F.lit(True))
     return left.join(hit.hint("merge"), left.columns, "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+#: Rows up to which a table of keys and numbers is broadcast
+SMALL_ROWS = 300_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """``table`` marked for a broadcast if it is counted to be small, else for a merge join, whose hot keys adaptive
+    execution splits. It should be written, as it is read twice."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table.hint("merge")

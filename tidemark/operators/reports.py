@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.inference import chi_square_tail
 from tidemark.operators.ranks import numbered
 
 
@@ -37,14 +38,21 @@ def fleiss_kappa(ratings: DataFrame, item: str, category: str) -> DataFrame:
     return pe.select("items", F.round("po", 6).alias("observed"), F.round("pe", 6).alias("chance"), F.round((F.col("po") - F.col("pe")) / (1 - F.col("pe")), 6).alias("kappa"))
 
 
-def contingency(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    """2 x 2 counts, agreement, lift and chi-square without correction."""
-    c = df.agg(F.count_if(a & b).alias("n11"), F.count_if(a & ~b).alias("n10"), F.count_if(~a & b).alias("n01"), F.count_if(~a & ~b).alias("n00"))
+def contingency(df: DataFrame, a: Column, b: Column, by: list[str] | None = None) -> DataFrame:
+    """2 x 2 counts, agreement, lift, chi-square without correction and its p value, of all rows or of every group. Where a
+    row or column of the table is empty, lift, chi-square and p are NULL."""
+    c = df.groupBy(*(by or [])).agg(F.count_if(a & b).alias("n11"), F.count_if(a & ~b).alias("n10"), F.count_if(~a & b).alias("n01"), F.count_if(~a & ~b).alias("n00"))
     n = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
     ra, rb = F.col("n11") + F.col("n10"), F.col("n11") + F.col("n01")
     det = F.col("n11") * F.col("n00") - F.col("n10") * F.col("n01")
-    den = ra.cast("double") * rb * (n - ra) * (n - rb)
-    return c.select("n11", "n10", "n01", "n00", F.round((F.col("n11") + F.col("n00")) / n, 6).alias("agreement"), F.round(F.col("n11") * n / (ra * rb), 6).alias("lift"), F.round(n * F.pow(det.cast("double"), F.lit(2)) / den, 6).alias("chi2"))
+    den = F.nullif(ra.cast("double") * rb * (n - ra) * (n - rb), F.lit(0.0))
+    some = lambda x: F.nullif(x, F.lit(0))
+    chi2 = n * F.pow(det.cast("double"), F.lit(2)) / den
+    own = c.withColumn("_chi2", chi2)
+    return own.select(
+        *(by or []), "n11", "n10", "n01", "n00", n.alias("n"), F.round((F.col("n11") + F.col("n00")) / some(n), 6).alias("agreement"), F.round(F.col("n11") * n / some(ra * rb), 6).alias("lift"),
+        F.round("_chi2", 6).alias("chi2"), chi_square_tail(F.col("_chi2")).alias("p"),
+    )
 
 
 def by_levels(df: DataFrame, levels: list[str], *aggs: Column) -> DataFrame:

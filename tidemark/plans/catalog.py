@@ -6,6 +6,7 @@ from tidemark.plans import (  # noqa: F401
     joins_queries,
     live_queries,
     modelling_queries,
+    provenance_queries,
     reports_queries,
     scalars_queries,
     sets_queries,

@@ -9,6 +9,7 @@ from tidemark.operators import inference as N
 from tidemark.operators import logistic as L
 from tidemark.operators import series as S
 from tidemark.operators.joins import nearest_match
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans.joins_queries import PAIRS, WINDOWS, audit_windows, matched
 from tidemark.plans.registry import query
 from tidemark.plans.reports_queries import _LAB, labelled
@@ -47,10 +48,28 @@ def s01(t):
     return bootstrapped(t, B)
 
 
-@query("s01_matched_pair_bootstrap_whole", _s01_sql(WHOLE_B))
+_COPIES = f"list_sum([CAST(h >= c AS INTEGER) FOR c IN {N._COPIES!r}])"
+
+
+def _s01_whole_sql(reps):
+    return f"""
+WITH {EV}, {WINDOWS}, {PAIRS},
+cl AS (SELECT k, sum(diff) AS s, count(*) AS n FROM mt GROUP BY k),
+sz AS (SELECT count(*) AS m, sum(s) AS s, sum(n) AS n, stddev_samp(s / n) AS sd FROM cl),
+dr AS (SELECT b, s, n, {_COPIES} AS w FROM (SELECT b, s, n, ('0x' || substr(md5('b:' || b || ':' || k), 1, 8))::BIGINT AS h FROM range(0, {reps}) r(b), cl)),
+bm AS (SELECT b, sum(w * s) / sum(w * n) AS mean FROM dr GROUP BY b HAVING sum(w) > 0),
+bs AS (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi, avg((mean <= 0)::INT) AS below, avg((mean >= 0)::INT) AS above FROM bm)
+SELECT m AS clusters, CAST(n AS BIGINT) AS pairs, round(s / n, 6) AS shift, round(CASE WHEN m >= 10 THEN lo END, 6) AS lo, round(CASE WHEN m >= 10 THEN hi END, 6) AS hi,
+  round(CASE WHEN m >= 10 THEN greatest(1.0 / {reps}, least(1.0, 2 * least(below, above))) END, 6) AS p, round(s / n / sd, 6) AS effect, round(2.8 * sd / sqrt(m), 6) AS mde
+FROM sz, bs
+"""
+
+
+@query("s01_matched_pair_bootstrap_whole", _s01_whole_sql(WHOLE_B))
 def s01_whole(t):
-    """With as many replicates as the reference."""
-    return bootstrapped(t, WHOLE_B)
+    """With as many replicates as the reference, each cluster's copies drawn where it stands."""
+    b = N.poisson_bootstrap(match_diffs(t), "k", "diff", WHOLE_B)
+    return b.select("clusters", "pairs", *[r6(c, c) for c in ("shift", "lo", "hi", "p", "effect", "mde")])
 
 
 _SCORE = "sc AS (SELECT doc_id, n_chars, q, lang, source FROM lj)"
@@ -135,7 +154,7 @@ def s11(t):
     n = F.col("n_chars")
     rules = F.create_map(F.lit("size"), n.cast("double"), F.lit("symbols"), F.when(F.col("r"), n + 1e6).otherwise(n.cast("double")), F.lit("both"), (n * (1 + F.col("quality"))).cast("double"))
     d = labelled(t).select("x", F.explode(rules).alias("rule", "score"))
-    th = d.where("not x").groupBy("rule").agg(F.percentile("score", F.lit(0.9)).alias("t"))
+    th = exact_quantiles(d.where("not x"), ["rule"], F.col("score"), [0.9]).select("rule", F.col("q")[0].alias("t"))
     over = (F.col("score") > F.col("t")).cast("double")
     return d.join(F.broadcast(th), "rule").groupBy("rule").agg(r6(F.first("t"), "threshold"), r6(F.avg(F.when(F.col("x"), over)), "hit"), r6(F.avg(F.when(~F.col("x"), over)), "false_alarm"))
 
@@ -234,6 +253,21 @@ def s17_fraction(t):
     return N.shared_fraction(em(t), "x", ["k"]).select("k", F.round("shared", 5).alias("shared"), "pairs")
 
 
+S17_SQL = f"""
+WITH {EM},
+h AS (SELECT k, x[1:32] AS u, x[33:64] AS v FROM m),
+n AS (SELECT k, [e / greatest(sqrt(list_sum([y * y FOR y IN u])), 1e-8) FOR e IN u] AS u, [e / greatest(sqrt(list_sum([y * y FOR y IN v])), 1e-8) FOR e IN v] AS v FROM h)
+SELECT a.k, CAST(round(sqrt(count(*))) AS BIGINT) AS n, round(avg(pow(list_dot_product(a.u, b.v), 2)), 6) AS shared FROM n a JOIN n b ON a.k = b.k GROUP BY a.k
+"""
+
+
+@query("s17_mean_squared_cosine", S17_SQL)
+def s17_pairs(t):
+    """How much of two halves' directions is common over the vectors of each label: the mean over all pairs of a first
+    half and a second half, from two Gram matrices."""
+    return N.mean_squared_cosine(em(t), "x", ["k"]).select("k", "n", r6("shared", "shared"))
+
+
 @query("s17_canonical_angles")
 def s17_angles(t):
     """Canonical correlations of the two halves of the vectors; a 64 x 64 Gram matrix comes to the driver."""
@@ -307,10 +341,9 @@ _AUDIT_WINDOWS = (
     "mt1 AS (SELECT k, family, marker, inside, unnest(['real', 'null']) AS model, unnest([real, nul]) AS diff FROM mt0), "
     "mt AS (SELECT k, family, marker, model, 'sensitivity' AS subset, diff FROM mt1 UNION ALL SELECT k, family, marker, model, 'primary', diff FROM mt1 WHERE inside), "
     "c0 AS (SELECT family, marker, model, subset, k, sum(diff) AS s, count(*) AS n FROM mt GROUP BY ALL), "
-    "cl AS (SELECT *, row_number() OVER (PARTITION BY family, marker, model, subset ORDER BY k) - 1 AS id FROM c0), "
-    "sz AS (SELECT family, marker, model, subset, count(*) AS m, sum(s) AS s, sum(n) AS n FROM cl GROUP BY ALL), "
-    "dr AS (SELECT family, marker, model, subset, b, ('0x' || substr(md5('b:' || b || ':' || j), 1, 8))::BIGINT % m AS id FROM (SELECT *, unnest(range(0, m)) AS j FROM sz), range(0, 400) r(b)), "
-    "bm AS (SELECT family, marker, model, subset, b, sum(s) / sum(n) AS mean FROM dr JOIN cl USING (family, marker, model, subset, id) GROUP BY ALL), "
+    "sz AS (SELECT family, marker, model, subset, count(*) AS m, sum(s) AS s, sum(n) AS n FROM c0 GROUP BY ALL), "
+    f"dr AS (SELECT *, {_COPIES} AS w FROM (SELECT *, ('0x' || substr(md5('b:' || b || ':' || k), 1, 8))::BIGINT AS h FROM c0, range(0, 400) r(b))), "
+    "bm AS (SELECT family, marker, model, subset, b, sum(w * s) / sum(w * n) AS mean FROM dr GROUP BY family, marker, model, subset, b HAVING sum(w) > 0), "
     "bs AS (SELECT family, marker, model, subset, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi, avg((mean <= 0)::INT) AS below, avg((mean >= 0)::INT) AS above FROM bm GROUP BY ALL), "
     "ad AS (SELECT family, marker, model, subset, m, n, s / n AS shift, CASE WHEN m >= 10 THEN lo END AS lo, CASE WHEN m >= 10 THEN hi END AS hi, CASE WHEN m >= 10 THEN greatest(1.0 / 400, least(1.0, 2 * least(below, above))) END AS p FROM sz JOIN bs USING (family, marker, model, subset))"
 )
@@ -336,7 +369,7 @@ def s10_full(t):
     inside = F.col("inside1") & F.col("inside0")
     d = j.select("k", "family", "marker", inside.alias("inside"), F.explode(F.create_map(F.lit("real"), F.col("real1") - F.col("real0"), F.lit("null"), F.col("null1") - F.col("null0"))).alias("model", "diff"))
     d = d.withColumn("subset", F.explode(F.when(F.col("inside"), F.array(F.lit("sensitivity"), F.lit("primary"))).otherwise(F.array(F.lit("sensitivity")))))
-    b = N.cluster_bootstrap(N.written(d), "k", "diff", 400, by=["family", "marker", "model", "subset"])
+    b = N.poisson_bootstrap(N.written(d), "k", "diff", 400, by=["family", "marker", "model", "subset"])
     return N.bonferroni(b, "p", F.col("p").isNotNull(), ["family", "model", "subset"]).select("family", "marker", "model", "subset", "clusters", "pairs", *[r6(c, c) for c in ("shift", "lo", "hi", "p", "adjusted")])
 
 

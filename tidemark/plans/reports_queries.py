@@ -8,6 +8,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import reports as R
 from tidemark.operators import series as S
 from tidemark.operators.inference import spearman
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans.registry import query
 from tidemark.plans.scalars_queries import _TOK, TYPES
 from tidemark.plans.windows_queries import EM, EV, em, ev, r6
@@ -64,7 +65,9 @@ def d06(t):
     rate = F.when(F.least(gap(24), gap(30), gap(60)) == gap(24), 24).when(F.least(gap(30), gap(60)) == gap(30), 30).otherwise(60)
     d = ev(t).select(rate.alias("rate"), "v", (F.col("i") + F.floor(v / 4)).alias("hi"), F.count(F.lit(1)).over(S.whole()).alias("m"))
     ok = F.col("hi") < F.col("m")
-    return d.groupBy("rate").agg(F.count("*").alias("n"), F.count_if(ok).alias("in_range"), F.count_if(~ok).alias("overshoot"), r6(F.median(v / F.col("rate")), "ratio"), (F.avg(ok.cast("double")) >= 0.8).alias("aligned"))
+    g = d.groupBy("rate").agg(F.count("*").alias("n"), F.count_if(ok).alias("in_range"), F.count_if(~ok).alias("overshoot"), (F.avg(ok.cast("double")) >= 0.8).alias("aligned"))
+    mid = exact_quantiles(d, ["rate"], v / F.col("rate"), [0.5])
+    return g.join(mid.hint("merge"), "rate").select("rate", "n", "in_range", "overshoot", r6(F.col("q")[0], "ratio"), "aligned")
 
 
 @query("d07_detection_gate", f"WITH {EM}, q AS (SELECT k, j, stddev_pop(x[j]) AS sd FROM m, range(1, 65) r(j) GROUP BY k, j), g AS (SELECT k, count(*) FILTER (WHERE sd > 0.12) AS active, max(sd) AS top FROM q GROUP BY k) SELECT k, active, round(top, 6) AS top, concat_ws(',', CASE WHEN active < 32 THEN 'few_active' END, CASE WHEN top < 0.15 THEN 'flat' END) AS reasons FROM g")
@@ -90,7 +93,10 @@ def d09(t):
 
 @query("d10_blindness", "WITH q AS (SELECT event_type AS e, avg(CASE WHEN value < 10 THEN 1.0 ELSE 0 END) AS z, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, median(value) AS m FROM events GROUP BY 1) SELECT e AS signal, round(z, 6) AS zero_fraction, round(iqr, 6) AS iqr, z > 0.6 OR iqr < 1e-9 OR iqr < 0.05 * m AS blind FROM q")
 def d10(t):
-    q = t("events").groupBy(F.col("event_type").alias("signal")).agg(F.avg((F.col("value") < 10).cast("double")).alias("z"), (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("q"), F.median("value").alias("m"))
+    e = t("events").withColumnRenamed("event_type", "signal")
+    z = e.groupBy("signal").agg(F.avg((F.col("value") < 10).cast("double")).alias("z"))
+    p = exact_quantiles(e, ["signal"], F.col("value"), [0.25, 0.5, 0.75], "p")
+    q = z.join(p.hint("merge"), "signal").select("signal", "z", (F.col("p")[2] - F.col("p")[0]).alias("q"), F.col("p")[1].alias("m"))
     return q.select("signal", r6("z", "zero_fraction"), r6("q", "iqr"), ((F.col("z") > 0.6) | (F.col("q") < 1e-9) | (F.col("q") < 0.05 * F.col("m"))).alias("blind"))
 
 
@@ -110,7 +116,24 @@ def labelled(t):
 
 @query("d12_contingency", f"WITH {_LAB}, c AS (SELECT count(*) FILTER (WHERE q AND r) AS n11, count(*) FILTER (WHERE q AND NOT r) AS n10, count(*) FILTER (WHERE NOT q AND r) AS n01, count(*) FILTER (WHERE NOT q AND NOT r) AS n00, count(*) AS n FROM lj) SELECT n11, n10, n01, n00, round((n11 + n00) / n::DOUBLE, 6) AS agreement, round(n11 * n / ((n11 + n10) * (n11 + n01))::DOUBLE, 6) AS lift, round(n * pow(n11 * n00 - n10 * n01, 2) / ((n11 + n10)::DOUBLE * (n11 + n01) * (n01 + n00) * (n10 + n00)), 6) AS chi2 FROM c")
 def d12(t):
-    return R.contingency(labelled(t), F.col("q"), F.col("r"))
+    return R.contingency(labelled(t), F.col("q"), F.col("r")).drop("n", "p")
+
+
+D12_SQL = f"""
+WITH {_LAB},
+c AS (SELECT lang, count(*) FILTER (WHERE q AND r) AS n11, count(*) FILTER (WHERE q AND NOT r) AS n10, count(*) FILTER (WHERE NOT q AND r) AS n01, count(*) FILTER (WHERE NOT q AND NOT r) AS n00, count(*) AS n FROM lj GROUP BY lang),
+x AS (SELECT lang, n, n * pow(n11 * n00 - n10 * n01, 2) / nullif((n11 + n10)::DOUBLE * (n11 + n01) * (n01 + n00) * (n10 + n00), 0) AS chi2 FROM c),
+z AS (SELECT *, chi2 / 2 AS h FROM x)
+SELECT lang, n, round(chi2, 6) AS chi2,
+  round(CASE WHEN h > 25 THEN 0 ELSE 1 - 2 / sqrt(pi()) * exp(-h) * sqrt(h) * (1 + list_sum([exp(i * ln(2 * h) - list_sum([ln(2 * j + 1) FOR j IN range(1, i + 1)])) FOR i IN range(1, 120)])) END, 6) AS p
+FROM z
+"""
+
+
+@query("d12_contingency_with_p", D12_SQL)
+def d12_p(t):
+    """Chi-square of quality against symbols in each language, with its p value."""
+    return R.contingency(labelled(t), F.col("q"), F.col("r"), ["lang"]).select("lang", "n", r6("chi2", "chi2"), r6("p", "p"))
 
 
 @query("d13_cohens_kappa", f"WITH {_LAB}, c AS (SELECT count(*) AS n, avg(CASE WHEN q = NOT r THEN 1.0 ELSE 0 END) AS po, avg(q::INT) AS pa, avg((NOT r)::INT) AS pb FROM lj), e AS (SELECT *, pa * pb + (1 - pa) * (1 - pb) AS pe FROM c) SELECT n, round(po, 6) AS observed, round(pe, 6) AS chance, round((po - pe) / (1 - pe), 6) AS kappa, CASE WHEN (po - pe) / (1 - pe) < 0.1 THEN 'useless' WHEN (po - pe) / (1 - pe) < 0.4 THEN 'weak' ELSE 'usable' END AS verdict FROM e")
@@ -131,7 +154,8 @@ _FACTS = "CASE WHEN count(*) < 100 THEN 'too_few_samples' WHEN n.noise > 0.5 THE
 def d15(t):
     e = t("events").withColumnRenamed("event_type", "module")
     noise = e.groupBy("module", "user_id").agg(F.avg("value").alias("m")).groupBy("module").agg((F.stddev_pop("m") / F.avg("m")).alias("noise"))
-    s = e.groupBy("module").agg(F.count("*").alias("samples"), F.min("value").alias("fastest"), F.avg("value").alias("a"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
+    s = e.groupBy("module").agg(F.count("*").alias("samples"), F.min("value").alias("fastest"), F.avg("value").alias("a"))
+    s = s.join(exact_quantiles(e, ["module"], F.col("value"), [0.5, 0.95, 0.99], "p").hint("merge"), "module")
     p = F.col("p")
     verdict = F.when(F.col("samples") < 100, "too_few_samples").when(F.col("noise") > 0.5, "noisy").when(p[2] > 10 * p[0], "long_tail").otherwise("reportable")
     return s.join(noise.hint("merge"), "module").select("module", "samples", "fastest", r6("a", "mean"), *[r6(p[i], n) for i, n in enumerate(("p50", "p95", "p99"))], r6(1000 / F.col("a"), "rate"), r6("noise", "noise"), verdict.alias("verdict"))
@@ -144,7 +168,7 @@ _SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 def d16_extremes(t):
     """Percentiles of a group, and its five least and greatest values, of which each task keeps its own five."""
     d = t("lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("x"), "l_orderkey", "l_linenumber")
-    p = d.groupBy("flag").agg(F.transform(F.percentile("x", F.array(*[F.lit(q) for q in _SHARES])), lambda x: F.round(x, 6)).alias("percentiles"))
+    p = exact_quantiles(d, ["flag"], F.col("x"), _SHARES).select("flag", F.transform("q", lambda x: F.round(x, 6)).alias("percentiles"))
     low = first_of_each(d, "flag", "x", 5).groupBy("flag").agg(F.array_sort(F.collect_list("x")).alias("lowest"))
     high = first_of_each(d.withColumn("y", -F.col("x")), "flag", "y", 5).groupBy("flag").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("highest"))
     return p.join(low.hint("merge"), "flag").join(high.hint("merge"), "flag")
