@@ -113,7 +113,9 @@ def safe_corr(x: str, y: str) -> Column:
 
 
 def partial_corr(xy: Column, xz: Column, yz: Column) -> Column:
-    return (xy - xz * yz) / F.sqrt((1 - xz * xz) * (1 - yz * yz))
+    """Correlation of x and y given z; NULL where z explains either side whole."""
+    free = (F.abs(xz) < 1 - 1e-9) & (F.abs(yz) < 1 - 1e-9)
+    return F.when(free, (xy - xz * yz) / F.sqrt((1 - xz * xz) * (1 - yz * yz)))
 
 
 DRAW_BINS = 4096

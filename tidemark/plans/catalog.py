@@ -2,6 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401
     evaluation_queries,
+    feature_queries,
     ingest_queries,
     joins_queries,
     live_queries,

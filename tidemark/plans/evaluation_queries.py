@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import signals as G
@@ -97,10 +100,9 @@ def s05(t):
     return N.spearman(t("lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", r6("rho", "rho"), "n")
 
 
-@query("s06_effect_sizes", f"WITH {_LAB}, z AS (SELECT source, n_chars AS x, toxic AS y, quality AS z FROM lj), c AS (SELECT source, (avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0)) / sqrt((var_pop(x) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 1) + var_pop(x) FILTER (WHERE y = 0) * count(*) FILTER (WHERE y = 0)) / count(*)) AS smd, corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM z GROUP BY 1) SELECT source, round(smd, 5) AS smd, round(xy, 6) AS point_biserial, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial FROM c WHERE xy IS NOT NULL AND NOT isnan(xy) AND xz IS NOT NULL AND NOT isnan(xz)")
+@query("s06_effect_sizes", f"WITH {_LAB}, z AS (SELECT source, n_chars AS x, toxic AS y, quality AS z FROM lj), c AS (SELECT source, (avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0)) / sqrt((var_pop(x) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 1) + var_pop(x) FILTER (WHERE y = 0) * count(*) FILTER (WHERE y = 0)) / count(*)) AS smd, CASE WHEN stddev_pop(x) * stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS xy, CASE WHEN stddev_pop(x) * stddev_pop(z) > 0 THEN covar_pop(x, z) / (stddev_pop(x) * stddev_pop(z)) END AS xz, CASE WHEN stddev_pop(y) * stddev_pop(z) > 0 THEN covar_pop(y, z) / (stddev_pop(y) * stddev_pop(z)) END AS yz FROM z GROUP BY 1) SELECT source, round(smd, 5) AS smd, round(xy, 6) AS point_biserial, round(CASE WHEN abs(xz) < 1 - 1e-9 AND abs(yz) < 1 - 1e-9 THEN (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) END, 6) AS partial FROM c")
 def s06(t):
     g = labelled(t).groupBy("source").agg(N.std_mean_diff("n_chars", F.col("x")).alias("smd"), N.safe_corr("n_chars", "toxic").alias("xy"), N.safe_corr("n_chars", "quality").alias("xz"), N.safe_corr("toxic", "quality").alias("yz"))
-    g = g.where("xy is not null and xz is not null")
     return g.select("source", F.round("smd", 5).alias("smd"), r6("xy", "point_biserial"), r6(N.partial_corr(F.col("xy"), F.col("xz"), F.col("yz")), "partial"))
 
 
@@ -373,12 +375,22 @@ def s10_full(t):
     return N.bonferroni(b, "p", F.col("p").isNotNull(), ["family", "model", "subset"]).select("family", "marker", "model", "subset", "clusters", "pairs", *[r6(c, c) for c in ("shift", "lo", "hi", "p", "adjusted")])
 
 
+def signed_sums(x, seed, n=8, size=32):
+    """``n`` sums of all ``size`` components with signs drawn once, scaled to the spread of a component."""
+    sign = lambda r, j: 1 - 2 * (hashlib.md5(f"{seed}:{r}:{j}".encode()).digest()[0] & 1)
+    rows = [F.array(*[F.lit(float(sign(r, j))) for j in range(size)]) for r in range(n)]
+    dot = lambda s: F.aggregate(F.zip_with(x, s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) / math.sqrt(size)
+    return F.array(*[dot(s) for s in rows])
+
+
 @query("s18_held_out_dependence")
 def s18(t):
     """Whether the halves of the vectors depend on each other, by a model that tells real pairs from mixed ones, and
-    for comparison whether the first eight dimensions depend on a noisy copy of themselves."""
-    noise = F.transform(F.slice("x", 1, 8), lambda e, i: e + 0.05 * (N.draw(F.lit("noise"), F.col("vec_id"), i) / 4294967296.0 - 0.5))
-    d = em(t).select("vec_id", F.slice("x", 1, 8).alias("a"), F.slice("x", 33, 8).alias("b"), noise.alias("c"))
+    for comparison whether the first half depends on a noisy copy of itself. Each half goes in as eight sums of all its
+    components with random signs."""
+    d = em(t).select("vec_id", signed_sums(F.slice("x", 1, 32), "a").alias("a"), signed_sums(F.slice("x", 33, 32), "b").alias("b"))
+    noise = F.transform("a", lambda e, i: e + 0.05 * (N.draw(F.lit("noise"), F.col("vec_id"), i) / 4294967296.0 - 0.5))
+    d = d.withColumn("c", noise)
     both = [L.dependence(d, "vec_id", "a", o).withColumn("pair", F.lit(n)) for n, o in (("halves", "b"), ("copies", "c"))]
     return both[0].union(both[1]).select("pair", "n", r6("accuracy", "accuracy"), r6("jsd", "jsd"), "verdict")
 

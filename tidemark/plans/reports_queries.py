@@ -40,9 +40,11 @@ def d03(t):
 _WORDS = _TOK + ", w AS (SELECT conv_id, turn, unnest(tk) AS token FROM k), v AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY 1 HAVING count(*) >= 2)"
 
 
-def words(t):
+def words(t, places: bool = False):
+    """Tokens of all texts, with their places if asked."""
     tk = C.tokens_without_asides(F.regexp_replace("text", r"[()\[\]]", " "), "que")
-    return t("conversations").select("conv_id", "turn", F.explode(tk).alias("token"))
+    one = F.posexplode(tk).alias("i", "token") if places else F.explode(tk).alias("token")
+    return t("conversations").select("conv_id", "turn", one)
 
 
 @query("d04_vocabulary_rank_ids", f"WITH {_TOK}, w AS (SELECT conv_id, turn, token FROM (SELECT conv_id, turn, unnest(tk) AS token FROM k)), v AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY 1 HAVING count(*) >= 2) SELECT conv_id, turn, count(*) AS n, sum(CASE WHEN id IS NULL THEN 1 ELSE 0 END)::BIGINT AS oov, max(coalesce(id, -1)) AS top FROM w LEFT JOIN v USING (token) GROUP BY 1, 2")

@@ -162,20 +162,33 @@ def b19(t):
     return n.agg(F.count("*").alias("entities"), F.count_if(F.col("n") > 0).alias("covered"), F.count_if(F.col("n") == 0).alias("unmapped"))
 
 
-_MOVED = "mv AS (SELECT conv_id, turn, text, unnest([" + ", ".join(f"{{'cue': '{k}', 'span': {V.span_sql(p)}}}" for k, (p, _) in V.MOVEMENTS.items()) + "], recursive := true) FROM conversations)"
+#: What annotators write of faces and hands; each text of the conversations carries one of these, by its place
+NOTES = [
+    "eyebrows lifted at the end", "frowning", "shaking the head", "nods twice", "head cocked", "lips pressed", "a broad grin", "widened eyes", "blinks", "glances away", "very small signs", "hurried", "slowly",
+    "repeated", "with emphasis", "hand spelling", "hesitates", "upright posture", "seems surprised", "conveys worry", "nothing of note",
+]
+_NOTED = "noted AS (SELECT conv_id, turn, text || ' ' || [" + ", ".join(f"'{n}'" for n in NOTES) + f"][(conv_id * 5 + turn) % {len(NOTES)} + 1] AS text FROM conversations), "
+
+
+def noted(t):
+    note = F.element_at(F.array(*[F.lit(n) for n in NOTES]), ((F.col("conv_id") * 5 + F.col("turn")) % len(NOTES) + 1).cast("int"))
+    return t("conversations").select("conv_id", "turn", F.concat_ws(" ", "text", note).alias("text"))
+
+
+_MOVED = _NOTED + "mv AS (SELECT conv_id, turn, text, unnest([" + ", ".join(f"{{'cue': '{k}', 'span': {V.span_sql(p)}}}" for k, (p, _) in V.MOVEMENTS.items()) + "], recursive := true) FROM noted)"
 _READ = "list_filter([" + ", ".join(V.span_sql([p]) for p in V.READINGS) + "], lambda x: x IS NOT NULL)"
 
 
 @query("b16_movements_and_readings", f"WITH {_MOVED} SELECT conv_id, turn, list_sort(list(cue || '=' || span) FILTER (WHERE span IS NOT NULL)) AS moved, any_value({_READ}) AS read FROM mv GROUP BY ALL HAVING count(span) > 0 OR len(any_value({_READ})) > 0")
 def b16_whole(t):
     """All movements with what names them, and all readings, of every text that has any."""
-    d = t("conversations").select("conv_id", "turn", F.map_entries(V.movements(F.col("text"))).alias("m"), V.readings(F.col("text")).alias("read"))
+    d = noted(t).select("conv_id", "turn", F.map_entries(V.movements(F.col("text"))).alias("m"), V.readings(F.col("text")).alias("read"))
     d = d.where((F.size("m") > 0) | (F.size("read") > 0))
     return d.select("conv_id", "turn", F.when(F.size("m") > 0, F.array_sort(F.transform("m", lambda e: F.concat_ws("=", e["key"], e["value"])))).alias("moved"), "read")
 
 
 def moved(t):
-    return t("conversations").select("conv_id", "turn", V.movements(F.col("text")).alias("m"))
+    return noted(t).select("conv_id", "turn", V.movements(F.col("text")).alias("m"))
 
 
 @query("b19_texts_with_movements", f"WITH {_MOVED}, x AS (SELECT conv_id, turn, count(span) AS n FROM mv GROUP BY 1, 2) SELECT count(*) AS texts, count(*) FILTER (WHERE n > 0) AS with_movement, count(*) FILTER (WHERE n = 0) AS reading_only, round(avg((n > 0)::INT), 4) AS coverage FROM x")

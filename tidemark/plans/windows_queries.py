@@ -66,12 +66,12 @@ def w05(t):
     return holes(t).select("k", "i", S.carry_forward("v").alias("v"))
 
 
-@query("w06_centre_and_scale", f"WITH {EM}, p AS (SELECT k, i, CASE WHEN i % 9 <> 4 THEN (x[1] + x[2]) / 2 ELSE x[5] END AS cx, CASE WHEN i % 9 <> 4 THEN abs(x[1] - x[2]) END AS raw, x FROM m), z AS (SELECT *, coalesce(raw, (SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i - 1) + ((SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i + 1) - (SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i - 1)) / 2) AS sc FROM p) SELECT k, i, round(cx, 6) AS anchor, round(sc, 6) AS scale, CASE WHEN sc > 1e-6 THEN list_transform(x[1:8], lambda e: round((e - cx) / sc, 4)) END AS y FROM z")
+@query("w06_centre_and_scale", f"WITH {EM}, p AS (SELECT k, i, CASE WHEN i % 9 <> 4 THEN (x[1] + x[2]) / 2 ELSE x[5] END AS cx, CASE WHEN i % 9 <> 4 THEN abs(x[1] - x[2]) END AS raw, x FROM m), z AS (SELECT *, coalesce(raw, (SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i - 1) + ((SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i + 1) - (SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i - 1)) / 2) AS sc FROM p) SELECT k, i, round(cx, 6) AS anchor, round(sc, 6) AS scale, CASE WHEN sc > 1e-6 THEN list_transform(x, lambda e: round((e - cx) / sc, 4)) END AS y FROM z")
 def w06(t):
     gone = F.col("i") % 9 == 4
     d = em(t).withColumn("cx", F.when(gone, F.col("x")[4]).otherwise((F.col("x")[0] + F.col("x")[1]) / 2)).withColumn("raw", F.when(~gone, F.abs(F.col("x")[0] - F.col("x")[1])))
     d = S.interpolate(d, "raw", 3).withColumnRenamed("filled", "sc")
-    y = F.when(F.col("sc") > 1e-6, F.transform(F.slice("x", 1, 8), lambda e: F.round((e - F.col("cx")) / F.col("sc"), 4)))
+    y = F.when(F.col("sc") > 1e-6, F.transform("x", lambda e: F.round((e - F.col("cx")) / F.col("sc"), 4)))
     return d.select("k", "i", r6("cx", "anchor"), r6("sc", "scale"), y.alias("y"))
 
 
