@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._base import Scratch, beside, close_tables, open_tables
+from tidemark.llm._base import Scratch, beside, own_tables
 from tidemark.llm.best_fit_packing import pack_texts
 from tidemark.llm.line_frequency import drop_site_lines
 from tidemark.llm.order_minhash import keep_one_of_each
@@ -62,9 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), _read(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES:
-        mine = open_tables()
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
-        close_tables(spark, mine)
+        with own_tables(spark):
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
         if before is not None:
             scratch.drop(before)
         before = docs

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from tests.llm.test_order_minhash import brute_runs, brute_similarity, brute_words, classes
 from tidemark.llm import queries
 
@@ -53,8 +54,37 @@ def test_stages(spark, tmp_path):
     assert p.run(spark, sf).count() == len(out["packing"])
 
 
+def test_tables_of_others_stay(spark):
+    import threading
+
+    from tidemark.llm._base import Scratch, own_tables
+
+    outside, late, done = Scratch(spark, "t").save(spark.range(3), "a"), threading.Event(), threading.Event()
+    other = {}
+
+    def beside():
+        late.wait(60)
+        other["t"] = Scratch(spark, "t").save(spark.range(4), "b")
+        done.set()
+
+    thread = threading.Thread(target=beside)
+    thread.start()
+    with own_tables(spark):
+        mine = Scratch(spark, "t").save(spark.range(5), "c")
+        late.set()
+        done.wait(60)
+        with own_tables(spark):
+            inner = Scratch(spark, "t").save(spark.range(6), "d")
+        assert mine.count() == 5
+    thread.join()
+    assert outside.count() == 3 and other["t"].count() == 4
+    for gone in (mine, inner):
+        with pytest.raises(Exception, match="(?i)not.*exist|not found"):
+            spark.read.parquet(gone._scratch_path).count()
+
+
 def test_names():
-    assert [f"op{n}" for n in range(1, 11)] == sorted({k.split("_")[0] for k in queries.QUERIES}, key=lambda k: int(k[2:]))
+    assert [f"op{n}" for n in range(1, 14)] == sorted({k.split("_")[0] for k in queries.QUERIES}, key=lambda k: int(k[2:]))
 
 
 def test_columns_of_any_name_and_empty_tables(spark, tmp_path):

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,32 +54,34 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Folders of tables that may still be read
-_OPEN: list[str] = []
+#: Folders of scratch tables opened inside the innermost ``own_tables`` of this thread or task
+_OWNED: contextvars.ContextVar[list | None] = contextvars.ContextVar("owned", default=None)
 
 
-def open_tables() -> set[str]:
-    """The folders of scratch tables so far; see ``close_tables``."""
-    return set(_OPEN)
-
-
-def close_tables(spark: SparkSession, keep: set[str]) -> None:
-    """Remove all scratch tables but those in folders of ``keep``: once a result that was made from them is written,
-    nothing reads them any more."""
-    for path in [p for p in _OPEN if p not in keep]:
-        _delete(spark, path)
-        _OPEN.remove(path)
+@contextlib.contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """The scratch tables opened inside are removed at the end: once a result that was made from them is written, nothing
+    reads them any more. Tables of other threads, and those opened outside, stay."""
+    mine: list[str] = []
+    token = _OWNED.set(mine)
+    try:
+        yield
+    finally:
+        _OWNED.reset(token)
+        for path in mine:
+            _delete(spark, path)
 
 
 class Scratch:
     """Tables written to the shared folder, to cut lineage where a job must survive lost executors. They stay until the
-    interpreter ends or ``close_tables``."""
+    interpreter ends, or the ``own_tables`` that they are opened in."""
 
     def __init__(self, spark: SparkSession, label: str):
         importable(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        _OPEN.append(self.path)
+        if (mine := _OWNED.get()) is not None:
+            mine.append(self.path)
         atexit.register(_delete_quietly, spark, self.path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -121,11 +126,12 @@ def lookup_join(left: DataFrame, table: DataFrame, on: list[str], how: str = "le
     both sides are shuffled, and adaptive execution splits a hot key of the left side, since the other side has one
     row for it. Null keys don't match.
     """
-    small = size <= BROADCAST_ROWS if size is not None else _fits(table)
+    small = size <= BROADCAST_ROWS if size is not None else fits_broadcast(table)
     return left.join(F.broadcast(table) if small else table.hint("merge"), on, how)
 
 
-def _fits(table: DataFrame) -> bool:
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether a table is counted to be within both bounds of a broadcast."""
     size = F.lit(0).cast("long")
     for f in table.schema:
         c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
