@@ -147,3 +147,24 @@ def test_subspace_and_angles(spark):
     assert N.shared_fraction(same, "x", []).first()["shared"] == pytest.approx(1) and N.shared_fraction(apart, "x", []).first()["shared"] == pytest.approx(0)
     assert all(x["cosine"] == pytest.approx(1) for x in N.canonical_angles(same, "x").collect())
     assert all(x["degrees"] == pytest.approx(90) for x in N.canonical_angles(apart, "x").collect())
+
+
+def test_probes_of_classes_and_labels(spark):
+    r = np.random.default_rng(12)
+    rows = []
+    for i in range(300):
+        c = i % 3
+        x = r.normal(size=4)
+        x[0] += 3 * (c == 0)  # class a can be read, b and c can't be told apart
+        rows.append((i, i % 4, x.tolist(), "rare" if i < 5 else "abc"[c], ["plus"] if x[1] > 0 else [] if i % 2 else ["coin", None]))
+    df = spark.createDataFrame(rows + [(900, 0, [0.0] * 4, None, None)], "id long, fold int, x array<double>, c string, l array<string>")
+    got = {g["class"]: g for g in L.class_probes(df, "id", "fold", "x", "c").collect()}
+    assert set(got) == {"a", "b", "c", "rare"} and got["rare"]["skipped"] and got["rare"]["auc"] is None
+    assert got["a"]["auc"] > 0.95 and all(g["n"] == 300 and g["usable"] == 3 and not g["covered"] for g in got.values())
+    assert got["b"]["worst_auc"] == max(got[k]["auc"] for k in "abc") == got["a"]["auc"]
+    assert got["b"]["mean_auc"] == pytest.approx(sum(got[k]["auc"] for k in "abc") / 3)
+    assert abs(got["a"]["permuted_auc"] - 0.5) < 0.15
+    labels = {g["class"]: g for g in L.label_probes(df, "id", "fold", "x", "l").collect()}
+    assert set(labels) == {"plus", "coin"} and labels["plus"]["auc"] > 0.95 and all(g["covered"] and g["usable"] == 2 for g in labels.values())
+    assert labels["plus"]["positives"] == sum(x[1] > 0 for _, _, x, _, _ in rows)
+    assert L.class_probes(df.limit(0), "id", "fold", "x", "c").collect() == []

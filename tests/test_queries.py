@@ -11,7 +11,7 @@ from tidemark.plans import catalog as registry
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Row counts and timings only: no SQL can state them.
-NO_SQL = {"m04_logistic_leave_group_out", "m05_cross_fitted_probe", "m07_control_through_the_model", "m08_ablation_grid", "a11_file_inventory", "s17_canonical_angles", "s18_held_out_dependence"}
+NO_SQL = {"m04_logistic_leave_group_out", "m05_cross_fitted_probe", "m05_one_vs_rest_probe", "m05_multilabel_probe", "m07_control_through_the_model", "m08_ablation_grid", "a11_file_inventory", "s17_canonical_angles", "s18_held_out_dependence"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

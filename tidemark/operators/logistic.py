@@ -209,10 +209,10 @@ def _hits(rows: DataFrame, models: list, group: str, x: str, label: str) -> dict
     return out
 
 
-def probes(rows: DataFrame, row: str, fold: str, x: str, targets: list[str], penalty: float = 0.1, least: int = 20) -> DataFrame:
+def probes(rows: DataFrame, row: str, fold: str, x: str, targets: list[str], penalty: float = 0.1, least: int = 20, support: int = 1) -> DataFrame:
     """Can 0/1 ``targets`` be read from ``x``? Each is fitted without a fold and scored on it, over all folds, and once
     more with its labels dealt anew by hash: ``target, n, positives, interpretable, auc, permuted_auc``. A target with
-    fewer than ``least`` rows or with one class is not interpretable and has no AUC.
+    fewer than ``least`` rows, or fewer than ``support`` of either class, is not interpretable and has no AUC.
     """
     from tidemark.operators.inference import auc, draw
     from tidemark.operators.ranks import numbered
@@ -222,7 +222,7 @@ def probes(rows: DataFrame, row: str, fold: str, x: str, targets: list[str], pen
     other = numbered(base.select(row, *targets, draw(F.lit("label"), F.col(row)).alias("_h")), ["_h", row], "_i").select("_i", *[F.col(c).alias(f"_p_{c}") for c in targets])
     rows = written(base.join(mixed.hint("merge"), row).join(other.hint("merge"), "_i").drop("_i"))
     stats = {c: rows.agg(F.count(c).alias("n"), F.sum(c).alias("k")).first() for c in targets}
-    usable = [c for c in targets if stats[c]["n"] >= least and 0 < (stats[c]["k"] or 0) < stats[c]["n"]]
+    usable = [c for c in targets if stats[c]["n"] >= least and support <= (stats[c]["k"] or 0) <= stats[c]["n"] - support]
     labels = [n for c in usable for n in (c, f"_p_{c}")]
     table, spark = [], rows.sparkSession
     if labels:
@@ -247,6 +247,41 @@ def probes(rows: DataFrame, row: str, fold: str, x: str, targets: list[str], pen
     return spark.createDataFrame(out, "target string, n long, positives long, interpretable boolean, auc double, permuted_auc double")
 
 
+def class_probes(rows: DataFrame, row: str, fold: str, x: str, target: str, penalty: float = 0.1, support: int = 12) -> DataFrame:
+    """Can each class of ``target`` be told from all others by ``x``? One probe per class, fitted at once; see
+    ``_summed_up``. Null targets are left out."""
+    labelled = rows.where(F.col(target).isNotNull())
+    classes = sorted(r[0] for r in labelled.select(F.col(target).cast("string")).distinct().collect())  # a model for each
+    columns = {f"_c{k}": (F.col(target).cast("string") == c).cast("int") for k, c in enumerate(classes)}
+    return _summed_up(labelled.select(row, fold, x, *[c.alias(n) for n, c in columns.items()]), row, fold, x, dict(zip(columns, classes, strict=True)), penalty, support)
+
+
+def label_probes(rows: DataFrame, row: str, fold: str, x: str, labels: str, penalty: float = 0.1, support: int = 20) -> DataFrame:
+    """Can each label be read from ``x``, where a row has an array ``labels`` of any number of them? One probe per label,
+    fitted at once; see ``_summed_up``. A null array is left out, an empty one has no label."""
+    labelled = rows.where(F.col(labels).isNotNull())
+    every = sorted(r[0] for r in labelled.select(F.explode(labels).alias("l")).where("l is not null").distinct().collect())  # a model for each
+    columns = {f"_c{k}": F.array_contains(labels, c).cast("int") for k, c in enumerate(every)}
+    return _summed_up(labelled.select(row, fold, x, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in columns.items()]), row, fold, x, dict(zip(columns, every, strict=True)), penalty, support)
+
+
+def _summed_up(rows: DataFrame, row: str, fold: str, x: str, names: dict[str, str], penalty: float, support: int) -> DataFrame:
+    """``class, n, positives, skipped, auc, permuted_auc`` of each class, and beside them over all classes ``usable``,
+    ``worst_auc``, ``mean_auc`` and ``covered``.
+
+    A class with fewer than ``support`` rows on either side is skipped, not scored. The worst class, the one that is read
+    best, is the headline: what is claimed to be absent must be absent from every class. ``covered`` tells whether no class was
+    skipped, so that a worst over a part of the classes is not taken for one over all.
+    """
+    names = names or {}
+    got = probes(rows, row, fold, x, list(names), penalty, least=20, support=support).collect() if names else []
+    areas = [r["auc"] for r in got if r["auc"] is not None]
+    worst, mean = (max(areas), sum(areas) / len(areas)) if areas else (None, None)
+    out = [(str(names[r["target"]]), r["n"], r["positives"], not r["interpretable"], r["auc"], r["permuted_auc"], len(areas), worst, mean, len(areas) == len(got)) for r in got]
+    kinds = "class string, n long, positives long, skipped boolean, auc double, permuted_auc double, usable int, worst_auc double, mean_auc double, covered boolean"
+    return rows.sparkSession.createDataFrame(out, kinds)
+
+
 def ablation(rows: DataFrame, group: str, x: str, label: str, families: dict[str, list[int]], seeds: int, row: str, penalty: float = 0.1) -> DataFrame:
     """Hits over held-out groups with all features (variant ``full``) and with each family of them off:
     ``variant, seed, n, hits``. A seed leaves its own tenth of the rows out. All models are fitted at once.

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +10,9 @@ from tidemark.streaming.run import work_folder
 
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` from a table in the shared folder, which is removed when the interpreter ends."""
-    spark, path = df.sparkSession, f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-
-    def remove() -> None:
-        try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone by then
-            pass
-
+    path = work_folder(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:

@@ -74,14 +74,37 @@ def m07_model(t):
 @query("m05_cross_fitted_probe")
 def m05(t):
     """AUC of probes over held-out folds for several targets, each beside its control on permuted labels; a target
-    with fewer than 20 rows, or one class, is not interpretable. The last column is the gate: the positive control (the
-    language's own letters) is found, and no permuted label is."""
-    rows = measured(t).withColumn("fold", K.kfold(F.col("doc_id"), 4)).withColumns({"quality": F.col("y"), "english": (F.col("lang") == "en").cast("int"), "parity": (F.col("doc_id") % 2).cast("int"), "constant": F.lit(1)})
-    p = L.probes(rows, "doc_id", "fold", "x", ["quality", "toxic", "english", "parity", "constant"])
-    gate = p.agg((F.max(F.when(F.col("target") == "quality", F.col("auc"))) >= 0.7).alias("a"), (F.max(F.abs(F.col("permuted_auc") - 0.5)) <= 0.2).alias("b"))
+    with fewer than 20 rows, or one class, is not interpretable. The last column is the gate: the positive control, which
+    is a function of the measures (``long``: above the mean of the first), is read, and no permuted label is."""
+    rows = folded(t)
+    mean = rows.agg(F.avg(F.col("x")[0]).alias("m"))
+    rows = rows.crossJoin(F.broadcast(mean)).withColumns({"quality": F.col("y"), "english": (F.col("lang") == "en").cast("int"), "parity": (F.col("doc_id") % 2).cast("int"), "constant": F.lit(1), "long": (F.col("x")[0] > F.col("m")).cast("int")})
+    p = L.probes(rows, "doc_id", "fold", "x", ["quality", "toxic", "english", "parity", "constant", "long"])
+    gate = p.agg((F.max(F.when(F.col("target") == "long", F.col("auc"))) >= 0.9).alias("a"), (F.max(F.abs(F.col("permuted_auc") - 0.5)) <= 0.2).alias("b"))
     return p.crossJoin(F.broadcast(gate)).select("target", "n", "positives", "interpretable", r6("auc", "auc"), r6("permuted_auc", "permuted_auc"), (F.col("a") & F.col("b")).alias("gate"))
 
 
+def folded(t):
+    return measured(t).withColumn("fold", K.kfold(F.col("doc_id"), 4))
+
+
+def _probed(p):
+    return p.select("class", "n", "positives", "skipped", *[r6(c, c) for c in ("auc", "permuted_auc", "worst_auc", "mean_auc")], "usable", "covered")
+
+
+@query("m05_one_vs_rest_probe")
+def m05_classes(t):
+    """Whether each language can be told from all others by the measures of its texts, the worst first of all."""
+    return _probed(L.class_probes(folded(t), "doc_id", "fold", "x", "lang"))
+
+
+@query("m05_multilabel_probe")
+def m05_labels(t):
+    """The same for labels of which a text may have any number."""
+    labels = F.filter(F.array(F.when(F.col("y") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("doc_id") % 3 == 0, "third"), F.when(F.col("doc_id") == 0, "first")), lambda x: x.isNotNull())
+    return _probed(L.label_probes(folded(t).withColumn("labels", labels), "doc_id", "fold", "x", "labels"))
+
+
 @query("m08_ablation_grid")
 def m08(t):
     """Accuracy over held-out languages with all measures and with one family of them off at a time, in two dealings of

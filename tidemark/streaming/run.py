@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,13 +14,23 @@ from pyspark.sql import functions as F
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder for state and results where all executors see it: in ``spark.checkpoint.dir``. A local one takes its
-    place only if that is unset and all executors are in this process (tests)."""
+    place only if that is unset and all executors are in this process (tests). It goes when the interpreter ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may be gone when the interpreter ends
+        pass
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
