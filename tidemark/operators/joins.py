@@ -55,15 +55,17 @@ def as_of(rows: DataFrame, states: DataFrame, key: str, at: str, value: str) ->
 def within_relative(left: DataFrame, right: DataFrame, x: str, y: str, tol: float, out: Column) -> DataFrame:
     """Left rows with whether some right value lies within a relative tolerance of it.
 
-    Values fall in logarithmic cells one tolerance wide; the right ones are made distinct and repeated to the cells
-    beside theirs, so this is an equi-join with a residual condition.
+    Values fall in logarithmic cells one tolerance wide; both sides are made distinct and the right ones repeated to the cells
+    beside theirs, so this is an equi-join with a residual condition in which a number that many rows have is one row.
     """
     step = 2 * tol
     cell = lambda c: F.floor(F.log(F.col(c)) / step).cast("long")
     r = right.where(F.col(y) > 0).select(F.col(y).alias("_y")).distinct()
     r = r.withColumn("_c", F.explode(F.sequence(cell("_y") - 1, cell("_y") + 1)))
-    hit = left.where(F.col(x) > 0).withColumn("_c", cell(x)).alias("l").join(r.alias("r").hint("merge"), (F.col("l._c") == F.col("r._c")) & (F.abs(F.col("_y") - F.col(x)) <= F.lit(tol) * F.col(x)), "left_semi").drop("_c").distinct().withColumn("_hit", F.lit(True))
-    return left.join(hit.hint("merge"), left.columns, "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    numbers = left.where(F.col(x) > 0).select(F.col(x).alias("_x")).distinct().withColumn("_c", cell("_x"))
+    near = (F.col("l._c") == F.col("r._c")) & (F.abs(F.col("_y") - F.col("_x")) <= F.lit(tol) * F.col("_x"))
+    hit = numbers.alias("l").join(r.alias("r").hint("merge"), near, "left_semi").select("_x", F.lit(True).alias("_hit"))
+    return left.join(hit.hint("merge"), F.col(x) == F.col("_x"), "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit", "_x")
 
 
 #: Rows up to which a table of keys and numbers is broadcast

@@ -55,6 +55,26 @@ def contingency(df: DataFrame, a: Column, b: Column, by: list[str] | None = None
     )
 
 
+def readiness(declared: DataFrame, found: DataFrame) -> DataFrame:
+    """``name, state, files, probed, decoded, owner, blocker, gate_open`` for every declared resource.
+
+    ``declared(name, licensed, owner, required, expected)`` says what there should be, ``found(name, files, chars, broken,
+    probed, decoded)`` what was counted and how many of the probed files could be read. The first rule that holds is the
+    state: blocked, missing, undecodable, corrupt, short, else ready. The gate is one for the table: open if every required
+    resource is ready and every blocker has an owner.
+    """
+    j = declared.join(found.withColumn("_seen", F.lit(True)).hint("merge"), "name", "left")
+    short = (F.col("chars") < 0.98 * F.col("expected")) & (F.col("expected") - F.col("chars") > 5000)
+    state = F.when(~F.col("licensed"), "blocked").when(F.col("_seen").isNull(), "missing").when(F.col("decoded") < F.col("probed"), "undecodable").when(F.col("broken") > 3, "corrupt").when(short, "short").otherwise("ready")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    s = j.select("name", state.alias("state"), "owner", "required", none("files"), none("probed"), none("decoded"))
+    lost = F.concat((F.col("probed") - F.col("decoded")).cast("string"), F.lit(" of "), F.col("probed").cast("string"), F.lit(" unreadable"))
+    s = s.withColumn("blocker", F.when(F.col("state") == "blocked", "terms not established").when(F.col("state") == "missing", "nothing found").when(F.col("state") == "undecodable", lost))
+    waiting, unowned = F.count_if(F.col("required") & (F.col("state") != "ready")), F.count_if(F.col("blocker").isNotNull() & F.col("owner").isNull())
+    gate = s.agg(((waiting == 0) & (unowned == 0)).alias("gate_open"))
+    return s.crossJoin(F.broadcast(gate)).select("name", "state", "files", "probed", "decoded", "owner", "blocker", "gate_open")  # one row
+
+
 def by_levels(df: DataFrame, levels: list[str], *aggs: Column) -> DataFrame:
     """Aggregates at every prefix of the levels and in total, with the depth of each row."""
     return df.rollup(*levels).agg(*aggs, F.grouping_id().alias("_g")).withColumn("depth", (F.lit(len(levels)) - F.bit_count("_g")).cast("int")).drop("_g")

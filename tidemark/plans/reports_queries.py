@@ -197,6 +197,34 @@ def d18(t):
     return j.select("name", F.when(~F.col("licensed"), "blocked").when(F.col("seen").isNull(), "missing").when(F.col("broken") > 3, "corrupt").when(short, "short").otherwise("ready").alias("state"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
+D18_SQL = """
+WITH m AS (SELECT source AS name, count(*) AS files, sum(n_chars) AS chars, count(*) FILTER (WHERE n_chars < 100) AS broken FROM documents GROUP BY 1),
+p AS (SELECT source AS name, count(*) AS probed, count(*) FILTER (WHERE n_chars >= 40) AS decoded
+  FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY md5('probe:' || doc_id)) AS r FROM documents) WHERE r <= 5 GROUP BY 1),
+r AS (SELECT 'src' || i AS name, i % 4 <> 3 AS licensed, CASE WHEN i % 5 <> 0 THEN 'team' || i % 3 END AS owner, i < 3 AS required, 60000 AS expected FROM range(0, 22) t(i)),
+s AS (SELECT r.*, coalesce(files, 0) AS files, coalesce(probed, 0) AS probed, coalesce(decoded, 0) AS decoded,
+  CASE WHEN NOT licensed THEN 'blocked' WHEN m.name IS NULL THEN 'missing' WHEN decoded < probed THEN 'undecodable' WHEN broken > 3 THEN 'corrupt' WHEN chars < 0.98 * expected AND expected - chars > 5000 THEN 'short' ELSE 'ready' END AS state
+  FROM r LEFT JOIN m USING (name) LEFT JOIN p USING (name))
+SELECT name, state, files, probed, decoded, owner, CASE state WHEN 'blocked' THEN 'terms not established' WHEN 'missing' THEN 'nothing found' WHEN 'undecodable' THEN (probed - decoded) || ' of ' || probed || ' unreadable' END AS blocker,
+  (SELECT count(*) FILTER (WHERE required AND state <> 'ready') = 0 AND count(*) FILTER (WHERE state IN ('blocked', 'missing', 'undecodable') AND owner IS NULL) = 0 FROM s) AS gate_open
+FROM s
+"""
+
+
+@query("d18_readiness_gate", D18_SQL)
+def d18_gate(t):
+    """Declared sources beside what was found of them: a few files of each are read, whatever stands in the way has a
+    name and an owner, and the gate is open if all that is required is ready and nothing in the way is without an owner."""
+    d = t("documents").withColumnRenamed("source", "name")
+    m = d.groupBy("name").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") < 100).alias("broken"))
+    probe = first_of_each(d.select("name", "n_chars", F.md5(F.concat(F.lit("probe:"), F.col("doc_id").cast("string"))).alias("h")), "name", "h", 5)
+    p = probe.groupBy("name").agg(F.count("*").alias("probed"), F.count_if(F.col("n_chars") >= 40).alias("decoded"))
+    i = F.col("id")
+    owner = F.when(i % 5 != 0, F.concat(F.lit("team"), (i % 3).cast("string")))
+    declared = t.spark.range(22).select(F.concat(F.lit("src"), i.cast("string")).alias("name"), (i % 4 != 3).alias("licensed"), owner.alias("owner"), (i < 3).alias("required"), F.lit(60000).alias("expected"))
+    return R.readiness(declared, m.join(p.hint("merge"), "name"))
+
+
 @query("d19_counts_at_levels", "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, CAST(2 - grouping(o_orderstatus) - grouping(o_orderpriority) AS INTEGER) AS depth FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def d19(t):
     o = t("orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
