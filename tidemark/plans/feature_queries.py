@@ -55,7 +55,11 @@ def w28_series(t):
     return d.select("k", *rounded(d), "n_frames", F.round("seconds", 5).alias("seconds"))
 
 
-@query("w28_ten_features_of_windows", f"{_WINDOWED} SELECT CAST(split_part(k, '|', 1) AS BIGINT) AS k, CAST(split_part(k, '|', 2) AS BIGINT) AS win, {_ROUNDED} FROM t")
+@query("w28_ten_features_of_windows", f"""
+{_WINDOWED} SELECT CAST(split_part(k, '|', 1) AS BIGINT) AS k, CAST(split_part(k, '|', 2) AS BIGINT) AS win,
+{_ROUNDED}
+FROM t
+""")
 def w28_windows(t):
     d = window_features(t)
     return d.select("k", "win", *rounded(d))
@@ -79,7 +83,14 @@ def m09_features(t):
     return j.select("k", "win", both, *rounded(d))
 
 
-@query("d04_encoded_and_decoded", f"WITH {_WORDS}, p AS (SELECT conv_id, turn, tk, unnest(range(len(tk))) AS i, unnest(tk) AS token FROM k) SELECT conv_id, turn, list(coalesce(id, -1) ORDER BY i) AS ids, list(CASE WHEN id IS NULL THEN '?' ELSE token END ORDER BY i) AS decoded FROM p LEFT JOIN v USING (token) GROUP BY 1, 2")
+@query("d04_encoded_and_decoded", f"""
+WITH {_WORDS},
+p AS (SELECT conv_id, turn, tk, unnest(range(len(tk))) AS i, unnest(tk) AS token FROM k)
+SELECT conv_id, turn, list(coalesce(id, -1) ORDER BY i) AS ids, list(CASE WHEN id IS NULL THEN '?' ELSE token END ORDER BY i) AS decoded
+FROM p
+LEFT JOIN v USING (token)
+GROUP BY 1, 2
+""")
 def d04_decoded(t):
     """Every text as ids and back: ids by the vocabulary, then tokens by the ids, ``?`` where the vocabulary has none."""
     w = words(t, True)
@@ -90,7 +101,13 @@ def d04_decoded(t):
     return read.groupBy("conv_id", "turn").agg(one.alias("t")).select("conv_id", "turn", F.col("t.id").alias("ids"), F.col("t.back").alias("decoded"))
 
 
-@query("d04_vocabulary_report", f"WITH {_WORDS}, a AS (SELECT token, count(*) AS n FROM w GROUP BY 1) SELECT count(*) AS types, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (WHERE n = 1) AS hapax, (SELECT list(token || ' ' || n ORDER BY n DESC, token) FROM (SELECT * FROM a ORDER BY n DESC, token LIMIT 20)) AS top FROM a")
+@query("d04_vocabulary_report", f"""
+WITH {_WORDS},
+a AS (SELECT token, count(*) AS n FROM w GROUP BY 1)
+SELECT count(*) AS types, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (WHERE n = 1) AS hapax, (SELECT
+  list(token || ' ' || n ORDER BY n DESC, token) FROM (SELECT * FROM a ORDER BY n DESC, token LIMIT 20)) AS top
+FROM a
+""")
 def d04_report(t):
     """Types, tokens, words that occur once, and the twenty most frequent."""
     c = written(words(t).groupBy("token").agg(F.count("*").alias("n")))
@@ -99,7 +116,12 @@ def d04_report(t):
     return c.agg(F.count("*").alias("types"), F.sum("n").alias("tokens"), F.count_if(F.col("n") == 1).alias("hapax")).crossJoin(F.broadcast(top.agg(line.alias("top"))))  # one row each
 
 
-@query("r03_stream_beside_a_census", "WITH c AS (SELECT event_type, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM events GROUP BY 1) SELECT event_id, n, round((value - mean) / nullif(sd, 0), 6) AS z FROM events JOIN c USING (event_type)")
+@query("r03_stream_beside_a_census", """
+WITH c AS (SELECT event_type, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM events GROUP BY 1)
+SELECT event_id, n, round((value - mean) / nullif(sd, 0), 6) AS z
+FROM events
+JOIN c USING (event_type)
+""")
 def r03_census(t):
     """Every live event beside the census of its kind over the stored corpus."""
     c = written(t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")))

@@ -25,12 +25,22 @@ def parsed(t):
 _REASON = "CASE WHEN c_custkey % 7 = 2 THEN 'malformed_width' WHEN c_custkey % 13 = 5 THEN 'empty_segment' WHEN c_custkey % 11 = 3 THEN 'cast_acctbal' END"
 
 
-@query("a01_lenient_delimited_read", f"SELECT c_custkey + 1 AS line_no, c_custkey AS custkey, c_name || '\"ok, hey' AS name, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer WHERE {_REASON} IS NULL")
+@query("a01_lenient_delimited_read", f"""
+SELECT c_custkey + 1 AS line_no, c_custkey AS custkey, c_name || '\"ok, hey' AS name, c_acctbal AS acctbal, c_mktsegment AS segment
+FROM customer
+WHERE {_REASON} IS NULL
+""")
 def a01(t):
     return parsed(t).where("reason is null").drop("reason")
 
 
-@query("a02_reject_ledger", f"WITH r AS (SELECT {_REASON} AS reason, c_custkey + 1 AS line_no FROM customer) SELECT reason, count(*) AS n, list_sort(list(line_no ORDER BY line_no))[1:20] AS lines FROM r WHERE reason IS NOT NULL GROUP BY 1")
+@query("a02_reject_ledger", f"""
+WITH r AS (SELECT {_REASON} AS reason, c_custkey + 1 AS line_no FROM customer)
+SELECT reason, count(*) AS n, list_sort(list(line_no ORDER BY line_no))[1:20] AS lines
+FROM r
+WHERE reason IS NOT NULL
+GROUP BY 1
+""")
 def a02(t):
     return I.ledger(parsed(t))
 
@@ -43,7 +53,11 @@ def flattened(orders, lines):
     return j.select("j.o_orderkey", F.explode("j.instances").alias("i")).select("o_orderkey", F.col("i.n").alias("instance"), "i.part", F.coalesce("i.flag", F.lit("?")).alias("flag"))
 
 
-_FLAT = "SELECT o_orderkey, l_linenumber AS instance, l_partkey AS part, coalesce(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, '?') AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
+_FLAT = """
+SELECT o_orderkey, l_linenumber AS instance, l_partkey AS part, coalesce(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, '?') AS flag
+FROM orders
+JOIN lineitem ON l_orderkey = o_orderkey
+"""
 
 
 @query("a05_nested_json_flatten", _FLAT)
@@ -53,13 +67,21 @@ def a05(t):
     return flattened(t("orders"), t("lineitem"))
 
 
-@query("a06_text_map", r"SELECT conv_id, turn, role AS key, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS tokens FROM conversations")
+@query("a06_text_map", r"""
+SELECT conv_id, turn, role AS key, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS tokens
+FROM conversations
+""")
 def a06(t):
     line = F.concat("role", F.lit(":  "), "text")
     return t("conversations").select("conv_id", "turn", I.text_map(line).alias("m")).select("conv_id", "turn", "m.*")
 
 
-@query("a07_validated_labels", "SELECT d.doc_id, coalesce(CAST(quality AS VARCHAR), 'unlabelled') AS quality, CASE WHEN l.doc_id IS NULL THEN 'unmapped' WHEN quality NOT BETWEEN 0 AND 1 THEN 'range' ELSE 'ok' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("a07_validated_labels", """
+SELECT d.doc_id, coalesce(CAST(quality AS VARCHAR), 'unlabelled') AS quality, CASE WHEN l.doc_id IS NULL THEN 'unmapped' WHEN quality NOT BETWEEN 0
+  AND 1 THEN 'range' ELSE 'ok' END AS status
+FROM documents d
+LEFT JOIN labels l USING (doc_id)
+""")
 def a07(t):
     l = t("labels").select("doc_id", "quality", F.lit(True).alias("_m"))
     j = t("documents").select("doc_id").join(l.hint("shuffle_hash"), "doc_id", "left")
@@ -76,54 +98,91 @@ def a08(t):
     return t("pages").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("a08_pruned_scan_with_limit", "WITH u AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]+)', 1) AS shard FROM pages WHERE page_id >= 20 AND url LIKE 'http%') SELECT page_id, url, shard FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY page_id) AS r FROM u) WHERE r <= 25")
+@query("a08_pruned_scan_with_limit", """
+WITH u AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]+)', 1) AS shard FROM pages WHERE page_id >= 20 AND url LIKE 'http%')
+SELECT page_id, url, shard
+FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY page_id) AS r FROM u)
+WHERE r <= 25
+""")
 def a08_limit(t):
     """Two of the columns, rows above an id by the file's statistics, and the first 25 usable rows of each shard: the
     limit is applied in every task before the shuffle, so a hot shard costs 25 rows a task."""
     return I.first_of_each(t("pages").where("page_id >= 20 and url like 'http%'").select("page_id", "url", F.regexp_extract("url", "://([^/?#]+)", 1).alias("shard")), "shard", "page_id", 25)
 
 
-@query("a10_series_contract", "WITH f AS (SELECT label, count(*) AS frames, count(*) FILTER (WHERE len(embedding) <> 64) AS bad_width FROM embeddings GROUP BY 1) SELECT label, frames, bad_width, CASE WHEN bad_width > 0 THEN 'width' WHEN frames < 48 THEN 'short' ELSE 'ok' END AS status FROM f")
+@query("a10_series_contract", """
+WITH f AS (SELECT label, count(*) AS frames, count(*) FILTER (WHERE len(embedding) <> 64) AS bad_width FROM embeddings GROUP BY 1)
+SELECT label, frames, bad_width, CASE WHEN bad_width > 0 THEN 'width' WHEN frames < 48 THEN 'short' ELSE 'ok' END AS status
+FROM f
+""")
 def a10(t):
     f = t("embeddings").groupBy("label").agg(F.count("*").alias("frames"), F.count_if(F.size("embedding") != 64).alias("bad_width"))
     return f.withColumn("status", F.when(F.col("bad_width") > 0, "width").when(F.col("frames") < 48, "short").otherwise("ok"))
 
 
-@query("a12_payload_kind", r"SELECT CASE WHEN regexp_matches(substr(html, 1, 256), '(?i)^\s*<!doctype html|^\s*<html') THEN 'html' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT CASE WHEN page_id % 5 = 0 THEN substr(html, 40) ELSE html END AS html FROM pages) GROUP BY 1")
+@query("a12_payload_kind", r"""
+SELECT CASE WHEN regexp_matches(substr(html, 1, 256), '(?i)^\s*<!doctype html|^\s*<html') THEN 'html' ELSE 'other' END AS kind, count(*) AS n
+FROM (SELECT CASE WHEN page_id % 5 = 0 THEN substr(html, 40) ELSE html END AS html FROM pages)
+GROUP BY 1
+""")
 def a12(t):
     h = F.when(F.col("page_id") % 5 == 0, F.expr("substring(html, 40)")).otherwise(F.col("html"))
     return t("pages").groupBy(I.payload_kind(F.substring(h, 1, 256)).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("a13_bind_best_file", r"WITH f AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, page_id % 3 = 0 AS bad, url LIKE '%?%' AS part, url FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY bad, part, url) AS r, min(url) OVER (PARTITION BY host) AS first FROM f) SELECT host, bad, part, url, url <> first AS substituted FROM r WHERE r = 1")
+@query("a13_bind_best_file", r"""
+WITH f AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, page_id % 3 = 0 AS bad, url LIKE '%?%' AS part, url FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY bad, part, url) AS r, min(url) OVER (PARTITION BY host) AS first FROM f)
+SELECT host, bad, part, url, url <> first AS substituted
+FROM r
+WHERE r = 1
+""")
 def a13(t):
     f = t("pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("host"), (F.col("page_id") % 3 == 0).alias("bad"), F.contains("url", F.lit("?")).alias("part"), "url")
     return I.best_file(f, "host", "bad", "part", "url")
 
 
-@query("a14_verify_a_sample", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('v:' || doc_id)) <= 100 THEN 'verified' ELSE 'unchecked' END AS status FROM documents")
+@query("a14_verify_a_sample", """
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('v:' || doc_id)) <= 100 THEN 'verified' ELSE 'unchecked' END AS status
+FROM documents
+""")
 def a14(t):
     return I.verify_sample(t("documents").select("doc_id"), "doc_id", 100)
 
 
-@query("a15_stratified_sample", "WITH r AS (SELECT doc_id, lang, md5('g:' || doc_id) AS h, row_number() OVER (PARTITION BY lang ORDER BY md5('g:' || doc_id)) AS r FROM documents) SELECT doc_id, lang FROM r ORDER BY r > 50 // 4, h LIMIT 50")
+@query("a15_stratified_sample", """
+WITH r AS (SELECT doc_id, lang, md5('g:' || doc_id) AS h, row_number() OVER (PARTITION BY lang ORDER BY md5('g:' || doc_id)) AS r FROM documents)
+SELECT doc_id, lang
+FROM r
+ORDER BY r > 50 // 4, h LIMIT 50
+""")
 def a15(t):
     return I.stratified_sample(t("documents").select("doc_id", "lang"), "doc_id", "lang", 50, 4)
 
 
-@query("a16_resumable_work_list", "SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+@query("a16_resumable_work_list", """
+SELECT o_orderkey, o_orderpriority
+FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')
+""")
 def a16(t):
     done = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return t("orders").select("o_orderkey", "o_orderpriority").join(done, "o_orderkey", "left_anti")
 
 
-@query("a17_content_run_id", "SELECT md5(count(*) || ':' || CAST(sum(('0x' || substr(md5(o_orderkey || '|' || o_orderstatus), 1, 12))::BIGINT) AS VARCHAR)) AS run_id, count(*) AS n FROM orders")
+@query("a17_content_run_id", """
+SELECT md5(count(*) || ':' || CAST(sum(('0x' || substr(md5(o_orderkey || '|' || o_orderstatus), 1, 12))::BIGINT) AS VARCHAR)) AS run_id, count(*) AS n
+FROM orders
+""")
 def a17(t):
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")), 1, 12), 16, 10).cast("decimal(20,0)")
     return t("orders").agg(F.md5(F.concat_ws(":", F.count("*").cast("string"), F.sum(h).cast("string"))).alias("run_id"), F.count("*").alias("n"))
 
 
-_RUN = "g AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), h AS (SELECT md5(count(*) || ':' || sum(('0x' || substr(md5(to_json({n: n, o_orderstatus: o_orderstatus})), 1, 12))::BIGINT)) AS run_id FROM g)"
+_RUN = """
+g AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1),
+h AS (SELECT md5(count(*) || ':' || sum(('0x' || substr(md5(to_json({n: n, o_orderstatus: o_orderstatus})), 1, 12))::BIGINT)) AS run_id FROM g)
+"""
 
 
 @query("a17_run_scoped_write", f"WITH {_RUN} SELECT g.*, run_id, true AS latest FROM g, h")
@@ -137,7 +196,10 @@ def a17_write(t):
     return t.spark.read.parquet(f"{folder}/runs").select("o_orderstatus", "n", "run_id", F.col("run_id").isin(latest, *runs).alias("latest"))
 
 
-@query("a18_report_as_text", "SELECT string_agg('| ' || o_orderstatus || ' | ' || n || ' |', chr(10) ORDER BY o_orderstatus) AS markdown FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
+@query("a18_report_as_text", """
+SELECT string_agg('| ' || o_orderstatus || ' | ' || n || ' |', chr(10) ORDER BY o_orderstatus) AS markdown
+FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)
+""")
 def a18(t):
     g = t("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
     line = F.concat(F.lit("| "), "o_orderstatus", F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))
@@ -175,14 +237,24 @@ def annotation_files(t):
 _XV = "trim(regexp_replace(text, '[\n\r\t]', ' ', 'g'))"
 
 
-@query("a03_xml_tiers", f"SELECT conv_id::VARCHAR AS participant, turn::VARCHAR AS utterance, turn * 10 AS start_frame, turn * 10 + 9 AS end_frame, role AS label, {_XV} AS value, turn * 10 AS lo, turn * 10 + length(role) AS hi FROM conversations")
+@query("a03_xml_tiers", f"""
+SELECT conv_id::VARCHAR AS participant, turn::VARCHAR AS utterance, turn * 10 AS start_frame, turn * 10 + 9 AS end_frame, role AS label,
+{_XV} AS value, turn * 10 AS lo, turn * 10 + length(role) AS hi
+FROM conversations
+""")
 def a03(t):
     """Conversations written as annotation XML, one collection each, and read back as label rows."""
     rows = I.read_xml_tiers(t.spark, annotation_files(t))
     return rows.where("not corrupt").select("participant", "utterance", "start_frame", "end_frame", "label", F.trim(F.regexp_replace("value", "[\n\r\t]", " ")).alias("value"), "lo", "hi")
 
 
-@query("a04_annotation_corpus_report", f"WITH x AS (SELECT conv_id, turn, role, {_XV} AS v FROM conversations) SELECT 1::BIGINT AS unparseable, count(DISTINCT conv_id) AS participants, count(DISTINCT (conv_id, turn)) AS utterances, count(*) AS labels, count(*) FILTER (WHERE role <> 'user') AS unmapped, count(DISTINCT CASE WHEN role <> 'user' THEN (role, v) END) AS unmapped_pairs, sum(length(role) + 1)::BIGINT AS frames FROM x")
+@query("a04_annotation_corpus_report", f"""
+WITH x AS (SELECT conv_id, turn, role, {_XV} AS v FROM conversations)
+SELECT 1::BIGINT AS unparseable, count(DISTINCT conv_id) AS participants, count(DISTINCT (conv_id, turn)) AS utterances, count(*) AS labels, count(*)
+  FILTER (WHERE role <> 'user') AS unmapped, count(DISTINCT CASE WHEN role <> 'user' THEN (role, v) END) AS unmapped_pairs,
+  sum(length(role) + 1)::BIGINT AS frames
+FROM x
+""")
 def a04(t):
     """One row over all files of a folder: what was read, which (label, value) pairs no rule maps, and how many
     files could not be parsed, which is counted and stops nothing."""

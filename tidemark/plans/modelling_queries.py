@@ -14,12 +14,25 @@ from tidemark.plans.windows_queries import EM, em, r6
 _KF = "CAST(('0x' || substr(md5('k:' || {k}), 1, 8))::BIGINT % {n} AS INTEGER)"
 
 
-@query("m01_leave_one_group_out", "WITH g AS (SELECT source AS g, row_number() OVER (ORDER BY source) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)), f AS (SELECT a.g AS fold, b.g AS val FROM g a JOIN g b ON b.p = (a.p + 1) % a.n) SELECT fold, CASE WHEN source = fold THEN 'test' WHEN source = val THEN 'val' ELSE 'train' END AS role, count(*) AS n FROM documents, f GROUP BY 1, 2")
+@query("m01_leave_one_group_out", """
+WITH g AS (SELECT source AS g, row_number() OVER (ORDER BY source) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)),
+f AS (SELECT a.g AS fold, b.g AS val FROM g a JOIN g b ON b.p = (a.p + 1) % a.n)
+SELECT fold, CASE WHEN source = fold THEN 'test' WHEN source = val THEN 'val' ELSE 'train' END AS role, count(*) AS n
+FROM documents, f
+GROUP BY 1, 2
+""")
 def m01(t):
     return K.leave_one_group_out(t("documents"), "doc_id", "source").groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
-@query("m01_fold_summary", "WITH g AS (SELECT source AS g, row_number() OVER (ORDER BY source) - 1 AS p, count(*) OVER () AS n, c FROM (SELECT source, count(*) AS c FROM documents GROUP BY 1)), f AS (SELECT a.g AS fold, b.g AS val, a.c AS test, b.c AS validation, a.n < 3 AS fallback FROM g a JOIN g b ON b.p = (a.p + 1) % a.n), s AS (SELECT sum(c)::BIGINT AS n FROM g) SELECT fold, val AS val_group, test::BIGINT AS test, validation::BIGINT AS validation, n - test - validation AS train, fallback, true AS disjoint FROM f, s")
+@query("m01_fold_summary", """
+WITH g AS (SELECT source AS g, row_number() OVER (ORDER BY source) - 1 AS p, count(*) OVER () AS n, c FROM
+  (SELECT source, count(*) AS c FROM documents GROUP BY 1)),
+f AS (SELECT a.g AS fold, b.g AS val, a.c AS test, b.c AS validation, a.n < 3 AS fallback FROM g a JOIN g b ON b.p = (a.p + 1) % a.n),
+s AS (SELECT sum(c)::BIGINT AS n FROM g)
+SELECT fold, val AS val_group, test::BIGINT AS test, validation::BIGINT AS validation, n - test - validation AS train, fallback, true AS disjoint
+FROM f, s
+""")
 def m01_summary(t):
     return K.fold_summary(t("documents"), "doc_id", "source")
 
@@ -29,7 +42,15 @@ def m02(t):
     return t("documents").select("doc_id", K.kfold(F.col("doc_id"), 5).alias("fold"))
 
 
-@query("m03_train_only_standardisation", f"WITH {EM}, d AS (SELECT vec_id, j, x[j] AS e, {_KF.format(k='vec_id', n=3)} AS f FROM m, range(1, 65) r(j)), st AS (SELECT fold, j, avg(e) AS mu, stddev_pop(e) AS sd FROM d, range(0, 3) q(fold) WHERE f <> fold GROUP BY 1, 2) SELECT vec_id, CAST(st.fold AS INTEGER) AS fold, f = st.fold AS held, list(round((e - mu) / sd, 6) ORDER BY d.j) AS x FROM d JOIN st ON st.j = d.j GROUP BY ALL")
+@query("m03_train_only_standardisation", f"""
+WITH {EM},
+d AS (SELECT vec_id, j, x[j] AS e, {_KF.format(k='vec_id', n=3)} AS f FROM m, range(1, 65) r(j)),
+st AS (SELECT fold, j, avg(e) AS mu, stddev_pop(e) AS sd FROM d, range(0, 3) q(fold) WHERE f <> fold GROUP BY 1, 2)
+SELECT vec_id, CAST(st.fold AS INTEGER) AS fold, f = st.fold AS held, list(round((e - mu) / sd, 6) ORDER BY d.j) AS x
+FROM d
+JOIN st ON st.j = d.j
+GROUP BY ALL
+""")
 def m03(t):
     """All dimensions, by the means and deviations of each fold's training rows."""
     return K.standardise_vectors(em(t).select("vec_id", "x"), K.kfold(F.col("vec_id"), 3), "x", 3).select("vec_id", "fold", "held", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
@@ -112,10 +133,25 @@ def m08(t):
     return L.ablation(measured(t), "lang", "x", "y", {"size": [0], "case": [1], "digits": [2], "marks": [3, 4, 5], "layout": [6, 7]}, seeds=2, row="doc_id").select("variant", "seed", "n", r6(F.col("hits") / F.col("n"), "accuracy"))
 
 
-_SIG = "sg AS (SELECT doc_id, lang, q, unnest(['chars', 'rule', 'id']) AS name, unnest([n_chars::DOUBLE, (CASE WHEN r THEN 0 ELSE 1 END)::DOUBLE, (doc_id % 97)::DOUBLE]) AS score FROM lj)"
-
-
-@query("m06_choose_on_training_groups", f"WITH {_LAB}, {_SIG}, f AS (SELECT DISTINCT lang AS fold FROM lj), g AS (SELECT fold, name, lang = fold AS held, score, count(*) FILTER (WHERE q) AS p, count(*) FILTER (WHERE NOT q) AS n FROM sg, f GROUP BY ALL), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY fold, name, held ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g), a AS (SELECT fold, name, held, (sum(p * (below + n / 2.0)) / nullif(sum(p) * sum(n), 0))::DOUBLE AS auc FROM w GROUP BY ALL), c AS (SELECT fold, arg_max(name, (auc, name)) AS name FROM a WHERE NOT held GROUP BY 1) SELECT c.fold, c.name, round(a.auc, 6) AS held_auc FROM c JOIN a ON a.fold = c.fold AND a.name = c.name AND a.held")
+_SIG = """
+sg AS (SELECT doc_id, lang, q, unnest(['chars', 'rule', 'id']) AS name, unnest([n_chars::DOUBLE, (CASE WHEN r THEN 0 ELSE 1 END)::DOUBLE,
+  (doc_id % 97)::DOUBLE]) AS score FROM lj)
+"""
+
+
+@query("m06_choose_on_training_groups", f"""
+WITH {_LAB},
+{_SIG},
+f AS (SELECT DISTINCT lang AS fold FROM lj),
+g AS (SELECT fold, name, lang = fold AS held, score, count(*) FILTER (WHERE q) AS p, count(*) FILTER (WHERE NOT q) AS n FROM sg, f GROUP BY ALL),
+w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY fold, name, held ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM
+  g),
+a AS (SELECT fold, name, held, (sum(p * (below + n / 2.0)) / nullif(sum(p) * sum(n), 0))::DOUBLE AS auc FROM w GROUP BY ALL),
+c AS (SELECT fold, arg_max(name, (auc, name)) AS name FROM a WHERE NOT held GROUP BY 1)
+SELECT c.fold, c.name, round(a.auc, 6) AS held_auc
+FROM c
+JOIN a ON a.fold = c.fold AND a.name = c.name AND a.held
+""")
 def m06(t):
     d = labelled(t).select("lang", "q", F.explode(F.create_map(F.lit("chars"), F.col("n_chars").cast("double"), F.lit("rule"), F.when(F.col("r"), 0.0).otherwise(1.0), F.lit("id"), (F.col("doc_id") % 97).cast("double"))).alias("name", "score"))
     folds = d.select(F.col("lang").alias("fold")).distinct()
@@ -125,7 +161,15 @@ def m06(t):
     return pick.join(a.where("held").select("fold", "name", "auc").hint("merge"), ["fold", "name"]).select("fold", "name", r6("auc", "held_auc"))
 
 
-@query("m07_shuffled_label_control", f"WITH {_LAB}, a AS (SELECT n_chars, row_number() OVER (ORDER BY md5('x:' || doc_id)) AS i FROM lj), b AS (SELECT q, row_number() OVER (ORDER BY md5('y:' || doc_id)) AS i FROM lj), g AS (SELECT n_chars, count(*) FILTER (WHERE q) AS p, count(*) FILTER (WHERE NOT q) AS n FROM a JOIN b USING (i) GROUP BY 1), w AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round((sum(p * (below + n / 2.0)) / (sum(p) * sum(n)))::DOUBLE, 6) AS auc FROM w")
+@query("m07_shuffled_label_control", f"""
+WITH {_LAB},
+a AS (SELECT n_chars, row_number() OVER (ORDER BY md5('x:' || doc_id)) AS i FROM lj),
+b AS (SELECT q, row_number() OVER (ORDER BY md5('y:' || doc_id)) AS i FROM lj),
+g AS (SELECT n_chars, count(*) FILTER (WHERE q) AS p, count(*) FILTER (WHERE NOT q) AS n FROM a JOIN b USING (i) GROUP BY 1),
+w AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT round((sum(p * (below + n / 2.0)) / (sum(p) * sum(n)))::DOUBLE, 6) AS auc
+FROM w
+""")
 def m07(t):
     d = labelled(t)
     key = lambda s: F.md5(F.concat(F.lit(s + ":"), F.col("doc_id").cast("string")))

@@ -60,13 +60,14 @@ def framed(t):
     return e.join(meta.hint("merge"), "label")
 
 
-_FRAME_RULES = {"width": F.size("embedding") == 64, "finite": F.forall("embedding", lambda x: F.abs(x) < float("inf"))}
+def frame_rules():
+    return {"width": F.size("embedding") == 64, "finite": F.forall("embedding", lambda x: F.abs(x) < float("inf"))}
 
 
 @query("a10_series_with_meta", A10_SQL)
 def a10_meta(t):
     """Every vector with its series' own count, and the rule it breaks, so that broken ones can be set aside."""
-    return X.parted(framed(t), _FRAME_RULES).select("vec_id", "label", "frames", "reason")
+    return X.parted(framed(t), frame_rules()).select("vec_id", "label", "frames", "reason")
 
 
 @query("a10_strict_series", "SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS frames FROM embeddings")

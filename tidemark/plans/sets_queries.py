@@ -13,7 +13,13 @@ def t01(t):
     return t("events").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(20)
 
 
-@query("t02_k_per_group_both_ends", "WITH r AS (SELECT o_orderpriority AS p, o_orderkey AS o, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS b FROM orders) SELECT p, o, v, a <= 3 AS low FROM r WHERE a <= 3 OR b <= 3")
+@query("t02_k_per_group_both_ends", """
+WITH r AS (SELECT o_orderpriority AS p, o_orderkey AS o, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice,
+  o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS b FROM orders)
+SELECT p, o, v, a <= 3 AS low
+FROM r
+WHERE a <= 3 OR b <= 3
+""")
 def t02(t):
     o = t("orders").select(F.col("o_orderpriority").alias("p"), F.col("o_orderkey").alias("o"), F.col("o_totalprice").alias("v"))
     w, r = Window.partitionBy("p"), F.row_number()
@@ -23,13 +29,23 @@ def t02(t):
     return low.union(high).groupBy("p", "o", "v").agg(F.bool_or("low").alias("low"))  # a row at both ends is one
 
 
-@query("t03_worst_of", "SELECT event_type, max(m) AS worst, min(m) AS best FROM (SELECT event_type, user_id, CASE WHEN count(*) >= 5 THEN max(value) END AS m FROM events GROUP BY 1, 2) GROUP BY 1")
+@query("t03_worst_of", """
+SELECT event_type, max(m) AS worst, min(m) AS best
+FROM (SELECT event_type, user_id, CASE WHEN count(*) >= 5 THEN max(value) END AS m FROM events GROUP BY 1, 2)
+GROUP BY 1
+""")
 def t03(t):
     m = t("events").groupBy("event_type", "user_id").agg(F.when(F.count("*") >= 5, F.max("value")).alias("m"))
     return m.groupBy("event_type").agg(F.max("m").alias("worst"), F.min("m").alias("best"))
 
 
-@query("t04_union_of_annotators", "SELECT DISTINCT user_id, event_type FROM events WHERE value > 100 UNION SELECT DISTINCT user_id, event_type FROM events WHERE CAST(props->>'$.k' AS INTEGER) > 90")
+@query("t04_union_of_annotators", """
+SELECT DISTINCT user_id, event_type
+FROM events
+WHERE value > 100 UNION SELECT DISTINCT user_id, event_type
+FROM events
+WHERE CAST(props->>'$.k' AS INTEGER) > 90
+""")
 def t04(t):
     e = t("events")
     return e.where("value > 100").select("user_id", "event_type").unionByName(e.where(F.get_json_object("props", "$.k").cast("int") > 90).select("event_type", "user_id")).distinct()

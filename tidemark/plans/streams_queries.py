@@ -17,7 +17,11 @@ HOUR, DAY = 3_600_000_000, 86_400_000_000  # microseconds
 _S = "s AS (SELECT user_id, event_id, ts, value AS v, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i FROM events)"
 
 
-@query("r01_validate_and_reject", "SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view', 'error', 'purchase') THEN 'unknown_type' WHEN value > 240 THEN 'rate' WHEN CAST(props->>'$.k' AS INTEGER) < 8 THEN 'short' ELSE 'ok' END AS reason FROM events")
+@query("r01_validate_and_reject", """
+SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view', 'error', 'purchase') THEN 'unknown_type' WHEN value > 240 THEN 'rate' WHEN
+  CAST(props->>'$.k' AS INTEGER) < 8 THEN 'short' ELSE 'ok' END AS reason
+FROM events
+""")
 def r01(t):
     s = R.read_stream(t.spark, t.sf_dir, "events")
     k = F.from_json("props", "k int")["k"]
@@ -25,7 +29,15 @@ def r01(t):
     return R.drain(s.select("event_id", reason.alias("reason")))
 
 
-@query("r02_window_measure", "WITH d AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS w, value FROM events) SELECT user_id, CAST(epoch(w) AS BIGINT) AS day, count(*) AS n, round(avg(value), 6) AS magnitude, max(value) AS peak, round(avg((value < 10)::INT), 6) AS zero_fraction, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, max(value) >= 40 AND avg((value >= 10)::INT) >= 0.5 AS present FROM d WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2, w")
+@query("r02_window_measure", """
+WITH d AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS w, value FROM events)
+SELECT user_id, CAST(epoch(w) AS BIGINT) AS day, count(*) AS n, round(avg(value), 6) AS magnitude, max(value) AS peak,
+  round(avg((value < 10)::INT), 6) AS zero_fraction, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, max(value) >= 40 AND
+  avg((value >= 10)::INT) >= 0.5 AS present
+FROM d
+WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+GROUP BY 1, 2, w
+""")
 def r02(t):
     """Windows that the watermark has passed, each written once and then forgotten."""
     s = R.read_stream(t.spark, t.sf_dir, "events").withWatermark("ts", "1 hour")
@@ -44,7 +56,14 @@ def r03(t):
     return R.drain(s.join(c.hint("shuffle_hash"), "user_id", "left").select("event_id", "segment"))
 
 
-@query("r04_stateful_band_rms", f"WITH RECURSIVE s AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), r AS (SELECT user_id, event_id, i, v AS f, v AS g, 0.0::DOUBLE AS en FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.event_id, s.i, f + {A_FAST!r} * (v - f), g + {A_SLOW!r} * (v - g), en + {A_HOLD!r} * (pow(f + {A_FAST!r} * (v - f) - g - {A_SLOW!r} * (v - g), 2) - en) FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1) SELECT user_id, event_id, round(sqrt(en), 6) AS energy FROM r")
+@query("r04_stateful_band_rms", f"""
+WITH RECURSIVE s AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, v AS f, v AS g, 0.0::DOUBLE AS en FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.event_id, s.i, f + {A_FAST!r} *
+  (v - f), g + {A_SLOW!r} * (v - g), en + {A_HOLD!r} * (pow(f + {A_FAST!r} * (v - f) - g - {A_SLOW!r} * (v - g), 2) - en) FROM r JOIN s ON s.user_id =
+  r.user_id AND s.i = r.i + 1)
+SELECT user_id, event_id, round(sqrt(en), 6) AS energy
+FROM r
+""")
 def r04(t):
     def step(state, pdf):
         state, energy = X.band_energy(pdf["value"].to_numpy(), SHARES, state)
@@ -55,7 +74,11 @@ def r04(t):
     return R.drain(out).withColumn("energy", F.round("energy", 6))
 
 
-@query("r08_monotonic_clock", "WITH s AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) SELECT user_id, event_id, max(c - i) OVER (PARTITION BY user_id ORDER BY i) + i AS clock FROM s")
+@query("r08_monotonic_clock", """
+WITH s AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+SELECT user_id, event_id, max(c - i) OVER (PARTITION BY user_id ORDER BY i) + i AS clock
+FROM s
+""")
 def r08(t):
     def step(state, pdf):
         c, n = pdf["c"].to_numpy(), np.arange(1, len(pdf) + 1)
@@ -71,21 +94,40 @@ def r08(t):
 _PASSED = "(SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
 
 
-@query("r09_tumbling_windows_with_watermark", f"WITH d AS (SELECT event_type, value, time_bucket(INTERVAL 6 HOUR, ts) AS w FROM events) SELECT event_type, CAST(epoch(w) AS BIGINT) AS start, count(*) AS n, round(sum(value), 4) AS total FROM d WHERE w + INTERVAL 6 HOUR <= {_PASSED} GROUP BY 1, 2")
+@query("r09_tumbling_windows_with_watermark", f"""
+WITH d AS (SELECT event_type, value, time_bucket(INTERVAL 6 HOUR, ts) AS w FROM events)
+SELECT event_type, CAST(epoch(w) AS BIGINT) AS start, count(*) AS n, round(sum(value), 4) AS total
+FROM d
+WHERE w + INTERVAL 6 HOUR <= {_PASSED}
+GROUP BY 1, 2
+""")
 def r09(t):
     s = R.read_stream(t.spark, t.sf_dir, "events").withWatermark("ts", "2 hours")
     g = s.groupBy("event_type", F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return R.drain(g).select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "total")
 
 
-@query("r09_sliding_windows", f"WITH d AS (SELECT event_type, value, time_bucket(INTERVAL 2 HOUR, ts) - j * INTERVAL 2 HOUR AS w FROM events, range(0, 3) q(j)) SELECT event_type, CAST(epoch(w) AS BIGINT) AS start, count(*) AS n, round(sum(value), 4) AS total FROM d WHERE w + INTERVAL 6 HOUR <= {_PASSED} GROUP BY 1, 2")
+@query("r09_sliding_windows", f"""
+WITH d AS (SELECT event_type, value, time_bucket(INTERVAL 2 HOUR, ts) - j * INTERVAL 2 HOUR AS w FROM events, range(0, 3) q(j))
+SELECT event_type, CAST(epoch(w) AS BIGINT) AS start, count(*) AS n, round(sum(value), 4) AS total
+FROM d
+WHERE w + INTERVAL 6 HOUR <= {_PASSED}
+GROUP BY 1, 2
+""")
 def r09_sliding(t):
     s = R.read_stream(t.spark, t.sf_dir, "events").withWatermark("ts", "2 hours")
     g = s.groupBy("event_type", F.window("ts", "6 hours", "2 hours").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return R.drain(g).select("event_type", F.unix_timestamp("w.start").alias("start"), "n", "total")
 
 
-@query("r09_session_windows", f"WITH d AS (SELECT user_id, ts, value, sum((ts - before >= INTERVAL 8 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)), z AS (SELECT user_id, coalesce(g, 0) AS g, min(ts) AS lo, max(ts) + INTERVAL 8 HOUR AS hi, count(*) AS n, sum(value) AS total FROM d GROUP BY 1, 2) SELECT user_id, epoch_us(lo) AS lo, epoch_us(hi) AS hi, n, round(total, 4) AS total FROM z WHERE hi <= {_PASSED}")
+@query("r09_session_windows", f"""
+WITH d AS (SELECT user_id, ts, value, sum((ts - before >= INTERVAL 8 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM
+  (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)),
+z AS (SELECT user_id, coalesce(g, 0) AS g, min(ts) AS lo, max(ts) + INTERVAL 8 HOUR AS hi, count(*) AS n, sum(value) AS total FROM d GROUP BY 1, 2)
+SELECT user_id, epoch_us(lo) AS lo, epoch_us(hi) AS hi, n, round(total, 4) AS total
+FROM z
+WHERE hi <= {_PASSED}
+""")
 def r09_session(t):
     s = R.read_stream(t.spark, t.sf_dir, "events").withWatermark("ts", "2 hours")
     g = s.groupBy("user_id", F.session_window("ts", "8 hours").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -96,7 +138,16 @@ def r09_session(t):
 _PART = "least(3, CAST(floor(3.0 * event_id / (SELECT max(event_id) + 1 FROM events)) AS INTEGER) + CASE WHEN event_id % 40 = 0 THEN 2 ELSE 0 END)"
 
 
-@query("r09_late_rows_dropped", f"WITH p AS (SELECT *, {_PART} AS part, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS hi FROM events), m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS UNBOUNDED PRECEDING) - INTERVAL 2 HOUR AS mark FROM p GROUP BY 1), w AS (SELECT p.*, q.mark IS NOT NULL AND hi <= q.mark AS late FROM p LEFT JOIN m q ON q.part = p.part - 1) SELECT event_type, CAST(epoch(hi) AS BIGINT) - 21600 AS start, count(*) FILTER (WHERE NOT late) AS n, count(*) FILTER (WHERE late) AS late FROM w WHERE hi <= {_PASSED} GROUP BY 1, 2 HAVING count(*) FILTER (WHERE NOT late) > 0")
+@query("r09_late_rows_dropped", f"""
+WITH p AS (SELECT *, {_PART} AS part, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS hi FROM events),
+m AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS UNBOUNDED PRECEDING) - INTERVAL 2 HOUR AS mark FROM p GROUP BY 1),
+w AS (SELECT p.*, q.mark IS NOT NULL AND hi <= q.mark AS late FROM p LEFT JOIN m q ON q.part = p.part - 1)
+SELECT event_type, CAST(epoch(hi) AS BIGINT) - 21600 AS start, count(*) FILTER (WHERE NOT late) AS n, count(*) FILTER (WHERE late) AS late
+FROM w
+WHERE hi <= {_PASSED}
+GROUP BY 1, 2
+HAVING count(*) FILTER (WHERE NOT late) > 0
+""")
 def r09_late(t):
     """Rows that arrive in four parts, some behind the watermark: those are dropped, and counted against all rows."""
     e = t("events").select("event_id", "event_type", "ts")
@@ -108,7 +159,12 @@ def r09_late(t):
     return seen.join(all_rows.hint("merge"), ["event_type", "start"]).select("event_type", "start", "n", (F.col("m") - F.col("n")).alias("late"))
 
 
-@query("r10_stream_interval_join", "SELECT p.event_id AS purchase, e.event_id AS error FROM events p JOIN events e ON p.user_id = e.user_id AND e.event_type = 'error' AND p.event_type = 'purchase' AND e.ts BETWEEN p.ts - INTERVAL 3 HOUR AND p.ts + INTERVAL 3 HOUR")
+@query("r10_stream_interval_join", """
+SELECT p.event_id AS purchase, e.event_id AS error
+FROM events p
+JOIN events e ON p.user_id = e.user_id AND e.event_type = 'error' AND p.event_type = 'purchase' AND e.ts BETWEEN p.ts - INTERVAL 3 HOUR AND p.ts +
+  INTERVAL 3 HOUR
+""")
 def r10(t):
     s = R.read_stream(t.spark, t.sf_dir, "events")
     p = s.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), F.col("ts").alias("pt")).withWatermark("pt", "1 hour")
@@ -134,7 +190,13 @@ def turn_levels(stream):
     return T.series(stream, "user_id", ["event_id"], ["value", "at", "ts"], "event_id long, rev int, level double", "way double, reach double", "long", step, span=SPAN)
 
 
-@query("r05_stateful_reversal_counter", f"WITH RECURSIVE {_S}, {turns_sql('user_id', ['event_id', 'ts'], 's')} SELECT user_id, event_id, rev, round(least(sum(rev) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 36 HOUR PRECEDING AND CURRENT ROW) / 3.0::DOUBLE, 1.2), 6) AS level FROM tn")
+@query("r05_stateful_reversal_counter", f"""
+WITH RECURSIVE {_S},
+{turns_sql('user_id', ['event_id', 'ts'], 's')}
+SELECT user_id, event_id, rev, round(least(sum(rev) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 36 HOUR PRECEDING AND CURRENT ROW) /
+  3.0::DOUBLE, 1.2), 6) AS level
+FROM tn
+""")
 def r05(t):
     """Turns of a user's values by at least ``LEAST``, and their level over the last 36 hours; older turns are forgotten."""
 
@@ -144,7 +206,16 @@ def r05(t):
     return out.select("user_id", "event_id", "rev", F.round("level", 6).alias("level"))
 
 
-@query("r06_stateful_adaptive_baseline", "WITH s AS (SELECT user_id AS k, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i, value AS v FROM events), q AS (SELECT k, event_id, i, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.2) OVER w END AS lo, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.95) OVER w END AS hi, v FROM s WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN 599 PRECEDING AND CURRENT ROW)), f AS (SELECT k, event_id, v, last_value(lo IGNORE NULLS) OVER z AS lo, last_value(hi IGNORE NULLS) OVER z AS hi FROM q WINDOW z AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING)) SELECT k AS user_id, event_id, round(CASE WHEN hi > lo THEN greatest(0, (v - lo) / (hi - lo)) ELSE 0 END, 6) AS level FROM f")
+@query("r06_stateful_adaptive_baseline", """
+WITH s AS (SELECT user_id AS k, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS i, value AS v FROM
+  events),
+q AS (SELECT k, event_id, i, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.2) OVER w END AS lo, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.95) OVER w
+  END AS hi, v FROM s WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN 599 PRECEDING AND CURRENT ROW)),
+f AS (SELECT k, event_id, v, last_value(lo IGNORE NULLS) OVER z AS lo, last_value(hi IGNORE NULLS) OVER z AS hi FROM q WINDOW z AS
+  (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT k AS user_id, event_id, round(CASE WHEN hi > lo THEN greatest(0, (v - lo) / (hi - lo)) ELSE 0 END, 6) AS level
+FROM f
+""")
 def r06(t):
     """The last values are a list that a batch only appends to; it is cut back when it is twice as long as needed."""
 
@@ -190,7 +261,16 @@ def close_run(state):
     return (-1, 0, 0, n), pd.DataFrame({"lo": [begin], "hi": [begin + length]} if begin >= 0 and length >= SHORTEST else {"lo": [], "hi": []}, dtype="int64")
 
 
-@query("r07_stateful_event_emission", f"WITH {_S}, h AS (SELECT user_id, i, CASE WHEN i - lag(i) OVER w > 1 OR ts - lag(ts) OVER w > INTERVAL 2 DAY THEN 1 ELSE 0 END AS cut FROM s WHERE v > 40 WINDOW w AS (PARTITION BY user_id ORDER BY i)), z AS (SELECT user_id, i, sum(cut) OVER (PARTITION BY user_id ORDER BY i) AS g FROM h) SELECT user_id, min(i) AS lo, max(i) + 1 AS hi FROM z GROUP BY user_id, g HAVING count(*) >= 2")
+@query("r07_stateful_event_emission", f"""
+WITH {_S},
+h AS (SELECT user_id, i, CASE WHEN i - lag(i) OVER w > 1 OR ts - lag(ts) OVER w > INTERVAL 2 DAY THEN 1 ELSE 0 END AS cut FROM s WHERE v > 40 WINDOW w
+  AS (PARTITION BY user_id ORDER BY i)),
+z AS (SELECT user_id, i, sum(cut) OVER (PARTITION BY user_id ORDER BY i) AS g FROM h)
+SELECT user_id, min(i) AS lo, max(i) + 1 AS hi
+FROM z
+GROUP BY user_id, g
+HAVING count(*) >= 2
+""")
 def r07(t):
     """Runs as they close, by a quiet row, a later row or a timer; those open at the end are read from the state."""
     s = R.read_stream(t.spark, t.sf_dir, "events").withColumn("at", F.unix_micros("ts")).withWatermark("ts", "1 hour")

@@ -12,10 +12,16 @@ from tidemark.operators import filters as X
 from tidemark.operators import series as S
 from tidemark.plans.registry import query
 
-EV = "s AS (SELECT user_id AS k, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, value AS v, event_type AS e, ts, event_id, CAST(props->>'$.k' AS DOUBLE) AS p FROM events)"
+EV = """
+s AS (SELECT user_id AS k, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, value AS v, event_type AS e, ts,
+  event_id, CAST(props->>'$.k' AS DOUBLE) AS p FROM events)
+"""
 HOLES = EV + ", h AS (SELECT k, i, CASE WHEN i % 7 IN (2, 3) OR i % 23 BETWEEN 10 AND 16 THEN NULL ELSE v END AS v FROM s)"
 ARR = EV + ", a AS (SELECT k, list(v ORDER BY i) AS a FROM s GROUP BY k)"
-EM = "m AS (SELECT label AS k, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS i, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)"
+EM = """
+m AS (SELECT label AS k, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS i, vec_id,
+  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)
+"""
 
 
 def ev(t):
@@ -41,12 +47,27 @@ def lengths(t):
     return t("events").groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("w01_window_edges", f"WITH {EV}, n AS (SELECT k, count(*) AS n FROM s GROUP BY k) SELECT k, CAST(start // 8 AS INTEGER) AS win, start, CAST(16 AS BIGINT) AS len, false AS partial FROM (SELECT k, unnest(range(0, n - 15, 8)) AS start FROM n WHERE n >= 16) UNION ALL SELECT k, 0, 0, n, true FROM n WHERE n < 16")
+@query("w01_window_edges", f"""
+WITH {EV},
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k)
+SELECT k, CAST(start // 8 AS INTEGER) AS win, start, CAST(16 AS BIGINT) AS len, false AS partial
+FROM (SELECT k, unnest(range(0, n - 15, 8)) AS start FROM n WHERE n >= 16)
+UNION ALL SELECT k, 0, 0, n, true
+FROM n
+WHERE n < 16
+""")
 def w01(t):
     return S.window_edges(lengths(t), 16, 8, keep_short=True)
 
 
-@query("w02_resample_nearest", f"WITH {EV}, n AS (SELECT k, count(*) AS n FROM s GROUP BY k), g AS (SELECT k, n, unnest(range(0, CAST(least(40, greatest(1, round_even(n / 30.0 * 12, 0))) AS BIGINT))) AS j FROM n) SELECT g.k, j, s.i, v FROM g JOIN s ON s.k = g.k AND s.i = least(CAST(round_even(j / 12.0::DOUBLE * 30, 0) AS BIGINT), n - 1)")
+@query("w02_resample_nearest", f"""
+WITH {EV},
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+g AS (SELECT k, n, unnest(range(0, CAST(least(40, greatest(1, round_even(n / 30.0 * 12, 0))) AS BIGINT))) AS j FROM n)
+SELECT g.k, j, s.i, v
+FROM g
+JOIN s ON s.k = g.k AND s.i = least(CAST(round_even(j / 12.0::DOUBLE * 30, 0) AS BIGINT), n - 1)
+""")
 def w02(t):
     return S.resample(ev(t).select("k", "i", "v"), 30, 12, max_frames=40).select("k", "j", "i", "v")
 
@@ -56,17 +77,35 @@ def w03(t):
     return ev(t).where("i % 3 = 0 and i < 60").select("k", "i", "v")
 
 
-@query("w04_interpolate_gaps", f"WITH {HOLES}, z AS (SELECT k, i, v, max(CASE WHEN v IS NOT NULL THEN i END) OVER w AS i0, min(CASE WHEN v IS NOT NULL THEN i END) OVER u AS i1 FROM h WINDOW w AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), f AS (SELECT z.k, z.i, CASE WHEN z.v IS NOT NULL THEN z.v WHEN i0 IS NOT NULL AND i1 IS NOT NULL AND i1 - i0 - 1 <= 3 THEN a.v + (b.v - a.v) * (z.i - i0) / (i1 - i0) END AS filled FROM z LEFT JOIN h a ON a.k = z.k AND a.i = i0 LEFT JOIN h b ON b.k = z.k AND b.i = i1) SELECT k, i, round(filled, 6) AS filled, filled IS NOT NULL AS valid FROM f")
+@query("w04_interpolate_gaps", f"""
+WITH {HOLES},
+z AS (SELECT k, i, v, max(CASE WHEN v IS NOT NULL THEN i END) OVER w AS i0, min(CASE WHEN v IS NOT NULL THEN i END) OVER u AS i1 FROM h WINDOW w AS
+  (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT z.k, z.i, CASE WHEN z.v IS NOT NULL THEN z.v WHEN i0 IS NOT NULL AND i1 IS NOT NULL AND i1 - i0 - 1 <= 3 THEN a.v + (b.v - a.v) *
+  (z.i - i0) / (i1 - i0) END AS filled FROM z LEFT JOIN h a ON a.k = z.k AND a.i = i0 LEFT JOIN h b ON b.k = z.k AND b.i = i1)
+SELECT k, i, round(filled, 6) AS filled, filled IS NOT NULL AS valid
+FROM f
+""")
 def w04(t):
     return S.interpolate(holes(t), "v", 3).select("k", "i", r6("filled", "filled"), "valid")
 
 
-@query("w05_carry_forward", f"WITH {HOLES} SELECT k, i, (SELECT b.v FROM h b WHERE b.k = h.k AND b.i <= h.i AND b.v IS NOT NULL ORDER BY b.i DESC LIMIT 1) AS v FROM h")
+@query("w05_carry_forward", f"""
+WITH {HOLES} SELECT k, i, (SELECT b.v FROM h b WHERE b.k = h.k AND b.i <= h.i AND b.v IS NOT NULL ORDER BY b.i DESC LIMIT 1) AS v
+FROM h
+""")
 def w05(t):
     return holes(t).select("k", "i", S.carry_forward("v").alias("v"))
 
 
-@query("w06_centre_and_scale", f"WITH {EM}, p AS (SELECT k, i, CASE WHEN i % 9 <> 4 THEN (x[1] + x[2]) / 2 ELSE x[5] END AS cx, CASE WHEN i % 9 <> 4 THEN abs(x[1] - x[2]) END AS raw, x FROM m), z AS (SELECT *, coalesce(raw, (SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i - 1) + ((SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i + 1) - (SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i - 1)) / 2) AS sc FROM p) SELECT k, i, round(cx, 6) AS anchor, round(sc, 6) AS scale, CASE WHEN sc > 1e-6 THEN list_transform(x, lambda e: round((e - cx) / sc, 4)) END AS y FROM z")
+@query("w06_centre_and_scale", f"""
+WITH {EM},
+p AS (SELECT k, i, CASE WHEN i % 9 <> 4 THEN (x[1] + x[2]) / 2 ELSE x[5] END AS cx, CASE WHEN i % 9 <> 4 THEN abs(x[1] - x[2]) END AS raw, x FROM m),
+z AS (SELECT *, coalesce(raw, (SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i - 1) + ((SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i + 1) -
+  (SELECT q.raw FROM p q WHERE q.k = p.k AND q.i = p.i - 1)) / 2) AS sc FROM p)
+SELECT k, i, round(cx, 6) AS anchor, round(sc, 6) AS scale, CASE WHEN sc > 1e-6 THEN list_transform(x, lambda e: round((e - cx) / sc, 4)) END AS y
+FROM z
+""")
 def w06(t):
     gone = F.col("i") % 9 == 4
     d = em(t).withColumn("cx", F.when(gone, F.col("x")[4]).otherwise((F.col("x")[0] + F.col("x")[1]) / 2)).withColumn("raw", F.when(~gone, F.abs(F.col("x")[0] - F.col("x")[1])))
@@ -75,7 +114,15 @@ def w06(t):
     return d.select("k", "i", r6("cx", "anchor"), r6("sc", "scale"), y.alias("y"))
 
 
-@query("w07_body_relative_frame", f"WITH {EM}, p AS (SELECT *, (x[1] + x[3]) / 2 AS ox, (x[2] + x[4]) / 2 AS oy, sqrt((x[3] - x[1]) * (x[3] - x[1]) + (x[4] - x[2]) * (x[4] - x[2])) AS w, atan2(x[4] - x[2], x[3] - x[1]) AS a FROM m) SELECT k, i, CASE WHEN w > 0.05 THEN round(((x[5] - ox) * cos(a) + (x[6] - oy) * sin(a)) / w, 6) END AS u, CASE WHEN w > 0.05 THEN round(((x[6] - oy) * cos(a) - (x[5] - ox) * sin(a)) / w, 6) END AS y, round(CASE WHEN a > pi() / 2 THEN a - pi() WHEN a < -pi() / 2 THEN a + pi() ELSE a END, 6) AS tilt FROM p")
+@query("w07_body_relative_frame", f"""
+WITH {EM},
+p AS (SELECT *, (x[1] + x[3]) / 2 AS ox, (x[2] + x[4]) / 2 AS oy, sqrt((x[3] - x[1]) * (x[3] - x[1]) + (x[4] - x[2]) * (x[4] - x[2])) AS w,
+  atan2(x[4] - x[2], x[3] - x[1]) AS a FROM m)
+SELECT k, i, CASE WHEN w > 0.05 THEN round(((x[5] - ox) * cos(a) + (x[6] - oy) * sin(a)) / w, 6) END AS u, CASE WHEN w > 0.05 THEN
+  round(((x[6] - oy) * cos(a) - (x[5] - ox) * sin(a)) / w, 6) END AS y, round(CASE WHEN a > pi() / 2 THEN a - pi() WHEN a < -pi() / 2 THEN a + pi()
+  ELSE a END, 6) AS tilt
+FROM p
+""")
 def w07(t):
     x = lambda j: F.col("x")[j]
     d = em(t).withColumns({"ox": (x(0) + x(2)) / 2, "oy": (x(1) + x(3)) / 2, "w": F.hypot(x(2) - x(0), x(3) - x(1)), "a": F.atan2(x(3) - x(1), x(2) - x(0))})
@@ -94,7 +141,10 @@ def w08(t):
     return ev(t).select("k", "i", r6(S.moving_average("v", 4), "y"))
 
 
-@query("w09_rolling_std", f"WITH {EV} SELECT k, i, round(stddev_pop(v) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS sd FROM s")
+@query("w09_rolling_std", f"""
+WITH {EV} SELECT k, i, round(stddev_pop(v) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS sd
+FROM s
+""")
 def w09(t):
     return ev(t).select("k", "i", r6(S.rolling_std("v", 5), "sd"))
 
@@ -109,12 +159,24 @@ GAUSS = [g / sum(GAUSS) for g in GAUSS]
 _G = "[" + ", ".join(f"{g!r}::DOUBLE" for g in GAUSS) + "]"
 
 
-@query("w11_gaussian_smoothing", f"WITH {ARR} SELECT k, i, round(y, 6) AS y FROM (SELECT k, i, list_sum(list_transform(range(-4, 5), lambda j: a[greatest(least(i + j, len(a) - 1), 0) + 1] * ({_G})[j + 5])) AS y FROM s JOIN a USING (k))")
+@query("w11_gaussian_smoothing", f"""
+WITH {ARR} SELECT k, i, round(y, 6) AS y
+FROM (SELECT k, i, list_sum(list_transform(range(-4, 5), lambda j: a[greatest(least(i + j, len(a) - 1), 0) + 1] * ({_G})[j + 5])) AS y FROM s JOIN a
+  USING (k))
+""")
 def w11(t):
     return ev(t).select("k", "i", r6(S.weighted(S.held_frame("v", 4), GAUSS), "y"))
 
 
-@query("w12_sign_continuous_smoothing", f"WITH {EM}, d AS (SELECT k, i, x, list_inner_product(x, lag(x) OVER (PARTITION BY k ORDER BY i)) AS dp FROM m), f AS (SELECT k, i, x, CASE WHEN sum(CASE WHEN dp < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) % 2 = 1 THEN -1 ELSE 1 END AS sg FROM d), g AS (SELECT k, i, j, avg(x[j] * sg) OVER (PARTITION BY k, j ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS e FROM f, range(1, 65) r(j)) SELECT k, i, list_transform(list(e ORDER BY j), lambda y: round(y / sqrt(list_sum(list_transform(list(e ORDER BY j), lambda z: z * z))), 5)) AS q FROM g GROUP BY k, i")
+@query("w12_sign_continuous_smoothing", f"""
+WITH {EM},
+d AS (SELECT k, i, x, list_inner_product(x, lag(x) OVER (PARTITION BY k ORDER BY i)) AS dp FROM m),
+f AS (SELECT k, i, x, CASE WHEN sum(CASE WHEN dp < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) % 2 = 1 THEN -1 ELSE 1 END AS sg FROM d),
+g AS (SELECT k, i, j, avg(x[j] * sg) OVER (PARTITION BY k, j ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS e FROM f, range(1, 65) r(j))
+SELECT k, i, list_transform(list(e ORDER BY j), lambda y: round(y / sqrt(list_sum(list_transform(list(e ORDER BY j), lambda z: z * z))), 5)) AS q
+FROM g
+GROUP BY k, i
+""")
 def w12(t):
     """Whole vectors: each takes the sign that agrees with the one before, five are averaged, the mean is made a unit."""
     w = S.over()
@@ -127,7 +189,14 @@ def w12(t):
     return d.withColumn("_n", norm).select("k", "i", F.transform("y", lambda e: F.round(e / F.col("_n"), 5)).alias("q"))
 
 
-@query("w13_band_energy", f"WITH {ARR}, b AS (SELECT k, i, {_held(1, 1, 'list_avg', 'f')}, {_held(8, 8, 'list_avg', 'g')} FROM s JOIN a USING (k)), q AS (SELECT k, list((f - g) * (f - g) ORDER BY i) AS c FROM b GROUP BY k) SELECT k, i, round(sqrt({_held(9, 9, 'list_avg', 'y', 'c')[:-5]}), 6) AS energy FROM b JOIN q USING (k)")
+@query("w13_band_energy", f"""
+WITH {ARR},
+b AS (SELECT k, i, {_held(1, 1, 'list_avg', 'f')}, {_held(8, 8, 'list_avg', 'g')} FROM s JOIN a USING (k)),
+q AS (SELECT k, list((f - g) * (f - g) ORDER BY i) AS c FROM b GROUP BY k)
+SELECT k, i, round(sqrt({_held(9, 9, 'list_avg', 'y', 'c')[:-5]}), 6) AS energy
+FROM b
+JOIN q USING (k)
+""")
 def w13(t):
     return S.band_energy(ev(t), "v", 3, 17, 19).select("k", "i", r6("energy", "energy"))
 
@@ -144,7 +213,13 @@ def causal_band_rms(df, value="v"):
     return S.fold_long(df, lambda v: X.band_energy(v, SHARES, None)[1], value)
 
 
-W14_SQL = f"WITH RECURSIVE {EV}, r AS (SELECT k, i, v AS f, v AS g, 0.0::DOUBLE AS en FROM s WHERE i = 0 UNION ALL SELECT s.k, s.i, f + {A_FAST!r} * (v - f), g + {A_SLOW!r} * (v - g), en + {A_HOLD!r} * (pow(f + {A_FAST!r} * (v - f) - g - {A_SLOW!r} * (v - g), 2) - en) FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1) SELECT k, i, round(sqrt(en), 6) AS y FROM r"
+W14_SQL = f"""
+WITH RECURSIVE {EV},
+r AS (SELECT k, i, v AS f, v AS g, 0.0::DOUBLE AS en FROM s WHERE i = 0 UNION ALL SELECT s.k, s.i, f + {A_FAST!r} * (v - f), g + {A_SLOW!r} * (v - g),
+  en + {A_HOLD!r} * (pow(f + {A_FAST!r} * (v - f) - g - {A_SLOW!r} * (v - g), 2) - en) FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1)
+SELECT k, i, round(sqrt(en), 6) AS y
+FROM r
+"""
 
 
 @query("w14_causal_band_rms", W14_SQL)
@@ -177,7 +252,12 @@ def turns_sql(key, kept, source):
     )
 
 
-W15_SQL = f"WITH RECURSIVE {EV}, {turns_sql('k', ['event_id'], 's')} SELECT k, i, rev, round(least(sum(rev) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) / 3.0::DOUBLE, 1.2), 6) AS level FROM tn"
+W15_SQL = f"""
+WITH RECURSIVE {EV},
+{turns_sql('k', ['event_id'], 's')}
+SELECT k, i, rev, round(least(sum(rev) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) / 3.0::DOUBLE, 1.2), 6) AS level
+FROM tn
+"""
 
 
 @query("w15_reversal_level", W15_SQL)
@@ -185,10 +265,20 @@ def w15(t):
     return reversals(ev(t)).select("k", "i", "rev", r6("level", "level"))
 
 
-_BAND = "r AS (SELECT k, i, v AS f, v AS g, 0.0::DOUBLE AS en, p AS f2, p AS g2, 0.0::DOUBLE AS e2 FROM s WHERE i = 0 UNION ALL SELECT s.k, s.i, " + ", ".join(f"f{n} + {A_FAST!r} * ({c} - f{n}), g{n} + {A_SLOW!r} * ({c} - g{n}), e{n or 'n'} + {A_HOLD!r} * (pow(f{n} + {A_FAST!r} * ({c} - f{n}) - g{n} - {A_SLOW!r} * ({c} - g{n}), 2) - e{n or 'n'})" for n, c in (("", "v"), ("2", "p"))) + " FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1)"
+_BAND = """
+r AS (SELECT k, i, v AS f, v AS g, 0.0::DOUBLE AS en, p AS f2, p AS g2, 0.0::DOUBLE AS e2 FROM s WHERE i = 0 UNION ALL SELECT s.k, s.i, 
+""" + ", ".join(f"f{n} + {A_FAST!r} * ({c} - f{n}), g{n} + {A_SLOW!r} * ({c} - g{n}), e{n or 'n'} + {A_HOLD!r} * (pow(f{n} + {A_FAST!r} * ({c} - f{n}) - g{n} - {A_SLOW!r} * ({c} - g{n}), 2) - e{n or 'n'})" for n, c in (("", "v"), ("2", "p"))) + " FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1)"
 
 
-@query("w16_axis_contrast", f"WITH RECURSIVE {EV}, {_BAND}, {turns_sql('k', ['event_id'], 's')}, nt AS (SELECT k, i, sum(rev) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS n FROM tn) SELECT r.k, r.i, round(greatest(sqrt(en) - 0.5 * sqrt(e2), 0), 6) AS level, sqrt(en) - 0.5 * sqrt(e2) >= 5 AND n >= 2 AS on_ FROM r JOIN nt ON nt.k = r.k AND nt.i = r.i")
+@query("w16_axis_contrast", f"""
+WITH RECURSIVE {EV},
+{_BAND},
+{turns_sql('k', ['event_id'], 's')},
+nt AS (SELECT k, i, sum(rev) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS n FROM tn)
+SELECT r.k, r.i, round(greatest(sqrt(en) - 0.5 * sqrt(e2), 0), 6) AS level, sqrt(en) - 0.5 * sqrt(e2) >= 5 AND n >= 2 AS on_
+FROM r
+JOIN nt ON nt.k = r.k AND nt.i = r.i
+""")
 def w16(t):
     """Energy of one axis less half the other's; on where it is high and the axis has turned twice in the last 24 rows."""
 
@@ -205,7 +295,15 @@ def w16(t):
 RING = 600
 
 
-@query("w17_adaptive_level", f"WITH {EV}, q AS (SELECT k, i, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.2) OVER w END AS lo, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.95) OVER w END AS hi, v FROM s WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN 599 PRECEDING AND CURRENT ROW)), f AS (SELECT k, i, v, last_value(lo IGNORE NULLS) OVER z AS lo, last_value(hi IGNORE NULLS) OVER z AS hi FROM q WINDOW z AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING)) SELECT k, i, round(CASE WHEN hi > lo THEN greatest(0, (v - lo) / (hi - lo)) ELSE 0 END, 6) AS level FROM f")
+@query("w17_adaptive_level", f"""
+WITH {EV},
+q AS (SELECT k, i, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.2) OVER w END AS lo, CASE WHEN i % 8 = 0 THEN quantile_cont(v, 0.95) OVER w END AS hi,
+  v FROM s WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN 599 PRECEDING AND CURRENT ROW)),
+f AS (SELECT k, i, v, last_value(lo IGNORE NULLS) OVER z AS lo, last_value(hi IGNORE NULLS) OVER z AS hi FROM q WINDOW z AS
+  (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT k, i, round(CASE WHEN hi > lo THEN greatest(0, (v - lo) / (hi - lo)) ELSE 0 END, 6) AS level
+FROM f
+""")
 def w17(t):
     return S.fold_long(ev(t), lambda v: X.adaptive_level(v, RING, 8, None)[1]).select("k", "i", r6("y", "level"))
 
@@ -219,12 +317,26 @@ def one_euro(df, value="v"):
     return S.fold_long(df, lambda v: X.one_euro(v, FPS, MINC, BETA), value)
 
 
-@query("w18_one_euro", f"WITH RECURSIVE {EV}, r AS (SELECT k, i, v AS y, 0.0::DOUBLE AS d FROM s WHERE i = 0 UNION ALL SELECT k, i, al * v + (1 - al) * y, sp FROM (SELECT *, 1 / (1 + {FPS!r} / ({2 * math.pi!r} * ({MINC!r} + {BETA!r} * abs(sp)))) AS al FROM (SELECT s.k, s.i, s.v, r.y, {A_D!r} * (v - y) * {FPS!r} + {1 - A_D!r} * d AS sp FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1))) SELECT k, i, round(y, 6) AS y FROM r")
+@query("w18_one_euro", f"""
+WITH RECURSIVE {EV},
+r AS (SELECT k, i, v AS y, 0.0::DOUBLE AS d FROM s WHERE i = 0 UNION ALL SELECT k, i, al * v + (1 - al) * y, sp FROM
+  (SELECT *, 1 / (1 + {FPS!r} / ({2 * math.pi!r} * ({MINC!r} + {BETA!r} * abs(sp)))) AS al FROM (SELECT s.k, s.i, s.v, r.y, {A_D!r} * (v - y) *
+  {FPS!r} + {1 - A_D!r} * d AS sp FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1)))
+SELECT k, i, round(y, 6) AS y
+FROM r
+""")
 def w18(t):
     return one_euro(ev(t)).select("k", "i", r6("y", "y"))
 
 
-@query("w19_robust_fire", f"WITH {EV}, md AS (SELECT k, median(v) AS m FROM s GROUP BY k), sp AS (SELECT k, m, greatest(median(abs(v - m)) * 1.4826, 0.01) AS d FROM s JOIN md USING (k) GROUP BY k, m) SELECT k, i, v > m + 1.5 * d AS fires FROM s JOIN sp USING (k)")
+@query("w19_robust_fire", f"""
+WITH {EV},
+md AS (SELECT k, median(v) AS m FROM s GROUP BY k),
+sp AS (SELECT k, m, greatest(median(abs(v - m)) * 1.4826, 0.01) AS d FROM s JOIN md USING (k) GROUP BY k, m)
+SELECT k, i, v > m + 1.5 * d AS fires
+FROM s
+JOIN sp USING (k)
+""")
 def w19(t):
     d = ev(t)
     med, _ = S.robust_fire("v", 1.5, 0.01)
@@ -233,7 +345,10 @@ def w19(t):
     return d.withColumn("_d", spread).select("k", "i", (F.col("v") > F.col("_med") + 1.5 * F.col("_d")).alias("fires"))
 
 
-_EVID = "q AS (SELECT k, median(v) AS m, quantile_cont(v, 0.95) AS h FROM s GROUP BY k), ev AS (SELECT k, i, CASE WHEN h > m THEN greatest(0, (v - m) / (h - m)) ELSE 0 END AS x FROM s JOIN q USING (k))"
+_EVID = """
+q AS (SELECT k, median(v) AS m, quantile_cont(v, 0.95) AS h FROM s GROUP BY k),
+ev AS (SELECT k, i, CASE WHEN h > m THEN greatest(0, (v - m) / (h - m)) ELSE 0 END AS x FROM s JOIN q USING (k))
+"""
 
 
 @query("w20_range_evidence", f"WITH {EV}, {_EVID} SELECT k, i, round(x, 6) AS x FROM ev")
@@ -245,10 +360,23 @@ def evidence(t):
     return ev(t).select("k", "i", S.range_evidence("v").alias("x"))
 
 
-_RUNS = "z AS (SELECT k, i, i - row_number() OVER (PARTITION BY k ORDER BY i) AS g FROM {src} WHERE {on}), rn AS (SELECT k, min(i) AS lo, max(i) + 1 AS hi, count(*) AS len FROM z GROUP BY k, g)"
+_RUNS = """
+z AS (SELECT k, i, i - row_number() OVER (PARTITION BY k ORDER BY i) AS g FROM {src} WHERE {on}),
+rn AS (SELECT k, min(i) AS lo, max(i) + 1 AS hi, count(*) AS len FROM z GROUP BY k, g)
+"""
 
 
-@query("w21_presence_verdict", f"WITH {EV}, {_EVID}, {_RUNS.format(src='ev', on='x > 0.5')}, b AS (SELECT k, max(len) AS run FROM rn GROUP BY k), c AS (SELECT k, max(x) AS peak, avg(CASE WHEN x > 0.5 THEN 1.0 ELSE 0 END) AS cov FROM ev GROUP BY k) SELECT k, CAST(coalesce(run, 0) AS BIGINT) AS run, round(peak, 6) AS peak, round(cov, 6) AS coverage, coalesce(run, 0) >= 3 AND peak >= 0.8 AND cov >= 0.04 AS present FROM c LEFT JOIN b USING (k)")
+@query("w21_presence_verdict", f"""
+WITH {EV},
+{_EVID},
+{_RUNS.format(src='ev', on='x > 0.5')},
+b AS (SELECT k, max(len) AS run FROM rn GROUP BY k),
+c AS (SELECT k, max(x) AS peak, avg(CASE WHEN x > 0.5 THEN 1.0 ELSE 0 END) AS cov FROM ev GROUP BY k)
+SELECT k, CAST(coalesce(run, 0) AS BIGINT) AS run, round(peak, 6) AS peak, round(cov, 6) AS coverage, coalesce(run, 0) >= 3 AND peak >= 0.8 AND cov >=
+  0.04 AS present
+FROM c
+LEFT JOIN b USING (k)
+""")
 def w21(t):
     x = evidence(t).withColumn("on_", F.col("x") > 0.5)
     run = S.runs(x, "on_").groupBy("k").agg(F.max("len").alias("run"))
@@ -267,7 +395,15 @@ def w23(t):
     return S.runs(ev(t).withColumn("on_", F.col("v") > 40), "on_").where("len >= 2")
 
 
-@query("w23b_pause_statistics", f"WITH {EV}, {_RUNS.format(src='s', on='v <= 40')}, pr AS (SELECT k, avg(len) / 24.0 AS mp FROM rn GROUP BY k), n AS (SELECT k, avg(CASE WHEN v <= 40 THEN 1.0 ELSE 0 END) AS pf FROM s GROUP BY k) SELECT k, round(pf, 6) AS pause_fraction, round(coalesce(mp, 0), 6) AS pause_mean FROM n LEFT JOIN pr USING (k)")
+@query("w23b_pause_statistics", f"""
+WITH {EV},
+{_RUNS.format(src='s', on='v <= 40')},
+pr AS (SELECT k, avg(len) / 24.0 AS mp FROM rn GROUP BY k),
+n AS (SELECT k, avg(CASE WHEN v <= 40 THEN 1.0 ELSE 0 END) AS pf FROM s GROUP BY k)
+SELECT k, round(pf, 6) AS pause_fraction, round(coalesce(mp, 0), 6) AS pause_mean
+FROM n
+LEFT JOIN pr USING (k)
+""")
 def w23b(t):
     d = ev(t).withColumn("off", F.col("v") <= 40)
     p = S.runs(d, "off").groupBy("k").agg((F.avg("len") / 24.0).alias("mp"))
@@ -288,14 +424,25 @@ def windowed(df, size, stride):
 _WIN = "n AS (SELECT k, count(*) AS n FROM s GROUP BY k), wd AS (SELECT k, unnest(range(0, n - 15, 8)) AS lo FROM n WHERE n >= 16)"
 
 
-@query("w24_windowed_firing", f"WITH {EV}, {_WIN} SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, round(avg(CASE WHEN v > 40 THEN 1.0 ELSE 0 END), 6) AS frac, CASE WHEN avg(CASE WHEN v > 40 THEN 1.0 ELSE 0 END) >= 0.5 THEN 'bearing' WHEN sum(CASE WHEN v > 40 THEN 1 ELSE 0 END) = 0 THEN 'free' ELSE 'partial' END AS state FROM wd JOIN s ON s.k = wd.k AND s.i >= lo AND s.i < lo + 16 GROUP BY wd.k, lo")
+@query("w24_windowed_firing", f"""
+WITH {EV},
+{_WIN} SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, round(avg(CASE WHEN v > 40 THEN 1.0 ELSE 0 END), 6) AS frac, CASE WHEN
+  avg(CASE WHEN v > 40 THEN 1.0 ELSE 0 END) >= 0.5 THEN 'bearing' WHEN sum(CASE WHEN v > 40 THEN 1 ELSE 0 END) = 0 THEN 'free' ELSE 'partial' END AS
+  state
+FROM wd
+JOIN s ON s.k = wd.k AND s.i >= lo AND s.i < lo + 16
+GROUP BY wd.k, lo
+""")
 def w24(t):
     f = F.avg((F.col("v") > 40).cast("double"))
     g = windowed(ev(t), 16, 8).groupBy("k", "win").agg(f.alias("f"))
     return g.select("k", F.col("win").cast("long").alias("win"), r6("f", "frac"), F.when(F.col("f") >= 0.5, "bearing").when(F.col("f") == 0, "free").otherwise("partial").alias("state"))
 
 
-_STEP = "d AS (SELECT k, i, v, p, coalesce(sqrt(pow(v - lag(v) OVER w, 2) + pow(p - lag(p) OVER w, 2)), 0) * 24 AS sp FROM s WINDOW w AS (PARTITION BY k ORDER BY i))"
+_STEP = """
+d AS (SELECT k, i, v, p, coalesce(sqrt(pow(v - lag(v) OVER w, 2) + pow(p - lag(p) OVER w, 2)), 0) * 24 AS sp FROM s WINDOW w AS
+  (PARTITION BY k ORDER BY i))
+"""
 
 
 def speeds(df):
@@ -303,13 +450,25 @@ def speeds(df):
     return df.withColumn("sp", F.coalesce(F.sqrt(F.pow(F.col("v") - F.lag("v").over(w), F.lit(2)) + F.pow(F.col("p") - F.lag("p").over(w), F.lit(2))), F.lit(0.0)) * 24)
 
 
-@query("w25_speed_and_extent", f"WITH {EV}, {_STEP} SELECT k, round(avg(sp), 6) AS speed, round(max(sp), 6) AS peak, round(sqrt(pow(max(v) - min(v), 2) + pow(max(p) - min(p), 2)), 6) AS extent, round((max(v) - min(v)) * (max(p) - min(p)), 6) AS area FROM d GROUP BY k")
+@query("w25_speed_and_extent", f"""
+WITH {EV},
+{_STEP} SELECT k, round(avg(sp), 6) AS speed, round(max(sp), 6) AS peak, round(sqrt(pow(max(v) - min(v), 2) + pow(max(p) - min(p), 2)), 6) AS extent,
+  round((max(v) - min(v)) * (max(p) - min(p)), 6) AS area
+FROM d
+GROUP BY k
+""")
 def w25(t):
     dv, dp = F.max("v") - F.min("v"), F.max("p") - F.min("p")
     return speeds(ev(t)).groupBy("k").agg(r6(F.avg("sp"), "speed"), r6(F.max("sp"), "peak"), r6(F.sqrt(dv * dv + dp * dp), "extent"), r6(dv * dp, "area"))
 
 
-_AC = "c AS (SELECT k, i, sp - avg(sp) OVER (PARTITION BY k) AS x FROM d), den AS (SELECT k, sum(x * x) AS q FROM c GROUP BY k HAVING sum(x * x) > 1e-12), ac AS (SELECT a.k, b.i - a.i AS lag, sum(a.x * b.x) / any_value(q) AS r FROM c a JOIN c b ON a.k = b.k AND b.i >= a.i + 6 AND b.i <= a.i + 40 JOIN den ON den.k = a.k GROUP BY 1, 2), pk AS (SELECT k, lag, r, lag(r) OVER w AS before, lead(r) OVER w AS after FROM ac WINDOW w AS (PARTITION BY k ORDER BY lag))"
+_AC = """
+c AS (SELECT k, i, sp - avg(sp) OVER (PARTITION BY k) AS x FROM d),
+den AS (SELECT k, sum(x * x) AS q FROM c GROUP BY k HAVING sum(x * x) > 1e-12),
+ac AS (SELECT a.k, b.i - a.i AS lag, sum(a.x * b.x) / any_value(q) AS r FROM c a JOIN c b ON a.k = b.k AND b.i >= a.i + 6 AND b.i <= a.i + 40 JOIN den
+  ON den.k = a.k GROUP BY 1, 2),
+pk AS (SELECT k, lag, r, lag(r) OVER w AS before, lead(r) OVER w AS after FROM ac WINDOW w AS (PARTITION BY k ORDER BY lag))
+"""
 
 
 def repetition(df, least=6, most=40):
@@ -330,7 +489,15 @@ def w26(t):
     return repetition(ev(t))
 
 
-@query("w27_jerk", f"WITH {EV}, d3 AS (SELECT k, v - 3 * lag(v, 1) OVER w + 3 * lag(v, 2) OVER w - lag(v, 3) OVER w AS a, p - 3 * lag(p, 1) OVER w + 3 * lag(p, 2) OVER w - lag(p, 3) OVER w AS b FROM s WINDOW w AS (PARTITION BY k ORDER BY i)) SELECT k, round(avg(sqrt(a * a + b * b)) * 13824, 4) AS jerk FROM d3 WHERE a IS NOT NULL GROUP BY k")
+@query("w27_jerk", f"""
+WITH {EV},
+d3 AS (SELECT k, v - 3 * lag(v, 1) OVER w + 3 * lag(v, 2) OVER w - lag(v, 3) OVER w AS a, p - 3 * lag(p, 1) OVER w + 3 * lag(p, 2) OVER w - lag(p, 3)
+  OVER w AS b FROM s WINDOW w AS (PARTITION BY k ORDER BY i))
+SELECT k, round(avg(sqrt(a * a + b * b)) * 13824, 4) AS jerk
+FROM d3
+WHERE a IS NOT NULL
+GROUP BY k
+""")
 def w27(t):
     w = S.over()
     third = lambda c: F.col(c) - 3 * F.lag(c, 1).over(w) + 3 * F.lag(c, 2).over(w) - F.lag(c, 3).over(w)
@@ -338,21 +505,48 @@ def w27(t):
     return d.groupBy("k").agg(F.round(F.avg(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))) * 13824, 4).alias("jerk"))
 
 
-@query("w28_windowed_summary", f"WITH {EV}, {_STEP}, {_WIN} SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, round(avg(sp), 6) AS speed, round(max(sp), 6) AS peak_speed, round(sqrt(pow(max(v) - min(v), 2) + pow(max(p) - min(p), 2)), 6) AS amplitude, round((max(v) - min(v)) * (max(p) - min(p)), 6) AS extent_area, round(avg(CASE WHEN sp <= 200 THEN 1.0 ELSE 0 END), 6) AS pause_fraction, round(avg(v), 6) AS mean_value, count(*) AS n_frames, round(count(*) / 24.0, 6) AS seconds FROM wd JOIN d ON d.k = wd.k AND d.i >= lo AND d.i < lo + 16 GROUP BY wd.k, lo")
+@query("w28_windowed_summary", f"""
+WITH {EV},
+{_STEP},
+{_WIN}
+SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, round(avg(sp), 6) AS speed, round(max(sp), 6) AS peak_speed,
+  round(sqrt(pow(max(v) - min(v), 2) + pow(max(p) - min(p), 2)), 6) AS amplitude, round((max(v) - min(v)) * (max(p) - min(p)), 6) AS extent_area,
+  round(avg(CASE WHEN sp <= 200 THEN 1.0 ELSE 0 END), 6) AS pause_fraction, round(avg(v), 6) AS mean_value, count(*) AS n_frames,
+  round(count(*) / 24.0, 6) AS seconds
+FROM wd
+JOIN d ON d.k = wd.k AND d.i >= lo AND d.i < lo + 16
+GROUP BY wd.k, lo
+""")
 def w28(t):
     dv, dp = F.max("v") - F.min("v"), F.max("p") - F.min("p")
     g = windowed(speeds(ev(t)), 16, 8).groupBy("k", F.col("win").cast("long").alias("win"))
     return g.agg(r6(F.avg("sp"), "speed"), r6(F.max("sp"), "peak_speed"), r6(F.sqrt(dv * dv + dp * dp), "amplitude"), r6(dv * dp, "extent_area"), r6(F.avg((F.col("sp") <= 200).cast("double")), "pause_fraction"), r6(F.avg("v"), "mean_value"), F.count("*").alias("n_frames"), r6(F.count("*") / 24.0, "seconds"))
 
 
-@query("w29_length_invariant_summary", f"WITH {EM}, d AS (SELECT k, i, j, x[j] AS e, abs(x[j] - lag(x[j]) OVER (PARTITION BY k, j ORDER BY i)) AS dl FROM m, range(1, 65) r(j)) SELECT k, CAST(j - 1 AS INTEGER) AS dim, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS sd, round(avg(dl), 6) AS step, count(*) AS n FROM d GROUP BY k, j")
+@query("w29_length_invariant_summary", f"""
+WITH {EM},
+d AS (SELECT k, i, j, x[j] AS e, abs(x[j] - lag(x[j]) OVER (PARTITION BY k, j ORDER BY i)) AS dl FROM m, range(1, 65) r(j))
+SELECT k, CAST(j - 1 AS INTEGER) AS dim, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS sd, round(avg(dl), 6) AS step, count(*) AS n
+FROM d
+GROUP BY k, j
+""")
 def w29(t):
     d = em(t).select("k", "i", F.posexplode("x").alias("dim", "e"))
     d = d.withColumn("dl", F.abs(F.col("e") - F.lag("e").over(Window.partitionBy("k", "dim").orderBy("i"))))
     return d.groupBy("k", "dim").agg(r6(F.avg("e"), "mean"), r6(F.stddev_pop("e"), "sd"), r6(F.avg("dl"), "step"), F.count("*").alias("n"))
 
 
-@query("w30_frame_features", f"WITH {EV}, md AS (SELECT k, median(v) AS m FROM s GROUP BY k), c AS (SELECT k, i, v - m AS x, CASE WHEN abs(p * 0.1 - lag(p * 0.1) OVER w) > pi() THEN -sign(p * 0.1 - lag(p * 0.1) OVER w) ELSE 0 END AS j, p * 0.1 AS a FROM s JOIN md USING (k) WINDOW w AS (PARTITION BY k ORDER BY i)), u AS (SELECT k, i, x, a + 2 * pi() * sum(j) OVER (PARTITION BY k ORDER BY i) AS a FROM c) SELECT k, i, round(x, 6) AS centred, round(coalesce((lead(a) OVER w - lag(a) OVER w) / 2, lead(a) OVER w - a, a - lag(a) OVER w), 6) AS slope, round(stddev_pop(x) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING), 6) AS sd FROM u WINDOW w AS (PARTITION BY k ORDER BY i)")
+@query("w30_frame_features", f"""
+WITH {EV},
+md AS (SELECT k, median(v) AS m FROM s GROUP BY k),
+c AS (SELECT k, i, v - m AS x, CASE WHEN abs(p * 0.1 - lag(p * 0.1) OVER w) > pi() THEN -sign(p * 0.1 - lag(p * 0.1) OVER w) ELSE 0 END AS j, p * 0.1
+  AS a FROM s JOIN md USING (k) WINDOW w AS (PARTITION BY k ORDER BY i)),
+u AS (SELECT k, i, x, a + 2 * pi() * sum(j) OVER (PARTITION BY k ORDER BY i) AS a FROM c)
+SELECT k, i, round(x, 6) AS centred, round(coalesce((lead(a) OVER w - lag(a) OVER w) / 2, lead(a) OVER w - a, a - lag(a) OVER w), 6) AS slope,
+  round(stddev_pop(x) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING), 6) AS sd
+FROM u
+WINDOW w AS (PARTITION BY k ORDER BY i)
+""")
 def w30(t):
     w = S.over()
     d = ev(t).select("k", "i", (F.col("v") - F.median("v").over(S.whole())).alias("x"), (F.col("p") * 0.1).alias("a"))
@@ -367,7 +561,15 @@ def md5_int(*parts):
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-@query("w31_circular_shift_placebo", f"WITH {EV}, n AS (SELECT k, count(*) AS n FROM s GROUP BY k), o AS (SELECT k, n, n // 4 + CAST(('0x' || substr(md5('placebo:' || k), 1, 8))::BIGINT % (n // 2 + 1) AS BIGINT) AS off FROM n) SELECT s.k, s.i, q.v AS shifted FROM s JOIN o USING (k) JOIN s q ON q.k = s.k AND q.i = (s.i + off) % n")
+@query("w31_circular_shift_placebo", f"""
+WITH {EV},
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+o AS (SELECT k, n, n // 4 + CAST(('0x' || substr(md5('placebo:' || k), 1, 8))::BIGINT % (n // 2 + 1) AS BIGINT) AS off FROM n)
+SELECT s.k, s.i, q.v AS shifted
+FROM s
+JOIN o USING (k)
+JOIN s q ON q.k = s.k AND q.i = (s.i + off) % n
+""")
 def w31(t):
     d = ev(t).select("k", "i", "v").withColumn("n", F.count(F.lit(1)).over(S.whole()))
     off = F.floor(F.col("n") / 4) + md5_int(F.lit("placebo"), F.col("k").cast("string")) % (F.floor(F.col("n") / 2) + 1)
@@ -375,7 +577,18 @@ def w31(t):
     return moved
 
 
-@query("w33_outlier_repair", f"WITH {EV}, md AS (SELECT k, median(v) AS m FROM s GROUP BY k), h AS (SELECT s.k, i, CASE WHEN v < 0.3 * m THEN NULL ELSE v END AS v FROM s JOIN md USING (k)), z AS (SELECT k, i, v, max(CASE WHEN v IS NOT NULL THEN i END) OVER w AS i0, min(CASE WHEN v IS NOT NULL THEN i END) OVER u AS i1 FROM h WINDOW w AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT z.k, z.i, round(coalesce(z.v, CASE WHEN i0 IS NULL THEN b.v WHEN i1 IS NULL THEN a.v ELSE a.v + (b.v - a.v) * (z.i - i0) / (i1 - i0) END), 6) AS v, z.v IS NULL AS repaired FROM z LEFT JOIN h a ON a.k = z.k AND a.i = i0 LEFT JOIN h b ON b.k = z.k AND b.i = i1")
+@query("w33_outlier_repair", f"""
+WITH {EV},
+md AS (SELECT k, median(v) AS m FROM s GROUP BY k),
+h AS (SELECT s.k, i, CASE WHEN v < 0.3 * m THEN NULL ELSE v END AS v FROM s JOIN md USING (k)),
+z AS (SELECT k, i, v, max(CASE WHEN v IS NOT NULL THEN i END) OVER w AS i0, min(CASE WHEN v IS NOT NULL THEN i END) OVER u AS i1 FROM h WINDOW w AS
+  (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT z.k, z.i, round(coalesce(z.v, CASE WHEN i0 IS NULL THEN b.v WHEN i1 IS NULL THEN a.v ELSE a.v + (b.v - a.v) * (z.i - i0) / (i1 - i0) END), 6)
+  AS v, z.v IS NULL AS repaired
+FROM z
+LEFT JOIN h a ON a.k = z.k AND a.i = i0
+LEFT JOIN h b ON b.k = z.k AND b.i = i1
+""")
 def w33(t):
     d = ev(t).select("k", "i", F.when(F.col("v") >= 0.3 * F.median("v").over(S.whole()), F.col("v")).alias("v"))
     w = S.over()
@@ -384,7 +597,19 @@ def w33(t):
     return d.select("k", "i", r6(hold, "v"), F.col("v").isNull().alias("repaired"))
 
 
-@query("w34_stabilise_noisy_axis", f"WITH {EM}, z AS (SELECT k, i, j, CASE WHEN j = 5 AND i % 2 = 0 THEN 4 * x[j] ELSE x[j] END AS e FROM m, range(1, 65) r(j)), l AS (SELECT *, e - lag(e) OVER (PARTITION BY k, j ORDER BY i) AS dl FROM z), n AS (SELECT k, j, stddev_pop(dl) AS sd, median(e) AS md FROM l GROUP BY k, j), w AS (SELECT k, arg_max(j, sd) AS worst, max(sd) > 3 * median(sd) AS bad FROM n GROUP BY k), y AS (SELECT l.k, i, l.j, CASE WHEN bad AND worst = l.j THEN md ELSE avg(e) OVER (PARTITION BY l.k, l.j ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS y FROM l JOIN n ON n.k = l.k AND n.j = l.j JOIN w ON w.k = l.k), c AS (SELECT k, j, median(y) AS m FROM y GROUP BY k, j) SELECT y.k, i, CAST(y.j - 1 AS INTEGER) AS dim, round(y - m, 6) AS y FROM y JOIN c ON c.k = y.k AND c.j = y.j")
+@query("w34_stabilise_noisy_axis", f"""
+WITH {EM},
+z AS (SELECT k, i, j, CASE WHEN j = 5 AND i % 2 = 0 THEN 4 * x[j] ELSE x[j] END AS e FROM m, range(1, 65) r(j)),
+l AS (SELECT *, e - lag(e) OVER (PARTITION BY k, j ORDER BY i) AS dl FROM z),
+n AS (SELECT k, j, stddev_pop(dl) AS sd, median(e) AS md FROM l GROUP BY k, j),
+w AS (SELECT k, arg_max(j, sd) AS worst, max(sd) > 3 * median(sd) AS bad FROM n GROUP BY k),
+y AS (SELECT l.k, i, l.j, CASE WHEN bad AND worst = l.j THEN md ELSE avg(e) OVER (PARTITION BY l.k, l.j ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1
+  FOLLOWING) END AS y FROM l JOIN n ON n.k = l.k AND n.j = l.j JOIN w ON w.k = l.k),
+c AS (SELECT k, j, median(y) AS m FROM y GROUP BY k, j)
+SELECT y.k, i, CAST(y.j - 1 AS INTEGER) AS dim, round(y - m, 6) AS y
+FROM y
+JOIN c ON c.k = y.k AND c.j = y.j
+""")
 def w34(t):
     """Of all dimensions (one of them made noisy) the noisiest is held at its median if its steps spread more than
     three times the median spread; the others are smoothed; all are centred on their medians."""
@@ -399,14 +624,31 @@ def w34(t):
     return y.join(centre.hint("merge"), ["k", "dim"]).select("k", "i", "dim", r6(F.col("y") - F.col("m"), "y"))
 
 
-@query("w35_jitter_and_energy", f"WITH {EM}, d AS (SELECT k, i, sqrt(list_sum(list_transform(list_zip(x, lag(x) OVER (PARTITION BY k ORDER BY i)), lambda z: pow(z[1] - z[2], 2)))) AS st FROM m) SELECT k, round(avg(st), 6) AS mean_step, round(max(st), 6) AS max_step FROM d WHERE i > 0 GROUP BY k")
+@query("w35_jitter_and_energy", f"""
+WITH {EM},
+d AS (SELECT k, i, sqrt(list_sum(list_transform(list_zip(x, lag(x) OVER (PARTITION BY k ORDER BY i)), lambda z: pow(z[1] - z[2], 2)))) AS st FROM m)
+SELECT k, round(avg(st), 6) AS mean_step, round(max(st), 6) AS max_step
+FROM d
+WHERE i > 0
+GROUP BY k
+""")
 def w35(t):
     prev = F.lag("x").over(S.over())
     st = F.sqrt(F.aggregate(F.zip_with("x", prev, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
     return em(t).select("k", "i", st.alias("st")).where("i > 0").groupBy("k").agg(r6(F.avg("st"), "mean_step"), r6(F.max("st"), "max_step"))
 
 
-@query("w36_bridge_vector_gaps", f"WITH {EM}, h AS (SELECT k, i, CASE WHEN i % 11 IN (3, 4) OR i % 29 BETWEEN 12 AND 20 THEN NULL ELSE x END AS x FROM m), z AS (SELECT k, i, x, max(CASE WHEN x IS NOT NULL THEN i END) OVER w AS i0, min(CASE WHEN x IS NOT NULL THEN i END) OVER u AS i1 FROM h WINDOW w AS (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT z.k, z.i, CASE WHEN z.x IS NOT NULL THEN list_transform(z.x, lambda e: round(e, 6)) WHEN i1 - i0 - 1 <= 4 THEN list_transform(list_zip(a.x, b.x), lambda p: round(p[1] + (p[2] - p[1]) * (z.i - i0) / (i1 - i0), 6)) END AS x FROM z LEFT JOIN h a ON a.k = z.k AND a.i = i0 LEFT JOIN h b ON b.k = z.k AND b.i = i1")
+@query("w36_bridge_vector_gaps", f"""
+WITH {EM},
+h AS (SELECT k, i, CASE WHEN i % 11 IN (3, 4) OR i % 29 BETWEEN 12 AND 20 THEN NULL ELSE x END AS x FROM m),
+z AS (SELECT k, i, x, max(CASE WHEN x IS NOT NULL THEN i END) OVER w AS i0, min(CASE WHEN x IS NOT NULL THEN i END) OVER u AS i1 FROM h WINDOW w AS
+  (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT z.k, z.i, CASE WHEN z.x IS NOT NULL THEN list_transform(z.x, lambda e: round(e, 6)) WHEN i1 - i0 - 1 <= 4 THEN
+  list_transform(list_zip(a.x, b.x), lambda p: round(p[1] + (p[2] - p[1]) * (z.i - i0) / (i1 - i0), 6)) END AS x
+FROM z
+LEFT JOIN h a ON a.k = z.k AND a.i = i0
+LEFT JOIN h b ON b.k = z.k AND b.i = i1
+""")
 def w36(t):
     w = S.over()
     gap = (F.col("i") % 11).isin(3, 4) | (F.col("i") % 29).between(12, 20)
@@ -419,7 +661,13 @@ def w36(t):
     return d.select("k", "i", F.transform(y, lambda e: F.round(e, 6)).alias("x"))
 
 
-@query("w37_peak_row_of_window", f"WITH {EV}, {_WIN} SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, max(v + p) AS score, arg_max(i, (v + p, -i)) AS at, arg_max([v, p, v - p], (v + p, -i)) AS carried FROM wd JOIN s ON s.k = wd.k AND s.i >= lo AND s.i < lo + 16 GROUP BY wd.k, lo")
+@query("w37_peak_row_of_window", f"""
+WITH {EV},
+{_WIN} SELECT wd.k, CAST(lo // 8 AS BIGINT) AS win, max(v + p) AS score, arg_max(i, (v + p, -i)) AS at, arg_max([v, p, v - p], (v + p, -i)) AS carried
+FROM wd
+JOIN s ON s.k = wd.k AND s.i >= lo AND s.i < lo + 16
+GROUP BY wd.k, lo
+""")
 def w37(t):
     """The row with the largest summed evidence of each window, the first on ties, with its vector."""
     sc = F.col("v") + F.col("p")
@@ -429,13 +677,26 @@ def w37(t):
     return g.select("k", "win", "score", F.col("r.i").alias("at"), F.col("r.x").alias("carried"))
 
 
-@query("w38_strictly_increasing_clock", f"WITH {EV}, c AS (SELECT k, i, CAST(floor(v) AS BIGINT) AS c FROM s) SELECT k, i, max(c - i) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) + i AS clock FROM c")
+@query("w38_strictly_increasing_clock", f"""
+WITH {EV},
+c AS (SELECT k, i, CAST(floor(v) AS BIGINT) AS c FROM s)
+SELECT k, i, max(c - i) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) + i AS clock
+FROM c
+""")
 def w38(t):
     c = F.floor("v").cast("long")
     return ev(t).select("k", "i", (F.max(c - F.col("i")).over(S.over().rowsBetween(Window.unboundedPreceding, 0)) + F.col("i")).alias("clock"))
 
 
-@query("w39_rank_family", "SELECT o_orderkey, CAST(rank() OVER w AS INTEGER) AS rk, CAST(dense_rank() OVER w AS INTEGER) AS dr, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS INTEGER) AS rn, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS INTEGER) AS q, rank() OVER w + (count(*) OVER (PARTITION BY o_custkey, o_orderpriority) - 1) / 2.0::DOUBLE AS mean_rank, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, first_value(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
+@query("w39_rank_family", """
+SELECT o_orderkey, CAST(rank() OVER w AS INTEGER) AS rk, CAST(dense_rank() OVER w AS INTEGER) AS dr, CAST(row_number() OVER
+  (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS INTEGER) AS rn, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY
+  o_orderpriority, o_orderkey) AS INTEGER) AS q, rank() OVER w + (count(*) OVER (PARTITION BY o_custkey, o_orderpriority) - 1) / 2.0::DOUBLE AS
+  mean_rank, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, first_value(o_totalprice) OVER
+  (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first
+FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)
+""")
 def w39(t):
     p = Window.partitionBy("o_custkey")
     w, o, d = p.orderBy("o_orderpriority"), p.orderBy("o_orderpriority", "o_orderkey"), p.orderBy("o_orderdate", "o_orderkey")
@@ -443,7 +704,16 @@ def w39(t):
     return t("orders").select("o_orderkey", F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("dr"), F.row_number().over(o).alias("rn"), F.ntile(4).over(o).alias("q"), (F.rank().over(w) + (ties - 1) / 2.0).alias("mean_rank"), F.lag("o_totalprice").over(d).alias("before"), F.first("o_totalprice").over(d).alias("first"))
 
 
-@query("w40_series_report", f"WITH {EV}, {_RUNS.format(src='s', on='v > 40')}, l AS (SELECT k, list([lo, hi] ORDER BY lo) AS spans FROM rn WHERE len >= 2 GROUP BY k) SELECT s.k, count(*) AS n, round(count(*) / 24.0, 6) AS seconds, round(avg(CASE WHEN v > 40 THEN 1.0 ELSE 0 END), 6) AS active, min(v) AS lo, max(v) AS hi, any_value(coalesce(spans, [])) AS spans FROM s LEFT JOIN l ON l.k = s.k GROUP BY s.k")
+@query("w40_series_report", f"""
+WITH {EV},
+{_RUNS.format(src='s', on='v > 40')},
+l AS (SELECT k, list([lo, hi] ORDER BY lo) AS spans FROM rn WHERE len >= 2 GROUP BY k)
+SELECT s.k, count(*) AS n, round(count(*) / 24.0, 6) AS seconds, round(avg(CASE WHEN v > 40 THEN 1.0 ELSE 0 END), 6) AS active, min(v) AS lo, max(v)
+  AS hi, any_value(coalesce(spans, [])) AS spans
+FROM s
+LEFT JOIN l ON l.k = s.k
+GROUP BY s.k
+""")
 def w40(t):
     d = ev(t).withColumn("on_", F.col("v") > 40)
     spans = S.runs(d, "on_").where("len >= 2").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("lo", "hi"))), lambda x: F.array(x["lo"], x["hi"])).alias("spans"))
