@@ -73,7 +73,7 @@ def a10_meta(t):
 @query("a10_strict_series", "SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS frames FROM embeddings")
 def a10_strict(t):
     """The same, strictly: a vector of another width or with a number that is not finite fails the job by its id."""
-    return X.required(framed(t), _FRAME_RULES, "vec_id").select("vec_id", "label", "frames")
+    return X.required(framed(t), frame_rules(), "vec_id").select("vec_id", "label", "frames")
 
 
 @query("c01_join_above_a_floor", "SELECT doc_id, quality, source FROM labels JOIN documents USING (doc_id)")
