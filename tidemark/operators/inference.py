@@ -30,8 +30,7 @@ def cluster_bootstrap(pairs: DataFrame, cluster: str, diff: str, replicates: int
     c = pairs.groupBy(*by, cluster).agg(F.sum(diff).alias("s"), F.count("*").alias("n"))
     c = running_sums(c, by, [cluster], {"id": F.lit(1).cast("long")})
     size = c.groupBy(*by).agg(F.count("*").alias("m"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.stddev_samp(F.col("s") / F.col("n")).alias("sd"))
-    spark = pairs.sparkSession
-    reps = spark.range(replicates).withColumnRenamed("id", "b").crossJoin(F.broadcast(size.select(*by, "m")))
+    reps = size.select(*by, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("b")).repartition(*by, "b")  # replicates over tasks
     drawn = reps.select(*by, "b", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("m") - 1), lambda j: draw(F.lit(seed), F.col("b"), j) % F.col("m"))).alias("id"))
     means = drawn.join(c.select(*by, "id", "s", "n").hint("shuffle_hash"), [*by, "id"]).groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("mean"))
     return _interval(size, means, replicates, by)
@@ -123,7 +122,7 @@ DRAW_BINS = 4096
 
 def permutation_sums(df: DataFrame, x: str, ones: DataFrame, row: str, replicates: int, by: list[str], seed: str = "p") -> DataFrame:
     """``by, b, s``: the sum of ``x`` over the ``k`` rows of a group with the smallest draws in replicate ``b``, with
-    ``ones(by, k)``.
+    ``ones(by, k)``, a written table.
 
     Draws are counted in ``DRAW_BINS`` bins first: all rows below the bin that the k-th draw falls in belong to the
     sum, and only the rows of that bin, one in as many as there are bins, are shuffled and ranked.
@@ -133,7 +132,7 @@ def permutation_sums(df: DataFrame, x: str, ones: DataFrame, row: str, replicate
     bins = reps.groupBy(*by, "b", "bin").agg(F.count("*").alias("n"), F.sum(x).alias("s"))
     w = Window.partitionBy(*by, "b").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumns({"before": F.coalesce(F.sum("n").over(w), F.lit(0)), "sofar": F.coalesce(F.sum("s").over(w), F.lit(0.0))})
-    bins = bins.join(F.broadcast(ones), by) if by else bins.crossJoin(F.broadcast(ones))  # a row per group
+    bins = bins.join(sized(ones), by) if by else bins.crossJoin(F.broadcast(ones))  # one row
     cut = bins.where("before < k and before + n >= k").select(*by, "b", "bin", "sofar", (F.col("k") - F.col("before")).alias("left"))
     near = reps.join(sized(written(cut)), [*by, "b", "bin"])  # a row per group and replicate
     near = near.withColumn("r", F.row_number().over(Window.partitionBy(*by, "b").orderBy("h", row))).where("r <= left")
@@ -146,8 +145,9 @@ def permutation_test(df: DataFrame, x: str, label: str, row: str, replicates: in
     by = by or []
     d = df.select(*by, row, F.col(x).alias("_x"), F.col(label).cast("int").alias("_y"))
     tot = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_y").alias("k"), F.sum("_x").alias("t"), F.sum(F.col("_x") * F.col("_y")).alias("o")).where("k > 0 and k < n")
+    tot = written(tot)  # a row per group
     sums = permutation_sums(d, "_x", tot.select(*by, "k"), row, replicates, by, seed)
-    j = sums.join(F.broadcast(tot), by) if by else sums.crossJoin(F.broadcast(tot))
+    j = sums.join(sized(tot), by) if by else sums.crossJoin(F.broadcast(tot))
     stat = lambda s: F.col(s) / F.col("k") - (F.col("t") - F.col(s)) / (F.col("n") - F.col("k"))
     j = j.select(*by, "k", "n", stat("s").alias("d"), stat("o").alias("observed"))
     hits = F.count_if(F.abs("d") >= F.abs("observed") - slack)
@@ -158,7 +158,7 @@ def bonferroni(tests: DataFrame, p: str, interpretable: Column, family: list[str
     """``tests`` and ``adjusted``: p times the number of interpretable tests of a family, at most 1; NULL for others."""
     family = family or []
     m = tests.groupBy(*family).agg(F.count_if(interpretable & F.col(p).isNotNull()).alias("_m"))
-    j = tests.join(F.broadcast(m), family) if family else tests.crossJoin(F.broadcast(m))
+    j = tests.join(sized(written(m)), family) if family else tests.crossJoin(F.broadcast(m))  # one row
     return j.withColumn("adjusted", F.when(interpretable, F.least(F.lit(1.0), F.col(p) * F.col("_m")))).drop("_m")
 
 
