@@ -145,8 +145,8 @@ def test_subspace_and_angles(spark):
     same = spark.createDataFrame([([float(v) for v in [*x, *x]],) for x in a], "x array<double>")
     apart = spark.createDataFrame([([float(v) for v in [*x, 0.0, 0.0, 0.0]],) for x in a] + [([0.0, 0.0, 0.0, *[float(v) for v in x]],) for x in a], "x array<double>")
     assert N.shared_fraction(same, "x", []).first()["shared"] == pytest.approx(1) and N.shared_fraction(apart, "x", []).first()["shared"] == pytest.approx(0)
-    assert all(x["cosine"] == pytest.approx(1) for x in N.canonical_angles(same, "x").collect())
-    assert all(x["degrees"] == pytest.approx(90) for x in N.canonical_angles(apart, "x").collect())
+    assert all(x["cosine"] == pytest.approx(1) for x in N.canonical_angles(same, "x", False).collect())
+    assert all(x["degrees"] == pytest.approx(90) for x in N.canonical_angles(apart, "x", False).collect())
 
 
 def test_probes_of_classes_and_labels(spark):
