@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tidemark.llm import _base
 from tidemark.llm import phrase_tiles as pt
 
 
@@ -45,7 +46,9 @@ def plain(rows, least, longest=5, top=2000):
     return [(r[0], seen[r[0]], *r[1:]) for r in out if (seen.update([r[0]]) or seen[r[0]]) <= top]
 
 
-def test_equals_plain_counts(spark, monkeypatch):
+@pytest.mark.parametrize("few", [300_000, 0])
+def test_equals_plain_counts(spark, monkeypatch, few):
+    monkeypatch.setattr(_base, "BROADCAST_ROWS", few)
     monkeypatch.setattr(pt, "BATCH_CHARS", 500)
     monkeypatch.setattr(pt, "BUFFER_PAIRS", 200)
     rng = random.Random(9)

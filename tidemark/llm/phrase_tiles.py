@@ -10,8 +10,8 @@ Pairs are counted by tiles of ``TILE`` x ``TILE`` ids. As ids are ranks, the pai
 with many occurrences in a buffer are dense arrays for one ``bincount``, all others sorted coordinates. A task sends one
 row for a pair and buffer, and Spark adds them up by pair, so a hot tile or pair is never gathered in one task.
 
-Ids return to the batches by a join on distinct units of a batch, not by a table in each worker, so nothing grows with
-the corpus but tables; the frequent units are broadcast only after they are counted.
+Ids return to the batches from a table in each worker while the frequent units are few by count; beyond that by a join
+on the distinct units of each batch, so nothing held in one place grows with the corpus. Either way gives the same ids.
 """
 
 from __future__ import annotations
@@ -20,19 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import _base
 from tidemark.llm._base import Scratch, importable, lookup_join
 from tidemark.operators.ranks import running_sums
 
 #: Characters of a batch, and pairs of a buffer
 BATCH_CHARS = 2_000_000
-BUFFER_PAIRS = 4_000_000
+BUFFER_PAIRS = 1_500_000
 #: Ids of a tile's side, tiles of a side that may be dense, and occurrences in a buffer that make a tile dense
-TILE_BITS = 8
+TILE_BITS = 7
 SIDE = 1024
-DENSE = 16_384
+DENSE = 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -172,14 +174,53 @@ def _units(seq: DataFrame) -> DataFrame:
     return seq.select("batch", "lang", "ids").mapInArrow(run, "batch long, lang string, unit long").withColumn("key", F.col("unit"))
 
 
+def _ids_row(batch, lang, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch, lang, pa.array([closed(ids.astype(np.int32)).tobytes()], pa.binary())], names=["batch", "lang", "ids"])
+
+
+def _from_table(seq: DataFrame, frequent: DataFrame, pairs: bool) -> DataFrame:
+    """``batch, lang, ids`` with the ids of frequent units, a few, which go to every worker."""
+    known = {}
+    table = frequent.select("lang", "unit", "id").toArrow()
+    for lang in table.column("lang").unique().to_pylist():
+        own = table.filter(pc.equal(table.column("lang"), lang)).sort_by("unit" if pairs else "id")
+        known[lang] = (own.column("unit").combine_chunks(), own.column("id").to_numpy())
+    sent = seq.sparkSession.sparkContext.broadcast(known)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for k in range(b.num_rows):
+                batch, lang = b.column(0).slice(k, 1), b.column(1).slice(k, 1)
+                if lang[0].as_py() not in sent.value:
+                    continue
+                unit, new = sent.value[lang[0].as_py()]
+                own = np.frombuffer(b.column(2)[k].as_py(), np.int32)
+                if pairs:
+                    key, own = unit.to_numpy(), pairs_of(own)
+                    at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+                    yield _ids_row(batch, lang, np.where(key[at] == own, new[at], -1))
+                else:
+                    at = pc.index_in(b.column(3)[k].values, value_set=unit).fill_null(-1).to_numpy()
+                    ids = np.append(np.where(at >= 0, new[at], -1), -1)  # the last is that of a piece's end
+                    yield _ids_row(batch, lang, ids[own])
+
+    columns = ["batch", "lang", "ids"] if pairs else ["batch", "lang", "ids", "words"]
+    return seq.select(*columns).mapInArrow(run, "batch long, lang string, ids binary")
+
+
 def _renumbered(seq: DataFrame, units: DataFrame, frequent: DataFrame, pairs: bool) -> DataFrame:
+    if _base.fits_broadcast(frequent.select("lang", "unit", "id")):
+        return _from_table(seq, frequent, pairs)
+    return _from_join(seq, units, frequent, pairs)
+
+
+def _from_join(seq: DataFrame, units: DataFrame, frequent: DataFrame, pairs: bool) -> DataFrame:
     """``batch, lang, ids`` with the ids of frequent units, which ``units(batch, lang, key, unit)`` name by their key in a
     batch. Batches without any are left out."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             batch, lang, ids, known = (b.column(k) for k in range(4))
-            out = []
             for k in range(b.num_rows):
                 own = np.frombuffer(ids[k].as_py(), np.int32)
                 own = pairs_of(own) if pairs else own.astype(np.int64)
@@ -188,8 +229,7 @@ def _renumbered(seq: DataFrame, units: DataFrame, frequent: DataFrame, pairs: bo
                 order = np.argsort(key)
                 key, new = key[order], new[order]
                 at = np.minimum(np.searchsorted(key, own), len(key) - 1)
-                out.append(closed(np.where(key[at] == own, new[at], -1).astype(np.int32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch, lang, pa.array(out, pa.binary())], names=["batch", "lang", "ids"])
+                yield _ids_row(batch.slice(k, 1), lang.slice(k, 1), np.where(key[at] == own, new[at], -1))
 
     known = lookup_join(units, frequent.select("lang", "unit", "id"), ["lang", "unit"], "inner")
     known = known.groupBy("batch").agg(F.collect_list(F.struct("key", "id")).alias("known"))
@@ -225,8 +265,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, scratc
         halves = frequent.withColumns({"first_id": F.shiftright("unit", 32).cast("int"), "last_id": F.expr("unit & 4294967295").cast("int")})
         left = before.select("lang", F.col("id").alias("first_id"), F.col("phrase").alias("_p"), F.col("heads").alias("_h"))
         right = before.select("lang", F.col("id").alias("last_id"), F.col("last").alias("last"), F.col("tails").alias("_t"))
-        size = before.count()
-        joined = lookup_join(lookup_join(halves, left, ["lang", "first_id"], "inner", size), right, ["lang", "last_id"], "inner", size)
+        joined = lookup_join(lookup_join(halves, left, ["lang", "first_id"], "inner"), right, ["lang", "last_id"], "inner")
         made = joined.select("lang", "id", "f", F.concat_ws(" ", "_p", "last").alias("phrase"), "last", F.concat("_h", F.array("f")).alias("heads"), F.concat("_t", F.array("f")).alias("tails"), "first_id", "last_id")
         levels.append(scratch.save(made, f"phrases{m}"))
         if m < longest:
