@@ -29,12 +29,12 @@ from tidemark.llm._base import Scratch, importable, lookup_join
 from tidemark.operators.ranks import running_sums
 
 #: Characters of a batch, and pairs of a buffer
-BATCH_CHARS = 2_000_000
-BUFFER_PAIRS = 1_500_000
+BATCH_CHARS = 1_000_000
+BUFFER_PAIRS = 500_000
 #: Ids of a tile's side, tiles of a side that may be dense, and occurrences in a buffer that make a tile dense
 TILE_BITS = 7
 SIDE = 1024
-DENSE = 4096
+DENSE = 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -259,6 +259,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, scratc
     one = frequent.select("lang", "id", "f", F.col("unit").alias("phrase"), F.col("unit").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels = [scratch.save(one.withColumns({"first_id": F.lit(None).cast("int"), "last_id": F.lit(None).cast("int")}), "phrases1")]
     seq = scratch.save(_renumbered(batches, each.drop("f"), frequent, pairs=False), "ids1")
+    scratch.drop(batches)
     for m in range(2, longest + 1):
         frequent = scratch.save(ranked(_counted(seq)), f"pairs{m}")
         before = levels[-1]
