@@ -178,3 +178,11 @@ def test_few_rows_of_a_permutation_are_ranked(spark, monkeypatch, near):
         for b in range(30):
             first = np.argsort(h[b, g::2], kind="stable")[: sum(x[3] for x in rows[g::2])]
             assert got["ab"[g], b] == pytest.approx(own[first].sum())
+
+
+def test_constant_columns_are_dead_however_they_are_merged(spark):
+    from tidemark.plans.reports_queries import d08
+
+    rows = [(i, [float(i % 7 + j) for j in range(64)], i % 3) for i in range(3 * 49 * 11)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(11)
+    assert sorted((x["dim"], x["dead_in"]) for x in d08(lambda _: df).collect()) == [(2, 3), (8, 3)]
