@@ -46,7 +46,7 @@ def m02(t):
 WITH {EM},
 d AS (SELECT vec_id, j, x[j] AS e, {_KF.format(k='vec_id', n=3)} AS f FROM m, range(1, 65) r(j)),
 st AS (SELECT fold, j, avg(e) AS mu, stddev_pop(e) AS sd FROM d, range(0, 3) q(fold) WHERE f <> fold GROUP BY 1, 2)
-SELECT vec_id, CAST(st.fold AS INTEGER) AS fold, f = st.fold AS held, list(round((e - mu) / sd, 6) ORDER BY d.j) AS x
+SELECT vec_id, CAST(st.fold AS INTEGER) AS fold, f = st.fold AS held, list(round((e - mu) / sd, 6) + 0.0 ORDER BY d.j) AS x
 FROM d
 JOIN st ON st.j = d.j
 GROUP BY ALL
