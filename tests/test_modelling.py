@@ -168,3 +168,24 @@ def test_probes_of_classes_and_labels(spark):
     assert set(labels) == {"plus", "coin"} and labels["plus"]["auc"] > 0.95 and all(g["covered"] and g["usable"] == 2 for g in labels.values())
     assert labels["plus"]["positives"] == sum(x[1] > 0 for _, _, x, _, _ in rows)
     assert L.class_probes(df.limit(0), "id", "fold", "x", "c").collect() == []
+
+
+@pytest.mark.parametrize("name", ["m07_model", "m05"])
+def test_models_read_measures_not_texts(spark, monkeypatch, name):
+    from tidemark.plans import modelling_queries as M
+    from tidemark.plans.registry import Tables
+
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def watched(rows, *args):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        raise Seen
+
+    monkeypatch.setattr(M.L, "leave_group_out", watched)
+    monkeypatch.setattr(M.L, "probes", watched)
+    with pytest.raises(Seen):
+        getattr(M, name)(Tables(spark, "/root/testdata/sf0.001"))
+    assert len(seen) == 1 and "regexp_replace" not in seen[0]
