@@ -4,6 +4,8 @@ import json
 import os
 import shutil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.plans import live_queries as V
@@ -79,3 +81,68 @@ def test_windows_of_events_have_every_fault(spark):
     events = spark.createDataFrame([(i % 3, i, float(i % 60), '{"k": %d}' % (i % 100)) for i in range(2000)], "user_id long, event_id long, value double, props string")
     found = {r["fault"] for r in L.judged(V.live_windows(events), width=V.WIDE).select("fault").distinct().collect()}
     assert {None, "width", "short", "not_finite", "pose_length", "rate"} <= found
+
+
+class _Held:
+    """A state variable and the timers of one key, without a store."""
+
+    def __init__(self):
+        self.value, self.rows, self.timers = None, [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    getListState = getValueState
+
+    def get(self):
+        return self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _List(_Held):
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs
+
+
+def test_a_key_has_one_timer_however_many_numbers_it_remembers():
+    step = lambda now, recent, pdf: ((1,), pdf["x"].to_numpy(), pdf)
+    s = T.Series("k", ["x"], "n int", "long", step, span=10_000)
+    handle = _Held()
+    s.init(handle)
+    s.recent = recent = _List()
+    for begin in (0, 500):
+        list(s.handleInputRows((1,), iter([pd.DataFrame({"x": np.arange(begin, begin + 300) * 1000})]), None))
+    assert handle.timers == [11] and len(recent.rows) == 600
+    list(s.handleExpiredTimer((1,), _Clock(260), _Clock(11)))  # the watermark has passed 250 numbers and more
+    assert recent.rows[0] == (250_000,) and handle.timers == [11, 261]
+    list(s.handleExpiredTimer((1,), _Clock(900), _Clock(261)))
+    assert recent.rows == [] and len(handle.timers) == 2
+    list(s.handleInputRows((1,), iter([pd.DataFrame({"x": [2_000_000]})]), None))
+    assert handle.timers == [11, 261, 2011] and recent.rows == [(2_000_000,)]
