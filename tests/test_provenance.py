@@ -77,3 +77,22 @@ def test_chains_cycles_and_dangling_names(spark):
     assert all(got[n] == (None, None, "cycle") for n in ("x", "y", "z", "to_loop", "self"))
     assert got["p"] == ("nobody", 2, "dangling") and got["q"] == ("nobody", 1, "dangling")
     assert ends_of_chains(spark.createDataFrame([], "name string, superseded_by string")).collect() == []
+
+
+def test_levels_of_json_are_taken_apart_in_one_pass(spark, monkeypatch):
+    deep = 5
+    for i in range(20):
+        deep = [deep, [], {}] if i % 2 else {"a": deep, "e": [], "o": {}, "n": None}
+    texts = [{"order": {"total": 1.5, "items": [{"n": 1, "flags": ["R", 2.5, [0.1, True, None]]}]}}, deep, [[[[[[[[]]]]]]]], [[[[[[[[7]]]]]]]]]
+    count, plain = [], T.written
+    monkeypatch.setattr(T, "written", lambda df: count.append(1) or plain(df))
+    for i, t in enumerate(texts):
+        count.clear()
+        got = T.numeric_leaves(spark.createDataFrame([(i, json.dumps(t))], "key long, doc string"), "key", "doc")
+        assert sorted((r["path"], r["num"]) for r in got.collect()) == sorted(plain_leaves(t))
+        assert len(count) == (3 if i == 1 else 1)
+    one = lambda text, deepest: T.numeric_leaves(spark.createDataFrame([(1, text)], "id long, doc string"), "id", "doc", deepest)
+    assert one("[[1], 2]", 3).count() == 2 and one("4", 1).count() == 1
+    for text, deepest in (("[[[1]]]", 3), ("[[[]]]", 3), ("[]", 1)):
+        with pytest.raises(ValueError, match="deeper"):
+            one(text, deepest)

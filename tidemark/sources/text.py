@@ -24,25 +24,36 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(sized(blocks), ["file", "block"]).select("file", (F.col("place") - F.col("first") + F.col("before") + 1).alias("line_no"), "line")
 
 
+#: Levels of JSON that are taken apart before rows are written
+STEPS = 8
+
+
 def numeric_leaves(rows: DataFrame, key: str, json: str, deepest: int = 64) -> DataFrame:
     """``key, path, num`` for every finite number in the JSON texts of ``rows``, at any depth of objects and arrays; paths
     read like ``$.a[0].b``. Booleans, texts and nulls are no numbers; a text that is no JSON has none.
 
-    A level of all texts is taken apart at once, and what is still an object or an array goes on, as a written table, until
-    none is left (or ``deepest`` levels are passed, which is an error).
+    Texts are taken apart by ``STEPS`` levels in one pass, in which what is no object or array stays as it is. Only numbers
+    are written then, and what is still an object or an array, which goes on until none is left (or ``deepest`` levels are
+    passed, which is an error).
     """
-    level = rows.select(F.col(key).alias("_id"), F.lit("$").alias("path"), F.try_parse_json(json).alias("v"))
-    found = None
-    for _ in range(deepest):
-        kind = F.schema_of_variant("v")
-        level = written(level.where("v is not null").withColumn("kind", kind))
-        number = F.try_variant_get("v", "$", "double")
-        here = level.where(F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")).select(F.col("_id").alias(key), "path", number.alias("num")).where("num > double('-infinity') and num < double('infinity')")
+    level = rows.select(F.col(key).alias("_id"), F.lit("$").alias("path"), F.try_parse_json(json).alias("v"), F.lit(True).alias("open")).where("v is not null")
+    found, left = None, deepest - 1
+    while True:
+        steps = min(STEPS, left)
+        left -= steps
+        for _ in range(steps):
+            inner = level.select("_id", "path", F.col("v").alias("whole")).lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("whole").outer()))
+            step = F.when(F.col("key").isNull(), F.format_string("[%d]", F.col("pos"))).otherwise(F.concat(F.lit("."), F.col("key")))
+            opened = F.col("pos").isNotNull()
+            level = inner.select("_id", F.when(opened, F.concat("path", step)).otherwise(F.col("path")).alias("path"), F.when(opened, F.col("value")).otherwise(F.col("whole")).alias("v"), opened.alias("open"))
+        level = level.withColumn("kind", F.schema_of_variant("v"))
+        number = F.when(F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$", "double"))
+        nested = F.when(F.col("open") & F.col("kind").rlike("^(OBJECT|ARRAY)"), F.col("v"))
+        level = written(level.select(F.col("_id"), "path", number.alias("num"), nested.alias("v")).where("v is not null or num > double('-infinity') and num < double('infinity')"))
+        here = level.where("num is not null").select(F.col("_id").alias(key), "path", "num")
         found = here if found is None else found.union(here)
-        nested = level.where(F.col("kind").rlike("^(OBJECT|ARRAY)"))
-        if nested.isEmpty():
+        level = level.where("v is not null").select("_id", "path", "v", F.lit(True).alias("open"))
+        if level.isEmpty():
             return found
-        inner = nested.withColumnRenamed("v", "whole").lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("whole").outer()))
-        step = F.when(F.startswith("kind", F.lit("ARRAY")), F.format_string("[%d]", F.col("pos"))).otherwise(F.concat(F.lit("."), F.col("key")))
-        level = inner.select("_id", F.concat("path", step).alias("path"), F.col("value").alias("v"))
-    raise ValueError(f"JSON deeper than {deepest} levels")
+        if not left:
+            raise ValueError(f"JSON deeper than {deepest} levels")
