@@ -1,5 +1,6 @@
 """Quantiles by narrowing, resampling without joins, tails, edit distances and subspaces against plain computations."""
 
+import hashlib
 import math
 import random
 
@@ -192,3 +193,25 @@ def test_word_edits_list_the_words_of_a_pair_once(spark):
     df = spark.createDataFrame([(["a"], ["b"])], "a array<string>, b array<string>").select(N.word_edits(F.col("a"), F.col("b")).alias("d"))
     plan = df._jdf.queryExecution().analyzed().toString()
     assert plan.count("array_distinct") == 1 and df.first()["d"] == 1
+
+
+@pytest.mark.parametrize("kind", ["ties", "hot", "distinct", "one"])
+def test_rank_bootstrap_by_counts_equals_its_draws(spark, kind):
+    r = random.Random(5)
+    n = 1 if kind == "one" else 90
+    x = {"ties": lambda i: r.choice([None, 1, 2, 3, 50, 51]), "hot": lambda i: 7 if i % 10 else i, "distinct": lambda i: r.random(), "one": lambda i: 1}[kind]
+    rows = [(1000 - 3 * i, float(v) if v is not None else None, None if i % 17 == 3 else r.randrange(6) if kind != "distinct" else r.random()) for i in range(n) for v in [x(i)]]
+    df = spark.createDataFrame([(i, u, None if v is None else float(v)) for i, u, v in rows], "k long, x double, y double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # ties and parts over many batches
+        got = {b["b"]: b["rho"] for b in N.bootstrap_spearman(df, "x", "y", ["k"], 130, "r").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    rows.sort()
+    assert sorted(got) == list(range(130))
+    for b in (0, 9, 10, 99, 100, 129):
+        drawn = [rows[int(hashlib.md5(f"r:{b}:{j}".encode()).hexdigest()[:8], 16) % n] for j in range(n)]
+        u, v = (pd.Series([math.inf if d[c] is None else d[c] for d in drawn]).rank() for c in (1, 2))
+        want = None if u.nunique() == 1 or v.nunique() == 1 else np.corrcoef(u, v)[0, 1]
+        assert got[b] == (pytest.approx(want, abs=1e-9) if want is not None else None)

@@ -459,11 +459,7 @@ FROM c
 """)
 def s02(t):
     d = labelled(t).select("doc_id", F.col("n_chars").alias("x"), (F.length("source") + F.col("doc_id") % 13).alias("y"))
-    a = N.written(N.numbered(d, ["doc_id"]))
-    m = a.agg(F.count("*").alias("m"))
-    draws = a.select(F.col("id").alias("j")).crossJoin(F.broadcast(m)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(WHOLE_B - 1))))
-    s = draws.select("b", (N.draw(F.lit("r"), F.col("b"), F.col("j")) % F.col("m")).alias("id")).join(a.select("id", "x", "y").hint("merge"), "id")
-    rho = N.spearman(N.written(s), "x", "y", ["b"])
+    rho = N.bootstrap_spearman(d, "x", "y", ["doc_id"], WHOLE_B, "r")
     return rho.agg(r6(F.percentile("rho", F.lit(0.025)), "lo"), r6(F.median("rho"), "mid"), r6(F.percentile("rho", F.lit(0.975)), "hi"))
 
 
