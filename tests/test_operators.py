@@ -1,5 +1,6 @@
 """Operators on small hand-made tables: planted effects, causality, edges."""
 
+import hashlib
 import math
 import random
 
@@ -58,6 +59,21 @@ def test_inventory_and_verify(spark, tmp_path):
     assert {r["name"]: r["status"] for r in I.verify(m, found).collect()} == {"a.bin": "checksum", "b.bin": "missing_or_empty", "c.bin": "size", "d.bin": "missing_or_empty"}
 
 
+def test_files_longer_than_a_value_are_hashed_in_pieces(spark, tmp_path):
+    (tmp_path / "a b.bin").write_bytes(b"first")
+    with open(tmp_path / "long.bin", "wb") as f:  # a hole, which takes no room
+        f.truncate(2**31 + 5)
+        f.seek(2**31)
+        f.write(b"end")
+    want = {}
+    for n in ("a b.bin", "long.bin"):
+        with open(tmp_path / n, "rb") as f:
+            want[n] = hashlib.file_digest(f, "sha256").hexdigest()
+    for whole in (I.WHOLE, 3):
+        got = {r["name"]: (r["length"], r["sha256"]) for r in I.inventory(spark, str(tmp_path), "*.bin", whole).collect()}
+        assert got == {"a b.bin": (5, want["a b.bin"]), "long.bin": (2**31 + 5, want["long.bin"])}
+
+
 def test_gap_fill_stays_inside_and_below_the_limit(spark):
     v = [None, 1.0, None, 3.0, None, None, None, None, 8.0, None]
     df = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)], "k string, i long, v double")

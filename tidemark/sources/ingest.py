@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,10 +90,36 @@ def stratified_sample(df: DataFrame, key: str, group: str, n: int, groups: int,
     return ranked.orderBy(F.col("_r") > n // groups, "_h").limit(n).drop("_h", "_r")
 
 
-def inventory(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """Files of a folder with length and SHA-256 of their content."""
+#: Files up to this length are hashed as one value; longer ones are read in pieces, as a value ends at 2 GB
+WHOLE, PIECE = 1 << 30, 1 << 22
+
+
+def inventory(spark: SparkSession, folder: str, pattern: str = "*.parquet", whole: int = WHOLE) -> DataFrame:
+    """Files of a folder with length and SHA-256 of their content. A task reads a file from its beginning to its end, as
+    SHA-256 goes through it in order, but holds no more than ``whole`` bytes of it."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return f.select(F.regexp_extract("path", r"([^/]+(?:/part-[^/]+)?)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    name = F.regexp_extract("path", r"([^/]+(?:/part-[^/]+)?)$", 1).alias("name")
+    short = f.where(F.col("length") <= whole).select(name, "length", F.sha2("content", 256).alias("sha256"))
+    long = f.where(F.col("length") > whole).select("path", "length").mapInArrow(_hashed, "path string, length long, sha256 string")
+    return short.union(long.select(name, "length", "sha256"))
+
+
+def _hashed(batches):
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            scheme, _, rest = path.partition(":")
+            h = hashlib.sha256()
+            with open("/" + rest.lstrip("/"), "rb") if scheme == "file" else _remote(path) as file:
+                while piece := file.read(PIECE):
+                    h.update(piece)
+            found.append(h.hexdigest())
+        yield pa.record_batch({"path": batch.column(0), "length": batch.column(1), "sha256": pa.array(found, pa.string())})
+
+
+def _remote(path: str):
+    fs, place = FileSystem.from_uri(path)
+    return fs.open_input_stream(place)
 
 
 def verify(manifest: DataFrame, found: DataFrame) -> DataFrame:
